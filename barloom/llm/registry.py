@@ -1,6 +1,7 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
+from .near_dedup import op10_near_dedup
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup}
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op10_near_dedup": op10_near_dedup}
 SQL = {"op2_substring_dedup": OP2_SQL}

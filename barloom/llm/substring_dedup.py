@@ -106,7 +106,7 @@ def anchors(texts: DataFrame, window: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, ctx, n, rep): how often an anchor has been seen, and one place of it."""
+    """Sorted immutable runs of (fp, ctx, n): how often an anchor has been seen."""
 
     def __init__(self, spark: SparkSession, fan_in: int = 4, work: Workspace | None = None):
         self.work = work or Workspace(spark, "windows")
@@ -115,12 +115,12 @@ class FingerprintIndex:
 
     @staticmethod
     def _merged(parts: DataFrame) -> DataFrame:
-        return parts.groupBy("fp", "ctx").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
+        return parts.groupBy("fp", "ctx").agg(F.sum("n").alias("n"))
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Adds the anchors of one batch as a run. Returns its fingerprints that history had already, with
         ``seen``, their number in history, for those who decide on a batch without rereading the past."""
-        counted = self._merged(batch.select("fp", "ctx", F.lit(1).cast("long").alias("n"), F.struct("rid", "p", "lo", "hi").alias("rep")))
+        counted = self._merged(batch.select("fp", "ctx", F.lit(1).cast("long").alias("n")))
         run = self.work.write(counted.sortWithinPartitions("fp", "ctx"), "run")
         history = self.runs
         self.runs = [*history, run]
@@ -144,11 +144,16 @@ class FingerprintIndex:
 def _repeated(found: DataFrame, index: DataFrame, texts: DataFrame, window: int, work: Workspace) -> DataFrame:
     """(rid, start, stop): word ranges that repeated windows cover."""
     # fingerprints that occur more than once; those that occur once are most, and leave here
-    of_fp = index.groupBy("fp").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("contexts")).where("total > 1")
+    of_fp = index.groupBy("fp").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("contexts")).where("total > 1").select("fp", "contexts")
     shared = work.write(index.join(of_fp, "fp"), "shared")
-    settled = found.join(shared.where("n > 1").select("fp", "ctx"), ["fp", "ctx"]).select("rid", F.col("lo").alias("start"), (F.col("hi") + window).alias("stop"))
-    # one representative of each context of a fingerprint that has several; its windows are compared one by one
-    rivals = shared.where("contexts > 1").select("rep.*", "fp", (F.col("n") == 1).alias("alone"))
+    placed = work.write(found.drop("batch").join(shared, ["fp", "ctx"]), "placed")
+    work.drop(found, index)
+    settled = placed.where("n > 1").select("rid", F.col("lo").alias("start"), (F.col("hi") + window).alias("stop"))
+    # where a fingerprint has several contexts, one place of each is asked; their windows are compared one by one
+    place = F.struct("rid", "p", "lo", "hi").alias("rep")
+    single = placed.where("contexts > 1 and n = 1").select(place, "fp", F.lit(True).alias("alone"))
+    several = placed.where("contexts > 1 and n > 1").groupBy("fp", "ctx").agg(F.min(F.struct("rid", "p", "lo", "hi")).alias("rep"))
+    rivals = single.unionByName(several.select("rep", "fp", F.lit(False).alias("alone"))).select("rep.*", "fp", "alone")
     asked = rivals.groupBy("rid").agg(F.collect_list(F.struct("p", "lo", "hi", "fp", "alone")).alias("asked"))
     windows = texts.select("rid", "text").join(asked, "rid").dropDuplicates(["rid"])  # equal rows: one is asked
 

@@ -1,7 +1,24 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
+from .avi_media import op3_avi_media
+from .decontaminate import op4_decontamination
+from .html_text import op5_html_text
+from .language_id import op9_language_id
+from .line_dedup import OP7_SQL, op7_line_dedup
 from .near_dedup import op10_near_dedup
+from .packing import op6_best_fit_packing
+from .quality import op8_quality
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op10_near_dedup": op10_near_dedup}
-SQL = {"op2_substring_dedup": OP2_SQL}
+QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_avi_media": op3_avi_media,
+    "op4_decontamination": op4_decontamination,
+    "op5_html_text": op5_html_text,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_quality": op8_quality,
+    "op9_language_id": op9_language_id,
+    "op10_near_dedup": op10_near_dedup,
+}
+SQL = {"op2_substring_dedup": OP2_SQL, "op7_line_dedup": OP7_SQL}

@@ -158,13 +158,19 @@ def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], kinds)
 
 
-def drop_contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``df``, all columns, without those that contain an item."""
-    # the text's own digest stands for the row, so null and repeated ids don't matter
-    key = F.unhex(F.md5(F.col(text_col)))
-    hits = contamination(df.select(key.alias("key"), F.col(text_col).alias("text")), items, "key", "text", **settings).select("key").distinct()
-    rows = df.select(F.struct(*df.columns).alias("row"), key.alias("key"))
-    return rows.join(hits, "key", "left_anti").select("row.*")
+def drop_contaminated(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.06, min_chars: int = 24, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of ``df``, all columns, without those that contain an item. Nothing is shuffled."""
+    for block in benchmark_blocks(items, item_col, item_text_col, min_chars, block_chars):
+        sent = df.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(sent.value, error_rate)
+            for batch in batches:
+                clean = [not (t.is_valid and _search(normalized(t.as_py()), sent.value, automaton, error_rate)) for t in batch.column(text_col)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        df = df.mapInArrow(run, df.schema)
+    return df
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

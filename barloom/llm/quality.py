@@ -179,34 +179,42 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
     return train(np.concatenate(parts).astype(float), of * (2**20) + within // CHAIN, np.repeat([float(r["good"]) for r in got], lines))
 
 
+def text_scores(model: LineModel | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score, lines, and lines whose marginal is 0.5 or more, of each text."""
+    own, length, row = line_features(*utf8(texts))
+    n = len(texts)
+    if model is None:
+        p = np.full(len(row), 0.5)
+    else:
+        p, _ = marginals(model, model.evidence(with_neighbours(own, row)), row)
+    mean = np.bincount(row, p * length, n) / np.maximum(np.bincount(row, length, n), 1)
+    return np.clip(mean, 0, 1), np.bincount(row, minlength=n).astype(np.int64), np.bincount(row, p >= 0.5, n).astype(np.int64)
+
+
 def score(df: DataFrame, model: LineModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, score, lines, good_lines (of marginal 0.5 or more) for each row."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_model = sent.value
         for batch in batches:
             for part in slices(batch, "text"):
-                own, length, row = line_features(*utf8(part.column("text")))
-                n = part.num_rows
-                if own_model is None:
-                    p = np.full(len(row), 0.5)
-                else:
-                    p, _ = marginals(own_model, own_model.evidence(with_neighbours(own, row)), row)
-                mean = np.bincount(row, p * length, n) / np.maximum(np.bincount(row, length, n), 1)
-                good = np.bincount(row, p >= 0.5, n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.clip(mean, 0, 1)), pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(good)], names=["id", "score", "lines", "good_lines"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, text_scores(sent.value, part.column("text")))], names=["id", "score", "lines", "good_lines"])
 
     id_type = df.select(id_col).schema[0].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"id {id_type}, score double, lines long, good_lines long")
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, score double, lines long, good_lines long")
     return out.withColumnRenamed("id", id_col)
 
 
 def keep_good(df: DataFrame, model: LineModel | None, text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows of ``df``, all columns, whose text scores ``least`` or more."""
-    key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    bad = score(df.select(key.alias("key"), F.col(text_col).alias("text")), model, "key").where(F.col("score") < least).select("key").distinct()
-    return df.select(F.struct(*df.columns).alias("row"), key.alias("key")).join(bad, "key", "left_anti").select("row.*")
+    """The rows of ``df``, all columns, whose text scores ``least`` or more. Nothing is shuffled."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield part.filter(pa.array(text_scores(sent.value, part.column(text_col))[0] >= least))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def held_out(id_col: str = "doc_id"):

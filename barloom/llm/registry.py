@@ -1,6 +1,7 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
 from .avi_media import op3_avi_media
+from .chat_format import op1_chat_format
 from .decontaminate import op4_decontamination
 from .html_text import op5_html_text
 from .language_id import op9_language_id
@@ -11,6 +12,7 @@ from .quality import op8_quality
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_avi_media": op3_avi_media,
     "op4_decontamination": op4_decontamination,

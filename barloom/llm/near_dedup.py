@@ -11,10 +11,11 @@ similarity. Sets with an empty coordinate go on to later ranks.
 
 Candidates: ``bands`` keys of ``rows`` coordinates each. With 36 x 7 a pair of similarity 0.8 shares a key with
 probability 0.9998, one of 0.5 with 0.25. Exact copies are merged first, by their text's digest. In each bucket
-every member is compared with the bucket's pivot; then, for members that aren't in the pivot's component,
-with every member of other components of the bucket, so each candidate pair of a bucket is either
-compared or already joined. A pair is first weighed by its signatures (dropped if they say at least 4.5
-standard errors less than the threshold), then verified exactly from both texts.
+every member is compared with the bucket's pivot, the member that meets most others. Then, where members are
+left in other components than the pivot's, all pairs of different components are weighed by their signatures,
+block against block of at most ``BLOCK`` members inside a task, so that a large bucket spreads over tasks and no pair is
+emitted but the likely ones. So each candidate pair of a bucket is either compared or already joined. Weighing drops pairs whose
+signatures say at least 4.5 standard errors less than the threshold; the others are verified exactly from both texts.
 
 Null texts are near nobody: each such row is a class by itself (its id; null ids together). Texts without words
 are equal to the same text only. Ties: a class is named by its least id. Rows may repeat; other columns are not read.
@@ -23,7 +24,7 @@ are equal to the same text only. Ties: a class is named by its least id. Rows ma
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log, sqrt
+from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from ._components import components
 from ._shared import Workspace
 from ._words import U, doubled, mix, slices, split, utf8, word_hashes
 
+BLOCK = 512
 _END = U(0xB5AD4ECEDA1CE2A9)
 _GOLD = U(0x9E3779B97F4A7C15)
 
@@ -132,23 +134,78 @@ def _sketches(texts: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
     return texts.mapInArrow(run, "tid binary, keys array<long>, low binary, weight long")
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float, k: int, size: int, work: Workspace) -> DataFrame:
-    """The pairs (a, b) whose texts' similarity reaches the threshold, with it."""
-    # of the low bytes, one in 256 agrees by chance; 4.5 standard errors of k coordinates below the threshold
-    least = threshold - 4.5 * sqrt(threshold * (1 - threshold) / k)
+def _least_alike(threshold: float, k: int) -> float:
+    return threshold - 4.5 * sqrt(threshold * (1 - threshold) / k)
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float, k: int) -> DataFrame:
+    """The pairs (a, b) that their signatures and weights don't rule out."""
+    least = _least_alike(threshold, k)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, k) for c in ("la", "lb"))
-                alike = ((x == y).mean(axis=1) - 1 / 256) * 256 / 255
+                alike = ((x == y).mean(axis=1) - 1 / 256) * 256 / 255  # one low byte in 256 agrees by chance
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(alike >= least))
 
     side = lambda c: sketches.select(F.col("tid").alias(c), F.col("low").alias(f"l{c}"), F.col("weight").alias(f"w{c}"))
     weighed = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("wa", "wb") >= F.greatest("wa", "wb") * threshold)
-    likely = work.write(weighed.select("a", "b", "la", "lb").mapInArrow(weigh, "a binary, b binary"), "likely")
+    return weighed.select("a", "b", "la", "lb").mapInArrow(weigh, "a binary, b binary")
+
+
+def _left_open(mixed: DataFrame, threshold: float, k: int, rows: int) -> DataFrame:
+    """Likely pairs (a, b) of different labels in the buckets of ``mixed`` (key, band, n members, tid, label, low, weight). A pair that
+    shares several buckets comes from that of the first band alone."""
+    least = _least_alike(threshold, k)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    dealt = mixed.withColumn("blocks", blocks).withColumn("own", own).withColumn("meet", F.explode(meets))
+    # blocks stand together: a task reads one after another
+    dealt = dealt.select("key", "band", "meet", "own", "tid", "label", "low", "weight").repartition("key", "meet").sortWithinPartitions("key", "meet")
+
+    def compare(group: list[dict]) -> Iterator[tuple[bytes, bytes]]:
+        i, j, band = group[0]["meet"]["i"], group[0]["meet"]["j"], group[0]["band"]
+        left = [r for r in group if r["own"] == i]
+        right = left if i == j else [r for r in group if r["own"] == j]
+        if not left or not right:
+            return
+        names = {label: n for n, label in enumerate({r["label"] for r in group})}
+        x, y = (np.frombuffer(b"".join(r["low"] for r in side), np.uint8).reshape(-1, k) for side in (left, right))
+        lx, ly = (np.array([names[r["label"]] for r in side]) for side in (left, right))
+        wx, wy = (np.array([r["weight"] for r in side]) for side in (left, right))
+        for m in range(len(left)):
+            same = x[m] == y
+            alike = (same.mean(axis=1) - 1 / 256) * 256 / 255
+            earlier = same[:, : band * rows].reshape(len(y), band, rows).all(axis=2).any(axis=1)
+            good = (alike >= least) & ~earlier & (lx[m] != ly) & (np.minimum(wx[m], wy) >= np.maximum(wx[m], wy) * threshold)
+            for q in np.flatnonzero(good):
+                a, b = left[m]["tid"], right[q]["tid"]
+                if i != j or a < b:
+                    yield min(a, b), max(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[dict] = []
+        for batch in batches:
+            found = []
+            for r in batch.to_pylist():
+                if group and (r["key"], r["meet"]) != (group[0]["key"], group[0]["meet"]):
+                    found += compare(group)
+                    group = []
+                group.append(r)
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+        if group:
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in compare(group)], pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _verified(likely: DataFrame, texts: DataFrame, threshold: float, size: int, work: Workspace) -> DataFrame:
+    """The pairs (a, b) whose texts' similarity reaches the threshold, with it."""
     named = likely.select(F.col("a").alias("tid")).union(likely.select("b")).distinct()
-    needed = work.write(texts.join(named, "tid", "left_semi").dropDuplicates(["tid"]), "texts")
+    # merge joins whatever the size, so that a run's needs follow its input
+    needed = work.write(texts.join(named.hint("merge"), "tid", "left_semi").dropDuplicates(["tid"]), "texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +221,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, threshold
                 out = pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(similarity)], names=["a", "b", "similarity"])
                 yield out.filter(pa.array(similarity >= threshold))
 
-    text = lambda c: needed.select(F.col("tid").alias(c), F.col("text").alias(f"t{c}"))
+    text = lambda c: needed.select(F.col("tid").alias(c), F.col("text").alias(f"t{c}")).hint("merge")
     return work.write(likely.join(text("a"), "a").join(text("b"), "b").mapInArrow(compare, "a binary, b binary, similarity double"), "links")
 
 
@@ -175,28 +232,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows_in = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("tid", F.unhex(F.md5("text")))
     texts = rows_in.where("tid is not null").select("tid", "text")
     sketches = work.write(_sketches(texts, bands, rows, size).dropDuplicates(["tid"]), "sketches")
-    members = sketches.select("tid", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("pivot")).where("n > 1").select("key", "pivot")
-    crowded = work.write(members.join(buckets, "key"), "crowded")
-    stars = crowded.where("tid <> pivot").select(F.col("pivot").alias("a"), F.col("tid").alias("b")).distinct()
-    stars = work.write(stars, "pairs")
-    verify = lambda pairs: _verified(pairs, sketches, texts, threshold, bands * rows, size, work)
-    links = verify(stars)
+    members = sketches.select("tid", F.posexplode("keys").alias("band", "key"))
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = work.write(members.join(buckets.hint("merge"), "key"), "crowded")
+    # the text that meets most others stands in the middle of its copies
+    met = crowded.groupBy("tid").agg(F.sum("n").alias("met"))
+    middle = crowded.join(met.hint("merge"), "tid").groupBy("key").agg(F.max(F.struct("met", "tid")).alias("middle")).select("key", F.col("middle.tid").alias("pivot"))
+    plain, crowded = crowded, work.write(crowded.join(middle.hint("merge"), "key"), "crowded")
+    work.drop(plain)
+    stars = crowded.where("tid <> pivot").select(F.least("pivot", "tid").alias("a"), F.greatest("pivot", "tid").alias("b")).distinct()
+    k = bands * rows
+    links = _verified(work.write(_likely(stars, sketches, threshold, k), "likely"), texts, threshold, size, work)
     found = components(links.select("a", "b"), work)
-    # what the pivots left open: members of a bucket in other components than its pivot's
-    name = lambda column, label: found.select(F.col("node").alias(column), F.col("root").alias(label))
-    labelled = crowded.join(name("tid", "root"), "tid", "left").join(name("pivot", "proot"), "pivot", "left")
-    labelled = labelled.select("key", "tid", "pivot", F.coalesce("root", "tid").alias("label"), F.coalesce("proot", "pivot").alias("home"))
-    labelled = work.write(labelled, "labelled")
-    # buckets of two have no more than the pair that was compared
-    of_key = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("label <> home")).alias("outside")).where("n > 2 and outside > 0").select("key")
-    mixed = labelled.join(of_key, "key")
-    outside = mixed.where("label <> home").select("key", F.col("tid").alias("x"), F.col("label").alias("lx"))
-    more = outside.join(mixed.select("key", F.col("tid").alias("y"), F.col("label").alias("ly"), "pivot"), "key").where("lx <> ly and y <> pivot")
-    more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = work.write(more.join(stars, ["a", "b"], "left_anti"), "pairs")
+    # what the pivots left open; a bucket of two has no more than the pair that was compared
+    label = lambda column, name: found.select(F.col("node").alias(column), F.col("root").alias(name))
+    labelled = crowded.where("n > 2").join(label("tid", "root"), "tid", "left").join(label("pivot", "home"), "pivot", "left")
+    labelled = work.write(labelled.select("key", "band", "n", "tid", F.coalesce("root", "tid").alias("label"), F.coalesce("home", "pivot").alias("home")), "labelled")
+    several = labelled.where("label <> home").select("key").distinct()
+    mixed = labelled.join(several, "key", "left_semi").join(sketches.select("tid", "low", "weight"), "tid")
+    more = work.write(_left_open(mixed, threshold, k, rows).join(links, ["a", "b"], "left_anti"), "likely")
     if not more.isEmpty():
-        found = components(links.select("a", "b").union(verify(more).select("a", "b")), work)
+        found = components(links.select("a", "b").union(_verified(more, texts, threshold, size, work).select("a", "b")), work)
     firsts = rows_in.where("tid is not null").groupBy("tid").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
     placed = work.write(firsts.join(found.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid")), "placed")
     classes = placed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("last"), "first", "tid")).alias("head"))

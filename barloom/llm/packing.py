@@ -33,6 +33,8 @@ from ._shared import Workspace
 
 #: What the vocabulary's pre-tokenizer takes as white space; tokens never cross it.
 _CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
+#: Letters whose small form is one precomposed character, then ASCII marks but the apostrophe (contractions are tokens).
+_LETTERS_AND_MARKS = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 _CACHE_WORDS = 400_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -47,16 +49,30 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > _CACHE_WORDS:
             self.known.clear()
         known, runs = self.known, [_CHUNK.findall(t) for t in texts]
-        new = list({w for words in runs for w in words if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.asarray(e.ids, "<u4").tobytes()
+        self._learn({w for words in runs for w in words if w not in known})
         return [b"".join(map(known.__getitem__, words)) for words in runs]
 
+    def _learn(self, words: set[str]) -> None:
+        """A run of small letters and the marks after it are tokens by themselves, so most new runs are put together of known parts."""
+        if len(self.parts) > _CACHE_WORDS:
+            self.parts = {"": b""}
+        split, new = {}, set()
+        for w in words:
+            m = _LETTERS_AND_MARKS.fullmatch(w.lower())
+            split[w] = own = m.groups() if m else (w,)
+            new.update(own)
+        new = list(new.difference(self.parts))
+        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.parts[part] = np.asarray(e.ids, "<u4").tobytes()
+        for w, own in split.items():
+            self.known[w] = b"".join([self.parts[x] for x in own])
+
 
 def encoder(path: str) -> Encoder:
     """One for each Python worker and vocabulary."""

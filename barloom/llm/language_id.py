@@ -100,7 +100,7 @@ def score_batch(model: LanguageModel, texts: pa.Array, memo: dict[bytes, np.ndar
     at = np.minimum(np.searchsorted(model.word_keys, keys), len(model.word_keys) - 1)
     known = model.word_keys[at] == keys
     hits, of = model.word_scores[at[known]], row[known]
-    total = np.stack([np.bincount(of, hits[:, j], n) for j in range(k)], axis=1)
+    total = np.stack([np.bincount(of, hits[:, j], n).astype(float) for j in range(k)], axis=1)
     if len(memo) > _MEMO:
         memo.clear()
     raw = data.tobytes()

@@ -45,13 +45,13 @@ def candidate_trades(touched: DataFrame, signals: DataFrame, tp: list[float], sl
     held = F.least(F.col("sell_after"), F.col("n") - 1 - F.col("idx")).cast("int")
     rows = rows.withColumns({"held": held, "_t": F.element_at("tp_at", nth("tp", tp)), "_s": F.element_at("sl_at", nth("sl", sl))})
     rows = rows.withColumns({"_t": F.when(F.col("_t") <= F.col("held"), F.col("_t")), "_s": F.when(F.col("_s") <= F.col("held"), F.col("_s"))})
-    bar = F.element_at("ahead", F.col("_t").cast("int"))
+    bar = F.try_element_at("ahead", F.col("_t").cast("int"))
     profit_first = F.coalesce(bar["high_time"] <= bar["low_time"], F.lit(False))
     takes = F.col("_t").isNotNull() & (F.col("_s").isNull() | (F.col("_t") < F.col("_s")) | ((F.col("_t") == F.col("_s")) & profit_first))
     reason = F.when(takes, "TP").when(F.col("_s").isNotNull(), "SL").otherwise("SELL_AFTER")
     rows = rows.withColumn("exit_reason", reason)
     offset = F.when(F.col("exit_reason") == "TP", F.col("_t")).when(F.col("exit_reason") == "SL", F.col("_s")).otherwise(F.col("held")).cast("int")
-    rows = rows.withColumn("offset", offset).withColumn("_exit", F.when(F.col("offset") > 0, F.element_at("ahead", F.when(F.col("offset") > 0, F.col("offset")).otherwise(1))))
+    rows = rows.withColumn("offset", offset).withColumn("_exit", F.when(F.col("offset") > 0, F.try_element_at("ahead", F.when(F.col("offset") > 0, F.col("offset")).otherwise(1))))
     price = (
         F.when(F.col("exit_reason") == "TP", F.col("close") * (1 + F.col("tp") / 100))
         .when(F.col("exit_reason") == "SL", F.col("close") * (1 - F.col("sl") / 100))

@@ -58,7 +58,7 @@ def timeline(bars: DataFrame) -> DataFrame:
 
 def closes_on_timeline(bars: DataFrame, line: DataFrame) -> DataFrame:
     """(symbol, ord, price): the last close at each time of the line, before a symbol's first bar its first close."""
-    grid = bars.select("symbol").distinct().crossJoin(F.broadcast(line))
+    grid = bars.select("symbol").distinct().crossJoin(line)
     order = Window.partitionBy("symbol").orderBy("ord")
     filled = grid.join(bars.select("symbol", "ts", "close"), ["symbol", "ts"], "left").withColumn("held", F.last("close", ignorenulls=True).over(order))
     return filled.select("symbol", "ord", F.coalesce("held", F.first("close", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("price"))

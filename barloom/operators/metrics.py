@@ -47,7 +47,7 @@ def grid_results(combos: DataFrame, trades: DataFrame, equity: DataFrame, initia
 def symbol_equity(trades: DataFrame, line: DataFrame, initial: float) -> DataFrame:
     """Realised equity of each (combo, symbol) at every time of the line."""
     done = trades.where("closed").groupBy("combo_id", "symbol", F.col("close_ord").alias("ord")).agg(F.sum("profit").alias("profit"))
-    grid = trades.select("combo_id", "symbol").distinct().crossJoin(F.broadcast(line))
+    grid = trades.select("combo_id", "symbol").distinct().crossJoin(line)
     run = Window.partitionBy("combo_id", "symbol").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(done, ["combo_id", "symbol", "ord"], "left").select("combo_id", "symbol", "ord", "ts", (F.lit(initial) + F.sum(F.coalesce("profit", F.lit(0.0))).over(run)).alias("balance"))
 

@@ -36,8 +36,8 @@ def walk(buy: np.ndarray, out: np.ndarray, cost: np.ndarray, back: np.ndarray, c
 def portfolio_trades(candidates: DataFrame, line: DataFrame, initial: float, order: float, keys: tuple[str, ...] = ("combo_id",)) -> DataFrame:
     """The candidates that are taken, with ``buy_ord``, ``close_ord`` (times of the line), ``seq`` (order of entry) and ``closed`` (false if the line ends first)."""
     end = line.agg(F.max("ord").alias("_end"))
-    rows = candidates.join(F.broadcast(line.select(F.col("ts").alias("buy_time"), F.col("ord").alias("buy_ord"))), "buy_time")
-    rows = rows.join(F.broadcast(line.select(F.col("ts").alias("sell_time"), F.col("ord").alias("sell_ord"))), "sell_time").crossJoin(F.broadcast(end))
+    rows = candidates.join(line.select(F.col("ts").alias("buy_time"), F.col("ord").alias("buy_ord")), "buy_time")
+    rows = rows.join(line.select(F.col("ts").alias("sell_time"), F.col("ord").alias("sell_ord")), "sell_time").crossJoin(F.broadcast(end))
     slim = rows.select(*keys, "symbol", "buy_ord", "sell_ord", "_end", (F.lit(order) + F.col("commission_buy")).alias("cost"), (F.col("qty") * F.col("sell_price") - F.col("commission_sell")).alias("back"))
 
     def gate(group: pd.DataFrame) -> pd.DataFrame:
@@ -65,7 +65,7 @@ def equity_curve(trades: DataFrame, prices: DataFrame, line: DataFrame, combos:
     held = open_.join(prices, ["symbol", "ord"]).select(*keys, "ord", (F.col("qty") * F.col("price")).alias("value"))
     moves = flows.groupBy(*keys, "ord").agg(F.sum("flow").alias("flow"))
     values = held.groupBy(*keys, "ord").agg(F.sum("value").alias("value"))
-    grid = combos.select(*keys).crossJoin(F.broadcast(line))
+    grid = combos.select(*keys).crossJoin(line)
     run = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     rows = grid.join(moves, [*keys, "ord"], "left").join(values, [*keys, "ord"], "left")
     balance = F.lit(initial) + F.sum(F.coalesce("flow", F.lit(0.0))).over(run) + F.coalesce("value", F.lit(0.0))

@@ -43,7 +43,7 @@ def window_table(counts: DataFrame, train: int, pct_train: float, anchored: bool
 def rows_of_windows(bars: DataFrame, windows: DataFrame, part: str = "train") -> DataFrame:
     """Bars of each window's part, numbered from 0, with the part's own ``n``; symbols become one for each (window, symbol) in ``series``."""
     a, b = ("t0", "t1") if part == "train" else ("test0", "test1")
-    joined = bars.drop("n").join(F.broadcast(windows), "symbol").where(f"idx >= {a} and idx < {b}")
+    joined = bars.drop("n").join(windows, "symbol").where(f"idx >= {a} and idx < {b}")
     return joined.withColumns({"idx": F.col("idx") - F.col(a), "n": F.col(b) - F.col(a)}).drop("t0", "t1", "test0", "test1")
 
 

@@ -21,7 +21,6 @@ and text count as separate occurrences and get the same result. Other columns of
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import reduce
 

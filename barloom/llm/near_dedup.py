@@ -257,7 +257,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = work.write(firsts.join(found.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid")), "placed")
     classes = placed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("last"), "first", "tid")).alias("head"))
     named = placed.join(classes, "root").select("tid", F.col("head.first").alias("class_id"), F.col("head.tid").alias("class_tid"))
-    out = rows_in.select("id", "tid").join(named, "tid", "left").withColumn("class_id", F.when(F.col("tid").isNull(), F.col("id")).otherwise(F.col("class_id")))
+    out = rows_in.select("id", "tid").join(named.hint("merge"), "tid", "left").withColumn("class_id", F.when(F.col("tid").isNull(), F.col("id")).otherwise(F.col("class_id")))
     return out.select(F.col("id").alias(id_col), "class_id", "tid", "class_tid")
 
 
@@ -267,7 +267,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = near_duplicates(df, id_col, text_col, **settings).where("tid is not null")
     counted = classes.groupBy("tid").agg(F.first("class_id").alias("class_id"), F.first("class_tid").alias("class_tid"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(id_col).eqNullSafe(F.col("class_id"))).alias("heads"))
     losing = work.write(counted.where((F.col("tid") != F.col("class_tid")) | (F.col("rows") > 1)), "losing")
-    tagged = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col))).alias("tid")).join(losing, "tid", "left")
+    tagged = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col))).alias("tid")).join(losing.hint("merge"), "tid", "left")
     stays = F.col("class_tid").isNull() | ((F.col("tid") == F.col("class_tid")) & F.col("id").eqNullSafe(F.col("class_id")))
     tagged = tagged.where(stays)
     # several rows with the same id and text: any one of them stays

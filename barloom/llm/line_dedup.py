@@ -8,7 +8,9 @@ its definition (a page has each distinct line once, so at most mean distinct lin
 
 Null hosts form one host of their own. A null text stays null and counts as a page without lines; an empty text has
 one empty line. Blank lines are never dropped. A page whose lines are all dropped becomes an empty text. Repeated rows
-count as pages each. Other columns are carried along, also ones named like those in here.
+count as pages each, unless ``copies_once`` is set: then the pages of a host are its distinct texts (null is one), both
+in a line's count and in the total, so that a text repeated often doesn't turn its own lines into boilerplate.
+Other columns are carried along, also ones named like those in here.
 """
 
 from __future__ import annotations
@@ -21,19 +23,21 @@ def _line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
 
-def site_boilerplate(df: DataFrame, host: Column, text: Column, ratio: float, min_pages: int) -> DataFrame:
+def site_boilerplate(df: DataFrame, host: Column, text: Column, ratio: float, min_pages: int, copies_once: bool = False) -> DataFrame:
     """(host, lines): the keys of each host's boilerplate lines, for hosts that have any."""
-    pages = df.select(host.alias("host"), text.alias("text"))
+    keys = F.array_distinct(F.transform(F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != ""), _line_key))
+    pages = df.select(host.alias("host"), text.alias("text"), keys.alias("keys"))
+    if copies_once:  # by digest and with line keys, so that no text is shuffled
+        pages = pages.select("host", F.unhex(F.md5("text")).alias("digest"), "keys").dropDuplicates(["host", "digest"])
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    keys = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), _line_key))
-    counts = pages.select("host", F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    counts = pages.select("host", F.explode("keys").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     often = counts.join(totals.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > ratio * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_site_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.01, min_pages: int = 5) -> DataFrame:
+def drop_site_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.01, min_pages: int = 5, copies_once: bool = False) -> DataFrame:
     """``df`` with the boilerplate lines of each host taken out of ``text_col``; all its columns and rows stay."""
-    found = site_boilerplate(df, F.col(host_col), F.col(text_col), ratio, min_pages)
+    found = site_boilerplate(df, F.col(host_col), F.col(text_col), ratio, min_pages, copies_once)
     rows = df.select(F.struct(*df.columns).alias("row"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     joined = rows.join(found.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("lines", _line_key(x))), "\n")

@@ -258,6 +258,16 @@ def test_op7_sql(spark):
     assert got == sorted(con.execute(line_dedup.OP7_SQL).fetchall())
 
 
+def test_op7_sql_where_lines_go(spark, tmp_path):
+    rows = [(i, f"menu\nown {i}\n\nfoot {i % 3}", "s" if i % 2 else None) for i in range(60)] + [(100 + i, "a copied\ntext", "s") for i in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in line_dedup.op7_line_dedup(spark, f"file://{tmp_path}").collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(line_dedup.OP7_SQL).fetchall())
+    assert sum(r[2] for r in got) < sum(len(r[1]) for r in rows) / 2
+
+
 # ---- quality
 
 

@@ -29,3 +29,15 @@ def test_stages(spark, tmp_path):
                 assert (r["doc_id"] in gone) >= any(t in decontaminate.normalized(r["text"]) for t in texts)
     assert {r[0] for r in docs.select("doc_id").distinct().collect()} == {r[0] for r in before.select("doc_id").collect()}
     assert corpus_pipeline.run(spark, D).count() == docs.count()
+
+
+def test_one_whole_copy_of_a_repeated_document_stays(spark):
+    copied = "\n".join(f"line {i} of a text that many pages repeat" for i in range(12))
+    rows = [(i, copied, "en", "s", len(copied)) for i in range(50)]
+    rows += [(100 + i, f"menu\nown words {i * 7919} of page {i} and of no other {i * 104729}", "en", "s", 9) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.line_stage, corpus_pipeline.near_duplicate_stage, corpus_pipeline.decontamination_stage):
+        docs = stage(spark, docs, D)
+    got = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert got.pop(0) == copied
+    assert len(got) == 100 and all(t.startswith("own words") for t in got.values())

@@ -154,16 +154,16 @@ def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float, k: int) ->
     return weighed.select("a", "b", "la", "lb").mapInArrow(weigh, "a binary, b binary")
 
 
-def _left_open(mixed: DataFrame, threshold: float, k: int, rows: int) -> DataFrame:
-    """Likely pairs (a, b) of different labels in the buckets of ``mixed`` (key, band, n members, tid, label, low, weight). A pair that
-    shares several buckets comes from that of the first band alone."""
+def _left_open(mixed: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Likely pairs (a, b) of different labels in the buckets of ``mixed`` (key, band, n members, tid, label, keys, low, weight). A pair that
+    shares several buckets, so the whole keys of their bands, comes from that of the first band alone."""
     least = _least_alike(threshold, k)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     dealt = mixed.withColumn("blocks", blocks).withColumn("own", own).withColumn("meet", F.explode(meets))
     # blocks stand together: a task reads one after another
-    dealt = dealt.select("key", "band", "meet", "own", "tid", "label", "low", "weight").repartition("key", "meet").sortWithinPartitions("key", "meet")
+    dealt = dealt.select("key", "band", "meet", "own", "tid", "label", F.slice("keys", 1, F.col("band")).alias("before"), "low", "weight").repartition("key", "meet").sortWithinPartitions("key", "meet")
 
     def compare(group: list[dict]) -> Iterator[tuple[bytes, bytes]]:
         i, j, band = group[0]["meet"]["i"], group[0]["meet"]["j"], group[0]["band"]
@@ -173,12 +173,12 @@ def _left_open(mixed: DataFrame, threshold: float, k: int, rows: int) -> DataFra
             return
         names = {label: n for n, label in enumerate({r["label"] for r in group})}
         x, y = (np.frombuffer(b"".join(r["low"] for r in side), np.uint8).reshape(-1, k) for side in (left, right))
+        kx, ky = (np.array([r["before"] for r in side], np.int64).reshape(len(side), band) for side in (left, right))
         lx, ly = (np.array([names[r["label"]] for r in side]) for side in (left, right))
         wx, wy = (np.array([r["weight"] for r in side]) for side in (left, right))
         for m in range(len(left)):
-            same = x[m] == y
-            alike = (same.mean(axis=1) - 1 / 256) * 256 / 255
-            earlier = same[:, : band * rows].reshape(len(y), band, rows).all(axis=2).any(axis=1)
+            alike = ((x[m] == y).mean(axis=1) - 1 / 256) * 256 / 255
+            earlier = (kx[m] == ky).any(axis=1)
             good = (alike >= least) & ~earlier & (lx[m] != ly) & (np.minimum(wx[m], wy) >= np.maximum(wx[m], wy) * threshold)
             for q in np.flatnonzero(good):
                 a, b = left[m]["tid"], right[q]["tid"]
@@ -249,8 +249,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labelled = crowded.where("n > 2").join(label("tid", "root"), "tid", "left").join(label("pivot", "home"), "pivot", "left")
     labelled = work.write(labelled.select("key", "band", "n", "tid", F.coalesce("root", "tid").alias("label"), F.coalesce("home", "pivot").alias("home")), "labelled")
     several = labelled.where("label <> home").select("key").distinct()
-    mixed = labelled.join(several, "key", "left_semi").join(sketches.select("tid", "low", "weight"), "tid")
-    more = work.write(_left_open(mixed, threshold, k, rows).join(links, ["a", "b"], "left_anti"), "likely")
+    mixed = labelled.join(several, "key", "left_semi").join(sketches.select("tid", "keys", "low", "weight"), "tid")
+    more = work.write(_left_open(mixed, threshold, k).join(links, ["a", "b"], "left_anti"), "likely")
     if not more.isEmpty():
         found = components(links.select("a", "b").union(_verified(more, texts, threshold, size, work).select("a", "b")), work)
     firsts = rows_in.where("tid is not null").groupBy("tid").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))

@@ -389,6 +389,17 @@ def test_signatures_estimate_similarity():
     assert (s[2] != 0).all() and (s[0] != s[2]).all()
 
 
+def test_low_bytes_that_agree_are_no_shared_bucket(spark):
+    """Each pair comes once, from the first band whose whole keys agree."""
+    low = bytes(range(252))
+    keys = {b"a": [1, 5, 7], b"b": [2, 5, 7], b"c": [3, 6, 7]}
+    rows = [(k, band, 3, tid, tid, own, low, 100) for tid, own in keys.items() for band, k in enumerate(own)]
+    mixed = spark.createDataFrame(rows, "key long, band int, n long, tid binary, label binary, keys array<long>, low binary, weight long")
+    for part, want in ((mixed, ["ab", "ac", "bc"]), (mixed.where("band = 1"), ["ab"]), (mixed.where("band = 2"), ["ac", "bc"])):
+        found = near_dedup._left_open(part, 0.8, 252).collect()
+        assert sorted(bytes(r["a"] + r["b"]).decode() for r in found) == want
+
+
 # ---- chats
 
 

@@ -17,10 +17,10 @@ def log_returns(bars: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.where("r is not null").select(*keys, "nth", "r")
 
 
-def last_points(returns: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Each series' last ``n`` points, counted anew."""
+def last_points(returns: DataFrame, keys: list[str]) -> DataFrame:
+    """Each series' last points, as many as its column ``n`` says, counted anew."""
     w = Window.partitionBy(*keys).orderBy(F.desc("nth"))
-    return returns.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).withColumn("nth", (F.lit(n) - F.col("_k")).cast("long")).drop("_k")
+    return returns.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= F.col("n")).withColumn("nth", (F.col("n") - F.col("_k")).cast("long")).drop("_k")
 
 
 def moments(returns: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,19 +59,25 @@ def closeness(a: Column, b: Column) -> Column:
 
 
 def similarity(history: DataFrame, paths: DataFrame, keys: list[str], lags: int = 50) -> DataFrame:
-    """(keys, a score for each part, total). ``keys`` of paths begin with symbol, the key of history; both sides keep their last points, as many as the shorter has."""
+    """(keys, a score for each part, total). ``keys`` of paths begin with symbol, the key of history. For each key both sides keep their
+    last points, as many as the shortest of the symbol's history and the key's own paths has; under two there is no score."""
     size = lambda df, by: df.groupBy(*by).agg((F.max("nth") + 1).alias("n"))
-    shorter = min(size(history, ["symbol"]).agg(F.min("n")).first()[0] or 0, size(paths, [*keys, "path_index"]).agg(F.min("n")).first()[0] or 0)
-    history, paths = last_points(history, ["symbol"], shorter), last_points(paths, [*keys, "path_index"], shorter)
-    h = moments(history, ["symbol"]).select("symbol", *(F.col(c).alias(f"h_{c}") for c in ("mean", "std", "skew", "kurt")))
-    p = moments(paths, [*keys, "path_index"]).groupBy(*keys).agg(*(F.avg(c).alias(c) for c in ("mean", "std", "skew", "kurt")))
+    least = size(paths, [*keys, "path_index"]).groupBy(*keys).agg(F.min("n").alias("p"))
+    sizes = least.join(size(history, ["symbol"]), "symbol").select(*keys, F.least("n", "p").alias("n")).where("n > 1")
+    # a history is cut once for each of its lengths
+    once = ["symbol", "n"]
+    history = last_points(history.join(sizes.select(*once).distinct(), "symbol"), once)
+    paths = last_points(paths.join(sizes, keys), [*keys, "path_index"])
+    by = [*keys, "n"]
+    h = moments(history, once).select(*once, *(F.col(c).alias(f"h_{c}") for c in ("mean", "std", "skew", "kurt")))
+    p = moments(paths, [*by, "path_index"]).groupBy(*by).agg(*(F.avg(c).alias(c) for c in ("mean", "std", "skew", "kurt")))
     mean = 100 * F.greatest(F.lit(0.0), 1 - F.abs(F.col("h_mean") - F.col("mean")) / (F.abs(F.col("h_std")) + 1e-12))
-    scored = p.join(h, "symbol").select(*keys, mean.alias("mean"), *(closeness(F.col(f"h_{c}"), F.col(c)).alias(c) for c in ("std", "skew", "kurt")))
-    ha = autocorrelation(history, ["symbol"], lags).withColumnRenamed("acf", "h")
-    pa = autocorrelation(paths, [*keys, "path_index"], lags).groupBy(*keys, "lag").agg(F.avg("acf").alias("p"))
+    scored = p.join(h, once).select(*keys, mean.alias("mean"), *(closeness(F.col(f"h_{c}"), F.col(c)).alias(c) for c in ("std", "skew", "kurt")))
+    ha = autocorrelation(history, once, lags).withColumnRenamed("acf", "h")
+    pa = autocorrelation(paths, [*by, "path_index"], lags).groupBy(*by, "lag").agg(F.avg("acf").alias("p"))
     off, size_h = F.sqrt(F.sum(F.pow(F.col("h") - F.col("p"), 2))), F.sqrt(F.sum(F.pow("h", F.lit(2))))
-    acf = pa.join(ha, ["symbol", "lag"]).groupBy(*keys).agg(F.when(size_h > 0, F.greatest(F.lit(0.0), 100 * (1 - off / (size_h + 1e-12)))).otherwise(0.0).alias("acf"))
-    by_path = paths.select(*keys, "path_index").distinct().join(history.select("symbol", "r"), "symbol")
+    acf = pa.join(ha, [*once, "lag"]).groupBy(*keys).agg(F.when(size_h > 0, F.greatest(F.lit(0.0), 100 * (1 - off / (size_h + 1e-12)))).otherwise(0.0).alias("acf"))
+    by_path = paths.select(*by, "path_index").distinct().join(history.select(*once, "r"), once)
     d = distribution_distance(by_path, paths, [*keys, "path_index"])
     limit = d.groupBy(*keys).agg(F.percentile("wasserstein", F.lit(0.95)).alias("p95"))
     share = F.when(F.col("p95") > 0, F.least(F.col("wasserstein") / F.when(F.col("p95") > 0, F.col("p95")), F.lit(1.0))).otherwise(0.0)

@@ -2,7 +2,9 @@
 
 Markup is stripped to lines: one for each block, and ``GAP`` empty lines where an element that isn't article text was taken
 out (navigation, headers, footers, sidebars, forms, scripts, and elements whose class, id or role says notice, advert, menu, comments
-and the like). A line's weight is its text outside links. Sums over sliding windows of ``window`` lines give the distribution: it
+and the like, as a whole token or a compound of nothing but layout words). Layout that holds most of the page's text outside links
+stays (headers, sidebars, forms; adverts, replies and the like only if nothing else is left), and so does any furniture around the page's
+only ``article`` or ``main``. A line's weight is its text outside links. Sums over sliding windows of ``window`` lines give the distribution: it
 surges where a sum becomes positive and dives where sums fall to zero again, so a stretch between surge and dive is a run of lines with
 no gap as wide as the window. A stretch in the page's ``article`` or ``main`` element is kept if the page has one; else stretches with at
 least ``share`` of the weight of the heaviest stretch, unless most of their text is links. Kept lines come whole, in page order, joined by a newline;
@@ -16,7 +18,10 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,54 +36,92 @@ _ENDS_P = _BLOCK - frozenset("td th tr tbody thead tfoot li dt dd option caption
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table div section article main body aside nav".split())
 
-_DROP = frozenset("head nav header footer aside form menu dialog button select svg math canvas object audio video figure search".split()) | _RAW
+_DROP = frozenset("head nav header footer aside form menu dialog button select svg canvas object audio video search".split()) | _RAW
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 _DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox adblock banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars side aside widget widgets footer header masthead "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended trending toolbar pagination pager comment comments commentlist disqus respond replies reply discussion form search disclaimer copyright".split()
 )
+#: What may stand around a whole text, of the above.
+_AROUND = frozenset("header aside form search".split())
+_AROUND_WORDS = frozenset("nav navbar navigation menu sidebar sidebars side aside widget widgets footer header masthead modal overlay popup toolbar form search".split())
+#: Words of ordinary headings too: an id is often the anchor of one.
+_PROSE = frozenset("side related recommended trending notice notices alert consent promotion social share sharing search form disclaimer copyright comment replies reply discussion header subscription login signup overlay navigation advertising cookie cookies".split())
+#: What layout words are compounded with.
+_PLACES = frozenset("site page main top bottom left right center global primary secondary mobile desktop blog reader readers user users post inner outer container wrap wrapper box bar area list item items link links block slot unit group panel row col column inline sticky fixed floating google email button buttons icon icons posts".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ANCHORED = _HEADINGS | frozenset("p li dt dd pre blockquote figure figcaption table tr td th span a code em strong b i".split())
+_MAIN = re.compile(r"<(?:article|main)\b", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
 GAP = 4
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
-    if tag in _DROP:
+class Line(NamedTuple):
+    text: str  # empty in gaps
+    linked: int  # characters in links, but spaces
+    inside: bool  # in an article or main element
+    place: int  # where its text ends, or the gap starts, in the page
+
+    @property
+    def weight(self) -> int:
+        """Characters outside links, but spaces."""
+        return max(0, len(self.text.replace(" ", "")) - self.linked)
+
+
+def _says(token: str, words: frozenset[str]) -> bool:
+    """Whether a class or id token is one of the words, or a compound of one with layout words alone."""
+    if token in words:
         return True
+    parts = [x for x in re.split(r"[-_]+", token) if x]
+    return len(parts) > 1 and any(x in words for x in parts) and all(x in _DROP_WORDS or x in _PLACES or re.fullmatch(r"[\dx]+", x) for x in parts)
+
+
+def _unwanted(tag: str, attributes: str) -> str:
+    """Why an element isn't article text: layout, extra or never; empty if it may be."""
+    why = "layout" if tag in _AROUND else "never" if tag in _DROP else ""
     if tag in ("html", "body", "article", "main") or not attributes.strip():
-        return False
+        return why
     if re.search(r"(?:^|\s)hidden(?=[\s/=]|$)", attributes) and not re.search(r"=\s*[\"'][^\"']*\bhidden\b", attributes):
-        return True
+        return "never"
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = (a or b or c).lower(), name.lower()
-        if name == "role" and value.strip() in _DROP_ROLES or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id") and _DROP_WORDS & {w for part in value.split() for w in [part, *re.split(r"[-_]+", part)]}:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+        if name == "role" and value.strip() in _DROP_ROLES:
+            why = why or "layout"
+        if name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return "never"
+        if name == "class" and tag not in _HEADINGS or name == "id" and tag not in _ANCHORED:
+            words = _DROP_WORDS if name == "class" else _DROP_WORDS - _PROSE
+            if any(_says(token, words - _AROUND_WORDS) for token in value.split()):
+                why = why if why == "never" else "extra"
+            elif any(_says(token, words) for token in value.split()):
+                why = why or "layout"
+    return why
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of it in links but spaces, in the article) of each line; empty text for the lines of gaps."""
-    lines: list[tuple[str, int, bool]] = []
+def page_lines(page: str, stays: Callable[[str, int, int], bool] | None = None) -> tuple[list[Line], list[tuple[int, int]]]:
+    """The lines of a page, empty ones in gaps, and where the furniture stood that was taken out. ``stays`` says of furniture, by
+    why it is that and where it starts and ends, that it isn't taken out."""
+    lines: list[Line] = []
+    gone: list[tuple[int, int]] = []
     parts: list[str] = []
     linked: list[str] = []
     stack: list[str] = []
-    article, links = 0, 0
+    article, links, place = 0, 0, 0
 
     def end_block() -> None:
         if parts:
             text = _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
             if text:
-                lines.append((text, len(_SPACE.sub("", html_lib.unescape("".join(linked)))), article > 0))
+                lines.append(Line(text, len(_SPACE.sub("", html_lib.unescape("".join(linked)))), article > 0, place))
             parts.clear()
             linked.clear()
 
     def take(text: str) -> None:
+        nonlocal place
         parts.append(text)
+        place = at
         if links:
             linked.append(text)
 
@@ -152,24 +195,47 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                     break
                 if stack[k] in _SCOPE:
                     break
-        if _unwanted(tag, attributes):
-            if tag in _BLOCK or tag in _DROP and tag not in ("button", "select", "svg", "math", "canvas"):
-                end_block()
-                lines.extend([("", 0, article > 0)] * GAP)
-            at = skip(tag, at)
-            continue
+        why = _unwanted(tag, attributes)
+        if why:
+            end = skip(tag, at)
+            if tag in _RAW or tag == "head" or not (stays and stays(why, at, end)):
+                if tag in _BLOCK or tag in _DROP and tag not in ("button", "select", "svg", "canvas"):
+                    end_block()
+                    lines.extend([Line("", 0, article > 0, at)] * GAP)
+                if tag not in _RAW and tag != "head":
+                    gone.append((at, end))
+                at = end
+                continue
         if tag in _BLOCK:
             end_block()
         stack.append(tag)
         article += tag in ("article", "main")
         links += tag == "a"
     end_block()
-    return lines
+    return lines, gone
+
+
+def text_lines(page: str) -> list[Line]:
+    """The lines of a page without its furniture; what holds most of the text or the only article isn't furniture, whatever it is called."""
+    lines, gone = page_lines(page)
+    found, left = any(x.text and x.inside for x in lines), sum(x.weight for x in lines)
+    articles = [] if found else [m.start() for m in _MAIN.finditer(page)]
+    if not articles and all(end - start <= left for start, end in gone):
+        return lines
+    everything, _ = page_lines(page, lambda *_: True)
+    places, sums = [x.place for x in everything], [0, *accumulate(x.weight for x in everything)]
+
+    def stays(why: str, start: int, end: int) -> bool:
+        if bisect_left(articles, start) < bisect_left(articles, end):
+            return True
+        return (why == "layout" or why == "extra" and not left) and 2 * (sums[bisect_left(places, end)] - sums[bisect_left(places, start)]) > sums[-1]
+
+    return page_lines(page, stays)[0]
 
 
 def main_text(page: str | None, window: int = 3, share: float = 0.2) -> str:
-    lines = page_lines(page or "")
-    weight = [len(text) if inside else max(0, len(text.replace(" ", "")) - linked) for text, linked, inside in lines]
+    lines = text_lines(page or "")
+    weight = [len(x.text) if x.inside else x.weight for x in lines]
     n = len(lines)
     sums = [sum(weight[i : i + window]) for i in range(n)]
     stretches: list[tuple[int, int]] = []
@@ -185,12 +251,12 @@ def main_text(page: str | None, window: int = 3, share: float = 0.2) -> str:
         own = [k for k in range(surge, i) if weight[k]]
         stretches.append((own[0], own[-1] + 1))
     total = lambda s, w: sum(w[s[0] : s[1]])
-    if any(text and inside for text, _, inside in lines):
-        return "\n".join(text for a, b in stretches for text, _, inside in lines[a:b] if text and inside)
+    if any(x.text and x.inside for x in lines):
+        return "\n".join(x.text for a, b in stretches for x in lines[a:b] if x.text and x.inside)
     heaviest = max((total(s, weight) for s in stretches), default=0)
-    length = [len(text) for text, _, _ in lines]
+    length = [len(x.text) for x in lines]
     kept = [s for s in stretches if total(s, weight) >= share * heaviest and 2 * total(s, weight) >= total(s, length)]
-    return "\n".join(text for a, b in kept for text, _, _ in lines[a:b] if text)
+    return "\n".join(x.text for a, b in kept for x in lines[a:b] if x.text)
 
 
 def extract_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -184,6 +184,28 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+BODY = "<h1>Title</h1><p>First paragraph of the page.</p><p>Second paragraph, a little longer than the first.</p>"
+SAID = "Title\nFirst paragraph of the page.\nSecond paragraph, a little longer than the first."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<div class="layout has-sidebar"><nav>Home</nav><article>{BODY}</article></div>', SAID),
+        (f'<div class="no-sidebar"><article>{BODY}</article></div>', SAID),
+        (f'<div class="sidebar"><article>{BODY}</article></div>', SAID),
+        (f'<form><div class="main-menu">{BODY}</div></form>', SAID),
+        (f'<article>{BODY}</article><aside><article><p>Teaser of another page.</p></article></aside>', SAID),
+        (f'<article>{BODY}</article><div id="comments"><p>{"I like this page very much. " * 9}</p></div>', SAID),
+        (f'<article>{BODY}<div class="cookie-banner ad-300x250">no</div></article>', SAID),
+        ('<article><section id="discussion"><h2 id="search">Search</h2><p>We found much.</p></section><div class="form-factor">Small.</div></article>', "Search\nWe found much.\nSmall."),
+        ("<article><p>x</p><figure><table><tr><td>cell</td></tr></table><pre>code</pre><figcaption>Caption</figcaption></figure><p>where <math><mi>a</mi></math> is</p></article>", "x\ncell\ncode\nCaption\nwhere a is"),
+    ],
+)
+def test_furniture_that_holds_the_text_stays(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages_against_their_article(spark):
     from html import unescape
 

@@ -6,9 +6,10 @@ and the like, as a whole token or a compound of nothing but layout words). Layou
 stays (headers, sidebars, forms; adverts, replies and the like only if nothing else is left), and so does any furniture around the page's
 only ``article`` or ``main``. A line's weight is its text outside links. Sums over sliding windows of ``window`` lines give the distribution: it
 surges where a sum becomes positive and dives where sums fall to zero again, so a stretch between surge and dive is a run of lines with
-no gap as wide as the window. A stretch in the page's ``article`` or ``main`` element is kept if the page has one; else stretches with at
-least ``share`` of the weight of the heaviest stretch, unless most of their text is links. Kept lines come whole, in page order, joined by a newline;
-lines at a stretch's edges, however short, are never trimmed.
+no gap as wide as the window. Lines in the page's ``article`` or ``main`` element are kept if they have half of the weight or more; else
+stretches with lines in the same nearest container are joined, as what was taken out between them stood inside one text, and those
+are kept that have at least ``share`` of the weight of the heaviest, unless most of their text is links. Kept lines come whole, in page
+order, joined by a newline; lines at a stretch's edges, however short, are never trimmed.
 
 Null html is empty, and an empty page has an empty text. Truncated pages end where they end. Repeated rows each give a row; other columns are not
 read.
@@ -36,6 +37,9 @@ _ENDS_P = _BLOCK - frozenset("td th tr tbody thead tfoot li dt dd option caption
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table div section article main body aside nav".split())
 
+#: Elements that hold a text as a whole.
+_BOX = frozenset("html body div section article main td center".split())
+
 _DROP = frozenset("head nav header footer aside form menu dialog button select svg canvas object audio video search".split()) | _RAW
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 _DROP_WORDS = frozenset(
@@ -62,6 +66,7 @@ class Line(NamedTuple):
     text: str  # empty in gaps
     linked: int  # characters in links, but spaces
     inside: bool  # in an article or main element
+    box: int  # its nearest container
     place: int  # where its text ends, or the gap starts, in the page
 
     @property
@@ -108,13 +113,14 @@ def page_lines(page: str, stays: Callable[[str, int, int], bool] | None = None)
     parts: list[str] = []
     linked: list[str] = []
     stack: list[str] = []
-    article, links, place = 0, 0, 0
+    boxes = [0]
+    article, links, place, opened = 0, 0, 0, 0
 
     def end_block() -> None:
         if parts:
             text = _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
             if text:
-                lines.append(Line(text, len(_SPACE.sub("", html_lib.unescape("".join(linked)))), article > 0, place))
+                lines.append(Line(text, len(_SPACE.sub("", html_lib.unescape("".join(linked)))), article > 0, boxes[-1], place))
             parts.clear()
             linked.clear()
 
@@ -133,6 +139,8 @@ def page_lines(page: str, stays: Callable[[str, int, int], bool] | None = None)
                 end_block()
             article -= top in ("article", "main")
             links -= top == "a"
+            if top in _BOX:
+                boxes.pop()
             if top == tag:
                 return
 
@@ -201,7 +209,7 @@ def page_lines(page: str, stays: Callable[[str, int, int], bool] | None = None)
             if tag in _RAW or tag == "head" or not (stays and stays(why, at, end)):
                 if tag in _BLOCK or tag in _DROP and tag not in ("button", "select", "svg", "canvas"):
                     end_block()
-                    lines.extend([Line("", 0, article > 0, at)] * GAP)
+                    lines.extend([Line("", 0, article > 0, boxes[-1], at)] * GAP)
                 if tag not in _RAW and tag != "head":
                     gone.append((at, end))
                 at = end
@@ -209,6 +217,9 @@ def page_lines(page: str, stays: Callable[[str, int, int], bool] | None = None)
         if tag in _BLOCK:
             end_block()
         stack.append(tag)
+        if tag in _BOX:
+            opened += 1
+            boxes.append(opened)
         article += tag in ("article", "main")
         links += tag == "a"
     end_block()
@@ -233,10 +244,8 @@ def text_lines(page: str) -> list[Line]:
     return page_lines(page, stays)[0]
 
 
-def main_text(page: str | None, window: int = 3, share: float = 0.2) -> str:
-    lines = text_lines(page or "")
-    weight = [len(x.text) if x.inside else x.weight for x in lines]
-    n = len(lines)
+def _stretches(weight: list[int], window: int) -> list[tuple[int, int]]:
+    n = len(weight)
     sums = [sum(weight[i : i + window]) for i in range(n)]
     stretches: list[tuple[int, int]] = []
     i = 0
@@ -250,13 +259,45 @@ def main_text(page: str | None, window: int = 3, share: float = 0.2) -> str:
         # a sum looks ahead: the surge is the first line with weight, the dive comes after the last
         own = [k for k in range(surge, i) if weight[k]]
         stretches.append((own[0], own[-1] + 1))
-    total = lambda s, w: sum(w[s[0] : s[1]])
-    if any(x.text and x.inside for x in lines):
-        return "\n".join(x.text for a, b in stretches for x in lines[a:b] if x.text and x.inside)
-    heaviest = max((total(s, weight) for s in stretches), default=0)
-    length = [len(x.text) for x in lines]
-    kept = [s for s in stretches if total(s, weight) >= share * heaviest and 2 * total(s, weight) >= total(s, length)]
-    return "\n".join(x.text for a, b in kept for x in lines[a:b] if x.text)
+    return stretches
+
+
+def _joined(stretches: list[tuple[int, int]], lines: list[Line]) -> list[list[tuple[int, int]]]:
+    """The stretches in groups that have lines in the same containers."""
+    group = list(range(len(stretches)))
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    first: dict[int, int] = {}
+    for i, (a, b) in enumerate(stretches):
+        for box in {x.box for x in lines[a:b] if x.text}:
+            group[root(i)] = root(first.setdefault(box, i))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for i, s in enumerate(stretches):
+        out.setdefault(root(i), []).append(s)
+    return list(out.values())
+
+
+def main_text(page: str | None, window: int = 3, share: float = 0.2) -> str:
+    lines = text_lines(page or "")
+    if any(x.text and x.inside for x in lines) and 2 * sum(x.weight for x in lines if x.inside) >= sum(x.weight for x in lines):
+        return "\n".join(x.text for x in lines if x.text and x.inside)
+    groups = _joined(_stretches([x.weight for x in lines], window), lines)
+    total = lambda group: sum(x.weight for a, b in group for x in lines[a:b])
+    length = lambda group: sum(len(x.text) for a, b in group for x in lines[a:b])
+    heaviest = max(map(total, groups), default=0)
+    kept: set[int] = set()
+    for group in groups:
+        if total(group) >= share * heaviest and 2 * total(group) >= length(group):
+            kept.update(k for a, b in group for k in range(a, b))
+            # lines of links between joined stretches stand in the same text
+            boxes = {x.box for a, b in group for x in lines[a:b] if x.text}
+            kept.update(k for k in range(group[0][0], group[-1][1]) if lines[k].box in boxes)
+    return "\n".join(lines[k].text for k in sorted(kept) if lines[k].text)
 
 
 def extract_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

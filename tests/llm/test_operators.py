@@ -206,6 +206,23 @@ def test_furniture_that_holds_the_text_stays(page, text):
     assert html_text.main_text(page) == text
 
 
+ADVERT, LONGER = '<div class="ad"><p>Buy this now.</p></div>', "<p>" + "This is the body of the text. " * 20 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><div><h1>Title</h1>{ADVERT}{LONGER}{ADVERT}<p>The end of it.</p></div></body>", "Title\n" + ("This is the body of the text. " * 20).strip() + "\nThe end of it."),
+        (f"<body><div>{LONGER}{ADVERT}<p><a href=x>More on this</a></p>{ADVERT}<p>The end of it.</p></div></body>", ("This is the body of the text. " * 20).strip() + "\nMore on this\nThe end of it."),
+        (f"<body><div>{LONGER}</div>{ADVERT}<div><p>Another box.</p></div></body>", ("This is the body of the text. " * 20).strip()),
+        (f"<body><div>{LONGER}{ADVERT}<p>The end of it.</p></div><nav>x</nav><div><article><p>Teaser.</p></article></div></body>", ("This is the body of the text. " * 20).strip() + "\nThe end of it."),
+        (f"<body><article>{LONGER}{ADVERT}<p>The end of it.</p></article><div><p>A line outside.</p></div></body>", ("This is the body of the text. " * 20).strip() + "\nThe end of it."),
+    ],
+)
+def test_what_was_taken_out_does_not_part_a_text(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages_against_their_article(spark):
     from html import unescape
 

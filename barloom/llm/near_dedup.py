@@ -11,11 +11,11 @@ similarity. Sets with an empty coordinate go on to later ranks.
 
 Candidates: ``bands`` keys of ``rows`` coordinates each. With 36 x 7 a pair of similarity 0.8 shares a key with
 probability 0.9998, one of 0.5 with 0.25. Exact copies are merged first, by their text's digest. In each bucket
-every member is compared with the bucket's pivot, the member that meets most others. Then, where members are
-left in other components than the pivot's, all pairs of different components are weighed by their signatures,
-block against block of at most ``BLOCK`` members inside a task, so that a large bucket spreads over tasks and no pair is
-emitted but the likely ones. So each candidate pair of a bucket is either compared or already joined. Weighing drops pairs whose
-signatures say at least 4.5 standard errors less than the threshold; the others are verified exactly from both texts.
+every member is compared with the bucket's pivot, the member that meets most others. Then, where members of a pivot's
+buckets are left in other components than the pivot's, they are compared with each other and with those inside it, block against block of
+about ``BLOCK`` members inside a task, so that a large group spreads over tasks; a task gives out a spanning forest of the links it has
+verified, so a group gives rows in proportion to its members. So each candidate pair of a bucket is either compared or already joined. Pairs whose
+signatures say at least 4.5 standard errors less than the threshold are left out; the others are verified exactly from both texts.
 
 Null texts are near nobody: each such row is a class by itself (its id; null ids together). Texts without words
 are equal to the same text only. Ties: a class is named by its least id. Rows may repeat; other columns are not read.
@@ -35,7 +35,8 @@ from ._components import components
 from ._shared import Workspace
 from ._words import U, doubled, mix, slices, split, utf8, word_hashes
 
-BLOCK = 512
+#: Members of a block, and about how many words their texts have.
+BLOCK, BLOCK_WORDS = 512, 1 << 18
 _END = U(0xB5AD4ECEDA1CE2A9)
 _GOLD = U(0x9E3779B97F4A7C15)
 
@@ -154,58 +155,105 @@ def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float, k: int) ->
     return weighed.select("a", "b", "la", "lb").mapInArrow(weigh, "a binary, b binary")
 
 
-def _left_open(mixed: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Likely pairs (a, b) of different labels in the buckets of ``mixed`` (key, band, n members, tid, label, keys, low, weight). A pair that
-    shares several buckets, so the whole keys of their bands, comes from that of the first band alone."""
-    least = _least_alike(threshold, k)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    dealt = mixed.withColumn("blocks", blocks).withColumn("own", own).withColumn("meet", F.explode(meets))
+def _meets(dealt: DataFrame) -> DataFrame:
+    """A row for each pair of blocks that a member of an open group meets in: (i, j, far), blocks of the members outside the pivot's component
+    with each other, or (far) with those inside it. Members inside it are never compared among themselves."""
+    blocks = lambda inside: F.greatest(F.ceil(F.count_if(inside) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(inside, F.col("weight"))), F.lit(0)) / BLOCK_WORDS), F.lit(1)).cast("int")
+    away = F.col("label") != F.col("home")
+    sizes = dealt.groupBy("pivot").agg(F.count_if(away).alias("away"), blocks(away).alias("n_away"), blocks(~away).alias("n_home")).where("away > 0")
+    rows = dealt.join(sizes.hint("merge"), "pivot").withColumn("own", F.pmod(F.xxhash64("tid"), F.when(away, F.col("n_away")).otherwise(F.col("n_home"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    near = F.transform(upto("n_away"), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), F.lit(False).alias("far")))
+    far = F.transform(upto("n_home"), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("far")))
+    home = F.transform(upto("n_away"), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(True).alias("far")))
+    return rows.select("pivot", "tid", "label", away.alias("away"), "own", F.explode(F.when(away, F.concat(near, far)).otherwise(home)).alias("meet"))
+
+
+def _forest(rows: pa.Table, threshold: float, k: int, size: int) -> list[tuple[bytes, bytes]]:
+    """Links between different labels of one pair of blocks, no more than join them: each is verified from both texts' cells."""
+    meet = rows.column("meet")[0].as_py()
+    away, own = (np.array(rows.column(c).to_pylist()) for c in ("away", "own"))
+    left = np.flatnonzero(away & (own == meet["i"]))
+    right = np.flatnonzero(~away) if meet["far"] else np.flatnonzero(away & (own == meet["j"]))
+    within = not meet["far"] and meet["i"] == meet["j"]
+    if not len(left) or not len(right):
+        return []
+    tids, labels = rows.column("tid").to_pylist(), rows.column("label").to_pylist()
+    number = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+    label = np.array([number[x] for x in labels])
+    root = np.arange(len(number))  # of each label
+    low = np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint8).reshape(-1, k)
+    cell, of = unit_cells(*utf8(rows.column("text")), size)
+    order = np.lexsort((cell, of))
+    cell, of = cell[order], of[order]
+    weight = np.bincount(of, minlength=len(tids))
+    first = np.cumsum(weight) - weight
+    least, out = _least_alike(threshold, k), []
+    for at, m in enumerate(left.tolist()):
+        others = right[at + 1 :] if within else right
+        alike = ((low[m] == low[others]).mean(axis=1) - 1 / 256) * 256 / 255
+        possible = (alike >= least) & (np.minimum(weight[m], weight[others]) >= np.maximum(weight[m], weight[others]) * threshold)
+        others = others[possible][np.argsort(-alike[possible], kind="stable")]
+        mine = cell[first[m] : first[m] + weight[m]]
+        while len(others := others[root[label[others]] != root[label[m]]]):
+            ask, others = others[:32], others[32:]
+            n = weight[ask]
+            begin = np.cumsum(n) - n
+            theirs = cell[np.repeat(first[ask] - begin, n) + np.arange(int(n.sum()))]
+            both = np.add.reduceat((mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs).astype(np.int64), begin)
+            for q in ask[both / (weight[m] + n - both) >= threshold].tolist():
+                a, b = root[label[m]], root[label[q]]
+                if a != b:
+                    root[root == b] = a
+                    out.append((min(tids[m], tids[q]), max(tids[m], tids[q])))
+    return out
+
+
+def _left_open(members: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float, k: int, size: int) -> DataFrame:
+    """Links (a, b) that join different labels among ``members`` (pivot, tid, label, home): documents that share a bucket share its pivot, so
+    the pairs of a pivot's group hold all of its buckets' pairs. Every pair of blocks gives out a spanning forest of its verified links, so fewer rows
+    than it got, never pairs."""
+    weighed = members.join(sketches.select("tid", "low", "weight").hint("merge"), "tid")
+    meets = _meets(weighed.select("pivot", "tid", "label", "home", "weight"))
+    whole = meets.join(sketches.select("tid", "low").hint("merge"), "tid").join(texts.hint("merge"), "tid")
     # blocks stand together: a task reads one after another
-    dealt = dealt.select("key", "band", "meet", "own", "tid", "label", F.slice("keys", 1, F.col("band")).alias("before"), "low", "weight").repartition("key", "meet").sortWithinPartitions("key", "meet")
-
-    def compare(group: list[dict]) -> Iterator[tuple[bytes, bytes]]:
-        i, j, band = group[0]["meet"]["i"], group[0]["meet"]["j"], group[0]["band"]
-        left = [r for r in group if r["own"] == i]
-        right = left if i == j else [r for r in group if r["own"] == j]
-        if not left or not right:
-            return
-        names = {label: n for n, label in enumerate({r["label"] for r in group})}
-        x, y = (np.frombuffer(b"".join(r["low"] for r in side), np.uint8).reshape(-1, k) for side in (left, right))
-        kx, ky = (np.array([r["before"] for r in side], np.int64).reshape(len(side), band) for side in (left, right))
-        lx, ly = (np.array([names[r["label"]] for r in side]) for side in (left, right))
-        wx, wy = (np.array([r["weight"] for r in side]) for side in (left, right))
-        for m in range(len(left)):
-            alike = ((x[m] == y).mean(axis=1) - 1 / 256) * 256 / 255
-            earlier = (kx[m] == ky).any(axis=1)
-            good = (alike >= least) & ~earlier & (lx[m] != ly) & (np.minimum(wx[m], wy) >= np.maximum(wx[m], wy) * threshold)
-            for q in np.flatnonzero(good):
-                a, b = left[m]["tid"], right[q]["tid"]
-                if i != j or a < b:
-                    yield min(a, b), max(a, b)
+    dealt = whole.select("pivot", "meet", "away", "own", "tid", "label", "low", "text").repartition("pivot", "meet").sortWithinPartitions("pivot", "meet")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[dict] = []
+        now, group = None, []
+
+        def close() -> pa.RecordBatch:
+            found = _forest(pa.Table.from_batches(group), threshold, k, size) if group else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
         for batch in batches:
-            found = []
-            for r in batch.to_pylist():
-                if group and (r["key"], r["meet"]) != (group[0]["key"], group[0]["meet"]):
-                    found += compare(group)
-                    group = []
-                group.append(r)
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+            keys = [(p, m["i"], m["j"], m["far"]) for p, m in zip(batch.column("pivot").to_pylist(), batch.column("meet").to_pylist(), strict=True)]
+            begin = 0
+            for i, key in enumerate(keys):
+                if key != now:
+                    if i > begin:
+                        group.append(batch.slice(begin, i - begin))
+                    if group:
+                        yield close()
+                    now, group, begin = key, [], i
+            if len(keys) > begin:
+                group.append(batch.slice(begin))
         if group:
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in compare(group)], pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+            yield close()
 
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _verified(likely: DataFrame, texts: DataFrame, threshold: float, size: int, work: Workspace) -> DataFrame:
+def _texts_of(named: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
+    """One text for each tid of ``named``. Joined by the tid and its hash and merged in another step, so that Spark may split a text with very many copies;
+    by merge joins whatever the size, so that a run's needs follow its input."""
+    keyed = lambda df: df.withColumn("h", F.xxhash64("tid"))
+    found = keyed(texts).join(keyed(named).hint("merge"), ["tid", "h"], "left_semi")
+    return work.write(found.groupBy("tid").agg(F.first("text").alias("text")), "texts")
+
+
+def _verified(likely: DataFrame, needed: DataFrame, threshold: float, size: int, work: Workspace) -> DataFrame:
     """The pairs (a, b) whose texts' similarity reaches the threshold, with it."""
-    named = likely.select(F.col("a").alias("tid")).union(likely.select("b")).distinct()
-    # merge joins whatever the size, so that a run's needs follow its input
-    needed = work.write(texts.join(named.hint("merge"), "tid", "left_semi").dropDuplicates(["tid"]), "texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,27 +280,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows_in = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("tid", F.unhex(F.md5("text")))
     texts = rows_in.where("tid is not null").select("tid", "text")
     sketches = work.write(_sketches(texts, bands, rows, size).dropDuplicates(["tid"]), "sketches")
-    members = sketches.select("tid", F.posexplode("keys").alias("band", "key"))
+    members = sketches.select("tid", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     crowded = work.write(members.join(buckets.hint("merge"), "key"), "crowded")
     # the text that meets most others stands in the middle of its copies
-    met = crowded.groupBy("tid").agg(F.sum("n").alias("met"))
+    met = work.write(crowded.groupBy("tid").agg(F.sum("n").alias("met")), "met")
     middle = crowded.join(met.hint("merge"), "tid").groupBy("key").agg(F.max(F.struct("met", "tid")).alias("middle")).select("key", F.col("middle.tid").alias("pivot"))
-    plain, crowded = crowded, work.write(crowded.join(middle.hint("merge"), "key"), "crowded")
-    work.drop(plain)
-    stars = crowded.where("tid <> pivot").select(F.least("pivot", "tid").alias("a"), F.greatest("pivot", "tid").alias("b")).distinct()
+    # a pivot's group: whoever shares a bucket of which it is the middle
+    groups = work.write(crowded.join(middle.hint("merge"), "key").groupBy("pivot", "tid").agg(F.max("n").alias("n")), "groups")
+    work.drop(crowded)
+    stars = groups.where("tid <> pivot").select(F.least("pivot", "tid").alias("a"), F.greatest("pivot", "tid").alias("b")).distinct()
     k = bands * rows
-    links = _verified(work.write(_likely(stars, sketches, threshold, k), "likely"), texts, threshold, size, work)
+    needed = _texts_of(met.select("tid"), texts, work)
+    links = _verified(work.write(_likely(stars, sketches, threshold, k), "likely"), needed, threshold, size, work)
     found = components(links.select("a", "b"), work)
     # what the pivots left open; a bucket of two has no more than the pair that was compared
     label = lambda column, name: found.select(F.col("node").alias(column), F.col("root").alias(name))
-    labelled = crowded.where("n > 2").join(label("tid", "root"), "tid", "left").join(label("pivot", "home"), "pivot", "left")
-    labelled = work.write(labelled.select("key", "band", "n", "tid", F.coalesce("root", "tid").alias("label"), F.coalesce("home", "pivot").alias("home")), "labelled")
-    several = labelled.where("label <> home").select("key").distinct()
-    mixed = labelled.join(several, "key", "left_semi").join(sketches.select("tid", "keys", "low", "weight"), "tid")
-    more = work.write(_left_open(mixed, threshold, k).join(links, ["a", "b"], "left_anti"), "likely")
+    labelled = groups.where("n > 2").join(label("tid", "root"), "tid", "left").join(label("pivot", "center"), "pivot", "left")
+    labelled = labelled.select("pivot", "tid", F.coalesce("root", "tid").alias("label"), F.coalesce("center", "pivot").alias("home"))
+    more = work.write(_left_open(labelled, sketches, needed, threshold, k, size), "forest")
     if not more.isEmpty():
-        found = components(links.select("a", "b").union(_verified(more, texts, threshold, size, work).select("a", "b")), work)
+        found = components(links.select("a", "b").union(more), work)
     firsts = rows_in.where("tid is not null").groupBy("tid").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
     placed = work.write(firsts.join(found.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid")), "placed")
     classes = placed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("last"), "first", "tid")).alias("head"))
@@ -267,7 +315,9 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = near_duplicates(df, id_col, text_col, **settings).where("tid is not null")
     counted = classes.groupBy("tid").agg(F.first("class_id").alias("class_id"), F.first("class_tid").alias("class_tid"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(id_col).eqNullSafe(F.col("class_id"))).alias("heads"))
     losing = work.write(counted.where((F.col("tid") != F.col("class_tid")) | (F.col("rows") > 1)), "losing")
-    tagged = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col))).alias("tid")).join(losing.hint("merge"), "tid", "left")
+    # by the digest and its hash, so that what follows is another step and Spark may split a text with very many copies
+    keyed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col))).alias("tid")).withColumn("h", F.xxhash64("tid"))
+    tagged = keyed.join(losing.withColumn("h", F.xxhash64("tid")).hint("merge"), ["tid", "h"], "left")
     stays = F.col("class_tid").isNull() | ((F.col("tid") == F.col("class_tid")) & F.col("id").eqNullSafe(F.col("class_id")))
     tagged = tagged.where(stays)
     # several rows with the same id and text: any one of them stays

@@ -428,15 +428,27 @@ def test_signatures_estimate_similarity():
     assert (s[2] != 0).all() and (s[0] != s[2]).all()
 
 
-def test_low_bytes_that_agree_are_no_shared_bucket(spark):
-    """Each pair comes once, from the first band whose whole keys agree."""
-    low = bytes(range(252))
-    keys = {b"a": [1, 5, 7], b"b": [2, 5, 7], b"c": [3, 6, 7]}
-    rows = [(k, band, 3, tid, tid, own, low, 100) for tid, own in keys.items() for band, k in enumerate(own)]
-    mixed = spark.createDataFrame(rows, "key long, band int, n long, tid binary, label binary, keys array<long>, low binary, weight long")
-    for part, want in ((mixed, ["ab", "ac", "bc"]), (mixed.where("band = 1"), ["ab"]), (mixed.where("band = 2"), ["ac", "bc"])):
-        found = near_dedup._left_open(part, 0.8, 252).collect()
-        assert sorted(bytes(r["a"] + r["b"]).decode() for r in found) == want
+@pytest.mark.parametrize("least_block", [512, 8])
+def test_groups_about_the_threshold(spark, monkeypatch, least_block):
+    """Documents alike by about 0.7 to 0.85: classes equal brute force, also with many blocks, and links left open are fewer than members."""
+    monkeypatch.setattr(near_dedup, "BLOCK", least_block)
+    base = prose(900, 300)
+    rows = list(enumerate(edited(base, 4 + i % 6, 1000 + i) for i in range(60)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = defaultdict(set)
+    for r in near_dedup.near_duplicates(df).collect():
+        got[r["class_id"]].add(r["doc_id"])
+    assert Counter(map(frozenset, got.values())) == plain_classes(rows)
+
+
+def test_forest_has_fewer_links_than_members(spark):
+    texts = [edited(prose(901, 200), 1, 2000 + i) for i in range(40)] + [prose(902 + i, 200) for i in range(5)]
+    df = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "tid binary, text string")
+    sketches = near_dedup._sketches(df, 36, 7, 5)
+    for home, most in ((b"", 39), (bytes([0]), 2 * 39)):
+        members = df.select(F.lit(b"p").alias("pivot"), "tid", F.col("tid").alias("label"), F.lit(home).alias("home"))
+        found = near_dedup._left_open(members, sketches, df, 0.8, 252, 5).collect()
+        assert 39 <= len(found) <= most and len({x for r in found for x in (bytes(r["a"]), bytes(r["b"]))}) == 40
 
 
 # ---- chats

@@ -1,16 +1,16 @@
 """Best-fit packing of tokenized documents into sequences, in bulk-synchronous rounds.
 
-Texts become token ids on the executors; documents longer than a sequence are cut, and every piece gets its length's
-running number within its partition. With the counts of each (partition, length) this gives the piece's rank among all pieces
-of its length. Pieces of a length are interchangeable, and so are sequences with equal gaps. So the two lists that a round
-sorts by size - waiting documents and gaps - are kept run-length encoded: at most ``capacity`` sizes each, with ranges of ranks and of sequence
-numbers, whatever the number of documents.
-
-A round: every size finds its successor in the list of gaps (the smallest gap that takes it); where several sizes
-ask for the same gap, the larger rank first and its sequences are dealt out in order; a sequence takes as many pieces of
-the size as fit; gaps shrink; sizes that got nothing ask again in the next round. When nothing fits, as many sequences
-are opened as the rest needs at least. The rounds run over those short lists; their matches - ranges of ranks to
-ranges of sequences, a bounded table - are sent to the executors, which place each piece by its length and rank.
+Texts become token ids on the executors; documents longer than a sequence are cut. Then waiting pieces and gaps of open sequences meet in rounds:
+
+* They are range-sorted by size, together. Each partition sweeps its range from large to small: a piece takes its successor, the smallest gap that holds
+  it; where several ask for one gap, the larger rank first. Gaps shrink and are swept again until nothing in the partition fits.
+* What a partition has left is told to the driver in one row: how many pieces and how many untouched gaps, and their least and greatest
+  sizes. Partitions are ranges, so all untouched gaps of a later one hold all pieces left in an earlier one; the successor sweep over these rows
+  (pieces of a partition take the nearest gaps above, as many to a gap as fit for sure) gives ranges of ranks to ranges of gaps. Pieces
+  and gaps find each other by a join on those ranks, and gaps are updated.
+* When a round has placed nothing, as many sequences are opened as the rest needs at least.
+
+Each round's tables are written, so a lost executor costs its own tasks only. No list of pieces or gaps is ever on the driver or broadcast.
 
 A null text is empty; an empty document is its end mark alone, one piece of length 1. Repeated rows are packed each. Ids may
 be null or repeat. An empty table gives no rows. Other columns of the input are not read.
@@ -22,6 +22,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import Workspace
+from ._words import slices, split, utf8, word_hashes
 
 #: What the vocabulary's pre-tokenizer takes as white space; tokens never cross it.
 _CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
@@ -40,38 +42,63 @@ _ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Token ids of texts, as little-endian 32-bit bytes. Ids of a run between white space don't depend on its
-    neighbours, so runs are encoded once and remembered; the memory is emptied when it gets large."""
+    """Token ids of texts. Ids of a run between white space don't depend on its neighbours, so runs are encoded once and remembered by a 64-bit hash;
+    the memory is emptied when it gets large. Per occurrence of a run there are only NumPy steps."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}  # hash -> place
         self.parts: dict[str, bytes] = {"": b""}
+        self.first, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each followed by ``end_id`` if there is one, and the n + 1 places where texts begin and end."""
         if len(self.known) > _CACHE_WORDS:
-            self.known.clear()
-        known, runs = self.known, [_CHUNK.findall(t) for t in texts]
-        self._learn({w for words in runs for w in words if w not in known})
-        return [b"".join(map(known.__getitem__, words)) for words in runs]
-
-    def _learn(self, words: set[str]) -> None:
-        """A run of small letters and the marks after it are tokens by themselves, so most new runs are put together of known parts."""
-        if len(self.parts) > _CACHE_WORDS:
-            self.parts = {"": b""}
-        split, new = {}, set()
-        for w in words:
-            m = _LETTERS_AND_MARKS.fullmatch(w.lower())
-            split[w] = own = m.groups() if m else (w,)
+            self._forget()
+        data, offsets = utf8(texts)
+        start, end, row = split(data, offsets)
+        distinct, sample, which = np.unique(word_hashes(data, start), return_index=True, return_inverse=True)
+        place = np.fromiter((self.known.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            raw = data.tobytes()
+            place[new] = self._learn(distinct[new].tolist(), [raw[a:b].decode() for a, b in zip(start[sample[new]].tolist(), end[sample[new]].tolist(), strict=True)])
+        first, count = self.first[place][which], self.count[place][which]
+        per_row = np.bincount(row, count, len(texts)).astype(np.int64)
+        if end_id is not None:
+            behind = np.cumsum(np.bincount(row, minlength=len(texts)))
+            first, count, per_row = np.insert(first, behind, len(self.pool)), np.insert(count, behind, 1), per_row + 1
+        at = np.cumsum(count) - count
+        pool = self.pool if end_id is None else np.append(self.pool, np.array([end_id], "<u4"))
+        return pool[np.repeat(first - at, count) + np.arange(int(count.sum()))], np.concatenate([[0], np.cumsum(per_row)])
+
+    def _learn(self, hashes: list[int], runs: list[str]) -> np.ndarray:
+        """Places of new runs. A run of small letters and the marks after it are tokens by themselves, so most new runs are put together of known parts."""
+        owns, new = [], set()
+        for run in runs:
+            own = []
+            for w in _CHUNK.findall(run):  # white space beyond ASCII parts a run too
+                m = _LETTERS_AND_MARKS.fullmatch(w.lower())
+                own += m.groups() if m else (w,)
+            owns.append(own)
             new.update(own)
         new = list(new.difference(self.parts))
         for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.parts[part] = np.asarray(e.ids, "<u4").tobytes()
-        for w, own in split.items():
-            self.known[w] = b"".join([self.parts[x] for x in own])
+        ids = [b"".join([self.parts[x] for x in own]) for own in owns]
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        place = len(self.first) + np.arange(len(ids))
+        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        self.known.update(zip(hashes, place.tolist(), strict=True))
+        return place
 
 
 def encoder(path: str) -> Encoder:
@@ -82,109 +109,193 @@ def encoder(path: str) -> Encoder:
 
 
 def token_pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, part, nth): nth piece of its length in partition ``part``."""
-    end = np.asarray([end_id], "<u4").tobytes()
+    """(id, piece, start, length, ids_crc32, tie): ``tie`` is another number for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        counts = [0] * (capacity + 1)
+        tie = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                rows = batch.slice(begin, 256)
-                at, piece, start, length, crc, nth = [], [], [], [], [], []
-                for i, ids in enumerate(encoder(vocabulary).encode([t or "" for t in rows.column("text").to_pylist()])):
-                    ids += end
-                    for j, s in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[s : s + 4 * capacity]
-                        n = len(own) // 4
-                        at.append(i), piece.append(j), start.append(s // 4), length.append(n), crc.append(zlib.crc32(own)), nth.append(counts[n])
-                        counts[n] += 1
-                n = len(at)
+            for rows in slices(batch, "text"):
+                ids, cuts = encoder(vocabulary).encode(rows.column("text"), end_id)
+                n = -(-np.diff(cuts) // capacity)
+                of = np.repeat(np.arange(rows.num_rows), n)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(np.diff(cuts)[of] - start, capacity)
+                begin = (cuts[of] + start) * 4
+                raw = memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([part] * n, pa.int32()), pa.array(nth, pa.int64())],
-                    names=["id", "piece", "start", "length", "ids_crc32", "part", "nth"],
+                    [rows.column("id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(tie + np.arange(len(of)))],
+                    names=["id", "piece", "start", "length", "ids_crc32", "tie"],
                 )
+                tie += len(of)
 
     id_type = df.select(id_col).schema[0].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, piece int, start long, length long, ids_crc32 long, part int, nth long")
-
-
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Matches for ``counts`` pieces of each length: (length, first rank, last rank + 1, first sequence,
-    pieces in each sequence, offset of the first). Consecutive sequences take consecutive ranks."""
-    waiting = {n: c for n, c in counts.items() if c}
-    placed = dict.fromkeys(waiting, 0)
-    gaps: dict[int, list[list[int]]] = {}  # gap -> ranges of sequences
-    opened, out = 0, []
-    while waiting:
-        sizes = sorted(waiting, reverse=True)
-        gap_list = np.array(sorted(gaps), np.int64)
-        after = np.searchsorted(gap_list, sizes)  # successor of each size
-        asks: dict[int, list[int]] = {}
-        for size, k in zip(sizes, after, strict=True):
-            if k < len(gap_list):
-                asks.setdefault(int(gap_list[k]), []).append(size)
-        if not asks:
-            new = -(-sum(n * c for n, c in waiting.items()) // capacity)
-            gaps.setdefault(capacity, []).append([opened, opened + new])
-            opened += new
-            continue
-        freed: list[tuple[int, int, int]] = []
-        for gap, askers in asks.items():
-            ranges = gaps.pop(gap)
-            for size in askers:  # larger ones rank first
-                most = gap // size
-                while waiting.get(size) and ranges:
-                    lo, hi = ranges[-1]
-                    each = min(most, waiting[size])
-                    n = min(hi - lo, waiting[size] // each)
-                    first = placed[size]
-                    out.append((size, first, first + n * each, lo, each, capacity - gap))
-                    placed[size] += n * each
-                    waiting[size] -= n * each
-                    if not waiting[size]:
-                        del waiting[size]
-                    freed.append((gap - each * size, lo, lo + n))
-                    ranges[-1][0] += n
-                    if lo + n == hi:
-                        ranges.pop()
-            if ranges:
-                gaps[gap] = ranges
-        for gap, lo, hi in freed:
-            if gap:
-                own = gaps.setdefault(gap, [])
-                if own and own[-1][1] == lo:
-                    own[-1][1] = hi
-                else:
-                    own.append([lo, hi])
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, piece int, start long, length long, ids_crc32 long, tie long")
+
+
+def successors(pieces: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One sweep over sizes in falling order: (pieces, gaps) matched, each piece with the smallest gap that holds it and that no larger one has taken.
+
+    That is a matching of brackets: a gap opens, a piece closes the latest that is open."""
+    n = len(gaps)
+    size, step = np.concatenate([gaps, pieces]), np.concatenate([np.ones(n, np.int64), np.full(len(pieces), -1)])
+    order = np.lexsort((-step, -size))
+    step = step[order]
+    height = np.cumsum(step)
+    floor = np.minimum.accumulate(np.minimum(height, 0))
+    alone = (step < 0) & (floor < np.concatenate([[0], floor[:-1]]))  # no gap is open
+    level = np.where(alone, -1, height - floor + (step < 0))
+    by = np.argsort(level, kind="stable")
+    level, step = level[by], step[by]
+    met = np.flatnonzero((level[:-1] == level[1:]) & (level[:-1] >= 0) & (step[:-1] > 0) & (step[1:] < 0))
+    return order[by[met + 1]] - n, order[by[met]]
+
+
+def fill(pieces: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sweeps until nothing fits: each piece's gap (-1: none) and how much of it was taken before, and what is left of each gap."""
+    left, owner, before = gaps.copy(), np.full(len(pieces), -1), np.zeros(len(pieces), np.int64)
+    waiting, open_ = np.arange(len(pieces)), np.arange(len(gaps))
+    while len(waiting):
+        open_ = open_[left[open_] >= pieces[waiting].min()]
+        p, g = successors(pieces[waiting], left[open_])
+        if not len(p):
+            break
+        p, g = waiting[p], open_[g]
+        owner[p], before[p] = g, gaps[g] - left[g]
+        left[g] -= pieces[p]
+        waiting = waiting[owner[waiting] < 0]
+    return owner, before, left
+
+
+_STATE = "kind int, size long, tie long, id {}, piece int, start long, ids_crc32 long, sequence_id long, offset long, part int, nth long"
+_WAITING, _GAP, _PLACED = 0, 1, 2
+
+
+def _settled(rows: DataFrame, capacity: int, schema: str) -> DataFrame:
+    """Each partition of range-sorted pieces and gaps after its own sweeps; pieces left and untouched gaps are numbered from the largest on (``nth``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [b for b in batches if b.num_rows]
+        if not own:
+            return
+        table = pa.Table.from_batches(own)
+        kind, size, tie = (table.column(c).to_numpy() for c in ("kind", "size", "tie"))
+        pieces, gaps = (x[np.lexsort((tie[x], -size[x]))] for x in (np.flatnonzero(kind == _WAITING), np.flatnonzero(kind == _GAP)))
+        owner, before, left = fill(size[pieces], size[gaps])
+        placed, waits, untouched = owner >= 0, np.flatnonzero(owner < 0), np.flatnonzero(left == size[gaps])
+        some = np.flatnonzero(left > 0)
+        order = np.concatenate([pieces, gaps[some]])
+        out_kind = np.concatenate([np.where(placed, _PLACED, _WAITING), np.full(len(some), _GAP)]).astype(np.int32)
+        sequence, offset, nth = np.full(len(order), -1), np.full(len(order), -1), np.full(len(order), -1)
+        mine = gaps[owner[placed]]
+        sequence[: len(pieces)][placed], offset[: len(pieces)][placed] = tie[mine], capacity - size[mine] + before[placed]
+        nth[waits] = np.arange(len(waits))
+        place = np.full(len(gaps), -1)
+        place[untouched] = np.arange(len(untouched))
+        nth[len(pieces) :] = place[some]
+        part = np.full(len(order), TaskContext.get().partitionId(), np.int32)
+        kept = {c: table.column(c).take(pa.array(order)) for c in ("id", "piece", "start", "ids_crc32")}
+        sizes = np.concatenate([size[pieces], left[some]])
+        out = pa.table({"kind": out_kind, "size": sizes, "tie": tie[order], **kept, "sequence_id": sequence, "offset": offset, "part": part, "nth": nth})
+        yield from out.combine_chunks().to_batches()
+
+    return rows.repartitionByRange("size", "tie").mapInArrow(run, schema)
+
+
+def plan_between(parts: list[dict]) -> list[tuple[int, int, int, int, int, int]]:
+    """(part of pieces, first nth, last nth + 1, part of gaps, nth of the first gap, pieces to a gap) from what partitions have left, in the order of their
+    ranges; the next gap has the nth before. Pieces take the nearest gaps above their partition."""
+    out, above = [], []  # above: [part, untouched gaps, least size], the nearest last
+    for p in sorted(parts, key=lambda p: -p["part"]):
+        taken = 0
+        while taken < p["pieces"] and above:
+            q, n, least = above[-1]
+            rest = p["pieces"] - taken
+            each = min(rest, max(1, least // p["largest"]))
+            used = min(n, rest // each)
+            out.append((p["part"], taken, taken + used * each, q, n - 1, each))
+            taken += used * each
+            above[-1][1] -= used
+            if not above[-1][1]:
+                above.pop()
+        if p["gaps"]:
+            above.append([p["part"], p["gaps"], p["least"]])
     return out
 
 
+def _exchanged(state: DataFrame, plan: list[tuple], capacity: int) -> DataFrame:
+    """Pieces and gaps that the plan joins (a row or two for each partition), with gaps updated; the others as they are."""
+    spark = state.sparkSession
+    table = F.broadcast(spark.createDataFrame(plan, "p int, a long, b long, q int, g long, each long"))
+    pieces = state.where(F.col("kind") == _WAITING).join(table, (F.col("part") == F.col("p")) & (F.col("nth") >= F.col("a")) & (F.col("nth") < F.col("b")), "left")
+    nth_in = F.col("nth") - F.col("a")
+    pieces = pieces.withColumns({"gap": F.col("g") - F.floor(nth_in / F.col("each")), "slot": nth_in % F.col("each") + 1})
+    gaps = state.where(F.col("kind") == _GAP).join(table, (F.col("part") == F.col("q")) & (F.col("nth") <= F.col("g")) & (F.col("nth") > F.col("g") - (F.col("b") - F.col("a")) / F.col("each")), "left")
+    gaps = gaps.withColumns({"gap": F.when(F.col("q").isNotNull(), F.col("nth")), "slot": F.lit(0).cast("long")})
+    both = pieces.unionByName(gaps)
+    near = Window.partitionBy("q", "gap").orderBy("slot")
+    was = F.first("size").over(near)
+    before = F.coalesce(F.sum(F.when(F.col("slot") > 0, F.col("size"))).over(near.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = F.coalesce(F.sum(F.when(F.col("slot") > 0, F.col("size"))).over(near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0))
+    met = both.where("q is not null").withColumns({"_sequence": F.first("tie").over(near), "_offset": F.lit(capacity) - was + before, "_left": was - taken})
+    piece = F.col("slot") > 0
+    met = met.withColumns({
+        "kind": F.when(piece, F.lit(_PLACED)).otherwise(F.col("kind")), "size": F.when(piece, F.col("size")).otherwise(F.col("_left")),
+        "sequence_id": F.when(piece, F.col("_sequence")).otherwise(F.col("sequence_id")), "offset": F.when(piece, F.col("_offset")).otherwise(F.col("offset")),
+    }).where("size > 0")
+    return met.select(state.columns).unionByName(both.where("q is null").select(state.columns))
+
+
+def _opened(spark: SparkSession, first: int, number: int, capacity: int, schema: str) -> DataFrame:
+    names = [x.split(" ", 1) for x in schema.split(", ")]
+    given = {"kind": F.lit(_GAP), "size": F.lit(capacity), "tie": F.col("n") + first, "sequence_id": F.lit(-1), "offset": F.lit(-1), "part": F.lit(-1), "nth": F.lit(-1)}
+    return spark.range(number).withColumnRenamed("id", "n").select(*(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in names))
+
+
+def best_fit(pieces: DataFrame, capacity: int, work: Workspace) -> DataFrame:
+    """``pieces`` (id, piece, start, length, ids_crc32, tie) with sequence_id and offset."""
+    spark = pieces.sparkSession
+    schema = _STATE.format(pieces.schema["id"].dataType.simpleString())
+    blank = {"kind": F.lit(_WAITING), "size": F.col("length"), "sequence_id": F.lit(-1), "offset": F.lit(-1), "part": F.lit(-1), "nth": F.lit(-1)}
+    state = pieces.select(*(blank.get(n, F.col(n) if n in pieces.columns else F.lit(None)).cast(t).alias(n) for n, t in (x.split(" ", 1) for x in schema.split(", "))))
+    whole = state.agg(F.sum("size")).first()[0] or 0
+    opened = -(-whole // capacity)
+    state = state.unionByName(_opened(spark, 0, opened, capacity, schema))
+    done: list[DataFrame] = []
+    while whole:
+        settled = work.write(_settled(state.where(F.col("kind") != _PLACED), capacity, schema), "settled")
+        kind, nth = F.col("kind"), F.col("nth")
+        found = settled.groupBy("part").agg(
+            F.count_if(kind == _WAITING).alias("pieces"), F.max(F.when(kind == _WAITING, F.col("size"))).alias("largest"), F.sum(F.when(kind == _WAITING, F.col("size"))).alias("waiting"),
+            F.count_if((kind == _GAP) & (nth >= 0)).alias("gaps"), F.min(F.when((kind == _GAP) & (nth >= 0), F.col("size"))).alias("least"), F.count_if(kind == _PLACED).alias("placed"),
+        ).collect()  # a row for each partition
+        plan = plan_between([r.asDict() for r in found])
+        done.append(settled.where(kind == _PLACED))
+        waiting = sum(r["waiting"] or 0 for r in found)
+        if not waiting:
+            break
+        if plan:
+            state = work.write(_exchanged(settled.where(kind != _PLACED), plan, capacity), "exchanged")
+            done.append(state.where(kind == _PLACED))
+            if sum(b - a for _, a, b, *_ in plan) == sum(r["pieces"] for r in found):
+                break
+        else:
+            state = settled
+            if not any(r["placed"] for r in found):
+                more = -(-waiting // capacity)
+                state = state.unionByName(_opened(spark, opened, more, capacity, schema))
+                opened += more
+    if not done:
+        done = [state]
+    return reduce(DataFrame.unionByName, done).select("id", "piece", "start", F.col("size").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
 def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """One row for each piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset."""
-    spark = df.sparkSession
-    work = Workspace(spark, "packing")
+    work = Workspace(df.sparkSession, "packing")
     pieces = work.write(token_pieces(df, id_col, text_col, vocabulary, capacity, end_id), "pieces")
-    each = work.write(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
-    totals = {r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    plan = sorted(best_fit(totals, capacity))
-    sent = spark.sparkContext.broadcast(np.array(plan, np.int64).reshape(-1, 6))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = pieces.join(each.select("part", "length", before.alias("before")), ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        key = table[:, 0] << 48 | table[:, 1]
-        for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
-            row = table[np.searchsorted(key, length << 48 | rank, "right") - 1]
-            nth = rank - row[:, 1]
-            sequence, offset = row[:, 3] + nth // row[:, 4], row[:, 5] + nth % row[:, 4] * length
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "piece", "start", "length", "ids_crc32")] + [pa.array(sequence), pa.array(offset)], names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    id_type = df.select(id_col).schema[0].dataType.simpleString()
-    out = ranked.select("id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, f"id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return out.withColumnRenamed("id", id_col)
+    return best_fit(pieces, capacity, work).withColumnRenamed("id", id_col)
 
 
 def word_vocabulary() -> str:

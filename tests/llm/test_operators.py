@@ -256,26 +256,58 @@ def test_packing(spark, docs, nothing):
     assert packing.pack(nothing, packing.word_vocabulary()).count() == 0
 
 
-def test_best_fit_is_close_to_the_least(spark):
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_best_fit_is_close_to_the_least(spark, partitions):
     rng = np.random.default_rng(0)
-    lengths = np.clip(rng.lognormal(6, 1.2, 20_000).astype(int), 1, 4096)
-    plan = packing.best_fit(Counter(lengths.tolist()), 4096)
-    used = np.zeros(40_000, int)
-    for size, first, last, seq, each, offset in plan:
-        n = (last - first) // each
-        assert n * each == last - first and (used[seq : seq + n] == offset).all()
-        used[seq : seq + n] += each * size
-    assert used.sum() == lengths.sum() and used.max() <= 4096
-    assert (used > 0).sum() <= 1.002 * -(-int(lengths.sum()) // 4096) + 1
+    lengths = np.clip(rng.lognormal(6, 1.2, 6_000).astype(int), 1, 4096)
+    lengths[::3] = 500  # a size that a third has
+    rows = spark.createDataFrame([(i, 0, 0, int(n), 0, i) for i, n in enumerate(lengths)], "id long, piece int, start long, length long, ids_crc32 long, tie long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = packing.best_fit(rows, 4096, packing.Workspace(spark, "test")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert Counter(r["length"] for r in got) == Counter(lengths.tolist()) and len({r["id"] for r in got}) == len(lengths)
+    for own in by.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) <= 4096
+    assert len(by) <= 1.005 * -(-int(lengths.sum()) // 4096) + 1
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_successors_by_a_plain_sweep(seed):
+    rng = np.random.default_rng(seed)
+    pieces, gaps = rng.integers(1, 12, rng.integers(0, 30)), rng.integers(1, 14, rng.integers(0, 30))
+    left, want = Counter(gaps.tolist()), Counter()
+    for size in sorted(pieces.tolist(), reverse=True):
+        fits = [g for g in left if left[g] and g >= size]
+        if fits:
+            left[min(fits)] -= 1
+            want[size, min(fits)] += 1
+    p, g = packing.successors(pieces, gaps)
+    assert Counter(zip(pieces[p].tolist(), gaps[g].tolist())) == want and len(set(p.tolist())) == len(p) and len(set(g.tolist())) == len(g)
+
+
+def test_plan_gives_each_gap_once():
+    parts = [{"part": 3, "pieces": 2, "largest": 90, "gaps": 5, "least": 80}, {"part": 2, "pieces": 7, "largest": 30, "gaps": 1, "least": 40}, {"part": 0, "pieces": 9, "largest": 10, "gaps": 0, "least": None}]
+    assert packing.plan_between(parts) == [(2, 0, 6, 3, 4, 2), (2, 6, 7, 3, 1, 1), (0, 0, 4, 2, 0, 4), (0, 4, 9, 3, 0, 5)]
 
 
 def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     t, e = Tokenizer.from_file(packing.word_vocabulary()), packing.Encoder(packing.word_vocabulary())
-    texts = ["a\x1cb", "x\x85y z\xa0w", "it's don't 's", "<|endoftext|> hi<|endoftext|>", "ÀÉ ΣΑΣ ς", "１２３ 12ab!!", "é ́x", "", "  ", "a᠎b​c", "日本語", "\U0001f600ok", "İI"]
-    for text, ids in zip(texts, e.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    texts = ["a\x1cb", "x\x85y z\xa0w", "it's don't 's", "<|endoftext|> hi<|endoftext|>", "ÀÉ ΣΑΣ ς", "１２３ 12ab!!", "é ́x", "", "  ", "a᠎b​c", "日本語", "\U0001f600ok", "İI", "", None]
+    for end in (None, 1):
+        ids, cuts = e.encode(pa.array(texts), end)
+        got = [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])]
+        assert got == [t.encode(text or "", add_special_tokens=False).ids + ([] if end is None else [end]) for text in texts]
 
 
 # ---- line dedup

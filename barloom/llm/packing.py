@@ -19,7 +19,6 @@ be null or repeat. An empty table gives no rows. Other columns of the input are
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -33,17 +32,44 @@ from pyspark.sql import functions as F
 from ._shared import Workspace
 from ._words import slices, split, utf8, word_hashes
 
-#: What the vocabulary's pre-tokenizer takes as white space; tokens never cross it.
-_CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
-#: Letters whose small form is one precomposed character, then ASCII marks but the apostrophe (contractions are tokens).
-_LETTERS_AND_MARKS = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
-_CACHE_WORDS = 400_000
+#: Bytes of units: 1 letters whose small form is one letter of one or two bytes, 2 ASCII marks but the apostrophe (contractions are tokens).
+_KIND = np.zeros(256, np.uint8)
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = 2
+_TIMES, _DIVIDED = 0x97, 0xB7  # the only signs behind 0xC3
+_CACHE_UNITS = 2_000_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start and end of each unit, its row): runs between white space, where letters and the marks behind them are two units, small letters for
+    capitals. Other runs are units as they are. The vocabulary's tokens never cross a unit's ends."""
+    start, end, row = split(data, offsets)
+    if not len(start):
+        return data, start, end, row
+    kind, small = _KIND[data], data.copy()
+    small[(data >= 65) & (data <= 90)] += 32
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[(data[lead + 1] != _TIMES) & (data[lead + 1] != _DIVIDED)]
+    kind[lead] = kind[lead + 1] = 1
+    small[lead[data[lead + 1] < 0x9F] + 1] += 32
+    count = lambda mask, to: np.diff(np.concatenate([[0], np.cumsum(mask)])[np.stack([start, to])], axis=0)[0]
+    turns = kind[:-1] != kind[1:]
+    plain = (kind[start] == 1) & (count(kind == 0, end) == 0) & (count(turns & (kind[1:] == 1), end - 1) == 0)
+    cut = np.flatnonzero(turns & (kind[:-1] == 1) & (kind[1:] == 2)) + 1
+    word = np.searchsorted(start, cut, "right") - 1
+    cut = cut[plain[word] & (cut < end[word])]
+    begin = np.sort(np.concatenate([start, cut]))
+    word = np.searchsorted(start, begin, "right") - 1
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[start[plain]] += 1
+    inside[end[plain]] -= 1
+    return np.where(np.cumsum(inside[:-1]) > 0, small, data), begin, np.minimum(np.append(begin[1:], len(data)), end[word]), row[word]
+
+
 class Encoder:
-    """Token ids of texts. Ids of a run between white space don't depend on its neighbours, so runs are encoded once and remembered by a 64-bit hash;
-    the memory is emptied when it gets large. Per occurrence of a run there are only NumPy steps."""
+    """Token ids of texts. A unit's ids don't depend on its neighbours, so units are encoded once and remembered by a 64-bit hash in sorted arrays; the memory
+    is emptied when it gets large. Per occurrence of a unit there are only NumPy steps."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,52 +79,41 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}  # hash -> place
-        self.parts: dict[str, bytes] = {"": b""}
-        self.first, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.keys, self.first, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4")
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each followed by ``end_id`` if there is one, and the n + 1 places where texts begin and end."""
-        if len(self.known) > _CACHE_WORDS:
+        if len(self.keys) > _CACHE_UNITS:
             self._forget()
-        data, offsets = utf8(texts)
-        start, end, row = split(data, offsets)
+        data, start, end, row = units(*utf8(texts))
         distinct, sample, which = np.unique(word_hashes(data, start), return_index=True, return_inverse=True)
-        place = np.fromiter((self.known.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
-        new = np.flatnonzero(place < 0)
+        if len(self.keys):
+            new = np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)] != distinct)
+        else:
+            new = np.arange(len(distinct))
         if len(new):
             raw = data.tobytes()
-            place[new] = self._learn(distinct[new].tolist(), [raw[a:b].decode() for a, b in zip(start[sample[new]].tolist(), end[sample[new]].tolist(), strict=True)])
-        first, count = self.first[place][which], self.count[place][which]
+            self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(start[sample[new]].tolist(), end[sample[new]].tolist(), strict=True)])
+        place = np.searchsorted(self.keys, distinct)
+        first, count = self.first[place][which], self.count[place][which].astype(np.int64)
         per_row = np.bincount(row, count, len(texts)).astype(np.int64)
+        pool = self.pool
         if end_id is not None:
             behind = np.cumsum(np.bincount(row, minlength=len(texts)))
-            first, count, per_row = np.insert(first, behind, len(self.pool)), np.insert(count, behind, 1), per_row + 1
+            first, count, per_row = np.insert(first, behind, len(pool)), np.insert(count, behind, 1), per_row + 1
+            pool = np.append(pool, np.array([end_id], "<u4"))
         at = np.cumsum(count) - count
-        pool = self.pool if end_id is None else np.append(self.pool, np.array([end_id], "<u4"))
         return pool[np.repeat(first - at, count) + np.arange(int(count.sum()))], np.concatenate([[0], np.cumsum(per_row)])
 
-    def _learn(self, hashes: list[int], runs: list[str]) -> np.ndarray:
-        """Places of new runs. A run of small letters and the marks after it are tokens by themselves, so most new runs are put together of known parts."""
-        owns, new = [], set()
-        for run in runs:
-            own = []
-            for w in _CHUNK.findall(run):  # white space beyond ASCII parts a run too
-                m = _LETTERS_AND_MARKS.fullmatch(w.lower())
-                own += m.groups() if m else (w,)
-            owns.append(own)
-            new.update(own)
-        new = list(new.difference(self.parts))
-        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[part] = np.asarray(e.ids, "<u4").tobytes()
-        ids = [b"".join([self.parts[x] for x in own]) for own in owns]
-        count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        place = len(self.first) + np.arange(len(ids))
-        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
-        self.known.update(zip(hashes, place.tolist(), strict=True))
-        return place
+    def _learn(self, hashes: np.ndarray, new: list[str]) -> None:
+        """Adds units; ``hashes`` are sorted."""
+        found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+        count = np.bincount(np.array(found.word_ids, np.int64), minlength=len(new)).astype(np.int32)
+        first = len(self.pool) + np.cumsum(count, dtype=np.int64) - count
+        self.pool = np.append(self.pool, np.array(found.ids, "<u4"))
+        keys = np.concatenate([self.keys, hashes])
+        order = np.argsort(keys, kind="stable")  # two sorted runs
+        self.keys, self.first, self.count = keys[order], np.concatenate([self.first, first])[order], np.concatenate([self.count, count])[order]
 
 
 def encoder(path: str) -> Encoder:
@@ -114,7 +129,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, cap
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tie = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", 4 << 20):
                 ids, cuts = encoder(vocabulary).encode(rows.column("text"), end_id)
                 n = -(-np.diff(cuts) // capacity)
                 of = np.repeat(np.arange(rows.num_rows), n)

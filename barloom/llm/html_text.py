@@ -1,15 +1,18 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines: one for each block, and ``GAP`` empty lines where an element that isn't article text was taken
-out (navigation, headers, footers, sidebars, forms, scripts, and elements whose class, id or role says notice, advert, menu, comments
-and the like, as a whole token or a compound of nothing but layout words). Layout that holds most of the page's text outside links
-stays (headers, sidebars, forms; adverts, replies and the like only if nothing else is left), and so does any furniture around the page's
-only ``article`` or ``main``. A line's weight is its text outside links. Sums over sliding windows of ``window`` lines give the distribution: it
-surges where a sum becomes positive and dives where sums fall to zero again, so a stretch between surge and dive is a run of lines with
-no gap as wide as the window. Lines in the page's ``article`` or ``main`` element are kept if they have half of the weight or more; else
-stretches with lines in the same nearest container are joined, as what was taken out between them stood inside one text, and those
-are kept that have at least ``share`` of the weight of the heaviest, unless most of their text is links. Kept lines come whole, in page
-order, joined by a newline; lines at a stretch's edges, however short, are never trimmed.
+Markup is stripped to lines, one for each block. Between lines stand empty lines for the borders of containers that lie there (two for each opened or closed div and its
+like, one for sections and cells, none for paragraphs, lists and headings). A line's weight is its text outside links. Sums over sliding windows of
+``window`` lines give the distribution: it surges where a sum becomes positive and dives where sums fall to zero again, so a stretch between surge and
+dive is a run of lines with no gap as wide as the window; neighbours in different containers and rows of links part stretches.
+
+Each stretch grows to a group, the text it is part of: all lines of the least container that holds it, or of the article or main element around that. Stretches of
+no container but the body's are one group from the first surge to the last dive. Groups of ``share`` of the heaviest one's weight or more are kept (an article or main element
+counts double) unless most of their text is links; if several are kept and one container below the body holds them all, so is what lies between them there. A
+top heading right before the first is its title. Kept lines come whole, in page order, joined by a newline.
+
+What the distribution can't tell, markup says: elements of navigation, forms and the like, and a few class and id words for adverts, notices, comments
+and layout, as whole tokens or compounds of layout words, are taken out and leave a gap. Without an article or main element outside, layout that holds more than half of all weight stays; if
+nothing else is left, so does anything that does. A header within an article or main element is part of it.
 
 Null html is empty, and an empty page has an empty text. Truncated pages end where they end. Repeated rows each give a row; other columns are not
 read.
@@ -19,9 +22,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from bisect import bisect_left
-from collections.abc import Callable, Iterator
-from itertools import accumulate
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -37,25 +38,15 @@ _ENDS_P = _BLOCK - frozenset("td th tr tbody thead tfoot li dt dd option caption
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table div section article main body aside nav".split())
 
-#: Elements that hold a text as a whole.
-_BOX = frozenset("html body div section article main td center".split())
-
-_DROP = frozenset("head nav header footer aside form menu dialog button select svg canvas object audio video search".split()) | _RAW
-_DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
-_DROP_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adblock banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars side aside widget widgets footer header masthead "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended trending toolbar pagination pager comment comments commentlist disqus respond replies reply discussion form search disclaimer copyright".split()
-)
-#: What may stand around a whole text, of the above.
-_AROUND = frozenset("header aside form search".split())
-_AROUND_WORDS = frozenset("nav navbar navigation menu sidebar sidebars side aside widget widgets footer header masthead modal overlay popup toolbar form search".split())
-#: Words of ordinary headings too: an id is often the anchor of one.
-_PROSE = frozenset("side related recommended trending notice notices alert consent promotion social share sharing search form disclaimer copyright comment replies reply discussion header subscription login signup overlay navigation advertising cookie cookies".split())
-#: What layout words are compounded with.
-_PLACES = frozenset("site page main top bottom left right center global primary secondary mobile desktop blog reader readers user users post inner outer container wrap wrapper box bar area list item items link links block slot unit group panel row col column inline sticky fixed floating google email button buttons icon icons posts".split())
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_ANCHORED = _HEADINGS | frozenset("p li dt dd pre blockquote figure figcaption table tr td th span a code em strong b i".split())
-_MAIN = re.compile(r"<(?:article|main)\b", re.I)
+#: Containers, with the empty lines for each of their borders.
+_BORDER = dict.fromkeys("div article main center aside nav header footer form".split(), 2) | {"section": 1, "td": 1}
+_LAYOUT = frozenset("nav aside footer header form menu dialog search".split())
+_NEVER = frozenset("head button select svg canvas object audio video".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
+_LAYOUT_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead toolbar pagination pager widget".split())
+_EXTRA_WORDS = frozenset("ad ads advert adverts advertisement sponsored promo banner cookie cookies consent newsletter popup comment comments commentlist disqus respond related share social".split())
+#: What those are compounded with.
+_PLACES = frozenset("site page main top bottom left right reader readers user post box list area container wrapper block inner".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
@@ -63,11 +54,12 @@ GAP = 4
 
 
 class Line(NamedTuple):
-    text: str  # empty in gaps
+    text: str
     linked: int  # characters in links, but spaces
-    inside: bool  # in an article or main element
     box: int  # its nearest container
-    place: int  # where its text ends, or the gap starts, in the page
+    gap: int  # empty lines before it
+    marks: tuple[int, ...]  # the furniture around it
+    title: bool  # a top heading
 
     @property
     def weight(self) -> int:
@@ -75,96 +67,91 @@ class Line(NamedTuple):
         return max(0, len(self.text.replace(" ", "")) - self.linked)
 
 
+class Page(NamedTuple):
+    lines: list[Line]
+    kinds: list[str]  # of the furniture: layout, extra or never
+    parent: list[int]  # of each container; the first is the page
+    whole: list[bool]  # whether a container is an article or main element
+
+    def around(self, box: int) -> list[int]:
+        """A container and those that hold it, the page last."""
+        path = [box]
+        while path[-1]:
+            path.append(self.parent[path[-1]])
+        return path
+
+
 def _says(token: str, words: frozenset[str]) -> bool:
     """Whether a class or id token is one of the words, or a compound of one with layout words alone."""
     if token in words:
         return True
     parts = [x for x in re.split(r"[-_]+", token) if x]
-    return len(parts) > 1 and any(x in words for x in parts) and all(x in _DROP_WORDS or x in _PLACES or re.fullmatch(r"[\dx]+", x) for x in parts)
+    return len(parts) > 1 and any(x in words for x in parts) and all(x in _LAYOUT_WORDS or x in _EXTRA_WORDS or x in _PLACES or re.fullmatch(r"[\dx]+", x) for x in parts)
 
 
-def _unwanted(tag: str, attributes: str) -> str:
-    """Why an element isn't article text: layout, extra or never; empty if it may be."""
-    why = "layout" if tag in _AROUND else "never" if tag in _DROP else ""
-    if tag in ("html", "body", "article", "main") or not attributes.strip():
+def furniture(tag: str, attributes: str, within: bool) -> str:
+    """Why an element may be no part of the text: layout, extra or never; empty if it is like any other. ``within``: it stands in an article or main element."""
+    why = "never" if tag in _NEVER else "layout" if tag in _LAYOUT and not (tag == "header" and within) else ""
+    if tag in ("html", "body", "main") or "=" not in attributes and "hidden" not in attributes:
         return why
     if re.search(r"(?:^|\s)hidden(?=[\s/=]|$)", attributes) and not re.search(r"=\s*[\"'][^\"']*\bhidden\b", attributes):
         return "never"
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = (a or b or c).lower(), name.lower()
-        if name == "role" and value.strip() in _DROP_ROLES:
+        if name == "role" and value.strip() in _ROLES:
             why = why or "layout"
         if name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return "never"
-        if name == "class" and tag not in _HEADINGS or name == "id" and tag not in _ANCHORED:
-            words = _DROP_WORDS if name == "class" else _DROP_WORDS - _PROSE
-            if any(_says(token, words - _AROUND_WORDS) for token in value.split()):
+        if name == "class" and not re.fullmatch("h[1-6]", tag) or name == "id" and tag in _BORDER:
+            if any(_says(token, _EXTRA_WORDS) for token in value.split()):
                 why = why if why == "never" else "extra"
-            elif any(_says(token, words) for token in value.split()):
+            elif any(_says(token, _LAYOUT_WORDS) for token in value.split()):
                 why = why or "layout"
     return why
 
 
-def page_lines(page: str, stays: Callable[[str, int, int], bool] | None = None) -> tuple[list[Line], list[tuple[int, int]]]:
-    """The lines of a page, empty ones in gaps, and where the furniture stood that was taken out. ``stays`` says of furniture, by
-    why it is that and where it starts and ends, that it isn't taken out."""
+def read_page(page: str) -> Page:
     lines: list[Line] = []
-    gone: list[tuple[int, int]] = []
+    kinds: list[str] = []
+    parent, whole = [0], [False]
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[str] = []
-    boxes = [0]
-    article, links, place, opened = 0, 0, 0, 0
+    stack: list[tuple[str, bool, bool]] = []  # tag, whether it is a container, whether it is furniture
+    boxes, marks = [0], []
+    texts, links, gap, title = 0, 0, 0, False
 
     def end_block() -> None:
+        nonlocal gap, title
         if parts:
             text = _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
             if text:
-                lines.append(Line(text, len(_SPACE.sub("", html_lib.unescape("".join(linked)))), article > 0, boxes[-1], place))
+                lines.append(Line(text, len(_SPACE.sub("", html_lib.unescape("".join(linked)))), boxes[-1], gap, tuple(marks), title))
+                gap = 0
             parts.clear()
             linked.clear()
+        title = False
 
     def take(text: str) -> None:
-        nonlocal place
         parts.append(text)
-        place = at
         if links:
             linked.append(text)
 
     def pop(tag: str) -> None:
-        nonlocal article, links
+        nonlocal texts, links, gap
         while stack:
-            top = stack.pop()
-            if top in _BLOCK:
+            top, box, mark = stack.pop()
+            if top in _BLOCK or mark:
                 end_block()
-            article -= top in ("article", "main")
+            texts -= top in ("article", "main")
             links -= top == "a"
-            if top in _BOX:
+            if box:
                 boxes.pop()
+                gap += _BORDER[top]
+            if mark:
+                marks.pop()
             if top == tag:
                 return
 
-    def skip(tag: str, at: int) -> int:
-        """Where the element that was just opened ends."""
-        if tag in _RAW:
-            close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            return close.end() if close else len(page)
-        depth = 1
-        while depth:
-            m = _TAG.search(page, at)
-            if not m:
-                return len(page)
-            at, name = m.end(), (m[3] or "").lower()
-            if name in _RAW and not m[2]:
-                at = skip(name, at)
-            elif name == tag:
-                depth += -1 if m[2] else (not m[4].rstrip().endswith("/"))
-            elif m[2] and name in ("body", "html"):
-                return m.start()
-            elif tag == "head" and name == "body":
-                return m.start()
-        return at
-
     at = 0
     while at < len(page):
         m = _TAG.search(page, at)
@@ -181,7 +168,7 @@ def page_lines(page: str, stays: Callable[[str, int, int], bool] | None = None)
             continue
         closing, tag, attributes = m[2], m[3].lower(), m[4]
         if closing:
-            if tag in stack:
+            if any(x[0] == tag for x in stack):
                 pop(tag)
             elif tag in _BLOCK:
                 end_block()
@@ -192,112 +179,127 @@ def page_lines(page: str, stays: Callable[[str, int, int], bool] | None = None)
             else:
                 take(" " if tag == "br" else "")
             continue
-        if tag in _ENDS_P and "p" in stack:
-            cut = len(stack) - 1 - stack[::-1].index("p")
-            if not _SCOPE & set(stack[cut + 1 :]):
+        if tag in _RAW:
+            close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = close.end() if close else len(page)
+            continue
+        open_ = [x[0] for x in stack]
+        if tag == "body" and "head" in open_:
+            pop("head")
+        if tag in _ENDS_P and "p" in open_:
+            cut = len(open_) - 1 - open_[::-1].index("p")
+            if not _SCOPE & set(open_[cut + 1 :]):
                 pop("p")
         if tag in _SAME:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k] in _SAME[tag]:
-                    pop(stack[k])
+                if stack[k][0] in _SAME[tag]:
+                    pop(stack[k][0])
                     break
-                if stack[k] in _SCOPE:
+                if stack[k][0] in _SCOPE:
                     break
-        why = _unwanted(tag, attributes)
-        if why:
-            end = skip(tag, at)
-            if tag in _RAW or tag == "head" or not (stays and stays(why, at, end)):
-                if tag in _BLOCK or tag in _DROP and tag not in ("button", "select", "svg", "canvas"):
-                    end_block()
-                    lines.extend([Line("", 0, article > 0, boxes[-1], at)] * GAP)
-                if tag not in _RAW and tag != "head":
-                    gone.append((at, end))
-                at = end
-                continue
-        if tag in _BLOCK:
+        why = furniture(tag, attributes, texts > 0)
+        if tag in _BLOCK or why:
             end_block()
-        stack.append(tag)
-        if tag in _BOX:
-            opened += 1
-            boxes.append(opened)
-        article += tag in ("article", "main")
+        if attributes.endswith("/") and why:
+            continue
+        title = tag == "h1" or title
+        stack.append((tag, tag in _BORDER, bool(why)))
+        if tag in _BORDER:
+            gap += _BORDER[tag]
+            parent.append(boxes[-1])
+            whole.append(tag in ("article", "main"))
+            boxes.append(len(parent) - 1)
+        if why:
+            marks.append(len(kinds))
+            kinds.append(why)
+        texts += tag in ("article", "main")
         links += tag == "a"
     end_block()
-    return lines, gone
-
-
-def text_lines(page: str) -> list[Line]:
-    """The lines of a page without its furniture; what holds most of the text or the only article isn't furniture, whatever it is called."""
-    lines, gone = page_lines(page)
-    found, left = any(x.text and x.inside for x in lines), sum(x.weight for x in lines)
-    articles = [] if found else [m.start() for m in _MAIN.finditer(page)]
-    if not articles and all(end - start <= left for start, end in gone):
-        return lines
-    everything, _ = page_lines(page, lambda *_: True)
-    places, sums = [x.place for x in everything], [0, *accumulate(x.weight for x in everything)]
-
-    def stays(why: str, start: int, end: int) -> bool:
-        if bisect_left(articles, start) < bisect_left(articles, end):
-            return True
-        return (why == "layout" or why == "extra" and not left) and 2 * (sums[bisect_left(places, end)] - sums[bisect_left(places, start)]) > sums[-1]
-
-    return page_lines(page, stays)[0]
-
-
-def _stretches(weight: list[int], window: int) -> list[tuple[int, int]]:
-    n = len(weight)
-    sums = [sum(weight[i : i + window]) for i in range(n)]
-    stretches: list[tuple[int, int]] = []
-    i = 0
-    while i < n:
-        if not sums[i]:
-            i += 1
-            continue
-        surge = i
-        while i < n and sums[i]:
-            i += 1
-        # a sum looks ahead: the surge is the first line with weight, the dive comes after the last
-        own = [k for k in range(surge, i) if weight[k]]
-        stretches.append((own[0], own[-1] + 1))
-    return stretches
-
-
-def _joined(stretches: list[tuple[int, int]], lines: list[Line]) -> list[list[tuple[int, int]]]:
-    """The stretches in groups that have lines in the same containers."""
-    group = list(range(len(stretches)))
-
-    def root(i: int) -> int:
-        while group[i] != i:
-            group[i] = group[group[i]]
-            i = group[i]
-        return i
-
-    first: dict[int, int] = {}
-    for i, (a, b) in enumerate(stretches):
-        for box in {x.box for x in lines[a:b] if x.text}:
-            group[root(i)] = root(first.setdefault(box, i))
-    out: dict[int, list[tuple[int, int]]] = {}
-    for i, s in enumerate(stretches):
-        out.setdefault(root(i), []).append(s)
-    return list(out.values())
-
-
-def main_text(page: str | None, window: int = 3, share: float = 0.2) -> str:
-    lines = text_lines(page or "")
-    if any(x.text and x.inside for x in lines) and 2 * sum(x.weight for x in lines if x.inside) >= sum(x.weight for x in lines):
-        return "\n".join(x.text for x in lines if x.text and x.inside)
-    groups = _joined(_stretches([x.weight for x in lines], window), lines)
-    total = lambda group: sum(x.weight for a, b in group for x in lines[a:b])
-    length = lambda group: sum(len(x.text) for a, b in group for x in lines[a:b])
-    heaviest = max(map(total, groups), default=0)
-    kept: set[int] = set()
-    for group in groups:
-        if total(group) >= share * heaviest and 2 * total(group) >= length(group):
-            kept.update(k for a, b in group for k in range(a, b))
-            # lines of links between joined stretches stand in the same text
-            boxes = {x.box for a, b in group for x in lines[a:b] if x.text}
-            kept.update(k for k in range(group[0][0], group[-1][1]) if lines[k].box in boxes)
-    return "\n".join(lines[k].text for k in sorted(kept) if lines[k].text)
+    return Page(lines, kinds, parent, whole)
+
+
+def without_furniture(page: Page) -> list[Line]:
+    """Lines outside furniture; a gap stands where some was taken out."""
+    weight, total = [0] * len(page.kinds), 0
+    for line in page.lines:
+        if not any(page.kinds[m] == "never" for m in line.marks):
+            total += line.weight
+            for m in line.marks:
+                weight[m] += line.weight
+    gone = set(range(len(page.kinds)))
+    if not any(page.whole[x] for box in {line.box for line in page.lines if line.text and not line.marks} for x in page.around(box)):
+        gone = {m for m, kind in enumerate(page.kinds) if kind != "layout" or 2 * weight[m] <= total}
+    if not any(line.weight for line in page.lines if not gone.intersection(line.marks)):
+        gone = {m for m in gone if page.kinds[m] == "never" or 2 * weight[m] <= total}
+    out, gap = [], 0
+    for line in page.lines:
+        if gone.intersection(line.marks):
+            gap += line.gap + GAP
+        else:
+            out.append(line._replace(gap=line.gap + gap))
+            gap = 0
+    return out
+
+
+def stretches(lines: list[Line], window: int) -> list[tuple[int, int]]:
+    """(first line, last line + 1) between each surge and dive: runs of weight in which no ``window`` lines, empty ones included, sum to zero."""
+    out: list[tuple[int, int]] = []
+    empty = window
+    for k, line in enumerate(lines):
+        empty += line.gap
+        if line.weight:
+            if empty >= window:
+                out.append((k, k + 1))
+            else:
+                out[-1] = (out[-1][0], k + 1)
+            empty = 0
+        else:
+            empty += 1
+    return out
+
+
+def main_text(html: str | None, window: int = 3, share: float = 0.4) -> str:
+    page = read_page(html or "")
+    lines = without_furniture(page)
+    paths: dict[int, list[int]] = {}
+
+    def around(box: int) -> list[int]:
+        return paths.get(box) or paths.setdefault(box, page.around(box))
+
+    def common(some: list[int]) -> int:
+        held = around(some[0])
+        for box in set(some[1:]):
+            held = [x for x in held if x in set(around(box))]
+        return held[0]
+
+    groups: dict[int, list[int]] = {}  # container -> its lines; for the page only those of stretches
+    runs = stretches(lines, window)
+    for a, b in runs:
+        box = common([x.box for x in lines[a:b]])
+        box = next((x for x in around(box) if page.whole[x]), box)
+        groups.setdefault(box, []).extend(range(a, b) if not box else [])
+    for box in [x for x in groups if any(y in groups for y in around(x)[1:] if y)]:
+        del groups[box]  # a part of another one
+    for box, own in groups.items():
+        if box:
+            own.extend(k for k, x in enumerate(lines) if box in around(x.box))
+        else:
+            own[:] = [k for k in range(own[0], own[-1] + 1) if not lines[k].box]
+    mass = {box: sum(lines[k].weight for k in own) * (2 if page.whole[box] else 1) for box, own in groups.items()}
+    text = {box for box, own in groups.items() if 2 * sum(lines[k].weight for k in own) >= sum(len(lines[k].text.replace(" ", "")) for k in own)}
+    heaviest = max((mass[box] for box in text), default=0)
+    kept = [box for box in groups if box in text and mass[box] >= share * heaviest and mass[box]]
+    if not kept:
+        return ""
+    if len(kept) > 1 and (held := common(kept)):
+        own = {k for k, x in enumerate(lines) if held in around(x.box)}
+    else:
+        own = {k for box in kept for k in groups[box]}
+    first = min(own)
+    before = max((k for k in range(first) if lines[k].weight), default=None)
+    if before is not None and lines[before].title and any(before == a for a, _ in runs) and not any(lines[k].title for k in own):
+        own.add(before)
+    return "\n".join(lines[k].text for k in sorted(own))
 
 
 def extract_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

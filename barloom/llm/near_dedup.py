@@ -161,7 +161,8 @@ def _meets(dealt: DataFrame) -> DataFrame:
     blocks = lambda inside: F.greatest(F.ceil(F.count_if(inside) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(inside, F.col("weight"))), F.lit(0)) / BLOCK_WORDS), F.lit(1)).cast("int")
     away = F.col("label") != F.col("home")
     sizes = dealt.groupBy("pivot").agg(F.count_if(away).alias("away"), blocks(away).alias("n_away"), blocks(~away).alias("n_home")).where("away > 0")
-    rows = dealt.join(sizes.hint("merge"), "pivot").withColumn("own", F.pmod(F.xxhash64("tid"), F.when(away, F.col("n_away")).otherwise(F.col("n_home"))).cast("int"))
+    keyed = lambda df: df.withColumn("h", F.xxhash64("pivot"))  # noqa: E731  another step than the sums, so that Spark may split a large group
+    rows = keyed(dealt).join(keyed(sizes).hint("merge"), ["pivot", "h"]).withColumn("own", F.pmod(F.xxhash64("tid"), F.when(away, F.col("n_away")).otherwise(F.col("n_home"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     near = F.transform(upto("n_away"), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), F.lit(False).alias("far")))
     far = F.transform(upto("n_home"), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("far")))

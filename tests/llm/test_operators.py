@@ -232,6 +232,49 @@ def test_pages_against_their_article(spark):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+MORE = "<p>" + "Another part that goes on for a while. " * 12 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<article><header><h1>Title</h1></header>{MORE}</article><article class="comment"><p>{"I like it. " * 30}</p></article>', "Title\n" + ("Another part that goes on for a while. " * 12).strip()),
+        (f"<main><article><h1>Title</h1>{MORE}</article><article><h2>Next</h2><p>Teaser of it.</p></article></main>", "Title\n" + ("Another part that goes on for a while. " * 12).strip()),
+        *((f'<div class="{c}">{MORE}</div>', ("Another part that goes on for a while. " * 12).strip()) for c in ("page-with-sidebar", "market-share", "long-form", "side-by-side")),
+        (f'<div id="page-with-sidebar"><h1>Title</h1>{MORE}</div>', "Title\n" + ("Another part that goes on for a while. " * 12).strip()),
+        (f"<div><div><h1>Title</h1></div><div>{MORE}</div></div><div>Short words here.</div>", "Title\n" + ("Another part that goes on for a while. " * 12).strip()),
+        (f"<div><div>{MORE}</div><div>{MORE}</div><div><p>End of it.</p></div></div><div>Short words here.</div>", "\n".join([("Another part that goes on for a while. " * 12).strip()] * 2 + ["End of it."])),
+        (f"<div><ul><li><a href=x>Some link of the page</a><li><a href=y>Another link</a><li><a href=z>A third</a></ul></div><div>{MORE}<ul><li><a href=x>Source</a></ul></div>", ("Another part that goes on for a while. " * 12).strip() + "\nSource"),
+        ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+    ],
+)
+def test_the_distribution_decides(page, text):
+    assert html_text.main_text(page) == text
+
+
+def article_of(page):
+    from html import unescape
+
+    body = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)[1]
+    return "\n".join(b for b in (" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", body)) if b)
+
+
+def test_pages_with_neutral_names():
+    pages = [x for (x,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    plain = [re.sub(r'<div class="\w+">', "<div>", re.sub(r"<(/?)(?:nav|footer|article)>", r"<\1div>", x)) for x in pages]
+    right = sum(html_text.main_text(x) == article_of(y) for x, y in zip(plain, pages))
+    assert right >= 0.95 * len(pages)
+
+
+def test_pages_operator(spark):
+    rows = [(1, "a", BODY), (1, "a", BODY), (2, None, None), (None, "b", ""), (3, "c", "<p>" + "long text " * 30_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("x"), "n_chars": F.lit(-1), "k0": F.lit(1)})
+    got = html_text.extract_text(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert Counter(map(tuple, got.collect())) == Counter([(1, "a", SAID, len(SAID))] * 2 + [(2, None, "", 0), (None, "b", "", 0), (3, "c", ("long text " * 30_000).strip(), 299_999)])
+    assert html_text.extract_text(df.where("false")).count() == 0
+
+
 # ---- packing
 
 

@@ -52,6 +52,30 @@ def symbol_equity(trades: DataFrame, line: DataFrame, initial: float) -> DataFra
     return grid.join(done, ["combo_id", "symbol", "ord"], "left").select("combo_id", "symbol", "ord", "ts", (F.lit(initial) + F.sum(F.coalesce("profit", F.lit(0.0))).over(run)).alias("balance"))
 
 
+def symbol_metrics(trades: DataFrame, line: DataFrame, initial: float, keys: tuple[str, ...] = ("combo_id",)) -> DataFrame:
+    """A record for each (keys, symbol) that trades: final balance, entries, share of winners among closed trades, largest drawdown (share) and annualised Sharpe ratio of
+    its realised equity on the line. Equity moves at closes only, so these are the only rows; the line gives the number of times and their median distance."""
+    own = [*keys, "symbol"]
+    order = Window.partitionBy(*own).orderBy("ord")
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    done = trades.where("closed").groupBy(*own, F.col("close_ord").alias("ord")).agg(F.sum("profit").alias("profit"))
+    done = done.withColumn("b", F.lit(initial) + F.sum("profit").over(run))
+    before = F.coalesce(F.lag("b").over(order), F.lit(float(initial)))
+    peak = F.greatest(F.lit(float(initial)), F.max("b").over(run))
+    rows = done.select(*own, "ord", "b", ((peak - F.col("b")) / F.when(peak == 0, 1.0).otherwise(peak)).alias("dd"), F.when(before != 0, F.col("b") / F.when(before != 0, before) - 1).alias("r"))
+    moved = rows.groupBy(*own).agg(F.max_by("b", "ord").alias("final"), F.max("dd").alias("dd"), F.sum("r").alias("sum"), F.sum(F.col("r") * F.col("r")).alias("squares"))
+    entries = trades.groupBy(*own).agg(F.count(F.lit(1)).alias("Num_Signals"), F.avg(F.when(F.col("closed"), (F.col("profit") > 0).cast("double"))).alias("Win_Ratio"))
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    steps = line.withColumn("dt", seconds - F.lag(seconds).over(Window.orderBy("ord")))
+    whole = steps.agg((F.count(F.lit(1)) - 1).cast("double").alias("_n"), F.coalesce(F.percentile(F.when(F.col("dt") > 0, F.col("dt")), F.lit(0.5)), F.lit(86400.0)).alias("_dt"))
+    found = entries.join(moved, own, "left").crossJoin(F.broadcast(whole))
+    mean = F.try_divide("sum", "_n")
+    spread = F.sqrt(F.greatest(F.try_divide("squares", "_n") - mean * mean, F.lit(0.0)))
+    per_year = F.lit(YEAR) / F.col("_dt")
+    sharpe = F.when(spread > 0, F.try_divide(mean * per_year, spread * F.sqrt(per_year)))
+    return found.select(*own, F.coalesce("final", F.lit(float(initial))).alias("Final_Balance"), "Num_Signals", "Win_Ratio", (F.coalesce("dd", F.lit(0.0)) * 100).alias("DD_pct"), sharpe.alias("Sharpe"))
+
+
 def sequence_metrics(trades: DataFrame, initial: float, keys: tuple[str, ...] = ("combo_id",)) -> DataFrame:
     """From the sequence of closed trades alone: Sharpe ratio of balance changes (by the sample deviation, 252 periods) and drawdown in money."""
     order = Window.partitionBy(*keys).orderBy("close_ord", "seq")

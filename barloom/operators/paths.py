@@ -13,9 +13,9 @@ from barloom.functions.scalar import symbol_seed
 
 
 def draw_index(seed: Column, path: Column, step: Column, n: Column) -> Column:
-    """A row number below n from a counter-based integer hash; symbols aren't in it, so symbols of equal length share draws."""
-    mixed = (seed + path) * 7919 + step * 104729 + 13
-    return F.pmod(F.pmod(mixed * 48271, F.lit(2147483647)) * 16807, F.lit(2147483647)) % n
+    """A row number below n: the first 48 bits of the md5 of ``seed + path`` and the step, so that draws are independent wherever they are made. Symbols aren't
+    in it, so symbols of equal length share draws."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", seed + path, step)), 1, 12), 16, 10).cast("bigint") % n
 
 
 def bootstrap_draws(features: DataFrame, paths: int, steps: int, seed: int = 42) -> DataFrame:
@@ -48,9 +48,19 @@ def path_bars(paths: DataFrame, ordinal_time: bool = False) -> DataFrame:
     return out.withColumn("ts", F.timestamp_micros(F.col("step").cast("long")).cast("timestamp_ntz")) if ordinal_time else out
 
 
+def floored(start: np.ndarray, move: np.ndarray, jump: np.ndarray, floor: float) -> np.ndarray:
+    """Prices after each (move, jump) of rows of log changes, where the log price is lifted to ``floor`` after either: the sum of changes, lifted by
+    how far it has ever been under the floor."""
+    changes = np.stack([move, jump], axis=2).reshape(len(move), -1)
+    level = np.cumsum(changes, axis=1)
+    lifted = level + np.maximum(start[:, None], floor - np.minimum.accumulate(level, axis=1))
+    return np.exp(lifted[:, 1::2])
+
+
 def jump_diffusion(moments: DataFrame, paths: int, steps: int, substeps: int = 10, jump_prob: float = 0.01, jump_mu: float = 0.0, jump_sigma: float = 0.01, min_price: float = 1e-4, seed: int = 42, vol_scale: Column | None = None) -> DataFrame:
     """Bars (symbol, trial, path_index, step, open, high, low, close) of a diffusion with random volatility and lognormal jumps, for rows (symbol, mu, sigma,
-    last_close and, for a search, trial and its settings). Every (symbol, path) has its own stream of random numbers."""
+    last_close and, for a search, trial and its settings). Every (symbol, path) has its own stream of random numbers. A jump comes with ``jump_prob`` in each
+    substep; a price that falls under ``min_price``, by diffusion or by a jump, goes on from there."""
     given = set(moments.columns)
     cols = {"trial": F.lit(0), "jump_prob": F.lit(jump_prob), "jump_mu": F.lit(jump_mu), "jump_sigma": F.lit(jump_sigma)}
     rows = moments.withColumns({k: v for k, v in cols.items() if k not in given}).withColumn("path_index", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))))
@@ -67,8 +77,8 @@ def jump_diffusion(moments: DataFrame, paths: int, steps: int, substeps: int = 1
                 z = np.stack([g.standard_normal((steps * substeps, 2)) for g in draws])
                 sigma = p["sigma"] * np.maximum(0.1, 1 + 0.4 * (2 * u[:, :, 0] - 1))
                 move = (p["mu"] - sigma**2 / 2) * dt + sigma * np.sqrt(dt) * z[:, :, 0]
-                move += np.where(u[:, :, 1] < p["jump_prob"] * dt, p["jump_mu"] + p["jump_sigma"] * z[:, :, 1], 0.0)
-                price = np.maximum(part["last_close"].to_numpy(float)[:, None] * np.exp(np.cumsum(move, axis=1)), min_price).reshape(m, steps, substeps)
+                jump = np.where(u[:, :, 1] < p["jump_prob"], p["jump_mu"] + p["jump_sigma"] * z[:, :, 1], 0.0)
+                price = floored(np.log(part["last_close"].to_numpy(float)), move, jump, np.log(min_price)).reshape(m, steps, substeps)
                 close = price[:, :, -1]
                 open_ = np.concatenate([part["last_close"].to_numpy(float)[:, None], close[:, :-1]], axis=1)
                 whole = np.concatenate([open_[:, :, None], price], axis=2)

@@ -12,12 +12,13 @@ def with_gain_per_signal(results: DataFrame) -> DataFrame:
     return results.withColumn("Gain_signal", F.try_divide("Net_Gain", F.col("Num_Signals").cast("double")))
 
 
-def best_combos(results: DataFrame, params: list[str], least: tuple[str, ...] = ("DD_pct",), most: tuple[str, ...] = ("Net_Gain_pct", "Sharpe")) -> DataFrame:
-    """The combination with the best value of each metric, the first of equals; nulls never win."""
+def best_combos(results: DataFrame, params: list[str], least: tuple[str, ...] = ("DD_pct",), most: tuple[str, ...] = ("Net_Gain_pct", "Sharpe"), digits: int | None = None) -> DataFrame:
+    """The combination with the best value of each metric, the first of those equal (to ``digits`` decimals, if given); nulls never win."""
     rows = []
+    as_compared = lambda c: c if digits is None else F.round(c, digits)
     for metric in (*most, *least):
         sign = -1 if metric in least else 1
-        pick = F.max_by(F.struct("combo_id", *params, F.col(metric).alias("value")), F.struct((F.col(metric) * sign).alias("v"), -F.col("combo_id")))
+        pick = F.max_by(F.struct("combo_id", *params, F.col(metric).alias("value")), F.struct((as_compared(F.col(metric)) * sign).alias("v"), -F.col("combo_id")))
         rows.append(results.where(F.col(metric).isNotNull()).agg(pick.alias("x")).select(F.lit(metric).alias("metric"), "x.*").where("combo_id is not null"))
     out = rows[0]
     for r in rows[1:]:

@@ -4,9 +4,13 @@ Returns are tables: history (symbol, nth, r) and paths (keys, path_index, nth, r
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.sources.scratch import written
+
 WEIGHTS = {"mean": 0.20, "std": 0.20, "skew": 0.10, "kurt": 0.10, "acf": 0.10, "ks": 0.10, "wasserstein": 0.20}
 
 
@@ -53,6 +57,24 @@ def distribution_distance(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFr
     return steps.groupBy(*keys).agg(F.max("gap").alias("ks"), F.coalesce(F.sum(F.col("gap") * F.col("width")), F.lit(0.0)).alias("wasserstein"))
 
 
+def series_distance(history: DataFrame, paths: DataFrame, once: list[str], by: list[str]) -> DataFrame:
+    """(by, ks, wasserstein) of each path to the history of its keys ``once``: series of equal length, each sorted in one row, so that no
+    history is repeated for the values of a path."""
+    ordered = lambda df, keys, name: df.groupBy(*keys).agg(F.sort_array(F.collect_list("r")).alias(name))
+
+    @F.pandas_udf("ks double, wasserstein double")
+    def distance(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            at = np.concatenate([x, y])
+            gap = np.searchsorted(x, at, "right") / len(x) - np.searchsorted(y, at, "right") / len(y)
+            out.append((np.abs(gap).max(), np.abs(x - y).mean()))
+        return pd.DataFrame(out, columns=["ks", "wasserstein"])
+
+    rows = ordered(paths, by, "p").join(ordered(history, once, "h"), once)
+    return rows.select(*by, distance("h", "p").alias("d")).select(*by, "d.*")
+
+
 def closeness(a: Column, b: Column) -> Column:
     """100 for equal values, falling with the difference relative to the first."""
     return 100 / (1 + F.abs(a - b) / (F.abs(a) + 1e-8))
@@ -77,8 +99,7 @@ def similarity(history: DataFrame, paths: DataFrame, keys: list[str], lags: int
     pa = autocorrelation(paths, [*by, "path_index"], lags).groupBy(*by, "lag").agg(F.avg("acf").alias("p"))
     off, size_h = F.sqrt(F.sum(F.pow(F.col("h") - F.col("p"), 2))), F.sqrt(F.sum(F.pow("h", F.lit(2))))
     acf = pa.join(ha, [*once, "lag"]).groupBy(*keys).agg(F.when(size_h > 0, F.greatest(F.lit(0.0), 100 * (1 - off / (size_h + 1e-12)))).otherwise(0.0).alias("acf"))
-    by_path = paths.select(*by, "path_index").distinct().join(history.select(*once, "r"), once)
-    d = distribution_distance(by_path, paths, [*keys, "path_index"])
+    d = written(series_distance(history, paths, once, [*by, "path_index"]), "distances")
     limit = d.groupBy(*keys).agg(F.percentile("wasserstein", F.lit(0.95)).alias("p95"))
     share = F.when(F.col("p95") > 0, F.least(F.col("wasserstein") / F.when(F.col("p95") > 0, F.col("p95")), F.lit(1.0))).otherwise(0.0)
     dist = d.join(limit, keys).groupBy(*keys).agg((100 * (1 - F.avg("ks"))).alias("ks"), F.avg(100 * (1 - share)).alias("wasserstein"))

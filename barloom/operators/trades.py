@@ -43,24 +43,20 @@ def candidate_trades(touched: DataFrame, signals: DataFrame, tp: list[float], sl
     nth = lambda column, values: F.array_position(F.array(*(F.lit(float(v)) for v in values)), F.col(column).cast("double")).cast("int")
     rows = signals.select("combo_id", "symbol", "idx", "sell_after", "tp", "sl").join(touched, ["symbol", "idx"]).where("idx + sell_after <= n")
     held = F.least(F.col("sell_after"), F.col("n") - 1 - F.col("idx")).cast("int")
-    rows = rows.withColumns({"held": held, "_t": F.element_at("tp_at", nth("tp", tp)), "_s": F.element_at("sl_at", nth("sl", sl))})
-    rows = rows.withColumns({"_t": F.when(F.col("_t") <= F.col("held"), F.col("_t")), "_s": F.when(F.col("_s") <= F.col("held"), F.col("_s"))})
-    bar = F.try_element_at("ahead", F.col("_t").cast("int"))
-    profit_first = F.coalesce(bar["high_time"] <= bar["low_time"], F.lit(False))
-    takes = F.col("_t").isNotNull() & (F.col("_s").isNull() | (F.col("_t") < F.col("_s")) | ((F.col("_t") == F.col("_s")) & profit_first))
-    reason = F.when(takes, "TP").when(F.col("_s").isNotNull(), "SL").otherwise("SELL_AFTER")
-    rows = rows.withColumn("exit_reason", reason)
-    offset = F.when(F.col("exit_reason") == "TP", F.col("_t")).when(F.col("exit_reason") == "SL", F.col("_s")).otherwise(F.col("held")).cast("int")
-    rows = rows.withColumn("offset", offset).withColumn("_exit", F.when(F.col("offset") > 0, F.try_element_at("ahead", F.when(F.col("offset") > 0, F.col("offset")).otherwise(1))))
-    price = (
-        F.when(F.col("exit_reason") == "TP", F.col("close") * (1 + F.col("tp") / 100))
-        .when(F.col("exit_reason") == "SL", F.col("close") * (1 - F.col("sl") / 100))
-        .otherwise(F.coalesce(F.col("_exit.close"), F.col("close")))
-    )
-    rows = rows.select("combo_id", "symbol", "idx", F.col("ts").alias("buy_time"), F.col("close").alias("buy_price"), F.coalesce("_exit.ts", "ts").alias("sell_time"), price.alias("sell_price"), (F.lit(order_amount) / F.col("close")).alias("qty"), "exit_reason")
+    never = F.lit(2**31 - 1)
+    within = lambda at: F.when(at <= F.col("held"), at).otherwise(never)
+    rows = rows.withColumns({"held": held, "_t": F.element_at("tp_at", nth("tp", tp)).cast("int"), "_s": F.element_at("sl_at", nth("sl", sl)).cast("int")})
+    rows = rows.withColumns({"_t": within(F.col("_t")), "_s": within(F.col("_s"))})
+    # one look at the exit's bar: the first touch of either level, or the end of the hold
+    at = F.least("_t", "_s", "held")
+    rows = rows.select("combo_id", "symbol", "idx", "ts", "close", "tp", "sl", "_t", "_s", F.when(at > 0, F.try_element_at("ahead", F.greatest(at, F.lit(1)))).alias("_exit"))
+    profit_first = F.coalesce(F.col("_exit.high_time") <= F.col("_exit.low_time"), F.lit(False))
+    reason = F.when((F.col("_t") < F.col("_s")) | ((F.col("_t") == F.col("_s")) & (F.col("_t") < never) & profit_first), "TP").when(F.col("_s") < never, "SL").otherwise("SELL_AFTER")
+    rows = rows.select("combo_id", "symbol", "idx", "ts", "close", "tp", "sl", F.coalesce("_exit.ts", "ts").alias("sell_time"), F.coalesce("_exit.close", "close").alias("_last"), reason.alias("exit_reason"))
+    price = F.when(F.col("exit_reason") == "TP", F.col("close") * (1 + F.col("tp") / 100)).when(F.col("exit_reason") == "SL", F.col("close") * (1 - F.col("sl") / 100)).otherwise(F.col("_last"))
+    rows = rows.select("combo_id", "symbol", "idx", F.col("ts").alias("buy_time"), F.col("close").alias("buy_price"), "sell_time", price.alias("sell_price"), (F.lit(order_amount) / F.col("close")).alias("qty"), "exit_reason")
     buy, sell = F.col("qty") * F.col("buy_price") * f, F.col("qty") * F.col("sell_price") * f
-    rows = rows.withColumns({"commission_buy": buy, "commission_sell": sell})
-    return rows.withColumn("profit", (F.col("sell_price") - F.col("buy_price")) * F.col("qty") - F.col("commission_buy") - F.col("commission_sell"))
+    return rows.withColumns({"commission_buy": buy, "commission_sell": sell, "profit": (F.col("sell_price") - F.col("buy_price")) * F.col("qty") - buy - sell})
 
 
 def expired_price(probes: DataFrame, bars: DataFrame) -> DataFrame:

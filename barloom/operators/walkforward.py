@@ -6,38 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def window_bounds(longest: int, shortest_ok: int, train: int, pct_train: float, anchored: bool) -> list[tuple[int, int, int, int]]:
-    """(train from, train to, test from, test to) bar numbers of each window for the longest series. Anchored windows keep their start and grow by a test
-    length; rolling ones move by a whole window, the last one taking ``pct_train`` of what is left for training."""
-    test = int(train / pct_train - train)
-    out = []
+def window_starts(longest: int, train: int, test: int, anchored: bool) -> list[tuple[int, int, bool]]:
+    """(start, end of training, whether it is the last one that each series splits by itself) of each window for the longest series. Anchored windows keep their start
+    and grow by a test length; rolling ones move by a whole window. A rest shorter than a whole window is split."""
+    if test <= 0:
+        return []
     if anchored:
-        end = train
-        while end < longest and test > 0:
-            out.append((0, end, end, end + test))
-            end += test
-        return out
-    start = 0
-    while longest - start >= train + test and train + test > 0:
-        out.append((start, start + train, start + train, start + train + test))
-        start += train + test
-    left = longest - start
-    size = int(left * pct_train)
-    if left > 0 and size >= shortest_ok and left - size > 0:
-        out.append((start, start + size, start + size, longest))
-    return out
+        return [(0, end, False) for end in range(train, longest, test)] if longest >= train + test else [(0, train, True)] * (longest > 0)
+    return [(start, start + train, longest - start < train + test) for start in range(0, longest, train + test)]
 
 
 def window_table(counts: DataFrame, train: int, pct_train: float, anchored: bool) -> DataFrame:
-    """(window_id, symbol, t0, t1, test0, test1) by each symbol's own bar numbers; a symbol without a test bar in a window isn't in it (in a rolling
-    table's last, shorter window also one with less than 0.8 of ``train``)."""
+    """(window_id, symbol, t0, t1, test0, test1) by each symbol's own bar numbers; a symbol without a training or a test bar in a window isn't in it. In a split
+    window each symbol takes ``pct_train`` of its own rest for training, and isn't in it with less than 0.8 of ``train``."""
     spark: SparkSession = counts.sparkSession
     longest = counts.agg(F.max("n")).first()[0] or 0
-    bounds = window_bounds(longest, int(0.8 * train), train, pct_train, anchored)
-    table = spark.createDataFrame([(i, *b) for i, b in enumerate(bounds)], "window_id int, t0 long, e long, test0 long, test1 long")
-    rows = counts.select("symbol", "n").crossJoin(F.broadcast(table))
-    rows = rows.select("window_id", "symbol", "t0", F.least("e", "n").alias("t1"), F.least("test0", "n").alias("test0"), F.least("test1", "n").alias("test1"))
-    return rows.where("t1 > t0 and test1 > test0")
+    starts = window_starts(longest, train, int(train / pct_train - train), anchored)
+    table = spark.createDataFrame([(i, *b) for i, b in enumerate(starts)], "window_id int, t0 long, e long, rest boolean")
+    size = F.floor((F.col("n") - F.col("t0")) * F.lit(pct_train))
+    rows = counts.select("symbol", "n").crossJoin(F.broadcast(table)).where((F.col("n") > F.col("t0")) & (~F.col("rest") | (size >= F.lit(0.8 * train))))
+    t1 = F.when(F.col("rest"), F.col("t0") + size).otherwise(F.least("e", "n"))
+    test1 = F.when(F.col("rest"), F.col("n")).otherwise(F.least(t1 + int(train / pct_train - train), F.col("n")))
+    return rows.select("window_id", "symbol", "t0", t1.alias("t1"), t1.alias("test0"), test1.alias("test1")).where("t1 > t0 and test1 > test0")
 
 
 def rows_of_windows(bars: DataFrame, windows: DataFrame, part: str = "train") -> DataFrame:
@@ -48,8 +38,8 @@ def rows_of_windows(bars: DataFrame, windows: DataFrame, part: str = "train") ->
 
 
 def best_by_window(results: DataFrame, params: list[str], metric: str = "Sharpe") -> DataFrame:
-    """The combination with the greatest metric in each window, the first of equals; nulls never win."""
-    pick = F.max_by(F.struct("combo_id", *params, metric), F.struct(F.col(metric), -F.col("combo_id")))
+    """The combination with the greatest metric in each window, the first of those equal to nine decimals; nulls never win."""
+    pick = F.max_by(F.struct("combo_id", *params, metric), F.struct(F.round(metric, 9), -F.col("combo_id")))
     return results.where(F.col(metric).isNotNull()).groupBy("window_id").agg(pick.alias("x")).select("window_id", "x.*")
 
 

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators import align, grid, metrics, paths, portfolio, signals, similarity, trades, walkforward
+from barloom.operators import align, grid, metrics, paths, portfolio, similarity, trades, walkforward
 from barloom.operators.indicators import indexed, return_moments
+from barloom.operators.signals import GridSignals, entropy_grid
 from barloom.sources.scratch import written
 
 
@@ -34,12 +35,6 @@ class Backtest:
     results: DataFrame
 
 
-def evaluate_grid(bars: DataFrame, candidates: DataFrame, combos: DataFrame, lists: dict[str, list], settings: Settings) -> Backtest:
-    """``bars``: annotated and indexed; ``candidates``: (symbol, idx, accel_span, entropy). Levels are searched once for all combinations that share them."""
-    taken = grid.signals_of_combos(candidates, combos)
-    return evaluate_signals(bars, taken, combos, lists, settings)
-
-
 def evaluate_signals(bars: DataFrame, taken: DataFrame, combos: DataFrame, lists: dict[str, list], settings: Settings) -> Backtest:
     """``taken``: (combo_id, symbol, idx, sell_after, tp, sl)."""
     touched = trades.touches(bars, taken, lists["tp"], lists["sl"], max(lists["sell_after"]))
@@ -50,26 +45,29 @@ def evaluate_signals(bars: DataFrame, taken: DataFrame, combos: DataFrame, lists
     return Backtest(combos, line, found, done, curve, metrics.grid_results(combos, done, curve, settings.initial))
 
 
-def grid_backtest(bars: DataFrame, lists: dict[str, list], settings: Settings | None = None) -> Backtest:
-    """Entropy-acceleration over a grid of ``PARAMS``; ``bars`` are clean, annotated and of one timeframe."""
+def grid_backtest(bars: DataFrame, lists: dict[str, list], settings: Settings | None = None, take: GridSignals = entropy_grid) -> Backtest:
+    """A grid of ``lists`` (sell_after, tp, sl and what ``take`` asks for); ``bars`` are clean, annotated and of one timeframe. Levels are searched once for all
+    combinations that share them."""
     rows = written(indexed(bars), "bars")
-    found = signals.signal_candidates(signals.entropy_acceleration(rows, lists["accel_span"]), lists["accel_span"])
-    combos = grid.parameter_grid(bars.sparkSession, {p: lists[p] for p in PARAMS})
-    return evaluate_grid(rows, found, combos, lists, settings or Settings())
+    combos = grid.parameter_grid(bars.sparkSession, lists)
+    return evaluate_signals(rows, take(rows, combos, lists), combos, lists, settings or Settings())
+
+
+def _numbered(taken: DataFrame, combos: DataFrame, size: int) -> DataFrame:
+    """Signals of symbols named ``number/symbol`` with combinations that are numbered anew for each number."""
+    return taken.withColumn("combo_id", F.split("symbol", "/")[0].cast("int") * size + F.col("combo_id"))
 
 
-def walk_forward(bars: DataFrame, lists: dict[str, list], train: int, pct_train: float, anchored: bool = True, part: str = "train", settings: Settings | None = None) -> DataFrame:
+def walk_forward(bars: DataFrame, lists: dict[str, list], train: int, pct_train: float, anchored: bool = True, part: str = "train", settings: Settings | None = None, take: GridSignals = entropy_grid) -> DataFrame:
     """Grid results of every window: (window_id, params..., results). Each window is evaluated on its own bars, with indicators that start there; all windows in one plan,
     a window's symbols named ``window/symbol`` and its combinations numbered within it."""
     rows = written(indexed(bars), "bars")
     windows = walkforward.window_table(rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")), train, pct_train, anchored)
     own = walkforward.rows_of_windows(rows, windows, part).withColumn("symbol", F.concat_ws("/", F.lpad(F.col("window_id").cast("string"), 9, "0"), "symbol"))
     own = written(own, "windows")
-    found = signals.signal_candidates(signals.entropy_acceleration(own.drop("window_id"), lists["accel_span"]), lists["accel_span"])
-    combos = grid.parameter_grid(bars.sparkSession, {p: lists[p] for p in PARAMS})
+    combos = grid.parameter_grid(bars.sparkSession, lists)
     size = combos.count()
-    window_of = F.split("symbol", "/")[0].cast("int")
-    taken = grid.signals_of_combos(found, combos).withColumn("combo_id", window_of * size + F.col("combo_id"))
+    taken = _numbered(take(own.drop("window_id"), combos, lists), combos, size)
     many = windows.select("window_id").distinct().crossJoin(F.broadcast(combos)).withColumn("combo_id", F.col("window_id") * size + F.col("combo_id"))
     settings = settings or Settings()
     touched = trades.touches(own.drop("window_id"), taken, lists["tp"], lists["sl"], max(lists["sell_after"]))
@@ -84,16 +82,14 @@ def walk_forward(bars: DataFrame, lists: dict[str, list], train: int, pct_train:
     return results.withColumn("combo_id", F.col("combo_id") - F.col("window_id") * size)
 
 
-def bootstrap_monte_carlo(features: DataFrame, n_paths: int, steps: int, lists: dict[str, list], settings: Settings | None = None, seed: int = 42) -> DataFrame:
+def bootstrap_monte_carlo(features: DataFrame, n_paths: int, steps: int, lists: dict[str, list], settings: Settings | None = None, seed: int = 42, take: GridSignals = entropy_grid) -> DataFrame:
     """Grid results on every bootstrapped path: (path_index, params..., results), by the same operators with a path's symbols named ``path/symbol``."""
     made = paths.bootstrap_paths(features, paths.bootstrap_draws(features, n_paths, steps, seed))
     bars = paths.path_bars(made, ordinal_time=True).withColumn("symbol", F.concat_ws("/", F.lpad(F.col("path_index").cast("string"), 9, "0"), "symbol")).drop("path_index", "step", "row")
     bars = written(bars, "paths")
-    found = signals.signal_candidates(signals.entropy_acceleration(bars, lists["accel_span"]), lists["accel_span"])
-    combos = grid.parameter_grid(features.sparkSession, {p: lists[p] for p in PARAMS})
+    combos = grid.parameter_grid(features.sparkSession, lists)
     size = combos.count()
-    path_of = F.split("symbol", "/")[0].cast("int")
-    taken = grid.signals_of_combos(found, combos).withColumn("combo_id", path_of * size + F.col("combo_id"))
+    taken = _numbered(take(bars, combos, lists), combos, size)
     many = features.sparkSession.range(n_paths).select(F.col("id").cast("int").alias("path_index")).crossJoin(F.broadcast(combos)).withColumn("combo_id", F.col("path_index") * size + F.col("combo_id"))
     done = evaluate_signals(bars, taken, many, lists, settings or Settings())
     return done.results.withColumn("combo_id", F.col("combo_id") - F.col("path_index") * size)

@@ -11,7 +11,7 @@ from barloom.functions import scalar
 from barloom.operators import align, grid, indicators, metrics, paths, patterns, portfolio, report, signals, similarity, trades, universe, walkforward
 from barloom.plans import fixture as fx
 from barloom.plans.jobs import PARAMS, bootstrap_monte_carlo, grid_backtest, search_diffusion, walk_forward
-from barloom.plans.oracle import CHAIN
+from barloom.plans.oracle import CHAIN, entropy_sql, evaluation_sql, grid_sql
 from barloom.sources import bars as src
 from barloom.sources.scratch import scratch_path, written
 from barloom.streaming import live
@@ -97,16 +97,8 @@ def _(spark, d):
 @query("read_bar_files", "SELECT symbol, '4H' AS timeframe, count(*) AS n FROM b4 GROUP BY 1")
 def _(spark, d):
     folder = scratch_path(spark, "files")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    for symbol in ("click", "view", "purchase", "signup", "error"):
-        src_dir = f"{folder}/tmp_{symbol}"
-        fx.bars(spark, d, 4).where(F.col("symbol") == symbol).drop("symbol", "timeframe").coalesce(1).write.parquet(src_dir)
-        fs = fs_path(src_dir).getFileSystem(spark._jsc.hadoopConfiguration())
-        for status in fs.listStatus(fs_path(src_dir)):
-            if status.getPath().getName().startswith("part-"):
-                fs.mkdirs(fs_path(f"{folder}/flat"))
-                fs.rename(status.getPath(), fs_path(f"{folder}/flat/{symbol}_4H.parquet"))
-    return src.read_bar_files(spark, f"{folder}/flat", "4H").groupBy("symbol", "timeframe").agg(F.count(F.lit(1)).alias("n"))
+    src.write_bar_files(fx.bars(spark, d, 4).drop("timeframe"), folder, "4H")
+    return src.read_bar_files(spark, folder, "4H").groupBy("symbol", "timeframe").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("save_and_load_symbols", "SELECT DISTINCT symbol FROM b4")
@@ -362,23 +354,70 @@ def _(spark, d):
 
 bt_query("profitability_pct", 'SELECT combo_id, round(("Final_Balance" / 10000.0 - 1) * 100, 6) AS pct FROM res', lambda b: b.results.select("combo_id", report.profitability_pct(F.col("Final_Balance"), F.lit(10000.0)).alias("pct")))
 
+# ---- other strategies, and metrics by symbol
+
+TREND = {"sell_after": [6, 12], "ema_fast": [2, 5], "ema_slow": [20, 30], "rsi_period": [5, 14], "atr_period": [14], "tp": [0.0, 40.0], "sl": [0.0, 30.0]}
+PATTERN = {"sell_after": [6, 12], "entropy_max": [1.5, 2.1], **{p: [True, False] if p in ("doji", "hammer") else [p not in ("piercing_line",)] for p in patterns.PATTERNS}, "tp": [0.0, 40.0], "sl": [0.0]}
+_RESULTS = ', symbol, "Num_Signals", "Num_Trades", ' + r6(*(f'"{c}"' for c in _RES))
+_SERIES = "SELECT 0 AS k, symbol, idx, n, ts, open, close, high, low, high_time, low_time, delta FROM d"
+
+
+def _trend_sql() -> str:
+    spans = sorted({*TREND["ema_fast"], *TREND["ema_slow"]})
+    rsi = " UNION ALL ".join(f"""SELECT d.symbol, d.idx, {n} AS period, coalesce(100 - 100 / (1 + g / (l + 1e-8)), 50.0) AS rsi FROM d LEFT JOIN (WITH RECURSIVE q(symbol, idx, g, l) AS (SELECT symbol, {n}::BIGINT, sum(greatest(delta, 0)) / {n}, sum(greatest(-delta, 0)) / {n} FROM d WHERE idx BETWEEN 1 AND {n} GROUP BY symbol HAVING count(*) = {n}
+  UNION ALL SELECT d.symbol, d.idx, (q.g * {n - 1} + greatest(d.delta, 0)) / {n}, (q.l * {n - 1} + greatest(-d.delta, 0)) / {n} FROM q JOIN d ON d.symbol = q.symbol AND d.idx = q.idx + 1) SELECT * FROM q) q USING (symbol, idx)""" for n in TREND["rsi_period"])
+    return f"""te(symbol, idx, span, y) AS (SELECT symbol, idx, span, close FROM d, (VALUES {', '.join(f'({x})' for x in spans)}) s(span) WHERE idx = 0
+  UNION ALL SELECT d.symbol, d.idx, e.span, 2.0 / (e.span + 1) * d.close + (1 - 2.0 / (e.span + 1)) * e.y FROM te e JOIN d ON d.symbol = e.symbol AND d.idx = e.idx + 1),
+tr_i AS ({rsi}),
+v_s AS (SELECT g.*, 0 AS k, d.symbol, d.idx + 1 AS idx FROM d JOIN te a ON a.symbol = d.symbol AND a.idx = d.idx JOIN te b ON b.symbol = d.symbol AND b.idx = d.idx JOIN tr_i i ON i.symbol = d.symbol AND i.idx = d.idx
+  JOIN v_g g ON g.ema_fast = a.span AND g.ema_slow = b.span AND g.rsi_period = i.period WHERE a.y > b.y AND d.close > a.y AND rsi > 50 AND d.idx + 1 < d.n),
+"""
+
+
+def grid_query(name: str, lists: dict[str, list], take: signals.GridSignals, found: str) -> None:
+    sql = f", v_r AS ({_SERIES}), v_g AS ({grid_sql(lists)}), {found}{evaluation_sql('v', list(lists))} SELECT combo_id, {', '.join(lists)}{_RESULTS} FROM v_res"
+    query(name, sql)(lambda spark, d: grid_backtest(fx.annotated(spark, d), lists, fx.SETTINGS, take).results)
+
+
+grid_query("grid_trend", TREND, signals.trend_grid, _trend_sql())
+grid_query("grid_patterns", PATTERN, signals.pattern_grid, "v_s AS (SELECT g.*, 0 AS k, pn.symbol, pn.idx + 1 AS idx FROM pn JOIN en ON en.symbol = pn.symbol AND en.idx = pn.idx JOIN v_g g ON entropy < g.entropy_max AND (" + " OR ".join(f"(pn.{p} AND g.{p})" for p in patterns.PATTERNS) + ") WHERE pn.idx + 1 < en.n),\n")
+
+bt_query("symbol_metrics", """, us AS (SELECT u.combo_id, u.symbol, tl.ord, tl.ts, 10000.0 + sum(coalesce(q.p, 0)) OVER (PARTITION BY u.combo_id, u.symbol ORDER BY tl.ts) AS b FROM (SELECT DISTINCT combo_id, symbol FROM tk) u CROSS JOIN tl LEFT JOIN (SELECT combo_id, symbol, close_ord, sum(profit) AS p FROM tk WHERE closed GROUP BY ALL) q ON q.combo_id = u.combo_id AND q.symbol = u.symbol AND q.close_ord = tl.ord),
+uc AS (SELECT *, (max(b) OVER w - b) / max(b) OVER w AS dd, b / lag(b) OVER w - 1 AS ret, epoch(ts) - epoch(lag(ts) OVER w) AS dt FROM us WINDOW w AS (PARTITION BY combo_id, symbol ORDER BY ord)),
+um AS (SELECT combo_id, symbol, last(b ORDER BY ord) AS f, max(dd) AS dd, CASE WHEN stddev_pop(ret) > 1e-12 THEN avg(ret) * (31536000.0 / median(dt)) / (stddev_pop(ret) * sqrt(31536000.0 / median(dt))) END AS sharpe FROM uc GROUP BY 1, 2)
+SELECT combo_id, symbol, round(f, 6) AS "Final_Balance", (SELECT count(*) FROM tk t WHERE t.combo_id = um.combo_id AND t.symbol = um.symbol) AS "Num_Signals", (SELECT round(avg((profit > 0)::INT::DOUBLE), 6) FROM tk t WHERE t.combo_id = um.combo_id AND t.symbol = um.symbol AND closed) AS "Win_Ratio",
+  round(dd * 100, 6) AS "DD_pct", round(sharpe, 6) AS "Sharpe" FROM um""", lambda b: metrics.symbol_metrics(b.trades, b.line, 10000.0))
+
 # ---- walk-forward
 
 
-def _windows_sql(train: int, test: int, rolling: bool) -> str:
+def unequal(bars: DataFrame) -> DataFrame:
+    """Bar counts by symbol, with series of different lengths."""
+    n = F.count(F.lit(1))
+    return bars.groupBy("symbol").agg((n - F.length("symbol") * F.floor(n / 12)).alias("n"))
+
+
+def _windows_sql(train: int, test: int, rolling: bool, counts: str) -> str:
+    longest = f"(SELECT max(n) FROM ({counts}))"
     if rolling:
-        return f"wt AS (SELECT w AS window_id, symbol, w * {train + test} AS t0, least(w * {train + test} + {train}, n) AS t1, least(w * {train + test} + {train}, n) AS test0, least((w + 1) * {train + test}, n) AS test1 FROM (SELECT symbol, count(*) AS n FROM r GROUP BY 1), range(0, (SELECT max(n) // {train + test} FROM r)) q(w) WHERE w * {train + test} + {train} < n)"
-    return f"wt AS (SELECT w AS window_id, symbol, 0 AS t0, least({train} + w * {test}, n) AS t1, least({train} + w * {test}, n) AS test0, least({train} + (w + 1) * {test}, n) AS test1 FROM (SELECT symbol, count(*) AS n FROM r GROUP BY 1), range(0, (SELECT (max(n) - {train} + {test} - 1) // {test} FROM r)) q(w) WHERE {train} + w * {test} < n)"
+        starts = f"SELECT w AS window_id, w * {train + test} AS t0, w * {train + test} + {train} AS e, {longest} - w * {train + test} < {train + test} AS rest FROM range(0, CAST(ceil({longest} / {train + test}::DOUBLE) AS BIGINT)) q(w)"
+    else:
+        starts = f"SELECT w AS window_id, 0 AS t0, {train} + w * {test} AS e, {longest} < {train + test} AS rest FROM range(0, CASE WHEN {longest} < {train + test} THEN 1 ELSE CAST(ceil(({longest} - {train}) / {test}::DOUBLE) AS BIGINT) END) q(w)"
+    t1 = "CASE WHEN rest THEN t0 + CAST(floor((n - t0) * 0.8::DOUBLE) AS BIGINT) ELSE least(e, n) END"
+    return f"wt AS (SELECT window_id::INT AS window_id, symbol, t0, t1, t1 AS test0, CASE WHEN rest THEN n ELSE least(t1 + {test}, n) END AS test1 FROM (SELECT *, {t1} AS t1 FROM ({counts}) c, ({starts}) s WHERE n > t0 AND (NOT rest OR floor((n - t0) * 0.8::DOUBLE) >= 0.8 * {train})) WHERE t1 > t0 AND CASE WHEN rest THEN n ELSE least(t1 + {test}, n) END > t1)"
 
 
-@query("window_table_anchored", ", " + _windows_sql(80, 20, False) + " SELECT * FROM wt")
+_UNEQUAL = "SELECT symbol, count(*) - length(symbol) * (count(*) // 12) AS n FROM r GROUP BY 1"
+
+
+@query("window_table_anchored", ", " + _windows_sql(80, 20, False, _UNEQUAL) + " SELECT * FROM wt")
 def _(spark, d):
-    return walkforward.window_table(fx.rows(spark, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("n")), 80, 0.8, True)
+    return walkforward.window_table(unequal(fx.rows(spark, d)), 80, 0.8, True)
 
 
-@query("window_table_rolling")
+@query("window_table_rolling", ", " + _windows_sql(40, 10, True, _UNEQUAL) + " SELECT * FROM wt")
 def _(spark, d):
-    return walkforward.window_table(fx.rows(spark, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("n")), 40, 0.8, False)
+    return walkforward.window_table(unequal(fx.rows(spark, d)), 40, 0.8, False)
 
 
 SMALL = {"sell_after": [6], "entropy_max": [1.5, 2.0], "accel_span": [5, 15], "tp": [0.0, 40.0], "sl": [0.0]}
@@ -388,22 +427,34 @@ def walked(spark: SparkSession, d: str, part: str = "train") -> DataFrame:
     return walk_forward(fx.annotated(spark, d), SMALL, 80, 0.8, part=part)
 
 
-@query("walk_forward_grid")
+def _walked_sql(part: str = "train") -> str:
+    a, b = ("t0", "t1") if part == "train" else ("test0", "test1")
+    bars = f"SELECT window_id AS k, r.symbol, r.idx - {a} AS idx, {b} - {a} AS n, ts, close, high, low, high_time, low_time FROM r JOIN wt ON wt.symbol = r.symbol AND r.idx >= {a} AND r.idx < {b}"
+    return f", {_windows_sql(80, 20, False, 'SELECT symbol, count(*) AS n FROM r GROUP BY 1')}, v_r AS ({bars}), v_g AS ({grid_sql(SMALL)}), {entropy_sql('v', SMALL['accel_span'])}{evaluation_sql('v', PARAMS)}"
+
+
+_WALKED = f" SELECT k AS window_id, combo_id, {', '.join(PARAMS)}{_RESULTS} FROM v_res"
+_BEST = f""", be AS (SELECT k AS window_id, combo_id, {', '.join(PARAMS)}, "Sharpe" FROM v_res WHERE "Sharpe" IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY round("Sharpe", 9) DESC, combo_id) = 1)"""
+_AGREED = _BEST + ", co AS (SELECT param, CASE WHEN param LIKE '%_max' THEN value ELSE round(value) END AS value FROM (SELECT param, value, count(*) AS c, min(window_id) AS f FROM (" + " UNION ALL ".join(f"SELECT window_id, '{p}' AS param, {p}::DOUBLE AS value FROM be" for p in PARAMS) + ") GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY param ORDER BY c DESC, f) = 1)"
+_FINAL = _AGREED + f", f_r AS (SELECT 0 AS k, symbol, idx, n, ts, close, high, low, high_time, low_time FROM r), f_g AS (SELECT 0 AS combo_id, {', '.join(f'(SELECT value{"::INT" if p in ("sell_after", "accel_span") else ""} FROM co WHERE param = {chr(39)}{p}{chr(39)}) AS {p}' for p in PARAMS)}), {entropy_sql('f', SMALL['accel_span'])}{evaluation_sql('f', PARAMS)}"
+
+
+@query("walk_forward_grid", _walked_sql() + _WALKED)
 def _(spark, d):
     return walked(spark, d)
 
 
-@query("walk_forward_best")
+@query("walk_forward_best", _walked_sql() + _BEST + f" SELECT window_id, combo_id, {', '.join(PARAMS)}, {r6(chr(34) + 'Sharpe' + chr(34))} FROM be")
 def _(spark, d):
     return walkforward.best_by_window(walked(spark, d), PARAMS)
 
 
-@query("walk_forward_consensus")
+@query("walk_forward_consensus", _walked_sql() + _AGREED + " SELECT param, round(value, 6) AS value FROM co")
 def _(spark, d):
     return walkforward.consensus(walkforward.best_by_window(walked(spark, d), PARAMS), PARAMS)
 
 
-@query("walk_forward_final")
+@query("walk_forward_final", _walked_sql() + _FINAL + f" SELECT combo_id, {', '.join(PARAMS)}{_RESULTS} FROM f_res")
 def _(spark, d):
     # the consensus is one value for each parameter
     best = walkforward.consensus(walkforward.best_by_window(walked(spark, d), PARAMS), PARAMS).collect()
@@ -411,7 +462,7 @@ def _(spark, d):
     return grid_backtest(fx.annotated(spark, d), {p: chosen.get(p, SMALL[p][:1]) for p in PARAMS}).results
 
 
-@query("walk_forward_test")
+@query("walk_forward_test", _walked_sql("test") + _WALKED)
 def _(spark, d):
     return walked(spark, d, "test")
 
@@ -452,24 +503,44 @@ def monte_carlo(spark: SparkSession, d: str) -> DataFrame:
     return bootstrap_monte_carlo(indicators.bootstrap_features(fx.rows(spark, d)), 4, 60, SMALL)
 
 
-@query("bootstrap_monte_carlo")
+def short(df: DataFrame) -> DataFrame:
+    """Values of simulated prices have many digits: doubles as precise as floats."""
+    return df.select(*(F.col(f.name).cast("float").cast("double").alias(f.name) if f.dataType.simpleString() == "double" and f.name not in PARAMS else F.col(f.name) for f in df.schema))
+
+
+def rf(*names: str) -> str:
+    return ", ".join(f'round({n.split("=")[-1]}::FLOAT::DOUBLE, 6) AS {n.split("=")[0]}' for n in names)
+
+
+_PATHS = f", v_r AS (SELECT path_index AS k, symbol, step AS idx, 60 AS n, make_timestamp(step) AS ts, close, high, low, high_time, low_time FROM pb), v_g AS ({grid_sql(SMALL)}), {entropy_sql('v', SMALL['accel_span'])}{evaluation_sql('v', PARAMS)}"
+_PATH_MEANS = ', me AS (SELECT k AS path_index, avg("Final_Balance") AS balance, avg("DD_pct") AS dd, (avg("Final_Balance") / 10000.0 - 1) * 100 AS gain_pct FROM v_res GROUP BY 1)'
+_MEANS = ["Net_Gain", "Net_Gain_pct", "Win_Ratio", "DD_pct", "Sharpe"]
+
+
+@query("bootstrap_monte_carlo", _PATHS + f""" SELECT k::INT AS path_index, combo_id, {', '.join(PARAMS)}, symbol, "Num_Signals", "Num_Trades", {rf(*(f'"{c}"' for c in _RES))} FROM v_res""")
 def _(spark, d):
-    return monte_carlo(spark, d)
+    return short(monte_carlo(spark, d))
 
 
-@query("path_summary")
+@query("path_summary", _PATHS + f""" SELECT {', '.join(PARAMS)}, {rf(*(f'"mean_{c}"=avg("{c}")' for c in _MEANS))}, count(DISTINCT k) AS paths, count(*) AS rows FROM v_res GROUP BY ALL""")
 def _(spark, d):
-    return report.path_summary(monte_carlo(spark, d), PARAMS)
+    return short(report.path_summary(monte_carlo(spark, d), PARAMS))
 
 
-@query("path_means")
+@query("path_best", _PATHS + ", sm AS (SELECT combo_id, " + ", ".join(PARAMS) + ", " + ", ".join(f'avg("{c}") AS "mean_{c}"' for c in _MEANS) + " FROM v_res GROUP BY ALL) " + " UNION ALL ".join(f"""(SELECT '{m}' AS metric, combo_id, {', '.join(PARAMS)}, {rf(f'value="{m}"')} FROM sm WHERE "{m}" IS NOT NULL ORDER BY round("{m}", 9) {o}, combo_id LIMIT 1)""" for m, o in (("mean_Net_Gain_pct", "DESC"), ("mean_Sharpe", "DESC"), ("mean_DD_pct", "ASC"))))
 def _(spark, d):
-    return report.path_means(monte_carlo(spark, d), 10000.0)
+    means = report.path_summary(monte_carlo(spark, d), ["combo_id", *PARAMS])
+    return short(report.best_combos(means, PARAMS, ("mean_DD_pct",), ("mean_Net_Gain_pct", "mean_Sharpe"), digits=9))
 
 
-@query("path_quantiles")
+@query("path_means", _PATHS + _PATH_MEANS + f" SELECT path_index::INT AS path_index, {rf('balance', 'dd', 'gain_pct')} FROM me")
 def _(spark, d):
-    return report.path_quantiles(report.path_means(monte_carlo(spark, d), 10000.0))
+    return short(report.path_means(monte_carlo(spark, d), 10000.0))
+
+
+@query("path_quantiles", _PATHS + _PATH_MEANS + f" SELECT {rf('p50=median(gain_pct)', 'std=stddev_samp(gain_pct)', 'pct_negative=avg((gain_pct < 0)::INT::DOUBLE) * 100')} FROM me")
+def _(spark, d):
+    return short(report.path_quantiles(report.path_means(monte_carlo(spark, d), 10000.0)))
 
 
 @query("jump_diffusion")
@@ -513,7 +584,24 @@ def _(spark, d):
     return similarity.distribution_distance(h, p, ["symbol", "path_index"]).withColumn("path_index", F.col("path_index").cast("long"))
 
 
-@query("similarity_score")
+_SCORE = """, q_hn AS (SELECT symbol, count(*) AS c FROM hr GROUP BY 1),
+q_nn AS (SELECT symbol, least(min(p.c), any_value(hn.c)) AS n FROM (SELECT symbol, path_index, count(*) AS c FROM pr GROUP BY 1, 2) p JOIN q_hn hn USING (symbol) GROUP BY 1),
+q_h AS (SELECT symbol, n, r, row_number() OVER (PARTITION BY symbol ORDER BY nth) - 1 AS nth FROM (SELECT symbol, n, nth, r FROM hr JOIN q_nn nn USING (symbol) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY nth DESC) <= n)),
+q_s AS (SELECT symbol, path_index, n, r, row_number() OVER (PARTITION BY symbol, path_index ORDER BY nth) - 1 AS nth FROM (SELECT symbol, path_index, n, nth, r FROM pr JOIN q_nn nn USING (symbol) QUALIFY row_number() OVER (PARTITION BY symbol, path_index ORDER BY nth DESC) <= n)),
+q_hm AS (SELECT symbol, avg(r) AS m, stddev_samp(r) AS d, skewness(r) AS w, kurtosis(r) AS u FROM q_h h GROUP BY 1),
+q_sm AS (SELECT symbol, avg(m) AS m, avg(d) AS d, avg(w) AS w, avg(u) AS u FROM (SELECT symbol, path_index, avg(r) AS m, stddev_samp(r) AS d, skewness(r) AS w, kurtosis(r) AS u FROM q_s s GROUP BY 1, 2) GROUP BY 1),
+q_al AS (SELECT symbol, -1 AS path_index, nth, abs(r) - avg(abs(r)) OVER (PARTITION BY symbol) AS x FROM q_h h UNION ALL SELECT symbol, path_index, nth, abs(r) - avg(abs(r)) OVER (PARTITION BY symbol, path_index) FROM q_s s),
+q_ac AS (SELECT a.symbol, a.path_index, lag_k, coalesce(sum(a.x * b.x), 0.0) / any_value(v.q) AS acf FROM q_al a CROSS JOIN range(0, 51) z(lag_k) JOIN (SELECT symbol, path_index, sum(x * x) AS q FROM q_al al GROUP BY 1, 2) v ON v.symbol = a.symbol AND v.path_index = a.path_index LEFT JOIN q_al b ON b.symbol = a.symbol AND b.path_index = a.path_index AND b.nth = a.nth + lag_k GROUP BY 1, 2, 3),
+q_aa AS (SELECT symbol, greatest(0.0, 100 * (1 - sqrt(sum((h - p) ** 2)) / (sqrt(sum(h ** 2)) + 1e-12))) AS acf FROM (SELECT symbol, lag_k, avg(acf) FILTER (path_index >= 0) AS p, max(acf) FILTER (path_index = -1) AS h FROM q_ac ac GROUP BY 1, 2) GROUP BY 1),
+q_vv AS (SELECT s.symbol, s.path_index, h.r, 1 AS a, 0 AS b FROM (SELECT DISTINCT symbol, path_index FROM q_s s) s JOIN q_h h ON h.symbol = s.symbol UNION ALL SELECT symbol, path_index, r, 0, 1 FROM q_s s),
+q_cc AS (SELECT symbol, path_index, abs(sum(a) OVER w / sum(a) OVER z - sum(b) OVER w / sum(b) OVER z) AS gap, lead(r) OVER w - r AS width FROM (SELECT symbol, path_index, r, sum(a) AS a, sum(b) AS b FROM q_vv vv GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY symbol, path_index ORDER BY r), z AS (PARTITION BY symbol, path_index)),
+q_dd AS (SELECT symbol, path_index, max(gap) AS ks, sum(gap * width) AS wa FROM q_cc cc GROUP BY 1, 2),
+q_di AS (SELECT symbol, 100 * (1 - avg(ks)) AS ks, avg(100 * (1 - CASE WHEN p95 > 0 THEN least(wa / p95, 1.0) ELSE 0.0 END)) AS wasserstein FROM q_dd dd JOIN (SELECT symbol, quantile_cont(wa, 0.95) AS p95 FROM q_dd dd GROUP BY 1) USING (symbol) GROUP BY 1),
+q_sc AS (SELECT symbol, 100 * greatest(0.0, 1 - abs(hm.m - sm.m) / (abs(hm.d) + 1e-12)) AS mean, 100 / (1 + abs(hm.d - sm.d) / (abs(hm.d) + 1e-8)) AS std, 100 / (1 + abs(hm.w - sm.w) / (abs(hm.w) + 1e-8)) AS skew, 100 / (1 + abs(hm.u - sm.u) / (abs(hm.u) + 1e-8)) AS kurt, acf, ks, wasserstein FROM q_hm hm JOIN q_sm sm USING (symbol) JOIN q_aa aa USING (symbol) JOIN q_di di USING (symbol))
+"""
+
+
+@query("similarity_score", _SCORE + "SELECT symbol, " + r6("mean", "std", "skew", "kurt", "acf", "ks", "wasserstein", "total=0.2 * mean + 0.2 * std + 0.1 * skew + 0.1 * kurt + 0.1 * acf + 0.1 * ks + 0.2 * wasserstein") + " FROM q_sc")
 def _(spark, d):
     return similarity.similarity(written(history(spark, d), "returns"), written(path_returns(spark, d), "returns"), ["symbol"])
 
@@ -551,18 +639,28 @@ def batch_bars(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFram
     return spark.read.parquet(f"{out}/rows")
 
 
-@query("live_signals")
+_LIVE = """, l1 AS (SELECT symbol, ts, close, list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS c FROM b4),
+l2 AS (SELECT *, list_transform(c, lambda x, i: CASE WHEN i = 1 THEN 0.0 ELSE x - c[i - 1] END) AS ch, list_transform(c, lambda x, i: CASE WHEN i <= 2 THEN 0.0 ELSE x - 2 * c[i - 1] + c[i - 2] END) AS se FROM l1),
+l3 AS (SELECT *, list_transform(ch[greatest(1, len(ch) - 4):], lambda x: least(CAST(trunc((x - list_min(ch)) / (list_max(ch) - list_min(ch) + 1e-9) * 10) AS INT), 9)) AS b FROM l2),
+lv AS (SELECT symbol, ts, close, log2(len(b)::DOUBLE) - list_sum(list_transform(b, lambda x: log2(len(list_filter(b, lambda y: y = x))::DOUBLE))) / len(b) < 2.0
+  AND list_sum(list_transform(se, lambda x, i: CASE WHEN i = 1 THEN 1.0 ELSE 2.0 / 11 END * pow(1 - 2.0 / 11, len(se) - i) * x)) > 0 AS signal FROM l3)"""
+
+
+@query("live_signals", _LIVE + " SELECT symbol, ts, round(close, 6) AS close, signal FROM lv")
 def _(spark, d):
     return batch_bars(spark, d, live.live_signals)
 
 
-@query("paper_positions")
+@query("paper_positions", _LIVE + """, bk AS (SELECT book, ts, any_signal, row_number() OVER (PARTITION BY book ORDER BY ts) - 1 AS ord FROM (SELECT (length(symbol) % 2)::VARCHAR AS book, ts, bool_or(signal) AS any_signal FROM lv GROUP BY 1, 2)),
+ps(book, ord) AS (SELECT book, min(ord) FROM bk WHERE any_signal GROUP BY 1 UNION ALL SELECT ps.book, (SELECT min(b.ord) FROM bk b WHERE b.book = ps.book AND b.any_signal AND b.ord > ps.ord + 6) FROM ps WHERE ps.ord IS NOT NULL),
+op AS (SELECT bk.book, bk.ts, bk.ord, lv.symbol, lv.close FROM ps JOIN bk ON bk.book = ps.book AND bk.ord = ps.ord JOIN lv ON lv.ts = bk.ts AND (length(lv.symbol) % 2)::VARCHAR = bk.book AND lv.signal)
+SELECT book, ts, symbol, 'open' AS action, round(close, 6) AS price FROM op UNION ALL SELECT op.book, bk.ts, op.symbol, 'close', round(lv.close, 6) FROM op JOIN bk ON bk.book = op.book AND bk.ord = op.ord + 6 LEFT JOIN lv ON lv.symbol = op.symbol AND lv.ts = bk.ts""")
 def _(spark, d):
     signals_seen = batch_bars(spark, d, live.live_signals)
     out = scratch_path(spark, "paper")
     signals_seen.write.parquet(f"{out}/signals")
     stream = spark.readStream.schema(signals_seen.schema).parquet(f"{out}/signals")
-    live.paper_positions(stream, 6).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    live.paper_positions(stream, 6, F.length("symbol") % 2).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/rows")
 
 

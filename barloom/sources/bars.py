@@ -67,6 +67,18 @@ def read_bar_files(spark: SparkSession, folder: str, timeframe: str) -> DataFram
     return df.where(cut(2) == timeframe).withColumn("symbol", cut(1)).withColumn("timeframe", cut(2)).drop("_file")
 
 
+def write_bar_files(df: DataFrame, folder: str, timeframe: str) -> None:
+    """One file ``{symbol}_{timeframe}.parquet`` for each symbol. Executors write all of them in one job; the driver renames, one call a file."""
+    spark, staged = df.sparkSession, f"{folder}/_staged"
+    df.repartition("symbol").withColumn("_name", F.col("symbol")).write.partitionBy("_name").parquet(staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.globStatus(path(f"{staged}/_name=*/part-*")):
+        name = spark._jvm.java.net.URLDecoder.decode(status.getPath().getParent().getName()[len("_name=") :], "UTF-8")
+        fs.rename(status.getPath(), path(f"{folder}/{name}_{timeframe}.parquet"))
+    fs.delete(path(staged), True)
+
+
 def save_symbols(df: DataFrame, path: str, strategy: str, timeframe: str) -> None:
     df.select(F.lit(strategy).alias("strategy"), F.lit(timeframe).alias("timeframe"), "symbol").write.mode("append").partitionBy("strategy", "timeframe").parquet(path)
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -54,9 +54,10 @@ def live_signals(bars: DataFrame, span: int = 10, entropy_max: float = 2.0, keep
     return bars.select("symbol", "ts", "close").groupBy("symbol").applyInPandasWithState(step, f"symbol string, ts {kind}, close double, signal boolean", "closes array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def paper_positions(signals: DataFrame, sell_after: int, strategy: str = "paper") -> DataFrame:
-    """Position events (ts, symbol, action, price). A book opens only while empty, one position for each symbol with a signal at that time, and closes each after
-    ``sell_after`` later bar times. The book is one state by nature; only bar times and signals reach it."""
+def paper_positions(signals: DataFrame, sell_after: int, book: Column) -> DataFrame:
+    """Position events (book, ts, symbol, action, price). A book (an account, a strategy's share of the symbols) opens only while empty, one position for each of its symbols
+    with a signal at that time, and closes each after ``sell_after`` later bar times of its own. Books are the parallel keys; a book is one state by nature, and only
+    bar times and signals reach it."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         left, held = state.get if state.exists else (0, [])
@@ -67,14 +68,14 @@ def paper_positions(signals: DataFrame, sell_after: int, strategy: str = "paper"
             if held:
                 left -= 1
                 if left <= 0:
-                    out += [(ts, s, "close", price.get(s)) for s in held]
+                    out += [(key[0], ts, s, "close", price.get(s)) for s in held]
                     held = []
                 continue
             held = sorted(now.loc[now["signal"], "symbol"])
             left = sell_after
-            out += [(ts, s, "open", price[s]) for s in held]
+            out += [(key[0], ts, s, "open", price[s]) for s in held]
         state.update((left, held))
-        yield pd.DataFrame(out, columns=["ts", "symbol", "action", "price"])
+        yield pd.DataFrame(out, columns=["book", "ts", "symbol", "action", "price"])
 
     kind = signals.schema["ts"].dataType.simpleString()
-    return signals.withColumn("book", F.lit(strategy)).groupBy("book").applyInPandasWithState(step, f"ts {kind}, symbol string, action string, price double", "left int, held array<string>", "append", GroupStateTimeout.NoTimeout)
+    return signals.withColumn("book", book.cast("string")).groupBy("book").applyInPandasWithState(step, f"book string, ts {kind}, symbol string, action string, price double", "left int, held array<string>", "append", GroupStateTimeout.NoTimeout)

@@ -10,7 +10,7 @@ from barloom.plans import queries as q
 
 D = "/root/testdata/sf0.001"
 #: Each of these covers the steps of many others.
-NAMES = ["parse_candles", "coerce_values", "first_of_each_ts", "in_and_out_of_sample", "universe_filter", "time_of_extremes", "asof_price", "asof_price_strict", "parameter_grid", "ema", "rsi", "atr", "rolling_entropy", "patterns_piercing_line", "trend_signal", "grid_backtest", "trade_log", "best_combos", "closed_position_rates", "bootstrap_paths", "distribution_distance", "live_bars"]
+NAMES = ["parse_candles", "coerce_values", "first_of_each_ts", "in_and_out_of_sample", "universe_filter", "time_of_extremes", "asof_price", "asof_price_strict", "parameter_grid", "ema", "rsi", "atr", "rolling_entropy", "patterns_piercing_line", "trend_signal", "grid_backtest", "trade_log", "best_combos", "closed_position_rates", "bootstrap_paths", "distribution_distance", "live_bars", "window_table_rolling", "symbol_metrics", "grid_trend", "grid_patterns", "walk_forward_final", "path_best", "similarity_score", "live_signals", "paper_positions", "read_bar_files"]
 
 
 def plain(v):

@@ -4,16 +4,17 @@ A window is ``window`` consecutive words. Every window has an anchor: its word s
 the least hash, the leftmost of equals. Equal windows have equal anchors at equal offsets, so the index holds
 one entry for each anchor (about a tenth of the windows), and loses no repeated window.
 
-* ``anchors``: for each text, anchor fingerprint ``fp``, fingerprint ``ctx`` of all words that windows of this
+* ``anchors``: for each text, anchor fingerprint ``fp``, digest ``ctx`` (SHA-256) of all words that windows of this
   anchor can reach, and the windows' starts. Two anchors with equal (fp, ctx) have the same windows.
-* ``FingerprintIndex``: immutable runs sorted by (fp, ctx). ``ingest`` reduces a batch to counts, merge-joins
-  it with the runs of history and writes it as one more run; ``compact`` merges runs when there are too many.
-* ``remove_repeats``: ingests all batches, then joins their anchors with the index. An anchor whose (fp, ctx)
-  repeats is settled: all its windows repeat. If only fp repeats, the windows themselves are compared (the
-  verification), through one representative of each ctx. Texts lose each word that a repeated window covers.
+* ``FingerprintIndex``: a folder of immutable runs sorted by (fp, ctx) and bucketed by fp, which any session may open again. ``ingest`` reduces a batch to counts, writes
+  it as one more run, and merge-joins that run with each run of history, bucket by bucket, without a shuffle: fingerprints that the batch has
+  twice or shares with history are its hits. ``compact`` merges runs when there are too many.
+* ``kept_words``: only fingerprints that are hits can repeat. An anchor whose (fp, ctx) repeats is settled: all its windows repeat. If only fp
+  repeats, the windows themselves are verified by SHA-256 of their words, through one representative of each ctx. Texts lose each word that a
+  repeated window covers.
 
-All comparisons use two independent 64-bit values, 128 bits together. No step gathers a group: counts are
-combined before the shuffle, and hot fingerprints meet in sort-merge joins whose large partitions Spark splits.
+Digests are 64 bits beside the 64 of the fingerprint, 128 bits together. No step gathers a group: counts are
+combined before the shuffle, and hot fingerprints meet in sort-merge joins.
 
 Null and empty texts have no words. A text shorter than the window keeps all its words. Rows with equal id
 and text count as separate occurrences and get the same result. Other columns of the input are not read.
@@ -21,6 +22,9 @@ and text count as separate occurrences and get the same result. Other columns of
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Workspace
+from ._shared import Workspace, shared_folder
 from ._words import U, doubled, mix, slices, split, utf8, word_hashes
 
 GRAM = 16
@@ -52,6 +56,19 @@ def _padded(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndar
     return words, first, counts, row
 
 
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray, prefix: list[bytes]) -> np.ndarray:
+    """64 bits of SHA-256 of ``prefix`` and the words from ``first`` to before ``last``, joined by one space."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    size = ends - starts + 1
+    at = np.cumsum(size) - size
+    spaced = data[np.minimum(np.repeat(starts - at, size) + np.arange(int(size.sum())), len(data) - 1)]
+    spaced[at + size - 1] = 32
+    raw, cut = spaced.tobytes(), np.append(at, len(spaced))
+    sha = hashlib.sha256
+    return np.frombuffer(b"".join([sha(x + raw[a:b]).digest()[:8] for x, a, b in zip(prefix, cut[first].tolist(), cut[last].tolist(), strict=True)]), np.int64)
+
+
 def _least(h: np.ndarray, span: int) -> np.ndarray:
     """For each place, the place of the least of the ``span`` values from there on, the leftmost of equals."""
     at = np.arange(len(h))
@@ -82,11 +99,14 @@ def _row_anchors(batch: pa.RecordBatch, window: int) -> dict[str, np.ndarray]:
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(new)) - 1
     p, row = anchor[begin], row[begin]
+    begins, ends, _ = split(data, offsets)
+    own = np.cumsum(counts) - counts  # each row's first word
+    p -= first[row]
     reach = window - GRAM
-    ctx = U(0)
-    for k in sorted({-reach, *range(-reach, reach, GRAM), reach}):
-        ctx = mix(ctx ^ gram[p + k]) + U(0x9E3779B97F4A7C15)
-    return {"row": row, "p": p - first[row], "lo": start[begin], "hi": start[end], "fp": mix(gram[p] + U(1)).view(np.int64), "ctx": ctx.view(np.int64)}
+    lo, hi = p - reach, p + window
+    missing = np.stack([np.maximum(-lo, 0), np.maximum(hi - counts[row], 0)], axis=1).astype(np.uint8)
+    ctx = _digests(data, begins, ends, own[row] + np.maximum(lo, 0), own[row] + np.minimum(hi, counts[row]), [m.tobytes() for m in missing])
+    return {"row": row, "p": p, "lo": start[begin], "hi": start[end], "fp": mix(gram[p + first[row]] + U(1)).view(np.int64), "ctx": ctx}
 
 
 def anchors(texts: DataFrame, window: int) -> DataFrame:
@@ -105,48 +125,101 @@ def anchors(texts: DataFrame, window: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, ctx, n): how often an anchor has been seen."""
-
-    def __init__(self, spark: SparkSession, fan_in: int = 4, work: Workspace | None = None):
-        self.work = work or Workspace(spark, "windows")
-        self.fan_in = fan_in
-        self.runs: list[DataFrame] = []
-
-    @staticmethod
-    def _merged(parts: DataFrame) -> DataFrame:
-        return parts.groupBy("fp", "ctx").agg(F.sum("n").alias("n"))
-
-    def ingest(self, batch: DataFrame) -> DataFrame:
-        """Adds the anchors of one batch as a run. Returns its fingerprints that history had already, with
-        ``seen``, their number in history, for those who decide on a batch without rereading the past."""
-        counted = self._merged(batch.select("fp", "ctx", F.lit(1).cast("long").alias("n")))
-        run = self.work.write(counted.sortWithinPartitions("fp", "ctx"), "run")
-        history = self.runs
-        self.runs = [*history, run]
-        if not history:
-            return run.select("fp", "ctx", "n", F.lit(0).cast("long").alias("seen")).where("false")
-        past = reduce(DataFrame.unionByName, history).select("fp", "ctx", F.col("n").alias("past"))
-        seen = run.hint("merge").join(past, ["fp", "ctx"]).groupBy("fp", "ctx").agg(F.max("n").alias("n"), F.sum("past").alias("seen"))
-        if len(self.runs) > self.fan_in:
+    """Runs of (fp, ctx, n), how often an anchor has been seen, in a folder that sessions may open again.
+
+    The folder has a manifest for each change, which is written once and never altered: the runs, the batches' anchors and their hits. What a failed change left behind
+    isn't in a manifest and so isn't read."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = 4, buckets: int | None = None):
+        self.spark, self.fan_in = spark, fan_in
+        self.path = path or f"{shared_folder(spark)}/barloom-windows-{uuid.uuid4().hex[:12]}"
+        self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        known = sorted(x.getPath().getName() for x in self._fs.globStatus(self._hadoop(f"{self.path}/manifest/*.json")) or [])
+        if known:
+            self.state = json.loads(spark.read.text(f"{self.path}/manifest/{known[-1]}", wholetext=True).first()[0])
+        else:
+            self.state = {"version": 0, "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": [], "anchors": [], "hits": []}
+
+    def _commit(self, **changes) -> None:
+        state = self.state | changes | {"version": self.state["version"] + 1}
+        out = self._fs.create(self._hadoop(f"{self.path}/manifest/{state['version']:09d}.json"), False)  # fails if another session was first
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        self.state = state
+
+    def _new(self, kind: str) -> str:
+        return f"{self.path}/{kind}/{self.state['version'] + 1:09d}-{uuid.uuid4().hex[:8]}"
+
+    def _run(self, path: str) -> DataFrame:
+        """A run as a bucketed table, so that joins and sums by fp need no shuffle of it."""
+        name = "barloom_run_" + hashlib.md5(path.encode()).hexdigest()[:16]
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (fp BIGINT, ctx BIGINT, n BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp, ctx) INTO {self.state['buckets']} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
+
+    def _write_run(self, counted: DataFrame) -> str:
+        path, b = self._new("runs"), self.state["buckets"]
+        name = "barloom_run_" + hashlib.md5(path.encode()).hexdigest()[:16]
+        counted.repartition(b, "fp").write.format("parquet").bucketBy(b, "fp").sortBy("fp", "ctx").option("path", path).saveAsTable(name)
+        return path
+
+    @property
+    def runs(self) -> list[DataFrame]:
+        return [self._run(x) for x in self.state["runs"]]
+
+    def anchors(self) -> DataFrame:
+        return self.spark.read.parquet(*self.state["anchors"])
+
+    def hits(self) -> DataFrame:
+        """Fingerprints that have occurred more than once, over all batches."""
+        return self.spark.read.parquet(*self.state["hits"]).distinct()
+
+    def ingest(self, texts: DataFrame, window: int) -> DataFrame:
+        """Adds the anchors of a batch (rid, text). Returns the batch's hits: fingerprints it has more than once, or that history has."""
+        placed, hits = self._new("anchors"), self._new("hits")
+        anchors(texts, window).write.parquet(placed)
+        found = self.spark.read.parquet(placed)
+        written = self._write_run(_merged(found.select("fp", "ctx", F.lit(1).cast("long").alias("n"))))
+        run = self._run(written)
+        own = run.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp")
+        shared = [run.select("fp").join(past.select("fp").hint("merge"), "fp", "left_semi") for past in self.runs]
+        reduce(DataFrame.union, shared, own).write.parquet(hits)
+        self._commit(runs=[*self.state["runs"], written], anchors=[*self.state["anchors"], placed], hits=[*self.state["hits"], hits])
+        if len(self.state["runs"]) > self.fan_in:
             self.compact()
-        return seen
+        return self.spark.read.parquet(hits).distinct()
+
+    def entries(self, fps: DataFrame, work: Workspace) -> DataFrame:
+        """(fp, ctx, n, contexts) of the given fingerprints over all runs: how often an anchor was seen, and with how many ctx its fp."""
+        # summed from written tables: Spark 4.1 takes a union of bucketed tables for bucketed, but reads it in other partitions
+        merged = _merged(reduce(DataFrame.union, [work.write(run.join(fps.hint("merge"), "fp", "left_semi"), "entries") for run in self.runs]))
+        return merged.join(merged.groupBy("fp").agg(F.count(F.lit(1)).alias("contexts")).hint("merge"), "fp")
+
+    def compact(self) -> None:
+        """All runs merged into one sorted run; the old ones are deleted once it is in the manifest."""
+        old = self.state["runs"]
+        if len(old) > 1:
+            whole = self._write_run(_merged(self.spark.read.parquet(*old)))
+            self._commit(runs=[whole])
+            for x in old:
+                self.spark.sql("DROP TABLE IF EXISTS barloom_run_" + hashlib.md5(x.encode()).hexdigest()[:16])
+                self._fs.delete(self._hadoop(x), True)
+
+    def delete(self) -> None:
+        for x in self.state["runs"]:
+            self.spark.sql("DROP TABLE IF EXISTS barloom_run_" + hashlib.md5(x.encode()).hexdigest()[:16])
+        self._fs.delete(self._hadoop(self.path), True)
+
 
-    def compact(self) -> DataFrame:
-        """All runs merged into one sorted run."""
-        if len(self.runs) > 1:
-            whole = self.work.write(self._merged(reduce(DataFrame.unionByName, self.runs)).sortWithinPartitions("fp", "ctx"), "run")
-            self.work.drop(*self.runs)
-            self.runs = [whole]
-        return self.runs[0]
+def _merged(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("fp", "ctx").agg(F.sum("n").alias("n"))
 
 
-def _repeated(found: DataFrame, index: DataFrame, texts: DataFrame, window: int, work: Workspace) -> DataFrame:
+def _repeated(index: FingerprintIndex, texts: DataFrame, window: int, work: Workspace) -> DataFrame:
     """(rid, start, stop): word ranges that repeated windows cover."""
-    # fingerprints that occur more than once; those that occur once are most, and leave here
-    of_fp = index.groupBy("fp").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("contexts")).where("total > 1").select("fp", "contexts")
-    shared = work.write(index.join(of_fp, "fp"), "shared")
-    placed = work.write(found.drop("batch").join(shared, ["fp", "ctx"]), "placed")
-    work.drop(found, index)
+    # fingerprints that occur once are most, and leave here
+    shared = work.write(index.entries(index.hits(), work), "shared")
+    placed = work.write(index.anchors().join(shared.hint("merge"), ["fp", "ctx"]), "placed")
     settled = placed.where("n > 1").select("rid", F.col("lo").alias("start"), (F.col("hi") + window).alias("stop"))
     # where a fingerprint has several contexts, one place of each is asked; their windows are compared one by one
     place = F.struct("rid", "p", "lo", "hi").alias("rep")
@@ -160,8 +233,9 @@ def _repeated(found: DataFrame, index: DataFrame, texts: DataFrame, window: int,
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = utf8(part.column("text"))
-                words, first, _, _ = _padded(data, offsets, window)
-                level = doubled(words, window.bit_length() - 1)
+                begins, ends, of = split(data, offsets)
+                counts = np.bincount(of, minlength=part.num_rows)
+                own = np.cumsum(counts) - counts
                 entries = part.column("asked")
                 row = np.repeat(np.arange(part.num_rows), np.diff(entries.offsets.to_numpy()))
                 flat = entries.flatten()
@@ -169,14 +243,11 @@ def _repeated(found: DataFrame, index: DataFrame, texts: DataFrame, window: int,
                 n = hi - lo + 1
                 which = np.repeat(np.arange(len(lo)), n)
                 start = lo[which] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                at, value = first[row[which]] + start, np.zeros(len(start), U)
-                for bit in range(window.bit_length()):
-                    if window >> bit & 1:
-                        value = mix(value ^ level[bit][at]) + U(0x9E3779B97F4A7C15)
-                        at = at + (1 << bit)
-                value = mix(value ^ (p[which] - start).astype(U))  # equal windows have the anchor at an equal offset
+                at = own[row[which]] + start
+                # equal windows have the anchor at an equal offset
+                value = _digests(data, begins, ends, at, at + window, [bytes([x]) for x in (p[which] - start).tolist()])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rid").take(pa.array(row[which])), flat.field("fp").take(pa.array(which)), pa.array(value.view(np.int64)), flat.field("alone").take(pa.array(which)), pa.array(start.astype(np.int32))],
+                    [part.column("rid").take(pa.array(row[which])), flat.field("fp").take(pa.array(which)), pa.array(value), flat.field("alone").take(pa.array(which)), pa.array(start.astype(np.int32))],
                     names=["rid", "fp", "hash", "alone", "start"],
                 )
 
@@ -186,22 +257,29 @@ def _repeated(found: DataFrame, index: DataFrame, texts: DataFrame, window: int,
     return settled.unionByName(edges)
 
 
+def identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, rid): equal rows share a rid of 128 bits; all of them occur, as often as they are given."""
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.withColumn("rid", F.unhex(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit("\u0001"), F.col("text")))))
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, batches: int = 2, fan_in: int = 4) -> DataFrame:
     """Texts without the words of repeated windows: ``id_col``, n_words, n_removed, kept (its words joined by one space).
 
-    ``batches``: into so many parts the rows are dealt, which are ingested one after another.
+    ``batches``: into so many parts the rows are dealt, which a new index ingests one after another.
     """
+    index, texts = FingerprintIndex(df.sparkSession, fan_in=fan_in), identified(df, id_col, text_col)
+    for b in range(int(batches)):
+        index.ingest(texts.where(F.pmod(F.xxhash64("rid"), F.lit(int(batches))) == b), window)
+    return kept_words(index, df, id_col, text_col, window)
+
+
+def kept_words(index: FingerprintIndex, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
+    """``remove_repeats`` for the rows that an index has ingested, all of them."""
     if not GRAM < window < 64:
         raise ValueError(f"window must be from {GRAM + 1} to 63")
-    spark = df.sparkSession
-    work = Workspace(spark, "substring")
-    # equal rows share an id of 128 bits; all of them occur, as often as they are given
-    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("rid", F.unhex(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit("\u0001"), F.col("text")))))
-    found = work.write(anchors(texts, window).withColumn("batch", F.pmod(F.xxhash64("rid"), F.lit(int(batches))).cast("int")), "anchors")
-    index = FingerprintIndex(spark, fan_in, work)
-    for b in range(int(batches)):
-        index.ingest(found.where(F.col("batch") == b))
-    gone = work.write(_repeated(found, index.compact(), texts, window, work), "ranges")
+    work, texts = Workspace(df.sparkSession, "substring"), identified(df, id_col, text_col)
+    gone = work.write(_repeated(index, texts, window, work), "ranges")
     ranges = gone.groupBy("rid").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,12 +78,34 @@ def test_substring_random(spark, seed):
 
 def test_index_tells_batches_what_history_has(spark):
     texts = spark.createDataFrame([(b"a", LONG), (b"b", LONG)], "rid binary, text string")
-    found = substring_dedup.anchors(texts, 35)
     index = substring_dedup.FingerprintIndex(spark)
-    assert index.ingest(found.where("rid = X'61'")).count() == 0
-    seen = index.ingest(found.where("rid = X'62'"))
-    assert seen.count() == found.where("rid = X'62'").count() > 10
-    assert index.compact().agg(F.min("n")).first()[0] == 2
+    assert index.ingest(texts.where("rid = X'61'"), 35).count() == 0
+    seen = index.ingest(texts.where("rid = X'62'"), 35)
+    assert seen.count() == index.anchors().where("rid = X'62'").count() > 10
+    index.compact()
+    assert len(index.runs) == 1 and index.runs[0].agg(F.min("n")).first()[0] == 2
+
+
+def test_index_is_opened_again(spark):
+    """Batches from several sessions, compaction among them, give the result of one batch; runs are joined without a shuffle of them."""
+    parts = [LONG.split()[a : a + 80] for a in (0, 60, 100, 150, 155, 300)]
+    rows = [(i, " ".join([*prose(700 + i, 30).split(), *p, *prose(800 + i, 30).split()])) for i, p in enumerate(parts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = substring_dedup.FingerprintIndex(spark).path
+    for i in range(len(rows)):
+        session = spark.newSession()
+        for table in [t.name for t in session.catalog.listTables() if t.name.startswith("barloom_run_")]:
+            session.sql(f"DROP TABLE {table}")  # as in another application
+        own = session.createDataFrame(rows[i : i + 1], "doc_id long, text string")
+        substring_dedup.FingerprintIndex(session, path, fan_in=2).ingest(substring_dedup.identified(own), 35)
+    index = substring_dedup.FingerprintIndex(spark, path)
+    assert len(index.state["runs"]) <= 3 and len(index.state["anchors"]) == len(rows)
+    got = [tuple(r)[1:] for r in substring_dedup.kept_words(index, df).orderBy("doc_id").collect()]
+    assert got == plain_repeats([t for _, t in rows]) == [tuple(r)[1:] for r in substring_dedup.remove_repeats(df, batches=1).orderBy("doc_id").collect()]
+    a, b = index.runs[0].select("fp"), index.runs[-1].select("fp")
+    plan = a.join(b.hint("merge"), "fp", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.delete()
 
 
 def test_op2_sql(spark):

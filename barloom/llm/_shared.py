@@ -37,3 +37,8 @@ class Workspace:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(table._barloom_path)
             path.getFileSystem(conf).delete(path, True)
+
+    def size(self, table: DataFrame) -> int:
+        """Bytes of a table's files."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(table._barloom_path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()

@@ -381,8 +381,11 @@ def test_encoder_equals_the_tokenizer():
 def test_lines(spark, docs, nothing):
     rows = [(i, f"menu\nown {i}\n\nfoot", "s" if i < 8 else None) for i in range(12)] + [(20, None, "s"), (21, "menu", "s"), (22, "menu\nmenu", "other")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"row": F.lit(1), "kept": F.lit(2), "host": F.lit(3)})
-    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_site_boilerplate(df, ratio=0.5, min_pages=4).collect()}
-    assert got == {**{i: f"own {i}\n" for i in range(12)}, 20: None, 21: "", 22: "menu\nmenu"}
+    for most in (64 << 20, -1):  # broadcast, and merged by host
+        got = {r["doc_id"]: r["text"] for r in line_dedup.drop_site_boilerplate(df, ratio=0.5, broadcast_bytes=most).collect()}
+        assert got == {**{i: f"own {i}\n" for i in range(12)}, 20: None, 21: "", 22: "menu\nmenu"}
+    copied = df.where("doc_id < 8").union(df.where("doc_id = 0").crossJoin(spark.range(50)).drop("id"))
+    assert line_dedup.drop_site_boilerplate(copied, ratio=0.5).where("text = 'own 0\\n'").count() == 51
     assert line_dedup.drop_site_boilerplate(docs).columns == docs.columns and line_dedup.drop_site_boilerplate(docs).count() == len(ROWS)
     assert line_dedup.drop_site_boilerplate(nothing).count() == 0
 
@@ -401,7 +404,8 @@ def test_op7_sql_where_lines_go(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == sorted(con.execute(line_dedup.OP7_SQL).fetchall())
-    assert sum(r[2] for r in got) < sum(len(r[1]) for r in rows) / 2
+    kept = {r[0]: r[2] for r in got}
+    assert all(kept[100 + i] == len("a copied\ntext") for i in range(50)) and all(kept[i] == len(f"own {i}\n") for i in range(60))
 
 
 # ---- quality

@@ -5,9 +5,9 @@ after it. Training maximizes the likelihood of labelled documents, each line car
 steps on forward-backward expectations. A document's score is the mean of its lines' marginal probabilities of
 being good, weighted by the lines' lengths.
 
-Features are computed on executors from whole texts, vectorised over a batch. Training sees at most about ``max_docs`` labelled
-documents (those whose text's hash falls under the fitting fraction); their lines' feature rows come to the driver, in chains of at
-most ``CHAIN`` lines that together hold every line.
+Features are computed on executors from whole texts, vectorised over a batch. Training sees at most about ``max_docs`` distinct labelled
+texts (those whose hash falls under the fitting fraction), each once, and of each at most ``max_chains`` chains of ``CHAIN`` lines, spread evenly over it; their
+feature rows come to the driver, so these two bound what it gets. Scoring takes every line.
 
 A null text is empty; an empty text is one empty line and has a score like any other. Without labelled rows of both kinds
 every score is 0.5. Labels that are null or neither 0 nor 1 are not learned from. Repeated rows count as often as they come; other
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ._words import slices, split, utf8, word_hashes
 
 CHAIN = 64
+_NEVER = -1e200  # the logarithm of nothing
 _OWN = 12
 
 _CLASS = np.full(256, 5, np.uint8)  # 0 capital, 1 small, 2 digit, 3 white space, 4 sentence mark, 5 other, 6 within a character
@@ -96,38 +97,79 @@ class LineModel:
         return ((features - self.mean) / self.scale) @ self.weights
 
 
-def _positions(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chains from longest to shortest: their first places and lengths; and the place of each row's chain."""
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-    length = np.diff(np.append(first, len(row)))
-    order = np.argsort(-length, kind="stable")
-    return first[order], length[order], order
+def _steps(size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, those that are longer than k) for k = 0, 1, ... over runs of the given sizes."""
+    order = np.argsort(-size, kind="stable")
+    alive = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), "left")
+    for k, m in enumerate(alive.tolist()):
+        yield k, order[:m]
 
 
-def marginals(model: LineModel, evidence: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _through(x: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Log sums over the state before, of (..., state) and a move."""
+    return np.logaddexp(x[..., :1] + moves[0], x[..., 1:] + moves[1])
+
+
+def marginals(model: LineModel, evidence: np.ndarray, row: np.ndarray, piece: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Probability of good of each line by forward-backward, and the summed expectations of moves (2 x 2).
 
-    All chains of the batch advance together, one line a step."""
-    first, length, _ = _positions(row)
+    Chains are cut into pieces of about the root of the longest one's length. All pieces of the batch advance together: first each piece's matrix of scores from the
+    state before it to that at its end, then pieces of a chain in order, then the lines within pieces from what comes into them. So there are steps by the root of the
+    longest text's lines, not by its lines."""
     n, moves = len(row), model.moves
+    if not n:
+        return np.zeros(0), np.zeros((2, 2))
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    length = np.diff(np.append(first, n))
+    piece = piece or max(CHAIN, int(np.ceil(np.sqrt(length.max()))))
+    number = -(-length // piece)
+    head = np.cumsum(number) - number  # each chain's first piece
+    chain = np.repeat(np.arange(len(first)), number)
+    nth = np.arange(len(chain)) - head[chain]
+    begin = first[chain] + nth * piece
+    size = np.minimum(piece, length[chain] - nth * piece)
     scores = np.stack([np.zeros(n), evidence], axis=1)
+    came, goes = np.zeros((len(chain), 2)), np.zeros((len(chain), 2))
+    if number.max() > 1:
+        matrix = np.full((len(chain), 2, 2), _NEVER)
+        matrix[:, [0, 1], [0, 1]] = 0
+        for k, own in _steps(size):
+            matrix[own] = _through(matrix[own], moves) + scores[begin[own] + k][:, None]
+        start = scores[first]  # into a chain comes nothing: its first line is its score alone
+        inner = np.full((len(first), 2, 2), _NEVER)
+        inner[:, [0, 1], [0, 1]] = start
+        firsts = np.where(number > 1)[0]
+        for k, own in _steps(size[head[firsts]]):
+            if k:
+                at = firsts[own]
+                inner[at] = _through(inner[at], moves) + scores[first[at] + k][:, None]
+        reach = np.logaddexp(inner[:, 0], inner[:, 1])
+        for k, own in _steps(number):
+            if k:
+                came[head[own] + k] = reach[own]
+                reach[own] = np.logaddexp(reach[own][:, :1] + matrix[head[own] + k, 0], reach[own][:, 1:] + matrix[head[own] + k, 1])
+        ends = [x for x in _steps(number)][:0:-1]
+        for k, own in ends:
+            ahead = matrix[head[own] + k] + goes[head[own] + k][:, None]
+            goes[head[own] + k - 1] = np.logaddexp(ahead[:, :, 0], ahead[:, :, 1])
     forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
-    steps = int(length[0]) if n else 0
-    alive = np.searchsorted(-length, -np.arange(steps), "left")  # chains longer than the step
-    for t in range(steps):
-        at = first[: alive[t]] + t
-        if t == 0:
-            forward[at] = scores[at]
+    for k, own in _steps(size):
+        at = begin[own] + k
+        if k:
+            forward[at] = scores[at] + _through(forward[at - 1], moves)
         else:
-            forward[at] = scores[at] + np.logaddexp(forward[at - 1, :1] + moves[0], forward[at - 1, 1:] + moves[1])
-    expected = np.zeros((2, 2))
-    for t in range(steps - 2, -1, -1):
-        at = first[: alive[t + 1]] + t
-        ahead = scores[at + 1] + backward[at + 1]
-        backward[at] = np.logaddexp(ahead[:, :1] + moves[:, 0], ahead[:, 1:] + moves[:, 1])
-        joint = forward[at][:, :, None] + moves[None] + ahead[:, None, :]
-        whole = np.logaddexp(*(forward[at] + backward[at]).T)
-        expected += np.exp(joint - whole[:, None, None]).sum(axis=0)
+            forward[at] = scores[at] + np.where(nth[own][:, None] == 0, 0.0, _through(came[own], moves))
+    last = begin + size - 1
+    backward[last] = goes
+    for k, own in _steps(size):
+        if k:
+            at = last[own] - k
+            ahead = scores[at + 1] + backward[at + 1]
+            backward[at] = np.logaddexp(ahead[:, :1] + moves[:, 0], ahead[:, 1:] + moves[:, 1])
+    pair = np.flatnonzero(row[1:] == row[:-1])
+    joint = forward[pair][:, :, None] + moves[None] + (scores[pair + 1] + backward[pair + 1])[:, None, :]
+    whole = np.logaddexp(*(forward[pair] + backward[pair]).T)
+    expected = np.exp(joint - whole[:, None, None]).sum(axis=0)
     both = forward + backward
     return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -500, 500))), expected
 
@@ -153,11 +195,11 @@ def train(features: np.ndarray, row: np.ndarray, good: np.ndarray, rounds: int =
     return model
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", max_docs: int = 8000) -> LineModel | None:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", max_docs: int = 8000, max_chains: int = 8) -> LineModel | None:
     """None if the labelled rows don't hold both labels."""
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("good"))
     share = min(1.0, max_docs / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["text", "good"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,6 +207,13 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
                 own, _, row = line_features(*utf8(part.column("text")))
                 x = with_neighbours(own, row).astype(np.float32)
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+                within = np.arange(len(row)) - cut[row]
+                chains = -(-np.diff(cut) // CHAIN)
+                # the chain a line is in, and those that are taken: every chain of a short text, evenly spread ones of a long text
+                nth, every = within // CHAIN, np.maximum(chains / max_chains, 1.0)[row]
+                taken = np.floor(np.ceil(nth / every - 1e-9) * every + 1e-9) == nth
+                x, row = x[taken], row[taken]
+                cut = np.searchsorted(row, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), part.column("good")], names=["x", "good"])
 
     got = sample.mapInArrow(run, "x binary, good int").collect()

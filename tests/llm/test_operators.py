@@ -430,6 +430,26 @@ def test_marginals_by_enumeration():
     assert np.allclose(want, moves)
 
 
+def test_pieces_do_not_change_marginals():
+    rng = np.random.default_rng(3)
+    m = quality.LineModel(np.zeros(1), np.ones(1), np.ones(1), rng.normal(size=(2, 2)))
+    row = np.repeat(np.arange(7), [1, 2, 3, 7, 50, 64, 301])
+    e = rng.normal(size=len(row)) * 2
+    whole = quality.marginals(m, e, row, 1000)
+    for piece in (1, 2, 7, 50):
+        p, expected = quality.marginals(m, e, row, piece)
+        assert np.allclose(p, whole[0], atol=1e-10) and np.allclose(expected, whole[1], atol=1e-8)
+
+
+def test_a_text_of_very_many_lines():
+    import time
+
+    m = quality.LineModel(np.zeros(39), np.ones(39), np.ones(39) / 10, np.array([[1.0, -1.0], [-1.0, 1.0]]))
+    began = time.process_time()
+    score, lines, good = quality.text_scores(m, pa.array(["word\n" * 400_000, "a", None]))
+    assert lines.tolist() == [400_001, 1, 1] and (0 <= score).all() and (score <= 1).all() and time.process_time() - began < 60
+
+
 def test_quality(spark, docs, nothing):
     got = quality.op8_quality(spark, D).join(spark.read.parquet(f"{D}/labels.parquet"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]
@@ -461,9 +481,51 @@ def test_languages(spark, docs, nothing):
     assert language_id.predict(docs, language_id.fit(nothing)).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def plain_languages(train, texts, longest=5):
+    """(language, score) by dictionaries alone."""
+    words = lambda t: "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    langs = sorted({x for _, x in train})
+    counts = {x: Counter(w for t, lang in set(train) if lang == x for w in words(t)) for x in langs}
+    vocabulary = set().union(*counts.values())
+    grams = {n: {x: Counter() for x in langs} for n in range(1, longest + 1)}
+    for x in langs:
+        for w, c in counts[x].items():
+            for n in grams:
+                for i in range(len(w) + 3 - n):
+                    grams[n][x][f"_{w}_"[i : i + n]] += c
+    log = lambda c, whole, size: np.log(c + 0.5) - np.log(whole + 0.5 * size)
+    of = lambda table, key: np.array([log(table[x][key], sum(table[x].values()), len(set().union(*table.values()))) for x in langs])
+    out = []
+    for t in texts:
+        total, own = np.zeros(len(langs)), words(t)
+        for w in own:
+            if w in vocabulary:
+                total += of(counts, w)
+                continue
+            for n in range(longest, 0, -1):
+                known = [g for i in range(len(w) + 3 - n) if any((g := f"_{w}_"[i : i + n]) in grams[n][x] for x in langs)]
+                if known:
+                    total += np.mean([of(grams[n], g) for g in known], axis=0)
+                    break
+        best = int(total.argmax())
+        out.append((langs[best], float(1 / np.exp(total - total.max()).sum())) if own else ("und", 0.0))
+    return out
+
+
+def test_whole_predictions_by_a_plain_version(spark, nothing):
+    train = [("der hund und die katze", "de"), ("das haus und der garten", "de"), ("the dog and the cat", "en"), ("le chien et le chat", "fr"), ("the dog and the cat", "en"), ("un chat, deux chats; der", "fr"), ("ναι", "el")]
+    texts = ["der dog", "hunde katzen", "thee cats", "und", "chatte", "", None, "12 !", "zzz q", "the the der", "Ναι ναι ο"]
+    model = language_id.fit(spark.createDataFrame(train, "text string, lang string"))
+    got = [(r["lang_pred"], r["score"]) for r in language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    want = plain_languages(train, texts)
+    assert [x for x, _ in got] == [x for x, _ in want] and np.allclose([x for _, x in got], [x for _, x in want])
+    assert language_id.predict(nothing, model).count() == 0
+
+
 def test_unseen_words_back_off():
-    grams = {"abc": np.array([-1.0, -5.0]), "_a": np.array([-2.0, -1.0]), "z": np.array([-3.0, -4.0])}
-    m = language_id.LanguageModel(["x", "y"], np.zeros(1, np.uint64), np.zeros((1, 2)), grams, 3)
+    one = lambda *rows: language_id.Scores(np.zeros(2), np.arange(0, 2 * len(rows) + 1, 2), np.tile([0, 1], len(rows)).astype(np.int32), np.array(rows, float).ravel())
+    grams = {"abc": (3, 0), "_a": (2, 0), "z": (1, 0)}
+    m = language_id.LanguageModel(["x", "y"], np.zeros(1, np.uint64), one([0, 0]), grams, {3: one([-1, -5]), 2: one([-2, -1]), 1: one([-3, -4])}, 3)
     assert m.unseen("abc").tolist() == [-1.0, -5.0] and m.unseen("ax").tolist() == [-2.0, -1.0] and m.unseen("zz").tolist() == [-3.0, -4.0] and m.unseen("q") is None
 
 

@@ -5,11 +5,13 @@ may differ from a passage by k = min(m * error_rate, m / 16 - 1) edits, rounded
 at least occurs unchanged in any such passage. Pieces (16 characters at least) are found by an Aho-Corasick automaton;
 around each hit the whole item is verified by Myers' bit-parallel edit distance, with free ends in the document.
 
-Items go in blocks of at most ``block_chars`` characters, read one after another on the driver; the automaton of one block is
-broadcast, so what is sent has a fixed bound, and each block meets all documents. No pair is made but for a hit.
+Items shorter than ``SHORT`` normalized characters say little about a text's origin. They are searched too, unchanged and between word ends only, and reported as
+``short``; the filter drops no document for one of them unless it is told to.
 
-Null or empty documents match nothing. Items of less than ``min_chars`` characters (or null) are not searched: such a text
-says nothing about its origin. Items with equal text are each reported. Repeated documents are each reported. Other columns
+Items go in blocks of at most ``block_chars`` characters, which pass over the driver one after another; the automaton of one block is
+broadcast, so what is held and sent at a time has a fixed bound, and each block meets all documents. No pair is made but for a hit.
+
+Null or empty documents match nothing, nor do null, empty or blank items. Items with equal text are each reported. Repeated documents are each reported. Other columns
 of documents are not read.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-PIECE = 16
+PIECE, SHORT = 16, 24
 
 
 def normalized(text: str) -> str:
@@ -84,12 +86,17 @@ def _automaton(items: tuple[tuple[int, str], ...], error_rate: float):
     return automaton
 
 
-def _search(text: str, items: tuple[tuple[int, str], ...], automaton, error_rate: float) -> list[tuple[int, int, int, int]]:
-    """(item's number, edits, length of the normalized document, end of the match) for the best match of each item."""
+def _search(text: str, items: tuple[tuple[int, str], ...], automaton, error_rate: float) -> list[tuple[int, int, int, int, bool]]:
+    """(item's number, edits, length of the normalized document, end of the match, short) for the best match of each item; for short ones the first."""
     windows: dict[int, list[list[int]]] = {}
+    exact: dict[int, int] = {}  # short items: where their first match ends
     for end, (length, where) in automaton.iter(text):
         for place, a in where:
             m = len(items[place][1])
+            if m < SHORT:
+                if place not in exact and not (end + 1 > m and text[end - m].isalnum() or text[end + 1 : end + 2].isalnum()):
+                    exact[place] = end + 1
+                continue
             k = budget(m, error_rate)
             start = end + 1 - length - a  # where the item would start without edits
             lo, hi = max(0, start - k), min(len(text), start + m + k)
@@ -98,7 +105,7 @@ def _search(text: str, items: tuple[tuple[int, str], ...], automaton, error_rate
                 spans[-1] = [min(lo, spans[-1][0]), max(hi, spans[-1][1])]
             else:
                 spans.append([lo, hi])
-    out = []
+    out = [(items[place][0], 0, len(text), end, True) for place, end in exact.items()]
     for place, spans in windows.items():
         number, item = items[place]
         best = None
@@ -107,16 +114,16 @@ def _search(text: str, items: tuple[tuple[int, str], ...], automaton, error_rate
             if got and (best is None or got[0] < best[0]):
                 best = (got[0], lo + got[1])
         if best:
-            out.append((number, best[0], len(text), best[1]))
+            out.append((number, best[0], len(text), best[1], False))
     return out
 
 
-def benchmark_blocks(items: DataFrame, item_col: str, text_col: str, min_chars: int, block_chars: int) -> Iterator[tuple[tuple[int, str], ...]]:
+def benchmark_blocks(items: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[tuple[tuple[int, str], ...]]:
     """Items with normalized texts in blocks of at most ``block_chars`` characters (one longer item is a block)."""
     block, size = [], 0
     for number, text in items.select(item_col, text_col).toLocalIterator():
         text = normalized(text or "")
-        if len(text) < min_chars:
+        if not text:
             continue
         if block and size + len(text) > block_chars:
             yield tuple(block)
@@ -127,15 +134,15 @@ def benchmark_blocks(items: DataFrame, item_col: str, text_col: str, min_chars:
         yield tuple(block)
 
 
-def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.06, min_chars: int = 24, block_chars: int = 4_000_000) -> DataFrame:
+def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.06, block_chars: int = 4_000_000) -> DataFrame:
     """One row for each row of ``df`` and item that it contains: ``id_col``, ``item_col``, edits, match_end (in the
-    normalized text), text_chars (its length)."""
+    normalized text), text_chars (its length), short."""
     spark = df.sparkSession
-    kinds = f"{id_col} {df.select(id_col).schema[0].dataType.simpleString()}, {item_col} {items.select(item_col).schema[0].dataType.simpleString()}, edits int, match_end long, text_chars long"
+    kinds = f"{id_col} {df.select(id_col).schema[0].dataType.simpleString()}, {item_col} {items.select(item_col).schema[0].dataType.simpleString()}, edits int, match_end long, text_chars long, short boolean"
     item_type = to_arrow_type(items.select(item_col).schema[0].dataType)
     docs = df.select(F.col(id_col), F.col(text_col).alias("text"))
     found = []
-    for block in benchmark_blocks(items, item_col, item_text_col, min_chars, block_chars):
+    for block in benchmark_blocks(items, item_col, item_text_col, block_chars):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -148,25 +155,25 @@ def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
                         got = _search(normalized(text.as_py()), own, automaton, error_rate)
                         at += [i] * len(got)
                         rows += got
-                numbers, edits, chars, ends = zip(*rows, strict=True) if rows else ((), (), (), ())
+                numbers, edits, chars, ends, short = zip(*rows, strict=True) if rows else ((),) * 5
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, item_type), pa.array(edits, pa.int32()), pa.array(ends, pa.int64()), pa.array(chars, pa.int64())],
-                    names=[id_col, item_col, "edits", "match_end", "text_chars"],
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, item_type), pa.array(edits, pa.int32()), pa.array(ends, pa.int64()), pa.array(chars, pa.int64()), pa.array(short, pa.bool_())],
+                    names=[id_col, item_col, "edits", "match_end", "text_chars", "short"],
                 )
 
         found.append(docs.mapInArrow(run, kinds))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], kinds)
 
 
-def drop_contaminated(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.06, min_chars: int = 24, block_chars: int = 4_000_000) -> DataFrame:
-    """The rows of ``df``, all columns, without those that contain an item. Nothing is shuffled."""
-    for block in benchmark_blocks(items, item_col, item_text_col, min_chars, block_chars):
+def drop_contaminated(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.06, short_too: bool = False, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of ``df``, all columns, without those that contain an item (a short one only if ``short_too``). Nothing is shuffled."""
+    for block in benchmark_blocks(items, item_col, item_text_col, block_chars):
         sent = df.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(sent.value, error_rate)
             for batch in batches:
-                clean = [not (t.is_valid and _search(normalized(t.as_py()), sent.value, automaton, error_rate)) for t in batch.column(text_col)]
+                clean = [not (t.is_valid and any(short_too or not x[-1] for x in _search(normalized(t.as_py()), sent.value, automaton, error_rate))) for t in batch.column(text_col)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         df = df.mapInArrow(run, df.schema)
@@ -176,4 +183,4 @@ def drop_contaminated(df: DataFrame, items: DataFrame, text_col: str = "text", i
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return contamination(docs, items).select("doc_id", "item_id", "edits", "match_end")
+    return contamination(docs, items).select("doc_id", "item_id", "edits", "match_end", "short")

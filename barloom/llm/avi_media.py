@@ -7,13 +7,14 @@ usual RIFF lists (hdrl with avih, strh, strf and strd, movi, idx1); strd holds t
 
 Reading: the RIFF tree and idx1 give the frames; JPEG segments give tables and sizes; all restart intervals of a batch are
 decoded together, one block a step. AC coefficients are skipped, so any baseline grey stream with its own tables yields its picture
-at an eighth of the size. Anything else (colour, progressive, damaged) raises ValueError.
+at an eighth of the size. Anything else (no file, colour, progressive, truncated or damaged) gives a row whose ``error`` says what is wrong and whose other
+columns read from the file are null; files are decoded together, and one by one where that fails, so one bad file costs no other.
 
 Shots: a frame's histogram of 16 levels is compared with the one before (half the summed absolute differences, as a share). A
 cut is where that exceeds the mean of the last ``span`` differences of the shot plus ``factor`` standard deviations, and ``least``. Clips are
 the frames between cuts, with times by the file's frame rate.
 
-Null and empty texts become 64 zero bytes. Equal texts give equal files and features. Repeated rows each give a row; other
+Frames are coded and decoded ``AT_ONCE`` at a time, whatever the size of a file. Null and empty texts become 64 zero bytes. Equal texts give equal files and features. Repeated rows each give a row; other
 columns are not read.
 """
 
@@ -34,6 +35,7 @@ from ._words import slices, utf8
 
 COLUMNS, ROWS, RATE = 64, 8, 25
 _BLOCKS = COLUMNS * ROWS
+AT_ONCE = 1024
 
 #: Huffman tables of the writer: numbers of codes of 1 to 16 bits, then symbols. DC: size of the difference. AC: end of block only.
 _DC_COUNTS, _DC_SYMBOLS = [0, 0, 7, 1, 1] + [0] * 11, [5, 4, 7, 3, 6, 2, 0, 1, 8]
@@ -118,11 +120,14 @@ def write_avis(payloads: list[bytes]) -> list[bytes]:
     """AVI files that hold the payloads, whose lengths are multiples of 64."""
     counts = [-(-len(p) // _BLOCKS) for p in payloads]
     data = np.frombuffer(b"".join(p.ljust(n * _BLOCKS, b"\0") for p, n in zip(payloads, counts, strict=True)), np.uint8)
-    coded, ends = _entropy(data.reshape(-1, ROWS, COLUMNS)) if len(data) else (b"", np.zeros(0, int))
-    cuts = [0, *ends.tolist()]
+    frames, coded, cuts = data.reshape(-1, ROWS, COLUMNS), bytearray(), [0]
+    for k in range(0, len(frames), AT_ONCE):
+        some, ends = _entropy(frames[k : k + AT_ONCE])
+        cuts += (ends + len(coded)).tolist()
+        coded += some
     out, k = [], 0
     for payload, n in zip(payloads, counts, strict=True):
-        chunks = [_chunk(b"00dc", _JPEG_HEAD + coded[cuts[i] : cuts[i + 1]]) for i in range(k, k + n)]
+        chunks = [_chunk(b"00dc", _JPEG_HEAD + bytes(coded[cuts[i] : cuts[i + 1]])) for i in range(k, k + n)]
         k += n
         sizes = np.array([len(c) for c in chunks], np.int64)
         index = np.zeros((n, 4), "<u4")
@@ -232,12 +237,12 @@ def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
         starts.append(len(_JPEG_HEAD) if frame.startswith(_JPEG_HEAD) else _scan_start(frame))
         groups.setdefault(_jpeg_head(frame[: starts[-1]]), []).append(i)
     out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(frames)
-    for (across, down, interval, quantizer, dc, ac), own in groups.items():
-        blocks = across * down
-        levels = _decode([frames[i][starts[i] :] for i in own], blocks, interval, _lookup(dc), _lookup(ac))
-        grey = np.clip(np.rint(levels * quantizer / 8) + 128, 0, 255).astype(np.uint8)
-        for k, i in enumerate(own):
-            out[i] = grey[k]
+    for (across, down, interval, quantizer, dc, ac), group in groups.items():
+        for own in (group[k : k + AT_ONCE] for k in range(0, len(group), AT_ONCE)):
+            levels = _decode([frames[i][starts[i] :] for i in own], across * down, interval, _lookup(dc), _lookup(ac))
+            grey = np.clip(np.rint(levels * quantizer / 8) + 128, 0, 255).astype(np.uint8)
+            for k, i in enumerate(own):
+                out[i] = grey[k]
     return out
 
 
@@ -327,64 +332,96 @@ def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.withColumnRenamed("id", id_col)
 
 
-def _read(media: list[bytes]) -> Iterator[tuple[np.ndarray, float, int | None]]:
+def _whole(media: list[bytes]) -> list[tuple[np.ndarray, float, int | None]]:
     """(grey levels, frames a second, payload's length) of each file, decoded together."""
     parsed = [parse_avi(m) for m in media]
     grey = decode_frames([m[a:b] for m, (ranges, _, _) in zip(media, parsed, strict=True) for a, b in ranges])
-    k = 0
+    k, out = 0, []
     for ranges, rate, length in parsed:
         own = grey[k : k + len(ranges)]
         k += len(ranges)
-        yield (np.stack(own) if own else np.zeros((0, _BLOCKS), np.uint8)), rate, length
+        out.append((np.stack(own) if own else np.zeros((0, _BLOCKS), np.uint8), rate, length))
+    return out
+
+
+def read_files(media: list[bytes | None]) -> list[tuple[np.ndarray, float, int | None] | str]:
+    """What ``_whole`` gives for each file, or what is wrong with it."""
+    wrong = (ValueError, KeyError, IndexError, struct.error, MemoryError)
+    try:
+        if all(m is not None for m in media):
+            return _whole(media)
+    except wrong:
+        pass
+    out: list[tuple[np.ndarray, float, int | None] | str] = []
+    for m in media:
+        try:
+            out.append("no media" if m is None else _whole([m])[0])
+        except wrong as e:
+            out.append(f"{type(e).__name__}: {e}"[:200])
+    return out
+
+
+def _batches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows with at most a few MB of media, or one larger file."""
+    first, held = 0, 0
+    for i, m in enumerate(batch.column("media")):
+        n = m.as_buffer().size if m.is_valid else 0
+        if i > first and (held + n > 4 << 20 or i - first >= 256):
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if batch.num_rows > first:
+        yield batch.slice(first)
 
 
 def media_clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """A row for each clip: ``id_col``, clip, first_frame, frames, start_s, end_s. Null media has no clips."""
+    """A row for each clip: ``id_col``, clip, first_frame, frames, start_s, end_s, error. A file that can't be read, or none, is one row with its error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            for part in _batches(batch):
                 at, rows = [], []
-                media = part.column("media").to_pylist()
-                some = [i for i, m in enumerate(media) if m is not None]
-                for i, (grey, rate, _) in zip(some, _read([media[i] for i in some]), strict=True):
-                    for k, (a, b) in enumerate(shots(grey)):
-                        at.append(i)
-                        rows.append((k, a, b - a, a / rate, b / rate))
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at, pa.int64())), *map(pa.array, columns, kinds)], names=["id", "clip", "first_frame", "frames", "start_s", "end_s"])
+                for i, read in enumerate(read_files(part.column("media").to_pylist())):
+                    own = [(None, None, None, None, None, read)] if isinstance(read, str) else [(k, a, b - a, a / read[1], b / read[1], None) for k, (a, b) in enumerate(shots(read[0]))]
+                    at += [i] * len(own)
+                    rows += own
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at, pa.int64())), *map(pa.array, columns, kinds)], names=["id", "clip", "first_frame", "frames", "start_s", "end_s", "error"])
 
     id_type = df.select(id_col).schema[0].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, f"id {id_type}, clip int, first_frame int, frames int, start_s double, end_s double")
+    out = df.select(F.col(id_col).alias("id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(run, f"id {id_type}, clip int, first_frame int, frames int, start_s double, end_s double, error string")
     return out.withColumnRenamed("id", id_col)
 
 
 def read_back(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """``id_col``, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, frames, clips, feature."""
-    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "clips", "feature"]
+    """``id_col``, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, frames, clips, feature, error."""
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "clips", "feature", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            for part in _batches(batch):
                 media = part.column("media").to_pylist()
                 rows = []
-                for m, (grey, _, length) in zip(media, _read(media), strict=True):
+                for m, read in zip(media, read_files(media), strict=True):
+                    stored = (None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())
+                    if isinstance(read, str):
+                        rows.append((None, None, None, *stored, None, None, None, read))
+                        continue
+                    grey, _, length = read
                     payload = grey.ravel().tobytes()[:length]
                     clips = shots(grey)
                     levels = np.bincount(grey.ravel() >> 4, minlength=16).astype("<i8").tobytes()
                     feature = f"frames={len(grey)} clips={len(clips)} longest={max((b - a for a, b in clips), default=0)} cuts={zlib.crc32(np.array(clips, '<i8').tobytes()):08x} levels={zlib.crc32(levels):08x}"
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), len(grey), len(clips), feature))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-                columns = list(zip(*rows, strict=True)) or [()] * 8
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *stored, len(grey), len(clips), feature, None))
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                columns = list(zip(*rows, strict=True)) or [()] * 9
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), *map(pa.array, columns, kinds)], names=names)
 
     id_type = df.select(id_col).schema[0].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), "n_bytes", F.col(media_col).alias("media")).mapInArrow(run, f"id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, clips long, feature string")
+    out = df.select(F.col(id_col).alias("id"), "n_bytes", F.col(media_col).cast("binary").alias("media")).mapInArrow(run, f"id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, clips long, feature string, error string")
     return out.withColumnRenamed("id", id_col)
 
 
 def op3_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return read_back(to_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("error")

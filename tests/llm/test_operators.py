@@ -137,12 +137,32 @@ def test_media_round_trip(docs, nothing):
 def test_every_byte_and_damage():
     rng = np.random.default_rng(0)
     payloads = [bytes(range(256)) * 5, rng.integers(0, 256, 64 * 37).astype(np.uint8).tobytes(), b"\xff\x00" * 320]
-    for p, (grey, rate, n) in zip(payloads, avi_media._read(avi_media.write_avis(payloads))):
+    for p, (grey, rate, n) in zip(payloads, avi_media.read_files(avi_media.write_avis(payloads))):
         assert grey.ravel().tobytes()[:n] == p and rate == avi_media.RATE
     with pytest.raises(ValueError):
         avi_media.parse_avi(b"RIFF")
 
 
+def test_bad_media_give_error_rows(spark):
+    good = avi_media.write_avis([bytes(range(64)) * 40])[0]
+    files = [good, None, b"", b"RIFF", good[: len(good) // 2], good[:200] + b"\x00" * 60 + good[260:], b"RIFF\x04\x00\x00\x00AVI ", good.replace(b"\xff\xc0", b"\xff\xc2"), good, b"\x00" * 500]
+    df = spark.createDataFrame([(i, 2560, m) for i, m in enumerate(files)], "doc_id long, n_bytes long, media binary").coalesce(1)
+    got = {r["doc_id"]: r for r in avi_media.read_back(df).collect()}
+    assert len(got) == len(files) and [i for i, r in got.items() if r["error"] is None] == [0, 8]
+    assert got[0]["payload_sha256"] == got[8]["payload_sha256"] == hashlib.sha256(bytes(range(64)) * 40).hexdigest()
+    assert all(got[i]["payload_bytes"] is None and got[i]["feature"] is None for i in got if got[i]["error"]) and got[1]["media_bytes"] is None and got[4]["media_bytes"] == len(files[4])
+    clips = avi_media.media_clips(df).collect()
+    assert sorted(r["doc_id"] for r in clips if r["error"]) == [1, 2, 3, 4, 5, 6, 7, 9] and {r["doc_id"] for r in clips if r["clip"] is not None} == {0, 8}
+
+
+def test_a_long_file_goes_in_parts(monkeypatch):
+    monkeypatch.setattr(avi_media, "AT_ONCE", 3)
+    payload = np.random.default_rng(4).integers(0, 256, 64 * 100).astype(np.uint8).tobytes()
+    files = avi_media.write_avis([payload, payload[:64]])
+    monkeypatch.undo()
+    assert files == avi_media.write_avis([payload, payload[:64]]) and avi_media.read_files(files)[0][0].ravel().tobytes()[:6400] == payload
+
+
 def test_shots_find_a_change_of_scene():
     rng = np.random.default_rng(1)
     calm, other = rng.integers(0, 32, (20, 512)).astype(np.uint8), rng.integers(180, 250, (15, 512)).astype(np.uint8)
@@ -181,7 +201,14 @@ def test_contamination(spark, docs, nothing):
         x, t = decontaminate.normalized(x or ""), decontaminate.normalized(t or "")
         if len(x) >= 24 and (e := plain_distance(x, t)) <= decontaminate.budget(len(x), 0.06):
             want[(i, n)] = e
-    assert got == want and set(want) == {(0, 1), (0, 5), (1, 2)}
+    # short items unchanged and between word ends
+    short = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.contamination(df, items).where("short").collect()}
+    assert short == {(3, 4): 0}
+    assert got == want | short and set(want) == {(0, 1), (0, 5), (1, 2)}
+    near = spark.createDataFrame([(0, "a cat, sat"), (1, "concat"), (2, "cats"), (3, "CAT"), (4, "x (cat)")], "doc_id long, text string")
+    one = spark.createDataFrame([(1, " Cat "), (2, ""), (3, " ")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["match_end"]) for r in decontaminate.contamination(near, one).collect()) == [(0, 5), (3, 3), (4, 6)]
+    assert decontaminate.drop_contaminated(near, one).count() == 5 and decontaminate.drop_contaminated(near, one, short_too=True).count() == 2
     assert sorted(r[0] for r in decontaminate.drop_contaminated(df, items).select("doc_id").collect()) == [2, 3, 4, 5]
     assert decontaminate.drop_contaminated(docs, items).columns == docs.columns
     assert decontaminate.contamination(nothing, items).count() == 0

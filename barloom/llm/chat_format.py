@@ -12,7 +12,8 @@ The model is fitted on labelled turns by smoothed counts over at most about ``ma
 Transcripts are range-partitioned by (conversation, order) and checkpointed, so a conversation of any length is spread over as many
 partitions as it fills. Each partition reduces the part of a conversation that crosses its border to one matrix of best scores from the
 role before it to the role at its end; the driver gets at most two such matrices a partition, and gives back the roles at the borders. A
-long conversation's result is that of Viterbi over the whole.
+long conversation's result is that of Viterbi over the whole, wherever it was cut: scores are whole numbers, so sums don't depend on their order, and
+a little of a hash of each line's block and place goes into them, so that no two paths tie.
 
 Null texts are empty; an empty block is one empty line. Null conversations form one. Blocks with equal order stand in order of
 their text. Repeated rows are blocks each. Other columns are not read.
@@ -21,6 +22,7 @@ their text. Repeated rows are blocks each. Other columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import shared_folder
+from ._words import mix
 
 ROLES = ["system", "user", "assistant"]
 _NAMES = {
@@ -41,6 +44,9 @@ _NAMES = {
 _MARKER = re.compile(r"\s*(?:(>>+)|\*{0,2}(?:\[/?|<\|?/?|#{1,4}\s*)?(?:im_start\|?>)?\s*([A-Za-z]{1,12})\s*(?:\]|\|?>|:)\s*\*{0,2}:?)\s*")
 #: marker classes: none, somebody else, then one for each role
 _NO_MARKER, _OTHER = 0, 1
+#: Scores are in these parts of a nat; what can't be is far below what can.
+_UNIT, _NEVER = 1 << 24, -(1 << 50)
+_STAY = np.where(np.eye(3, dtype=bool), 0, _NEVER)
 _LENGTHS = np.array([1, 20, 40, 60, 80, 110, 140, 170, 200, 240, 300, 400, 600, 1000])
 
 
@@ -56,15 +62,16 @@ def read_marker(line: str) -> tuple[int, str]:
     return _NO_MARKER, line
 
 
-def observe(text: str, first: bool) -> tuple[list[str], np.ndarray]:
-    """Lines without markers, and for each: marker, length class of the line, length class of the block, last mark, first of all, begins a block."""
+def observe(text: str, first: bool, at: object = None) -> tuple[list[str], np.ndarray]:
+    """Lines without markers, and for each: marker, length class of the line, length class of the block, last mark, first of all, begins a block, a number of its own."""
     lines, out = [], []
     whole = int(np.searchsorted(_LENGTHS, len(text), "right"))
+    own = zlib.crc32(f"{at}|{text}".encode("utf-8", "replace"))
     for i, line in enumerate(text.split("\n")):
         marker, rest = read_marker(line)
         lines.append(rest)
         end = {"?": 1, ":": 2, ".": 3, "!": 4}.get(rest.rstrip()[-1:], 0)
-        out.append((marker, int(np.searchsorted(_LENGTHS, len(rest), "right")), whole, end, int(first and i == 0), int(i == 0)))
+        out.append((marker, int(np.searchsorted(_LENGTHS, len(rest), "right")), whole, end, int(first and i == 0), int(i == 0), own * 4_000_037 + i * 4))
     return lines, np.array(out, np.int64)
 
 
@@ -76,10 +83,15 @@ class ChatModel:
     length: np.ndarray  # role x length class of a block
     end: np.ndarray  # role x last mark
 
+    def fixed(self) -> "ChatModel":
+        """The same in whole numbers."""
+        return ChatModel(*(np.rint(x * _UNIT).astype(np.int64) for x in (self.start, self.move, self.marker, self.length, self.end)))
+
     def emission(self, seen: np.ndarray) -> np.ndarray:
         """lines x roles; a block's length counts once, at its first line."""
         score = self.marker[:, seen[:, 0]].T + self.end[:, seen[:, 3]].T
-        return score + np.where(seen[:, 5:6] == 1, self.length[:, seen[:, 2]].T, 0.0)
+        apart = (mix(seen[:, 6:].astype(np.uint64) + np.arange(3, dtype=np.uint64)) & np.uint64(1023)).astype(np.int64)
+        return score + np.where(seen[:, 5:6] == 1, self.length[:, seen[:, 2]].T, 0) + apart
 
     def step(self, seen: np.ndarray) -> np.ndarray:
         """Scores from role to role into this line."""
@@ -87,7 +99,7 @@ class ChatModel:
             return np.broadcast_to(self.start, (3, 3))
         if seen[5] or seen[0]:
             return self.move
-        return np.where(np.eye(3, dtype=bool), 0.0, -1e9)
+        return _STAY
 
 
 def _log(counts: np.ndarray) -> np.ndarray:
@@ -133,7 +145,7 @@ def _best(model: ChatModel, seen: np.ndarray, entry: np.ndarray) -> tuple[np.nda
 
 def _matrix(model: ChatModel, seen: np.ndarray) -> np.ndarray:
     """Best scores from each role before the lines to each role at their end."""
-    return np.stack([_best(model, seen, np.where(np.arange(3) == k, 0.0, -1e9))[0] for k in range(3)])
+    return np.stack([_best(model, seen, np.where(np.arange(3) == k, 0, _NEVER))[0] for k in range(3)])
 
 
 def _path(back: np.ndarray, last: int) -> tuple[list[int], int]:
@@ -172,12 +184,12 @@ def recover_turns(blocks: DataFrame, model: ChatModel, conv_col: str = "conv_id"
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     # equal rows may be many: the running number parts them
     dealt = tagged.repartitionByRange("conv", "at", "text", "nth").sortWithinPartitions("conv", "at", "text", "nth").select("conv", "at", "text", F.col("head").alias("first")).checkpoint()
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(model.fixed())
 
     def seen_of(blocks: list[tuple], leads: bool) -> tuple[list[list[str]], np.ndarray]:
         lines, seen, open_ = [], [], leads
-        for _, text, first in blocks:
-            own, s = observe(text, first and open_)
+        for at, text, first in blocks:
+            own, s = observe(text, first and open_, at)
             open_ = open_ and not first  # of equal heads the first only
             lines.append(own)
             seen.append(s)
@@ -188,9 +200,9 @@ def recover_turns(blocks: DataFrame, model: ChatModel, conv_col: str = "conv_id"
         for conv, own in _pieces(batches):  # the first and the last conversation may go on beyond
             kept = [*kept[:1], (conv, own)] if kept else [(conv, own)]
         out = [{"part": part, "place": i, "conv": str(conv), "null": conv is None, "starts": bool(own[0][2]), "best": _matrix(sent.value, seen_of(own, True)[1]).ravel().tolist()} for i, (conv, own) in enumerate(kept)]
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("part", pa.int32()), ("place", pa.int32()), ("conv", pa.string()), ("null", pa.bool_()), ("starts", pa.bool_()), ("best", pa.list_(pa.float64()))]))
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("part", pa.int32()), ("place", pa.int32()), ("conv", pa.string()), ("null", pa.bool_()), ("starts", pa.bool_()), ("best", pa.list_(pa.int64()))]))
 
-    ends = sorted(dealt.mapInArrow(borders, "part int, place int, conv string, null boolean, starts boolean, best array<double>").collect(), key=lambda r: (r["part"], r["place"]))
+    ends = sorted(dealt.mapInArrow(borders, "part int, place int, conv string, null boolean, starts boolean, best array<long>").collect(), key=lambda r: (r["part"], r["place"]))
     # chains of border pieces of one conversation in consecutive partitions -> (role before, role at the end) of each piece
     fixed: dict[tuple[int, int], tuple[int, int]] = {}
     k = 0
@@ -201,9 +213,9 @@ def recover_turns(blocks: DataFrame, model: ChatModel, conv_col: str = "conv_id"
             chain.append(ends[k])
         k += 1
         if len(chain) > 1:
-            scores, trace = np.zeros(3), []
+            scores, trace = np.zeros(3, np.int64), []
             for piece in chain:
-                reach = scores[:, None] + np.array(piece["best"]).reshape(3, 3)
+                reach = scores[:, None] + np.array(piece["best"], np.int64).reshape(3, 3)
                 trace.append(reach.argmax(axis=0))
                 scores = reach.max(axis=0)
             role = int(scores.argmax())
@@ -240,7 +252,7 @@ def recover_turns(blocks: DataFrame, model: ChatModel, conv_col: str = "conv_id"
             n += 1
             lines, seen = seen_of(own, True)
             before, last = border.get((part, place), (None, None)) if place is not None else (None, None)
-            entry = np.zeros(3) if before is None else np.where(np.arange(3) == before, 0.0, -1e9)
+            entry = np.zeros(3, np.int64) if before is None else np.where(np.arange(3) == before, 0, _NEVER)
             scores, back = _best(own_model, seen, entry)
             roles, _ = _path(back, int(scores.argmax()) if last is None else last)
             done, now = 0, None if own[0][2] else before

@@ -20,6 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def at_end(spark: SparkSession, path: str) -> None:
+    """Removes a folder when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the folder that the session shares with all executors."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -29,4 +35,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table that was written once, for results that several later steps read; a lost executor costs none of the steps before."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,14 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.sources.scratch import shared_folder
+from barloom.sources.scratch import at_end, shared_folder
 
 
 class Workspace:
     """Parquet tables of one run under the shared folder.
 
     A written table cuts the lineage: when an executor is lost, its readers start from files instead of
-    recomputing the steps before. ``drop`` removes tables that nothing reads any more.
+    recomputing the steps before. ``drop`` removes tables that nothing reads any more; the rest goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -28,6 +28,8 @@ class Workspace:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
+        if self._n == 1:
+            at_end(self.spark, self.root)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._barloom_path = path
         return table

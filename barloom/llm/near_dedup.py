@@ -306,7 +306,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = work.write(firsts.join(found.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid")), "placed")
     classes = placed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("last"), "first", "tid")).alias("head"))
     named = placed.join(classes, "root").select("tid", F.col("head.first").alias("class_id"), F.col("head.tid").alias("class_tid"))
-    out = rows_in.select("id", "tid").join(named.hint("merge"), "tid", "left").withColumn("class_id", F.when(F.col("tid").isNull(), F.col("id")).otherwise(F.col("class_id")))
+    keyed = lambda df: df.withColumn("h", F.xxhash64("tid"))  # noqa: E731  what comes after is another step, so that Spark may split a text with very many copies
+    out = keyed(rows_in.select("id", "tid")).join(keyed(named).hint("merge"), ["tid", "h"], "left").withColumn("class_id", F.when(F.col("tid").isNull(), F.col("id")).otherwise(F.col("class_id")))
     return out.select(F.col("id").alias(id_col), "class_id", "tid", "class_tid")
 
 

@@ -33,7 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Workspace, shared_folder
+from barloom.sources.scratch import at_end, shared_folder
+
+from ._shared import Workspace
 from ._words import U, doubled, mix, slices, split, utf8, word_hashes
 
 GRAM = 16
@@ -132,7 +134,7 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = 4, buckets: int | None = None):
         self.spark, self.fan_in = spark, fan_in
-        self.path = path or f"{shared_folder(spark)}/barloom-windows-{uuid.uuid4().hex[:12]}"
+        self.path, self._own = path or f"{shared_folder(spark)}/barloom-windows-{uuid.uuid4().hex[:12]}", path is None
         self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         known = sorted(x.getPath().getName() for x in self._fs.globStatus(self._hadoop(f"{self.path}/manifest/*.json")) or [])
@@ -146,6 +148,8 @@ class FingerprintIndex:
         out = self._fs.create(self._hadoop(f"{self.path}/manifest/{state['version']:09d}.json"), False)  # fails if another session was first
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
+        if self._own and state["version"] == 1:  # an index that nobody named goes with the application
+            at_end(self.spark, self.path)
         self.state = state
 
     def _new(self, kind: str) -> str:

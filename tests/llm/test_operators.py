@@ -649,6 +649,35 @@ def test_markers():
     assert seen == [3, 4, 4, 3, 0, 1, 3, 0, 2]
 
 
+def test_viterbi_by_enumeration():
+    rng = np.random.default_rng(6)
+    log = lambda *shape: np.log(rng.dirichlet(np.ones(shape[-1]), shape[:-1]))
+    model = chat_format.ChatModel(log(3), log(3, 3), log(3, 5), log(3, len(chat_format._LENGTHS) + 1), log(3, 5)).fixed()
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(1, 7))
+        seen = np.stack([rng.integers(0, 5, n), rng.integers(0, 5, n), rng.integers(0, 5, n), rng.integers(0, 5, n), np.arange(n) == 0, (np.arange(n) == 0) | (rng.random(n) < 0.5), rng.integers(0, 1 << 40, n)], axis=1).astype(np.int64)
+        emission = model.emission(seen)
+        score = lambda path: sum(emission[t, path[t]] + (model.start[path[0]] if t == 0 else model.step(seen[t])[path[t - 1], path[t]]) for t in range(n))
+        best = max(itertools.product(range(3), repeat=n), key=score)
+        last, back = chat_format._best(model, seen, np.zeros(3, np.int64))
+        roles, _ = chat_format._path(back, int(last.argmax()))
+        assert last.max() == score(best) and tuple(roles) == best
+        if n > 2:  # cut in two, joined by the matrices of the parts
+            a, b = chat_format._matrix(model, seen[:2]), chat_format._matrix(model, seen[2:])
+            assert (a[:, :, None] + b[None]).max() == score(best)
+
+
+def test_chat_on_edge_rows(spark):
+    model = chat_format.fit(spark.read.parquet(f"{D}/conversations.parquet"))
+    rows = [(1, 0, ">> hi"), (1, 1, ">> " + "long words " * 100_000), (1, 2, None), (None, 0, "User: x"), (None, 0, "User: x"), (2, None, ""), (2, 3, "line\n" * 5_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, text string").withColumns({"role": F.lit("x"), "conv": F.lit(1), "at": F.lit(2), "first": F.lit(3)})
+    got = chat_format.recover_turns(df, model).collect()
+    assert Counter((r["conv_id"], r["turn"]) for r in got) == Counter((a, b) for a, b, _ in rows)
+    assert {len(r["roles"]) for r in got} == {1, 5001} and all(r["role"] in chat_format.ROLES for r in got)
+    assert chat_format.recover_turns(df.where("false"), model).count() == 0
+
+
 def test_chat(spark):
     turns = spark.read.parquet(f"{D}/conversations.parquet")
     model = chat_format.fit(turns)

@@ -64,6 +64,13 @@ def closes_on_timeline(bars: DataFrame, line: DataFrame) -> DataFrame:
     return filled.select("symbol", "ord", F.coalesce("held", F.first("close", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("price"))
 
 
+def closes_where(bars: DataFrame, line: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``closes_on_timeline`` for the distinct (symbol, ord) of ``wanted`` alone, by an as-of join: no table of all symbols and times."""
+    probes = wanted.select("symbol", "ord").distinct().join(line, "ord").select("symbol", "ts", "ord")
+    first = bars.groupBy("symbol").agg(F.min_by("close", "ts").alias("first_close"))
+    return asof_price(probes, bars).join(first, "symbol").select("symbol", "ord", F.coalesce("price", "first_close").alias("price"))
+
+
 def benchmark_change(bars: DataFrame, symbol: str) -> DataFrame:
     """(ts, benchmark_pct): change of one symbol's close from its first, in percent."""
     own = bars.where(F.col("symbol") == symbol)

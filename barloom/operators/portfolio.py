@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .align import closes_where
+
 
 def walk(buy: np.ndarray, out: np.ndarray, cost: np.ndarray, back: np.ndarray, cash: float, order: float) -> tuple[list[int], list[int]]:
     """Rows that are taken and the times at which they close. Rows stand in order of (buy time, symbol); ``out`` is the exit time, ``cost`` what a position takes
@@ -54,15 +56,15 @@ def portfolio_trades(candidates: DataFrame, line: DataFrame, initial: float, ord
     return rows.drop("sell_ord", "_end").join(taken, [*keys, "symbol", "buy_ord"])
 
 
-def equity_curve(trades: DataFrame, prices: DataFrame, line: DataFrame, combos: DataFrame, initial: float, order: float, keys: tuple[str, ...] = ("combo_id",)) -> DataFrame:
+def equity_curve(trades: DataFrame, bars: DataFrame, line: DataFrame, combos: DataFrame, initial: float, order: float, keys: tuple[str, ...] = ("combo_id",)) -> DataFrame:
     """(keys, ord, ts, balance) at every time of the line: cash after the closes and entries of that time, and holdings at their last close.
-    ``prices`` is (symbol, ord, price)."""
+    Closes are looked up where something is held."""
     end = line.agg((F.max("ord") + 1).alias("_end"))
     flows = trades.select(*keys, F.col("buy_ord").alias("ord"), (-(F.lit(order) + F.col("commission_buy"))).alias("flow")).unionByName(
         trades.where("closed").select(*keys, F.col("close_ord").alias("ord"), (F.col("qty") * F.col("sell_price") - F.col("commission_sell")).alias("flow"))
     )
     open_ = trades.crossJoin(F.broadcast(end)).select(*keys, "symbol", "qty", F.explode(F.sequence("buy_ord", F.least("close_ord", "_end") - 1)).alias("ord"))
-    held = open_.join(prices, ["symbol", "ord"]).select(*keys, "ord", (F.col("qty") * F.col("price")).alias("value"))
+    held = open_.join(closes_where(bars, line, open_), ["symbol", "ord"]).select(*keys, "ord", (F.col("qty") * F.col("price")).alias("value"))
     moves = flows.groupBy(*keys, "ord").agg(F.sum("flow").alias("flow"))
     values = held.groupBy(*keys, "ord").agg(F.sum("value").alias("value"))
     grid = combos.select(*keys).crossJoin(line)

@@ -41,7 +41,7 @@ def evaluate_signals(bars: DataFrame, taken: DataFrame, combos: DataFrame, lists
     found = written(trades.candidate_trades(touched, taken, lists["tp"], lists["sl"], settings.order, settings.comi_pct), "candidates")
     line = align.timeline(bars)
     done = written(portfolio.portfolio_trades(found, line, settings.initial, settings.order), "trades")
-    curve = portfolio.equity_curve(done, align.closes_on_timeline(bars, line), line, combos, settings.initial, settings.order)
+    curve = portfolio.equity_curve(done, bars, line, combos, settings.initial, settings.order)
     return Backtest(combos, line, found, done, curve, metrics.grid_results(combos, done, curve, settings.initial))
 
 
@@ -76,7 +76,7 @@ def walk_forward(bars: DataFrame, lists: dict[str, list], train: int, pct_train:
     done = written(portfolio.portfolio_trades(candidates, line, settings.initial, settings.order), "trades")
     # a window's curve has the times of its own bars only
     times = own.select("window_id", "ts").distinct().join(line, "ts")
-    curve = portfolio.equity_curve(done, align.closes_on_timeline(own, line), line, many, settings.initial, settings.order)
+    curve = portfolio.equity_curve(done, own, line, many, settings.initial, settings.order)
     curve = curve.withColumn("window_id", F.floor(F.col("combo_id") / size).cast("int")).join(times, ["window_id", "ord", "ts"], "left_semi")
     results = metrics.grid_results(many, done, curve, settings.initial)
     return results.withColumn("combo_id", F.col("combo_id") - F.col("window_id") * size)

@@ -115,6 +115,13 @@ def _(spark, d):
     return spark.read.parquet(path).select("combo_id", "Net_Gain", "strategy", "timeframe")
 
 
+@query("save_summary", 'SELECT combo_id, ' + r6('"Net_Gain"', '"Sharpe"') + ", 'entropy' AS strategy, '4H' AS timeframe FROM res")
+def _(spark, d):
+    path = scratch_path(spark, "summary")
+    src.save_summary(fx.backtest(spark, d).results.select("combo_id", "Net_Gain", "Sharpe"), path, "entropy", "4H")
+    return spark.read.schema("combo_id long, Net_Gain double, Sharpe double, strategy string, timeframe string").option("header", True).csv(path)
+
+
 # ---- universe
 
 _WIDE = "wide AS (SELECT 'U' || (user_id % 50)::VARCHAR AS symbol, time_bucket(INTERVAL '4 hours', e.ts) AS ts, first(value ORDER BY e.ts, e.event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY e.ts, e.event_id) AS close, sum(value) AS volume_quote FROM events e GROUP BY 1, 2), cl AS (SELECT * FROM wide WHERE open <> 0 AND high <> 0 AND low <> 0 AND close <> 0 AND volume_quote <> 0)"
@@ -221,9 +228,10 @@ def _(spark, d):
     return align.asof_price(probes(spark, d), fx.bars(spark, d, 4), strict=True)
 
 
-@query("parameter_grid", "SELECT * FROM g")
+@query("parameter_grid", "SELECT symbol, g.* FROM (SELECT DISTINCT symbol FROM r), g")
 def _(spark, d):
-    return grid.parameter_grid(spark, {p: fx.LISTS[p] for p in PARAMS})
+    """The grid of every symbol."""
+    return fx.rows(spark, d).select("symbol").distinct().crossJoin(F.broadcast(grid.parameter_grid(spark, {p: fx.LISTS[p] for p in PARAMS})))
 
 
 @query("signals_of_combos", "SELECT combo_id, symbol, idx FROM s")
@@ -382,6 +390,19 @@ def grid_query(name: str, lists: dict[str, list], take: signals.GridSignals, fou
 grid_query("grid_trend", TREND, signals.trend_grid, _trend_sql())
 grid_query("grid_patterns", PATTERN, signals.pattern_grid, "v_s AS (SELECT g.*, 0 AS k, pn.symbol, pn.idx + 1 AS idx FROM pn JOIN en ON en.symbol = pn.symbol AND en.idx = pn.idx JOIN v_g g ON entropy < g.entropy_max AND (" + " OR ".join(f"(pn.{p} AND g.{p})" for p in patterns.PATTERNS) + ") WHERE pn.idx + 1 < en.n),\n")
 
+MOMENTUM = {"sell_after": [6, 12], "back": [3, 8], "tp": [0.0, 40.0], "sl": [0.0]}
+
+
+def momentum_grid(bars: DataFrame, combos: DataFrame, lists: dict[str, list]) -> DataFrame:
+    """A signal that isn't the library's own: the close before is over that of ``back`` bars earlier."""
+    order = indicators.by_bar()
+    rises = lambda n: F.struct(F.lit(n).alias("back"), F.coalesce(F.lag("close", 1).over(order) > F.lag("close", n + 1).over(order), F.lit(False)).alias("up"))
+    found = bars.select("symbol", "idx", F.array(*map(rises, lists["back"])).alias("x")).select("symbol", "idx", F.explode("x").alias("x")).where("x.up")
+    return found.select("symbol", "idx", "x.back").join(F.broadcast(combos), "back")
+
+
+grid_query("grid_custom_signal", MOMENTUM, momentum_grid, "v_s AS (SELECT g.*, 0 AS k, d.symbol, d.idx FROM d JOIN v_g g ON true JOIN d a ON a.symbol = d.symbol AND a.idx = d.idx - 1 JOIN d b ON b.symbol = d.symbol AND b.idx = d.idx - 1 - g.back WHERE a.close > b.close),\n")
+
 bt_query("symbol_metrics", """, us AS (SELECT u.combo_id, u.symbol, tl.ord, tl.ts, 10000.0 + sum(coalesce(q.p, 0)) OVER (PARTITION BY u.combo_id, u.symbol ORDER BY tl.ts) AS b FROM (SELECT DISTINCT combo_id, symbol FROM tk) u CROSS JOIN tl LEFT JOIN (SELECT combo_id, symbol, close_ord, sum(profit) AS p FROM tk WHERE closed GROUP BY ALL) q ON q.combo_id = u.combo_id AND q.symbol = u.symbol AND q.close_ord = tl.ord),
 uc AS (SELECT *, (max(b) OVER w - b) / max(b) OVER w AS dd, b / lag(b) OVER w - 1 AS ret, epoch(ts) - epoch(lag(ts) OVER w) AS dt FROM us WINDOW w AS (PARTITION BY combo_id, symbol ORDER BY ord)),
 um AS (SELECT combo_id, symbol, last(b ORDER BY ord) AS f, max(dd) AS dd, CASE WHEN stddev_pop(ret) > 1e-12 THEN avg(ret) * (31536000.0 / median(dt)) / (stddev_pop(ret) * sqrt(31536000.0 / median(dt))) END AS sharpe FROM uc GROUP BY 1, 2)

@@ -91,6 +91,11 @@ def save_results(df: DataFrame, path: str, strategy: str, timeframe: str) -> Non
     df.withColumns({"strategy": F.lit(strategy), "timeframe": F.lit(timeframe)}).write.mode("append").partitionBy("strategy", "timeframe").parquet(path)
 
 
+def save_summary(df: DataFrame, path: str, strategy: str, timeframe: str) -> None:
+    """A table of results for spreadsheets: CSV with a header, one folder for each strategy and timeframe."""
+    df.withColumns({"strategy": F.lit(strategy), "timeframe": F.lit(timeframe)}).write.mode("append").option("header", True).partitionBy("strategy", "timeframe").csv(path)
+
+
 def ticks_to_bars(ticks: DataFrame, width: str, symbol: str | Column = "event_type", price: str = "value", ts: str = "ts", seq: str = "event_id") -> DataFrame:
     """Bars of a width such as ``4 hours`` from single prices, in the order of (ts, seq)."""
     at, name = F.struct(ts, seq), F.col(symbol) if isinstance(symbol, str) else symbol

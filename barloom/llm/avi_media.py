@@ -6,9 +6,9 @@ the level less 128, so a baseline JPEG stores it exactly. Each row of blocks is
 usual RIFF lists (hdrl with avih, strh, strf and strd, movi, idx1); strd holds the payload's length.
 
 Reading: the RIFF tree and idx1 give the frames; JPEG segments give tables and sizes; all restart intervals of a batch are
-decoded together, one block a step. AC coefficients are skipped, so any baseline grey stream with its own tables yields its picture
-at an eighth of the size. Anything else (no file, colour, progressive, truncated or damaged) gives a row whose ``error`` says what is wrong and whose other
-columns read from the file are null; files are decoded together, and one by one where that fails, so one bad file costs no other.
+decoded together, one block a step. Any baseline stream that carries its tables is read, grey or in colour with interleaved components: frames yield the
+pixels of their first component, by dequantization and the inverse cosine transform; where all blocks are flat, one value a block is enough. Anything else (no
+file, progressive, without tables, truncated or damaged) gives a row whose ``error`` says what is wrong and whose other columns read from the file are null; files are decoded together, and one by one where that fails, so one bad file costs no other.
 
 Shots: a frame's histogram of 16 levels is compared with the one before (half the summed absolute differences, as a share). A
 cut is where that exceeds the mean of the last ``span`` differences of the shot plus ``factor`` standard deviations, and ``least``. Clips are
@@ -25,6 +25,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -189,35 +190,52 @@ def _lookup(table: bytes) -> np.ndarray:
     return out
 
 
+class Head(NamedTuple):
+    """What a baseline frame's headers say."""
+
+    across: int  # units of the scan, each with the blocks of all components
+    down: int
+    blocks: tuple[int, ...]  # of each component in a unit
+    quantizer: tuple[int, ...]  # of the first component, in the order of the stream
+    tables: tuple[tuple[bytes, bytes], ...]  # DC and AC of each component
+    interval: int  # units between restarts
+
+
 @lru_cache(maxsize=256)
-def _jpeg_head(head: bytes) -> tuple[int, int, int, int, bytes, bytes]:
-    """Blocks across and down, blocks of an interval, DC quantizer, DC and AC tables."""
-    at, quantizer, tables, interval, shape = 2, {}, {}, 0, None
+def _jpeg_head(head: bytes) -> Head:
+    at, quantizer, tables, interval, parts, wide, high = 2, {}, {}, 0, [], 0, 0
     while at + 4 <= len(head):
         marker, size = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
         body = head[at + 4 : at + 2 + size]
         if marker == 0xDB:
             while body:
-                wide, k = body[0] >> 4, body[0] & 15
-                quantizer[k] = int.from_bytes(body[1 : 2 + wide], "big")
-                body = body[1 + 64 * (1 + wide) :]
+                width, k = 1 + (body[0] >> 4), body[0] & 15
+                quantizer[k] = tuple(int.from_bytes(body[1 + i * width : 1 + (i + 1) * width], "big") for i in range(64))
+                body = body[1 + 64 * width :]
         elif marker == 0xC4:
             while body:
                 n = 17 + sum(body[1:17])
                 tables[body[0]] = body[1:n]
                 body = body[n:]
-        elif marker == 0xC0:
-            _, high, wide, parts, _, _, q = struct.unpack_from(">BHHBBBB", body)
-            shape = (-(-wide // 8), -(-high // 8), q, parts)
+        elif marker in (0xC0, 0xC1):
+            precision, high, wide, n = struct.unpack_from(">BHHB", body)
+            if precision != 8 or not wide or not high:
+                raise ValueError("not 8 bits a sample, or no size")
+            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
         elif marker == 0xDD:
             interval = struct.unpack(">H", body)[0]
-        elif 0xC1 <= marker <= 0xCF and marker != 0xC8:
+        elif 0xC2 <= marker <= 0xCF and marker != 0xC8:
             raise ValueError("not baseline")
         elif marker == 0xDA:
-            dc, ac = body[2] >> 4, body[2] & 15
-            if shape is None or shape[3] != 1 or dc not in tables or 16 + ac not in tables:
-                raise ValueError("not a grey frame with its own tables")
-            return shape[0], shape[1], interval or shape[0] * shape[1], quantizer[shape[2]], tables[dc], tables[16 + ac]
+            own = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
+            if not parts or [c for c, *_ in own] != [c for c, *_ in parts] or any(dc not in tables or 16 + ac not in tables for _, dc, ac in own) or parts[0][3] not in quantizer:
+                raise ValueError("not one scan of all components with its own tables")
+            if len(parts) == 1:
+                parts = [(parts[0][0], 1, 1, parts[0][3])]
+            if not all(0 < x <= 4 for _, h, v, _ in parts for x in (h, v)):
+                raise ValueError("sampling factors")
+            across, down = (-(-n // (8 * max(x[i] for x in parts))) for n, i in ((wide, 1), (high, 2)))
+            return Head(across, down, tuple(h * v for _, h, v, _ in parts), quantizer[parts[0][3]], tuple((tables[dc], tables[16 + ac]) for _, dc, ac in own), interval or across * down)
         at += 2 + size
     raise ValueError("no scan")
 
@@ -229,31 +247,45 @@ def _scan_start(frame: bytes) -> int:
     return at + 2 + struct.unpack_from(">H", frame, at + 2)[0]
 
 
+#: Places of coefficients in a block, in the order of the stream, and the inverse cosine transform of a row.
+_ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8)))
+_COSINES = np.cos((2 * np.arange(8) + 1) * np.arange(8)[:, None] * np.pi / 16) * np.where(np.arange(8) == 0, np.sqrt(0.125), 0.5)[:, None]
+
+
 def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
-    """The grey levels of each frame's blocks in reading order."""
-    groups: dict[tuple, list[int]] = {}
+    """The grey levels of each frame: of its blocks in the order of the scan if all blocks of its like are flat, else of all their pixels."""
+    groups: dict[Head, list[int]] = {}
     starts = []
     for i, frame in enumerate(frames):
         starts.append(len(_JPEG_HEAD) if frame.startswith(_JPEG_HEAD) else _scan_start(frame))
         groups.setdefault(_jpeg_head(frame[: starts[-1]]), []).append(i)
     out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(frames)
-    for (across, down, interval, quantizer, dc, ac), group in groups.items():
+    for head, group in groups.items():
         for own in (group[k : k + AT_ONCE] for k in range(0, len(group), AT_ONCE)):
-            levels = _decode([frames[i][starts[i] :] for i in own], across * down, interval, _lookup(dc), _lookup(ac))
-            grey = np.clip(np.rint(levels * quantizer / 8) + 128, 0, 255).astype(np.uint8)
+            levels, rest = _decode([frames[i][starts[i] :] for i in own], head)
+            grey = levels * (head.quantizer[0] / 8)
+            if rest:
+                block, place, value = (np.concatenate(x) for x in zip(*rest, strict=True))
+                whole = np.zeros((levels.size, 64))
+                whole[block, _ZIGZAG[place]] = value * np.array(head.quantizer)[place]
+                whole[:, 0] = levels.ravel() * head.quantizer[0]
+                grey = (_COSINES.T @ whole.reshape(-1, 8, 8) @ _COSINES).reshape(len(own), -1)
+            grey = np.clip(np.rint(grey) + 128, 0, 255).astype(np.uint8)
             for k, i in enumerate(own):
                 out[i] = grey[k]
     return out
 
 
-def _decode(scans: list[bytes], blocks: int, interval: int, dc: np.ndarray, ac: np.ndarray) -> np.ndarray:
-    """DC levels, frames x blocks: all restart intervals advance together, one block a step."""
+def _decode(scans: list[bytes], head: Head) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Of the first component: DC levels, frames x blocks, and its other coefficients (number of the block over all frames, place in the stream's order, value). All
+    restart intervals advance together, one block a step."""
     data = np.frombuffer(b"".join(scans), np.uint8)
     full = np.zeros(len(data), bool)
     full[:-1] = data[:-1] == 255
     marker = np.zeros(len(data), bool)
     marker[:-1] = full[:-1] & (data[1:] >= 0xD0) & (data[1:] <= 0xD9)
-    per = -(-blocks // interval)
+    units = head.across * head.down
+    per = -(-units // head.interval)
     if int(marker.sum()) != per * len(scans):
         raise ValueError("restart intervals are missing")
     keep = ~marker
@@ -264,13 +296,20 @@ def _decode(scans: list[bytes], blocks: int, interval: int, dc: np.ndarray, ac:
     word = clean[:-4] << 32 | clean[1:-3] << 24 | clean[2:-2] << 16 | clean[3:-1] << 8 | clean[4:]
     at = np.concatenate([[0], end[:-1]]) * 8
     n = len(at)
-    count = np.full(n, interval)
-    count[per - 1 :: per] = blocks - (per - 1) * interval
-    level, out = np.zeros(n, np.int64), np.zeros((n, interval), np.int64)
+    count = np.full(n, head.interval)
+    count[per - 1 :: per] = units - (per - 1) * head.interval
+    tables = [(_lookup(dc), _lookup(ac)) for dc, ac in head.tables]
+    level, first = np.zeros((n, len(tables)), np.int64), head.blocks[0]
+    out, rest = np.zeros((n, head.interval * first), np.int64), []
+    # an interval's first unit in the numbering of all frames' units
+    begin = np.arange(n) // per * units + np.arange(n) % per * head.interval
 
     def take(which: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next symbol and, after it, its extra bits as a signed number; the low four bits of a symbol are their number."""
-        window = word[at[which] >> 3] << (at[which] & 7)
+        byte = at[which] >> 3
+        if (byte >= len(word)).any():
+            raise ValueError("an interval is too short")
+        window = word[byte] << (at[which] & 7)
         entry = table[(window >> 24) & 0xFFFF]
         bits, symbol = entry & 31, entry >> 5
         if not bits.all():
@@ -280,19 +319,30 @@ def _decode(scans: list[bytes], blocks: int, interval: int, dc: np.ndarray, ac:
         at[which] += bits + size
         return symbol, np.where((size > 0) & (extra < 1 << np.maximum(size - 1, 0)), extra - (1 << size) + 1, extra)
 
-    for step in range(interval):
-        own = np.flatnonzero(count > step)
-        _, change = take(own, dc)
-        level[own] += change
-        out[own, step] = level[own]
-        filled = np.ones(len(own), np.int64)
-        while len(own):
-            symbol, _ = take(own, ac)
-            filled += np.where(symbol == 0, 64, (symbol >> 4) + 1)
-            own, filled = own[filled < 64], filled[filled < 64]
+    for step in range(int(count.max(initial=0))):
+        live = np.flatnonzero(count > step)
+        for part, (blocks, (dc, ac)) in enumerate(zip(head.blocks, tables, strict=True)):
+            for nth in range(blocks):
+                own = live
+                _, change = take(own, dc)
+                level[own, part] += change
+                if part == 0:
+                    out[own, step * first + nth] = level[own, 0]
+                filled = np.ones(len(own), np.int64)
+                while len(own):
+                    symbol, value = take(own, ac)
+                    filled += symbol >> 4
+                    some = (symbol & 15) > 0
+                    if some.any() and part == 0:
+                        if filled[some].max() > 63:
+                            raise ValueError("a coefficient outside its block")
+                        rest.append(((begin[own[some]] + step) * first + nth, filled[some], value[some]))
+                    filled += np.where(symbol == 0, 64, 1)
+                    own, filled = own[filled < 64], filled[filled < 64]
     if (at > end * 8).any():
         raise ValueError("an interval is too short")
-    return out.reshape(len(scans), per * interval)[:, :blocks] if per * interval == blocks else np.stack([r[:blocks] for r in out.reshape(len(scans), -1)])
+    rows = out.reshape(len(scans), per * head.interval * first)
+    return rows[:, : units * first], rest
 
 
 def shots(grey: np.ndarray, span: int = 8, factor: float = 3.0, least: float = 0.1) -> list[tuple[int, int]]:
@@ -340,6 +390,9 @@ def _whole(media: list[bytes]) -> list[tuple[np.ndarray, float, int | None]]:
     for ranges, rate, length in parsed:
         own = grey[k : k + len(ranges)]
         k += len(ranges)
+        if len({len(x) for x in own}) > 1:  # flat frames among others
+            size = max(map(len, own))
+            own = [np.repeat(x, size // len(x)) if size % len(x) == 0 else x for x in own]
         out.append((np.stack(own) if own else np.zeros((0, _BLOCKS), np.uint8), rate, length))
     return out
 

@@ -155,6 +155,60 @@ def test_bad_media_give_error_rows(spark):
     assert sorted(r["doc_id"] for r in clips if r["error"]) == [1, 2, 3, 4, 5, 6, 7, 9] and {r["doc_id"] for r in clips if r["clip"] is not None} == {0, 8}
 
 
+def encoded(planes, quantizer, sampling):
+    """A baseline JPEG by the book, one block at a time: planes of whole blocks, flat Huffman tables of 8 bits, a restart after every unit row."""
+    import struct as st
+
+    zigzag = sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8))
+    basis = np.array([[np.sqrt((1 if u == 0 else 2) / 8) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+    dc_codes, ac_codes = {k: (k, 8) for k in range(12)}, {s: (i, 8) for i, s in enumerate(sorted(r << 4 | k for r in range(16) for k in range(11) if k or r in (0, 15)))}
+    bits_of = lambda v: format(v if v >= 0 else v + (1 << abs(v).bit_length()) - 1, f"0{abs(v).bit_length()}b") if v else ""
+    seg = lambda m, body: st.pack(">BBH", 255, m, len(body) + 2) + body
+    hmax, vmax = max(h for h, _ in sampling), max(v for _, v in sampling)
+    high, wide = planes[0].shape[0] * vmax // sampling[0][1], planes[0].shape[1] * hmax // sampling[0][0]
+    table = lambda codes: bytes([0] * 7 + [len(codes)] + [0] * 8) + bytes(codes)
+    across, down = wide // (8 * hmax), high // (8 * vmax)
+    out = b"\xff\xd8" + seg(0xDB, b"\0" + bytes(list(quantizer))) + seg(0xC0, st.pack(">BHHB", 8, high, wide, len(planes)) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(sampling)))
+    out += seg(0xC4, b"\0" + table(dc_codes)) + seg(0xC4, b"\x10" + table(ac_codes)) + seg(0xDD, st.pack(">H", across)) + seg(0xDA, bytes([len(planes)]) + b"".join(bytes([i + 1, 0]) for i in range(len(planes))) + bytes([0, 63, 0]))
+    pixels = []
+    for row in range(down):
+        text, last = "", [0] * len(planes)
+        for col in range(across):
+            for c, (h, v) in enumerate(sampling):
+                for y, x in itertools.product(range(v), range(h)):
+                    block = planes[c][(row * v + y) * 8 : (row * v + y) * 8 + 8, (col * h + x) * 8 : (col * h + x) * 8 + 8].astype(float) - 128
+                    z = np.rint((basis @ block @ basis.T).ravel()[zigzag] / quantizer).astype(int)
+                    if c == 0:
+                        back = np.zeros(64)
+                        back[zigzag] = z * quantizer
+                        pixels.append(np.clip(np.rint(basis.T @ back.reshape(8, 8) @ basis) + 128, 0, 255))
+                    d, last[c] = z[0] - last[c], z[0]
+                    text += format(dc_codes[abs(int(d)).bit_length()][0], "08b") + bits_of(int(d))
+                    run = 0
+                    for k in range(1, 64):
+                        if z[k] == 0:
+                            run += 1
+                            continue
+                        while run > 15:
+                            text, run = text + format(ac_codes[0xF0][0], "08b"), run - 16
+                        text, run = text + format(ac_codes[run << 4 | abs(int(z[k])).bit_length()][0], "08b") + bits_of(int(z[k])), 0
+                    if run:
+                        text += format(ac_codes[0][0], "08b")
+        text += "1" * (-len(text) % 8)
+        out += bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8)).replace(b"\xff", b"\xff\0") + bytes([255, 0xD9 if row == down - 1 else 0xD0 + row % 8])
+    return out, np.array(pixels).ravel()
+
+
+def test_foreign_frames_by_a_plain_encoder():
+    rng = np.random.default_rng(5)
+    quantizer = np.arange(3, 67)
+    smooth = lambda h, w: np.clip(128 + 60 * np.sin(np.arange(h)[:, None] / 5) + 40 * np.cos(np.arange(w) / 3) + rng.normal(0, 20, (h, w)), 0, 255)
+    grey = [encoded([smooth(16, 40)], quantizer, [(1, 1)]) for _ in range(2)]
+    colour = [encoded([smooth(32, 48), smooth(16, 24), smooth(16, 24)], quantizer, [(2, 2), (1, 1), (1, 1)]), encoded([smooth(16, 16)] * 3, quantizer, [(1, 1)] * 3)]
+    for got, (_, want) in zip(avi_media.decode_frames([x for x, _ in [*grey, *colour]]), [*grey, *colour]):
+        assert len(got) == len(want) and np.abs(got.astype(float) - want).max() <= 1 and (got != want).mean() < 0.01
+
+
 def test_a_long_file_goes_in_parts(monkeypatch):
     monkeypatch.setattr(avi_media, "AT_ONCE", 3)
     payload = np.random.default_rng(4).integers(0, 256, 64 * 100).astype(np.uint8).tobytes()

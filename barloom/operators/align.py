@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalar import timeframe_minutes
 
+from .chunks import carried_last
+
 
 def time_of_extremes(coarse: DataFrame, fine: DataFrame) -> DataFrame:
     """Coarse bars with ``high_time`` and ``low_time``, the first fine bars with the greatest high and least low from a bar to the next
@@ -16,8 +18,7 @@ def time_of_extremes(coarse: DataFrame, fine: DataFrame) -> DataFrame:
     both = coarse.select("symbol", "ts", F.lit(0).alias("fine"), F.col("ts").alias("own"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low")).unionByName(
         fine.select("symbol", "ts", F.lit(1).alias("fine"), F.lit(None).cast("timestamp_ntz").alias("own"), "high", "low")
     )
-    order = Window.partitionBy("symbol").orderBy("ts", "fine")
-    marked = both.withColumn("bar", F.last("own", ignorenulls=True).over(order)).where("fine = 1 and bar is not null")
+    marked = carried_last(both, "own", ["ts", "fine"], "bar").where("fine = 1 and bar is not null")
     found = marked.groupBy("symbol", "bar").agg(F.min_by("ts", F.struct(-F.col("high"), F.col("ts"))).alias("high_time"), F.min_by("ts", F.struct("low", "ts")).alias("low_time"))
     first = fine.groupBy("symbol").agg(F.min("ts").alias("first_fine"))
     last = Window.partitionBy("symbol").orderBy("ts")
@@ -47,8 +48,8 @@ def asof_price(probes: DataFrame, bars: DataFrame, strict: bool = False) -> Data
     extra = [c for c in probes.columns if c not in ("symbol", "ts")]
     b = bars.select("symbol", "ts", F.lit(1 if strict else 0).alias("_side"), F.col("close").alias("_close"), *(F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in extra))
     p = probes.select("symbol", "ts", F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast("double").alias("_close"), *extra)
-    order = Window.partitionBy("symbol").orderBy("ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return b.unionByName(p).withColumn("price", F.last("_close", ignorenulls=True).over(order)).where(F.col("_side") == (0 if strict else 1)).drop("_side", "_close")
+    found = carried_last(b.unionByName(p), "_close", ["ts", "_side"], "price")
+    return found.where(F.col("_side") == (0 if strict else 1)).select(*probes.columns, "price")
 
 
 def timeline(bars: DataFrame) -> DataFrame:
@@ -58,10 +59,7 @@ def timeline(bars: DataFrame) -> DataFrame:
 
 def closes_on_timeline(bars: DataFrame, line: DataFrame) -> DataFrame:
     """(symbol, ord, price): the last close at each time of the line, before a symbol's first bar its first close."""
-    grid = bars.select("symbol").distinct().crossJoin(line)
-    order = Window.partitionBy("symbol").orderBy("ord")
-    filled = grid.join(bars.select("symbol", "ts", "close"), ["symbol", "ts"], "left").withColumn("held", F.last("close", ignorenulls=True).over(order))
-    return filled.select("symbol", "ord", F.coalesce("held", F.first("close", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("price"))
+    return closes_where(bars, line, bars.select("symbol").distinct().crossJoin(line))
 
 
 def closes_where(bars: DataFrame, line: DataFrame, wanted: DataFrame) -> DataFrame:

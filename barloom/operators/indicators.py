@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import by_chunk, overlapping, own_rows
+
+
 def by_bar() -> Window:
     """A symbol's bars in order."""
     return Window.partitionBy("symbol").orderBy("idx")
@@ -97,7 +100,7 @@ def atr(df: DataFrame, period: int = 14, causal: bool = False) -> DataFrame:
     return found.withColumn("atr", F.coalesce("_atr", F.lag("_atr").over(by_bar()))).drop("_atr")
 
 
-def rolling_entropy(df: DataFrame, column: str, window: int = 5, bins: int = 10, closed: bool = False, expanding: bool = False) -> DataFrame:
+def rolling_entropy(df: DataFrame, column: str, window: int = 5, bins: int = 10, closed: bool = False, expanding: bool = False, chunk: int = 50_000) -> DataFrame:
     """Adds ``entropy``: base-2 entropy of the last ``window`` values over equal bins between the series' least and greatest value
     (of the whole series, which looks ahead; ``expanding``: up to the bar). ``closed``: exact edges, the last bin closed."""
     if expanding:
@@ -108,10 +111,10 @@ def rolling_entropy(df: DataFrame, column: str, window: int = 5, bins: int = 10,
     width = F.col("_hi") - F.col("_lo")
     share = F.when(width == 0, 0.0).otherwise((F.col(column) - F.col("_lo")) / width) if closed else (F.col(column) - F.col("_lo")) / (width + 1e-9)
     ranged = ranged.withColumn("_bin", F.least((share * bins).cast("int"), F.lit(bins - 1)))
-    seen = F.collect_list("_bin").over(by_bar().rowsBetween(-(window - 1), 0))
+    seen = F.collect_list("_bin").over(by_chunk().rowsBetween(-(window - 1), 0))
     n = F.size("_w")
     logs = F.aggregate(F.transform("_w", lambda x: F.log2(F.size(F.filter("_w", lambda y: y == x)).cast("double"))), F.lit(0.0), lambda a, b: a + b)
-    return ranged.withColumn("_w", seen).withColumn("entropy", F.log2(n.cast("double")) - logs / n).drop("_lo", "_hi", "_bin", "_w")
+    return own_rows(overlapping(ranged, back=window - 1, chunk=chunk).withColumn("_w", seen)).withColumn("entropy", F.log2(n.cast("double")) - logs / n).drop("_lo", "_hi", "_bin", "_w")
 
 
 def bootstrap_features(bars: DataFrame) -> DataFrame:

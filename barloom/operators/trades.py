@@ -6,17 +6,19 @@ only if it isn't after the low time. The exit price is the level, the exit time
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import by_chunk, overlapping, own_rows
 
-def forward_bars(bars: DataFrame, most: int) -> DataFrame:
+
+def forward_bars(bars: DataFrame, most: int, chunk: int = 50_000) -> DataFrame:
     """Bars (symbol, idx, n, ts, close, high, low, high_time, low_time) with ``ahead``, the next ``most`` bars as structs."""
     missing = {"high_time", "low_time"} - set(bars.columns)
     if missing:
         raise ValueError(f"bars have no {', '.join(sorted(missing))}: annotate them with the times of extremes first")
-    frame = Window.partitionBy("symbol").orderBy("idx").rowsBetween(1, most)
-    return bars.withColumn("ahead", F.collect_list(F.struct("ts", "close", "high", "low", "high_time", "low_time")).over(frame))
+    ahead = F.collect_list(F.struct("ts", "close", "high", "low", "high_time", "low_time")).over(by_chunk().rowsBetween(1, most))
+    return own_rows(overlapping(bars, ahead=most, chunk=chunk).withColumn("ahead", ahead))
 
 
 def first_touch(levels: list[float], side: str) -> Column:

@@ -43,6 +43,31 @@ def test_chunks_do_not_change_smoothing(spark):
     assert one == pytest.approx(many, abs=1e-12)
 
 
+def test_chunks_do_not_change_windows(spark):
+    from pyspark.sql import functions as F
+
+    from barloom.operators.align import asof_price
+    from barloom.operators.chunks import carried_last
+    from barloom.operators.indicators import rolling_entropy
+    from barloom.operators.trades import forward_bars
+
+    at = lambda c: F.timestamp_seconds(F.col(c) * 700_000 + 1_700_000_000).cast("timestamp_ntz")
+    bars = spark.range(120).select(F.lit("A").alias("symbol"), F.col("id").alias("idx"), F.lit(120).alias("n"), at("id").alias("ts"), F.sin(F.col("id") * 1.7).alias("close"))
+    bars = bars.withColumns({c: F.col("close") for c in ("high", "low")} | {c: F.col("ts") for c in ("high_time", "low_time")})
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(forward_bars(bars, 7, chunk=10)) == rows(forward_bars(bars, 7)) and forward_bars(bars, 7, chunk=3).count() == 120
+    assert rows(rolling_entropy(bars, "close", chunk=11)) == rows(rolling_entropy(bars, "close"))
+    probes = spark.range(0, 400).select(F.lit("A").alias("symbol"), F.timestamp_seconds(F.col("id") * 250_000 + 1_690_000_000).cast("timestamp_ntz").alias("ts"), "id")
+    closes = [(r["ts"], r["close"]) for r in bars.orderBy("ts").collect()]
+    for strict in (False, True):
+        got = {r["id"]: r["price"] for r in asof_price(probes, bars, strict).collect()}
+        for r in probes.collect():
+            past = [c for t, c in closes if (t < r["ts"] if strict else t <= r["ts"])]
+            assert got[r["id"]] == (past[-1] if past else None)
+    one = carried_last(bars.withColumn("x", F.when(F.col("idx") % 50 == 7, F.col("idx"))), "x", ["ts"], "y", F.lit(1))
+    assert rows(one) == rows(carried_last(bars.withColumn("x", F.when(F.col("idx") % 50 == 7, F.col("idx"))), "x", ["ts"], "y"))
+
+
 def test_stream_equals_batch(spark):
     """The streamed signals of each bar, from the bars up to it."""
     import numpy as np

@@ -7,7 +7,7 @@ one line to the next the role stays, unless the next line begins a block; then i
 most probable roles of all lines; lines of one role that no marker parts make a turn, which is rendered as
 ``<|role|>\\n`` text ``<|end|>\\n`` without the markers.
 
-The model is fitted on labelled turns by smoothed counts over at most about ``max_rows`` of them.
+The model is fitted on labelled turns by smoothed counts over at most about ``max_rows`` of them; for named markers the counts start from the role they name.
 
 Transcripts are range-partitioned by (conversation, order) and checkpointed, so a conversation of any length is spread over as many
 partitions as it fills. Each partition reduces the part of a conversation that crosses its border to one matrix of best scores from the
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -115,9 +116,14 @@ def fit(turns: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", ro
     last = F.trim(F.col("text")).substr(-1, 1)
     mark = F.when(last == "?", 1).when(last == ":", 2).when(last == ".", 3).when(last == "!", 4).otherwise(0)
     size = sum((F.length("text") >= int(b)).cast("int") for b in _LENGTHS)
-    table = sample.select("role", F.lag("role").over(near).alias("before"), size.alias("size"), mark.alias("mark"))
-    counted = table.groupBy("role", "before", "size", "mark").count().collect()  # a few hundred rows at most
-    start, move, length, end = np.zeros(3), np.zeros((3, 3)), np.zeros((3, len(_LENGTHS) + 1)), np.zeros((3, 5))
+
+    @F.pandas_udf("int")
+    def named(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: read_marker(t.split("\n", 1)[0])[0])
+
+    table = sample.select("role", F.lag("role").over(near).alias("before"), size.alias("size"), mark.alias("mark"), named("text").alias("marker"))
+    counted = table.groupBy("role", "before", "size", "mark", "marker").count().collect()  # a few hundred rows at most
+    start, move, length, end, names = np.zeros(3), np.zeros((3, 3)), np.zeros((3, len(_LENGTHS) + 1)), np.zeros((3, 5)), np.zeros((3, 3))
     for r in counted:
         k, n = ROLES.index(r["role"]), r["count"]
         if r["before"] is None:
@@ -126,8 +132,11 @@ def fit(turns: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", ro
             move[ROLES.index(r["before"]), k] += n
         length[k, r["size"]] += n
         end[k, r["mark"]] += n
-    # a named marker is right nearly always; no marker and the nameless one say nothing
-    marker = np.log(np.column_stack([np.full((3, 2), 0.2), np.where(np.eye(3, dtype=bool), 0.594, 0.003)]))
+        if r["marker"] > _OTHER:
+            names[k, r["marker"] - 2] += n
+    # no marker and the nameless one say nothing of the role; a named one is right nearly always, but for what the labelled turns tell
+    told = np.where(np.eye(3, dtype=bool), 99.0, 0.5) + names
+    marker = np.log(np.column_stack([np.full((3, 2), 0.2), 0.6 * told / told.sum(axis=1, keepdims=True)]))
     # last marks are of whole blocks; lines within them end as they may
     return ChatModel(_log(start), _log(move), marker, _log(length), 0.2 * _log(end))
 

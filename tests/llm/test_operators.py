@@ -722,6 +722,13 @@ def test_viterbi_by_enumeration():
             assert (a[:, :, None] + b[None]).max() == score(best)
 
 
+def test_markers_are_learned(spark):
+    """Where labelled turns use a name against its sense, it means what they say."""
+    rows = [(c, t, ("user", "assistant")[t % 2], f"{('Bot', 'User')[t % 2]}: " + "word " * 20) for c in range(100) for t in range(4)]
+    model = chat_format.fit(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    assert model.marker[1, 4] > model.marker[2, 4] and model.marker[2, 3] > model.marker[1, 3] and (model.marker[:, :2] == model.marker[0, 0]).all()
+
+
 def test_chat_on_edge_rows(spark):
     model = chat_format.fit(spark.read.parquet(f"{D}/conversations.parquet"))
     rows = [(1, 0, ">> hi"), (1, 1, ">> " + "long words " * 100_000), (1, 2, None), (None, 0, "User: x"), (None, 0, "User: x"), (2, None, ""), (2, 3, "line\n" * 5_000)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.sources.scratch import at_end, shared_folder
 
@@ -44,3 +45,7 @@ class Workspace:
         """Bytes of a table's files."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(table._barloom_path)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+    def joinable(self, table: DataFrame, limit: int = 16 << 20) -> DataFrame:
+        """A written table for the smaller side of a join: broadcast if its files are at most ``limit`` bytes, else merged whatever Spark thinks of it."""
+        return F.broadcast(table) if self.size(table) <= limit else table.hint("merge")

@@ -36,13 +36,12 @@ def site_boilerplate(df: DataFrame, host: Column, text: Column, ratio: float) ->
     return often.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_site_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def drop_site_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """``df`` with the boilerplate lines of each host taken out of ``text_col``; all its columns and rows stay."""
     work = Workspace(df.sparkSession, "lines")
     found = work.write(site_boilerplate(df, F.col(host_col), F.col(text_col), ratio), "boilerplate")
-    hint = F.broadcast if work.size(found) <= broadcast_bytes else lambda x: x.hint("merge")
     rows = df.select(F.struct(*df.columns).alias("row"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    joined = rows.join(hint(found.withColumnRenamed("host", "of")), F.col("host").eqNullSafe(F.col("of")), "left")
+    joined = rows.join(work.joinable(found, broadcast_bytes).withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("lines", _line_key(x))), "\n")
     text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept)
     return joined.select("row", text.alias("kept")).select(*(F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns))

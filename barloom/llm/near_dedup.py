@@ -246,10 +246,10 @@ def _left_open(members: DataFrame, sketches: DataFrame, texts: DataFrame, thresh
 
 
 def _texts_of(named: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
-    """One text for each tid of ``named``. Joined by the tid and its hash and merged in another step, so that Spark may split a text with very many copies;
-    by merge joins whatever the size, so that a run's needs follow its input."""
-    keyed = lambda df: df.withColumn("h", F.xxhash64("tid"))
-    found = keyed(texts).join(keyed(named).hint("merge"), ["tid", "h"], "left_semi")
+    """One text for each tid of the written table ``named``: texts stay where they are while that is small. Joined by the tid and its hash and merged in another step, so that
+    Spark may split a text with very many copies."""
+    h = F.xxhash64("tid").alias("h")
+    found = texts.select("tid", h, "text").join(work.joinable(named).select("tid", h), ["tid", "h"], "left_semi")
     return work.write(found.groupBy("tid").agg(F.first("text").alias("text")), "texts")
 
 
@@ -292,7 +292,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     work.drop(crowded)
     stars = groups.where("tid <> pivot").select(F.least("pivot", "tid").alias("a"), F.greatest("pivot", "tid").alias("b")).distinct()
     k = bands * rows
-    needed = _texts_of(met.select("tid"), texts, work)
+    needed = _texts_of(met, texts, work)
     links = _verified(work.write(_likely(stars, sketches, threshold, k), "likely"), needed, threshold, size, work)
     found = components(links.select("a", "b"), work)
     # what the pivots left open; a bucket of two has no more than the pair that was compared
@@ -319,7 +319,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     losing = work.write(counted.where((F.col("tid") != F.col("class_tid")) | (F.col("rows") > 1)), "losing")
     # by the digest and its hash, so that what follows is another step and Spark may split a text with very many copies
     keyed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col))).alias("tid")).withColumn("h", F.xxhash64("tid"))
-    tagged = keyed.join(losing.withColumn("h", F.xxhash64("tid")).hint("merge"), ["tid", "h"], "left")
+    tagged = keyed.join(work.joinable(losing).withColumn("h", F.xxhash64("tid")), ["tid", "h"], "left")
     stays = F.col("class_tid").isNull() | ((F.col("tid") == F.col("class_tid")) & F.col("id").eqNullSafe(F.col("class_id")))
     tagged = tagged.where(stays)
     # several rows with the same id and text: any one of them stays

@@ -16,6 +16,8 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """
     current = work.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
+    # joins are by the node and its hash, so that they are another step than the sums and Spark may split a node with very many edges
+    keyed = lambda df: df.withColumn("h", F.xxhash64("u"))
     while True:
         state = tuple(current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == mark or state[0] == 0:
@@ -23,9 +25,9 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
         mark = state
         both = current.union(current.select("v", "u"))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = keyed(both.where("v > u")).join(keyed(least), ["u", "h"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
+        small = keyed(large).join(keyed(low), ["u", "h"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
         # edges never become more: files of a quarter million of them at most, and few where they are few
         after = work.write(small.coalesce(max(8, state[0] // 250_000 + 1)), "edges")
         work.drop(current)

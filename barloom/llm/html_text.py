@@ -284,7 +284,7 @@ def main_text(html: str | None, window: int = 3, share: float = 0.4) -> str:
         if box:
             own.extend(k for k, x in enumerate(lines) if box in around(x.box))
         else:
-            own[:] = [k for k in range(own[0], own[-1] + 1) if not lines[k].box]
+            own[:] = sorted({*own, *(k for k in range(own[0], own[-1] + 1) if not lines[k].box)})
     mass = {box: sum(lines[k].weight for k in own) * (2 if page.whole[box] else 1) for box, own in groups.items()}
     text = {box for box, own in groups.items() if 2 * sum(lines[k].weight for k in own) >= sum(len(lines[k].text.replace(" ", "")) for k in own)}
     heaviest = max((mass[box] for box in text), default=0)

@@ -349,6 +349,8 @@ MORE = "<p>" + "Another part that goes on for a while. " * 12 + "</p>"
         (f"<div><div>{MORE}</div><div>{MORE}</div><div><p>End of it.</p></div></div><div>Short words here.</div>", "\n".join([("Another part that goes on for a while. " * 12).strip()] * 2 + ["End of it."])),
         (f"<div><ul><li><a href=x>Some link of the page</a><li><a href=y>Another link</a><li><a href=z>A third</a></ul></div><div>{MORE}<ul><li><a href=x>Source</a></ul></div>", ("Another part that goes on for a while. " * 12).strip() + "\nSource"),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+        ("<body><section><p>The first part.</p></section><section><p>The second part.</p></section><div>x</div></body>", "The first part.\nThe second part."),
+        ("<body><p>One of two lines here.</p><div class=ad>Buy</div><p>Two of two lines here.</p></body>", "One of two lines here.\nTwo of two lines here."),
     ],
 )
 def test_the_distribution_decides(page, text):

@@ -197,7 +197,9 @@ class FingerprintIndex:
         """(fp, ctx, n, contexts) of the given fingerprints over all runs: how often an anchor was seen, and with how many ctx its fp."""
         # summed from written tables: Spark 4.1 takes a union of bucketed tables for bucketed, but reads it in other partitions
         merged = _merged(reduce(DataFrame.union, [work.write(run.join(fps.hint("merge"), "fp", "left_semi"), "entries") for run in self.runs]))
-        return merged.join(merged.groupBy("fp").agg(F.count(F.lit(1)).alias("contexts")).hint("merge"), "fp")
+        # by fp and its hash: another step than the sums, so that Spark may split a fingerprint with very many contexts
+        keyed = lambda df: df.withColumn("h", F.xxhash64("fp"))
+        return keyed(merged).join(keyed(merged.groupBy("fp").agg(F.count(F.lit(1)).alias("contexts"))).hint("merge"), ["fp", "h"]).drop("h")
 
     def compact(self) -> None:
         """All runs merged into one sorted run; the old ones are deleted once it is in the manifest."""

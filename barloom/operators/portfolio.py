@@ -7,7 +7,7 @@ pass; combinations, windows and paths are the parallel keys."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,17 +42,16 @@ def portfolio_trades(candidates: DataFrame, line: DataFrame, initial: float, ord
     rows = rows.join(line.select(F.col("ts").alias("sell_time"), F.col("ord").alias("sell_ord")), "sell_time").crossJoin(F.broadcast(end))
     slim = rows.select(*keys, "symbol", "buy_ord", "sell_ord", "_end", (F.lit(order) + F.col("commission_buy")).alias("cost"), (F.col("qty") * F.col("sell_price") - F.col("commission_sell")).alias("back"))
 
-    def gate(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["buy_ord", "symbol"]).reset_index(drop=True)
-        taken, closes = walk(*(group[c].to_numpy() for c in ("buy_ord", "sell_ord", "cost", "back")), initial, order)
-        out = group.loc[taken, [*keys, "symbol", "buy_ord"]].copy()
-        out["close_ord"] = closes
-        out["seq"] = np.arange(len(taken))
-        out["closed"] = out["close_ord"].to_numpy() <= group["_end"].iloc[0]
-        return out
+    def gate(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("buy_ord", "ascending"), ("symbol", "ascending")])
+        taken, closes = walk(*(group.column(c).to_numpy() for c in ("buy_ord", "sell_ord", "cost", "back")), initial, order)
+        out = group.select([*keys, "symbol", "buy_ord"]).take(pa.array(taken, pa.int64()))
+        end = group.column("_end")[0].as_py() if len(group) else 0
+        closed = np.array(closes, np.int32)
+        return out.append_column("close_ord", pa.array(closed)).append_column("seq", pa.array(np.arange(len(taken)))).append_column("closed", pa.array(closed <= end))
 
     kinds = ", ".join(f"{k} {slim.schema[k].dataType.simpleString()}" for k in keys)
-    taken = slim.groupBy(*keys).applyInPandas(gate, f"{kinds}, symbol string, buy_ord int, close_ord int, seq long, closed boolean")
+    taken = slim.groupBy(*keys).applyInArrow(gate, f"{kinds}, symbol string, buy_ord int, close_ord int, seq long, closed boolean")
     return rows.drop("sell_ord", "_end").join(taken, [*keys, "symbol", "buy_ord"])
 
 

@@ -9,6 +9,7 @@ from .line_dedup import OP7_SQL, op7_line_dedup
 from .near_dedup import op10_near_dedup
 from .packing import op6_best_fit_packing
 from .quality import op8_quality
+from .spelling import OP12_SQL, op12_spelling_groups
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 
 QUERIES = {
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
+    "op12_spelling_groups": op12_spelling_groups,
 }
-SQL = {"op2_substring_dedup": OP2_SQL, "op7_line_dedup": OP7_SQL}
+SQL = {"op2_substring_dedup": OP2_SQL, "op7_line_dedup": OP7_SQL, "op12_spelling_groups": OP12_SQL}

@@ -11,6 +11,7 @@ from .packing import op6_best_fit_packing
 from .quality import op8_quality
 from .spelling import OP12_SQL, op12_spelling_groups
 from .substring_dedup import OP2_SQL, op2_substring_dedup
+from .token_align import op13_token_alignment
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
     "op12_spelling_groups": op12_spelling_groups,
+    "op13_token_alignment": op13_token_alignment,
 }
 SQL = {"op2_substring_dedup": OP2_SQL, "op7_line_dedup": OP7_SQL, "op12_spelling_groups": OP12_SQL}

@@ -8,6 +8,7 @@ from .language_id import op9_language_id
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .near_dedup import op10_near_dedup
 from .packing import op6_best_fit_packing
+from .partition_index import op11_nearest_neighbours
 from .quality import op8_quality
 from .spelling import OP12_SQL, op12_spelling_groups
 from .substring_dedup import OP2_SQL, op2_substring_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_spelling_groups": op12_spelling_groups,
     "op13_token_alignment": op13_token_alignment,
 }

@@ -13,7 +13,7 @@ Vocabulary and candidates are tables over tasks; the reduced vocabulary is broad
 hot word is counted in each task before the shuffle. A reduced word's candidates are rows, never a group in one task.
 
 Null and empty texts have no words. A null id counts as an empty one. Repeated rows count each. An empty table gives no rows. Words of any length take part; neighbourhoods of very
-long ones are made in slices. Other columns of the input are not read.
+long ones are made in slices and don't carry the word. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from ._shared import Workspace
 RUN = "[A-Za-zÀ-ÿ]+"
 _LARGE, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SLICE = 1 << 20  # keys at a time
+_SLICE = 1 << 18  # keys at a time
+_CARRIED = 64  # letters
 
 
 def runs(text: Column) -> Column:
@@ -96,26 +97,33 @@ def _by_length(words: pa.Array, most: int = 1 << 16) -> Iterator[tuple[np.ndarra
                 yield part, np.frombuffer("".join(texts[part]).encode("utf-32-le"), np.uint32).reshape(len(part), length)
 
 
-def _keys(vocabulary: DataFrame, symbols: int, whole: bool) -> DataFrame:
-    """(key, word, n) of the reduced words themselves (``whole``), or of their neighbourhoods, with ``same``."""
+def _keys(words: DataFrame, carried: list[str], symbols: int, whole: bool) -> DataFrame:
+    """(key, ``carried`` columns, same) of reduced words themselves (``whole``), or of their neighbourhoods, where ``same`` says that nothing was changed. What is carried comes again with each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for places, letters in _by_length(batch.column("word")):
                 for row, key, same in neighbourhoods(letters, symbols):
                     at = pa.array(places[row])
-                    columns = [pa.array(key.view(np.int64)), batch.column("word").take(at), batch.column("n").take(at)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(same)], names=["key", "word", "n", "same"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(c).take(at) for c in carried), pa.array(same)], names=["key", *carried, "same"])
                     if whole:
                         break
 
-    return vocabulary.select("word", "n").mapInArrow(run, "key long, word string, n long, same boolean")
+    fields = ", ".join(f"{c} {words.schema[c].dataType.simpleString()}" for c in carried)
+    return words.mapInArrow(run, f"key long, {fields}, same boolean")
 
 
 def near_words(vocabulary: DataFrame, work: Workspace, symbols: int = 8, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """(word, n, near, near_n): each two words of the written table ``vocabulary`` that differ by one inserted, deleted or replaced letter, both ways round."""
-    reduced = work.write(_keys(vocabulary, symbols, True).select("key", F.col("word").alias("near"), F.col("n").alias("near_n")), "reduced")
-    met = _keys(vocabulary, symbols, False).join(work.joinable(reduced, broadcast_bytes), "key").where(~F.col("same") | (F.col("word") < F.col("near")))
+    words = vocabulary.withColumn("hash", F.xxhash64("word"))
+    reduced = work.write(_keys(words, ["word", "n"], symbols, True).select("key", F.col("word").alias("near"), F.col("n").alias("near_n")), "reduced")
+    there = work.joinable(reduced, broadcast_bytes)
+    # a long word has many keys: they carry its hash, and it comes back for those that met
+    short = F.length("word") <= _CARRIED
+    met = _keys(words.where(short), ["word", "n"], symbols, False).join(there, "key").select("same", "word", "n", "near", "near_n")
+    again = words.where(~short)
+    long = _keys(again, ["hash"], symbols, False).join(there, "key").select("same", "hash", "near", "near_n").join(again, "hash").select("same", "word", "n", "near", "near_n")
+    met = met.unionByName(long).where(~F.col("same") | (F.col("word") < F.col("near")))
     # distinct, should two neighbours of one word share a hash
     found = work.write(met.where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n").distinct(), "near")
     return found.unionByName(found.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))

@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from ._shared import Workspace
 from ._words import slices, utf8
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
-_REMEMBERED = 400_000  # units
+_REMEMBERED = 600_000  # units
+_TOGETHER = 4096  # bytes of units that are tokenized in one string
 
 
 def text_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +67,8 @@ class Aligner:
             raise ValueError("a piece goes on behind a space, so units can't be tokenized by themselves")
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.b_size = np.array([len(p) for p in self.b_bytes], np.int64)
+        shown = lambda n, mark: np.array([[f"{i},".encode(), f"{i}{mark}".encode()] for i in range(n)], object)
+        self.a_shown, self.b_shown = shown(len(self.a_size), "|"), shown(len(self.b_size), ";")
         self.forget()
 
     def forget(self) -> None:
@@ -75,39 +79,64 @@ class Aligner:
         self.groups: list[bytes] = []
 
     def learn(self, units: list[bytes]) -> None:
-        texts = [u.decode() for u in units]
-        a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        whole = np.array([b"".join([self.b_bytes[i] for i in ids]) == u for ids, u in zip(b, units, strict=True)], bool)
-        whole &= np.array([self.a_size[ids].sum() == len(u) for ids, u in zip(a, units, strict=True)], bool)
-        counts = np.zeros((len(units), 4), np.int64)
-        kept = np.flatnonzero(whole)
-        na, nb = (np.array([len(x[i]) for i in kept], np.int64) for x in (a, b))
-        a_ids, b_ids = (np.array([t for i in kept for t in x[i]], np.int64) for x in (a, b))
-        # both cover the same bytes, all units one after another
-        a_end, b_end = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
+        """Remembers new units. Those that end visibly are tokenized many at a time, as a border lies between them."""
+        data, ends = b"".join(units), np.cumsum([len(u) for u in units])
+        last = np.frombuffer(data, np.uint8)[ends - 1]
+        alone = (last <= 0x20) | (last >= 0x7F) | (np.append(np.diff(ends // _TOGETHER), 1) > 0)
+        found = self._tokens(data, ends, np.flatnonzero(alone))
+        whole, a_end, a_ids, b_end, b_ids = found
+        n = len(units)
+        a_unit, b_unit = np.searchsorted(ends, a_end), np.searchsorted(ends, b_end)
         first = np.searchsorted(b_end, a_end - self.a_size[a_ids], "right")
-        last = np.searchsorted(b_end - self.b_size[b_ids], a_end, "left")
-        n = last - first
-        links = np.repeat(a_ids, n) * len(self.b_size) + b_ids[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-        unit = np.repeat(np.arange(len(kept)), na)
-        counts[kept, 0], counts[kept, 1], counts[kept, 3] = na, nb, np.bincount(unit, n, len(kept)).astype(np.int64)
-        a_cut = np.flatnonzero(np.isin(a_end, b_end, assume_unique=True)) + 1
-        b_cut = np.flatnonzero(np.isin(b_end, a_end, assume_unique=True)) + 1
-        counts[kept, 2] = np.bincount(unit[a_cut - 1], minlength=len(kept))
-        sa, sb = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        shown, i, j = [], 0, 0
-        for p, q in zip(a_cut.tolist(), b_cut.tolist(), strict=True):
-            shown.append(f"{','.join(sa[i:p])}|{','.join(sb[j:q])}")
-            i, j = p, q
-        strings, at = [b""] * len(units), 0
-        for k, g in zip(kept.tolist(), counts[kept, 2].tolist(), strict=True):
-            strings[k] = ";".join(shown[at : at + g]).encode()
-            at += g
-        for u in units:
-            self.known[u] = len(self.known)
+        many = np.searchsorted(b_end - self.b_size[b_ids], a_end, "left") - first
+        links = np.repeat(a_ids, many) * len(self.b_size) + b_ids[np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
+        a_cut, b_cut = np.isin(a_end, b_end, assume_unique=True), np.isin(b_end, a_end, assume_unique=True)
+        count = lambda of, weights=None: np.bincount(of, weights, n).astype(np.int64)
+        counts = np.column_stack([count(a_unit), count(b_unit), count(a_unit[a_cut]), count(a_unit, many)])
+        # a group's first ids, then its second ones, each with the mark behind it
+        group = np.concatenate([np.cumsum(a_cut) - a_cut, np.cumsum(b_cut) - b_cut])
+        order = np.argsort(group, kind="stable")
+        shown = np.concatenate([self.a_shown[a_ids, a_cut.astype(int)], self.b_shown[b_ids, b_cut.astype(int)]])[order].tolist()
+        upto = np.append(0, np.cumsum(counts[:, 0] + counts[:, 1])).tolist()
+        self.groups += [b"".join(shown[i:j]) for i, j in zip(upto, upto[1:])]
+        self.known.update(zip(units, range(len(self.known), len(self.known) + n)))
         self.whole, self.counts, self.links = np.concatenate([self.whole, whole]), np.concatenate([self.counts, counts]), np.concatenate([self.links, links])
-        self.groups += strings
+
+    def _tokens(self, data: bytes, ends: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(whether both vocabularies give each unit back, ends and ids of tokens of the first, of the second) for units up to ``ends``, tokenized together up to each of ``cuts``."""
+        borders = [0, *ends[cuts].tolist()]
+        spans = [data[i:j] for i, j in zip(borders, borders[1:])]
+        texts = [x.decode() for x in spans]
+        both = [[e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)]
+        flat = [np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in both]
+        size = [self.a_size[flat[0]], self.b_size[flat[1]]]
+        span = [np.repeat(np.arange(len(spans)), [len(i) for i in x]) for x in both]
+        good = np.array([b"".join([self.b_bytes[i] for i in ids]) == x for ids, x in zip(both[1], spans, strict=True)], bool)
+        good &= np.bincount(span[0], size[0], len(spans)) == np.diff(borders)
+        at = []
+        for z, of in zip(size, span):
+            total = np.cumsum(z)
+            begun = np.append(0, np.cumsum(np.bincount(of, z, len(spans))))[:-1].astype(np.int64)
+            at.append(total - begun[of] + np.array(borders[:-1])[of])
+        home = np.searchsorted(cuts, np.arange(len(ends)))  # a unit's span
+        # where a border isn't one for both, and where a unit isn't given back, the span's units are asked for one by one
+        np.logical_and.at(good, home, np.isin(ends, at[0]) & np.isin(ends, at[1]))
+        again = np.flatnonzero(~good[home] & (np.bincount(home)[home] > 1))
+        whole, kept = good[home], [good[of] for of in span]
+        out = [(at[i][kept[i]], flat[i][kept[i]]) for i in (0, 1)]
+        if len(again):
+            begins = np.append(0, ends[:-1])
+            own = b"".join(data[begins[u] : ends[u]] for u in again.tolist())
+            to = np.cumsum(ends[again] - begins[again])
+            fixed = self._tokens(own, to, np.arange(len(again)))
+            whole[again] = fixed[0]
+            for i in (0, 1):
+                e, ids = fixed[1 + 2 * i], fixed[2 + 2 * i]
+                u = np.searchsorted(to, e)
+                e = e - to[u] + ends[again[u]]
+                order = np.argsort(np.concatenate([out[i][0], e]), kind="stable")
+                out[i] = (np.concatenate([out[i][0], e])[order], np.concatenate([out[i][1], ids])[order])
+        return whole, *out[0], *out[1]
 
     def codes(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The number of each unit among those that are remembered."""
@@ -145,25 +174,24 @@ def align_part(tools: Aligner, part: pa.RecordBatch, with_groups: bool = False)
     good[row[~tools.whole[code]]] = False
     counts = np.add.reduceat(tools.counts[code], first, axis=0) * good[:, None] if n else np.zeros((0, 4), np.int64)
     ends = np.append(first, len(starts))
-    strings = [b";".join([tools.groups[c] for c in code[ends[i] : ends[i + 1]].tolist()]) if good[i] else b"" for i in range(n)]
+    strings = [b"".join([tools.groups[c] for c in code[ends[i] : ends[i + 1]].tolist()])[:-1] if good[i] else b"" for i in range(n)]
     # links of all occurrences, then each text's distinct pairs
     used = good[row]
     code, row = code[used], row[used]
     many = tools.counts[code, 3]
     before = np.cumsum(tools.counts[:, 3]) - tools.counts[:, 3]
     pair = tools.links[np.repeat(before[code] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
-    of = np.repeat(row, many)
-    order = np.lexsort((pair, of))
-    pair, of = pair[order], of[order]
-    new = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (of[1:] != of[:-1]))) if len(pair) else np.zeros(0, np.int64)
-    times = np.diff(np.append(new, len(pair)))
-    lists = np.append(0, np.cumsum(np.bincount(of[new], minlength=n))).astype(np.int32)
+    ids = len(tools.a_size) * len(tools.b_size)
+    placed = np.sort(np.repeat(row, many) * ids + pair)
+    new = np.flatnonzero(np.append(True, placed[1:] != placed[:-1])) if len(placed) else np.zeros(0, np.int64)
+    times = np.diff(np.append(new, len(placed)))
+    lists = np.append(0, np.cumsum(np.bincount(placed[new] // ids, minlength=n))).astype(np.int32)
     raw = data.tobytes()
     columns = [
         pa.array([hashlib.sha256(raw[offsets[i] + 1 : offsets[i + 1]]).digest() for i in range(n)], pa.binary()),
         part.column("copies"), *(pa.array(counts[:, i]) for i in range(4)),
         pa.array([hashlib.sha256(s).hexdigest() if s else "" for s in strings], pa.string()),
-        pa.ListArray.from_arrays(pa.array(lists), pa.StructArray.from_arrays([pa.array(pair[new]), pa.array(times)], ["pair", "times"])),
+        pa.ListArray.from_arrays(pa.array(lists), pa.StructArray.from_arrays([pa.array(placed[new] % ids), pa.array(times)], ["pair", "times"])),
     ]
     names = ["tid", "copies", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"]
     return pa.RecordBatch.from_arrays([*columns, *([pa.array([s.decode() for s in strings], pa.string())] if with_groups else [])], names=[*names, *(["groups"] if with_groups else [])])
@@ -176,7 +204,7 @@ def aligned_texts(texts: DataFrame, a_path: str, b_path: str, with_groups: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = aligner(a_path, b_path)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 6 << 20):
                 yield align_part(tools, part, with_groups)
 
     distinct = texts.where("text <> ''").groupBy("text").agg(F.count(F.lit(1)).alias("copies"))

@@ -646,9 +646,13 @@ def streamed(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame]
     schema = spark.read.parquet(table).schema
     folder = table if spark._jvm.org.apache.hadoop.fs.Path(table).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(table)).isDirectory() else d
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if folder == table else "events.parquet").parquet(folder)
-    out = scratch_path(spark, "stream")
-    make(stream).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    return run_stream(make(stream), scratch_path(spark, "stream"))
+
+
+def run_stream(df: DataFrame, out: str) -> DataFrame:
+    """What a stream gives out until it has read everything there is; run again with the same folder it goes on."""
+    df.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.parquet(f"{out}/rows")
 
 
 def batch_bars(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -656,33 +660,47 @@ def batch_bars(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFram
     out = scratch_path(spark, "livebars")
     fx.bars(spark, d, 4).drop("timeframe").orderBy("ts").write.parquet(f"{out}/bars")
     stream = spark.readStream.schema(spark.read.parquet(f"{out}/bars").schema).parquet(f"{out}/bars")
-    make(stream).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    return run_stream(make(stream), out)
+
+
+def dealt_stream(rows: DataFrame, out: str, parts: int = 2) -> DataFrame:
+    """``rows`` (symbol, ts, ...) as a stream of a file a batch: parts of time one after another, in which the symbols of one time are in two files."""
+    rows = written(rows, "dealt")
+    span = rows.agg(F.min("ts").alias("a"), (F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))).alias("d")).first()
+    share = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(span["a"]).cast("timestamp"))) * parts / F.lit((span["d"] or 0) + 1)
+    for i in range(parts):
+        half = rows.where(F.floor(share) == i).withColumn("_half", F.length("symbol") % 3 > 0)
+        for side in (True, False):
+            half.where(F.col("_half") == side).drop("_half").coalesce(1).write.mode("append").parquet(f"{out}/in")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+
+
+def live_signal_rows(spark: SparkSession, d: str) -> DataFrame:
+    out = scratch_path(spark, "livesignals")
+    return run_stream(live.live_signals(dealt_stream(fx.bars(spark, d, 4).drop("timeframe"), out), lateness="10 days"), out)
 
 
 _LIVE = """, l1 AS (SELECT symbol, ts, close, list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS c FROM b4),
 l2 AS (SELECT *, list_transform(c, lambda x, i: CASE WHEN i = 1 THEN 0.0 ELSE x - c[i - 1] END) AS ch, list_transform(c, lambda x, i: CASE WHEN i <= 2 THEN 0.0 ELSE x - 2 * c[i - 1] + c[i - 2] END) AS se FROM l1),
 l3 AS (SELECT *, list_transform(ch[greatest(1, len(ch) - 4):], lambda x: least(CAST(trunc((x - list_min(ch)) / (list_max(ch) - list_min(ch) + 1e-9) * 10) AS INT), 9)) AS b FROM l2),
 lv AS (SELECT symbol, ts, close, log2(len(b)::DOUBLE) - list_sum(list_transform(b, lambda x: log2(len(list_filter(b, lambda y: y = x))::DOUBLE))) / len(b) < 2.0
-  AND list_sum(list_transform(se, lambda x, i: CASE WHEN i = 1 THEN 1.0 ELSE 2.0 / 11 END * pow(1 - 2.0 / 11, len(se) - i) * x)) > 0 AS signal FROM l3)"""
+  AND list_sum(list_transform(se, lambda x, i: CASE WHEN i = 1 THEN 1.0 ELSE 2.0 / 11 END * pow(1 - 2.0 / 11, len(se) - i) * x)) > 0 AS signal FROM l3),
+lc AS (SELECT * FROM lv WHERE ts <= (SELECT max(ts) - INTERVAL '10 days' FROM lv)), lp AS (SELECT * FROM lc WHERE ts <= (SELECT max(ts) - INTERVAL '10 days' FROM lc))"""
 
 
-@query("live_signals", _LIVE + " SELECT symbol, ts, round(close, 6) AS close, signal FROM lv")
+@query("live_signals", _LIVE + " SELECT symbol, ts, round(close, 6) AS close, signal FROM lc")
 def _(spark, d):
-    return batch_bars(spark, d, live.live_signals)
+    return live_signal_rows(spark, d)
 
 
-@query("paper_positions", _LIVE + """, bk AS (SELECT book, ts, any_signal, row_number() OVER (PARTITION BY book ORDER BY ts) - 1 AS ord FROM (SELECT (length(symbol) % 2)::VARCHAR AS book, ts, bool_or(signal) AS any_signal FROM lv GROUP BY 1, 2)),
+@query("paper_positions", _LIVE + """, bk AS (SELECT book, ts, any_signal, row_number() OVER (PARTITION BY book ORDER BY ts) - 1 AS ord FROM (SELECT (length(symbol) % 2)::VARCHAR AS book, ts, bool_or(signal) AS any_signal FROM lp GROUP BY 1, 2)),
 ps(book, ord) AS (SELECT book, min(ord) FROM bk WHERE any_signal GROUP BY 1 UNION ALL SELECT ps.book, (SELECT min(b.ord) FROM bk b WHERE b.book = ps.book AND b.any_signal AND b.ord > ps.ord + 6) FROM ps WHERE ps.ord IS NOT NULL),
-op AS (SELECT bk.book, bk.ts, bk.ord, lv.symbol, lv.close FROM ps JOIN bk ON bk.book = ps.book AND bk.ord = ps.ord JOIN lv ON lv.ts = bk.ts AND (length(lv.symbol) % 2)::VARCHAR = bk.book AND lv.signal)
-SELECT book, ts, symbol, 'open' AS action, round(close, 6) AS price FROM op UNION ALL SELECT op.book, bk.ts, op.symbol, 'close', round(lv.close, 6) FROM op JOIN bk ON bk.book = op.book AND bk.ord = op.ord + 6 LEFT JOIN lv ON lv.symbol = op.symbol AND lv.ts = bk.ts""")
+op AS (SELECT bk.book, bk.ts, bk.ord, lv.symbol, lv.close FROM ps JOIN bk ON bk.book = ps.book AND bk.ord = ps.ord JOIN lp lv ON lv.ts = bk.ts AND (length(lv.symbol) % 2)::VARCHAR = bk.book AND lv.signal)
+SELECT book, ts, symbol, 'open' AS action, round(close, 6) AS price FROM op UNION ALL SELECT op.book, bk.ts, op.symbol, 'close', round(lv.close, 6) FROM op JOIN bk ON bk.book = op.book AND bk.ord = op.ord + 6 LEFT JOIN lp lv ON lv.symbol = op.symbol AND lv.ts = bk.ts""")
 def _(spark, d):
-    signals_seen = batch_bars(spark, d, live.live_signals)
     out = scratch_path(spark, "paper")
-    signals_seen.write.parquet(f"{out}/signals")
-    stream = spark.readStream.schema(signals_seen.schema).parquet(f"{out}/signals")
-    live.paper_positions(stream, 6, F.length("symbol") % 2).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    stream = dealt_stream(live_signal_rows(spark, d), out)
+    return run_stream(live.paper_positions(stream, 6, F.length("symbol") % 2, lateness="10 days"), out)
 
 
 @query("stream_without_repeats", "SELECT symbol, ts FROM b4")

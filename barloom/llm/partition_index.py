@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._shared import Workspace
 
 _GRAPH = 16  # neighbours of a node
-_BLOCK, _CHUNK = 16_384, 4_096  # classes and queries of one comparison
+_BLOCK, _CHUNK = 16_384, 2_048  # classes and queries of one comparison
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -78,10 +78,6 @@ def balanced_parts(x: np.ndarray, near: np.ndarray, levels: int) -> np.ndarray:
             np.add.at(gain, ea, across)
             np.add.at(gain, eb, across)
             order = np.lexsort((-gain, side, part))
-            start = np.append(0, np.flatnonzero((np.diff(part[order]) != 0) | (np.diff(side[order]) != 0)) + 1)
-            rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
-            of = np.empty(len(x), np.int64)
-            of[order] = rank
             moved = np.zeros(len(x), bool)
             for p in np.unique(part):
                 left, right = (order[(part[order] == p) & (side[order] == s)] for s in (0, 1))
@@ -200,24 +196,65 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _placed(rows: DataFrame, router: Router, most: int | None = None) -> DataFrame:
-    """``rows`` with ``part``, the most probable one, or a row for each part that they visit."""
+def _placed(rows: DataFrame, router: Router) -> DataFrame:
+    """``rows`` with ``part``, the most probable one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                parts = router.likely(_matrix(batch.column("vec")))[:, :most]
-                again = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), parts.shape[1])))
-                yield pa.RecordBatch.from_arrays([*again.columns, pa.array(parts.ravel().astype(np.int32))], names=[*batch.schema.names, "part"])
+                yield batch.append_column("part", pa.array(np.argmax(router(_matrix(batch.column("vec"))), axis=1).astype(np.int32)))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{fields}, part int")
 
 
-def _split(rows: DataFrame, key: Column, own: str, other: str, sizes: DataFrame) -> DataFrame:
-    """``rows`` of a part in their own block by a hash of ``key``, once for each block of the other side. ``sizes``: a row for each part."""
-    placed = rows.join(F.broadcast(sizes), "part").withColumn(own, F.pmod(F.xxhash64(key), F.col(f"n_{own}")).cast("int"))
-    return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))).drop(f"n_{own}", f"n_{other}")
+def shelved(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shelf of each part, neighbouring parts together while they hold at most ``most`` classes, and the number of blocks of each shelf."""
+    shelf, filled, held = np.zeros(len(sizes), np.int64), [0], 0
+    for part, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            filled.append(0)
+            held = 0
+        held += n
+        filled[-1] = held
+        shelf[part] = len(filled) - 1
+    return shelf, np.maximum(-(-np.array(filled) // most), 1)
+
+
+def _asked(rows: DataFrame, router: Router, shelf: np.ndarray) -> DataFrame:
+    """A row of each query for each shelf that it visits, with the parts there."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                parts = np.sort(router.likely(_matrix(batch.column("vec"))), axis=1)
+                row, on = np.repeat(np.arange(len(parts)), parts.shape[1]), shelf[parts].ravel()
+                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (on[1:] != on[:-1])))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(parts.ravel().astype(np.int32)))
+                again = batch.take(pa.array(row[first]))
+                yield pa.RecordBatch.from_arrays([*again.columns, pa.array(on[first].astype(np.int32)), lists], names=["id", "vec", "shelf", "parts"])
+
+    return rows.select("id", "vec").mapInArrow(run, f"id {kind}, vec array<double>, shelf int, parts array<int>")
+
+
+def nearest_on_shelf(ours: pa.Table, theirs: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``nearest_in_block`` of queries with ``parts`` among classes with ``part``, each part by the queries that visit it."""
+    own, q, c = ours.column("id").to_numpy(), _matrix(ours.column("vec")), _matrix(theirs.column("vec"))
+    visits = ours.column("parts").combine_chunks()
+    row, visited = np.repeat(np.arange(len(own)), visits.value_lengths().to_numpy()), visits.flatten().to_numpy()
+    part, ids = theirs.column("part").to_numpy(), theirs.column("ids").to_pylist()
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for p in np.unique(part).tolist():
+        at, there = row[visited == p], np.flatnonzero(part == p)
+        if len(at):
+            r, vec, score = nearest_in_block(q[at], c[there], [ids[i] for i in there.tolist()], own[at], k)
+            found.append((at[r], vec, score))
+    row, vec, score = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((vec, -score, row))
+    row, vec, score = row[order], vec[order], score[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+    return own[row[best]], vec[best], score[best]
 
 
 def nearest_neighbours(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.95, sample: int = 8192, rows_per_part: int = 1024) -> DataFrame:
@@ -235,22 +272,26 @@ def nearest_neighbours(df: DataFrame, queries: Column, k: int = 20, id_col: str
     # a part's share of the sample is 32 vectors at least
     levels = max(0, min(round(np.log2(max(n / rows_per_part, 1))), int(np.log2(max(drawn.num_rows / 32, 1)))))
     router = fit_router(_matrix(drawn.column("vec")), levels, k, recall)
-    placed = work.write(_placed(classes, router, 1), "placed")
-    asked = work.write(_placed(rows.where(queries), router), "asked")
-    blocks = lambda many, name: many.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / (_BLOCK if name == "block" else _CHUNK)).cast("int").alias(f"n_{name}"))
-    sizes = work.write(blocks(placed, "block").join(blocks(asked, "chunk"), "part"), "sizes")
-    meet = ["part", "block", "chunk"]
-    there = _split(placed, F.col("vec"), "block", "chunk", sizes).groupBy(*meet)
-    here = _split(asked, F.col("id"), "chunk", "block", sizes).groupBy(*meet)
+    placed = work.write(_placed(classes, router), "placed")
+    held = dict(placed.groupBy("part").count().collect())
+    shelf, blocks = shelved(np.array([held.get(p, 0) for p in range(len(router.b2))]), _BLOCK)
+    asked = work.write(_asked(rows.where(queries), router, shelf), "asked")
+    visitors = dict(asked.groupBy("shelf").count().collect())
+    spread = [(p, int(s), int(blocks[s]), -(-visitors.get(int(s), 0) // _CHUNK)) for p, s in enumerate(shelf)]
+    tiles = spark.createDataFrame(spread, "part int, shelf int, n_block int, n_chunk int")
+    # each class in its block, once for each chunk of queries, and each query in its chunk, once for each block
+    own = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    there = placed.join(F.broadcast(tiles), "part").where("n_chunk > 0").withColumn("block", own("vec", F.col("n_block"))).select("part", "shelf", "block", upto("n_chunk").alias("chunk"), "vec", "ids")
+    here = asked.join(F.broadcast(tiles.drop("part").distinct()), "shelf").withColumn("chunk", own("id", F.col("n_chunk"))).select("parts", "shelf", upto("n_block").alias("block"), "chunk", "id", "vec")
+    meet = ["shelf", "block", "chunk"]
 
     def compare(ours: pa.Table, theirs: pa.Table) -> pa.Table:
-        if not ours.num_rows or not theirs.num_rows:
-            return pa.table({"query_id": pa.array([], ours.schema.field("id").type), "vec_id": pa.array([], ours.schema.field("id").type), "score": pa.array([], pa.float64())})
-        own = ours.column("id").to_numpy()
-        row, vec, score = nearest_in_block(_matrix(ours.column("vec")), _matrix(theirs.column("vec")), theirs.column("ids").to_pylist(), own, k)
-        return pa.table({"query_id": pa.array(own[row]), "vec_id": pa.array(vec).cast(ours.schema.field("id").type), "score": pa.array(score)})
+        id_type = ours.schema.field("id").type
+        query, vec, score = nearest_on_shelf(ours, theirs, k) if ours.num_rows and theirs.num_rows else ([], [], [])
+        return pa.table({"query_id": pa.array(query, id_type), "vec_id": pa.array(vec, pa.int64()).cast(id_type), "score": pa.array(score, pa.float64())})
 
-    found = here.cogroup(there).applyInArrow(compare, f"query_id {kind}, vec_id {kind}, score double")
+    found = here.groupBy(*meet).cogroup(there.groupBy(*meet)).applyInArrow(compare, f"query_id {kind}, vec_id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

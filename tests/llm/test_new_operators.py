@@ -259,6 +259,11 @@ def test_parts_are_balanced_and_cut_few_edges():
     assert router.probes <= 4
 
 
+def test_shelves():
+    shelf, blocks = partition_index.shelved(np.array([3, 4, 0, 9, 25, 1, 2]), 10)
+    assert shelf.tolist() == [0, 0, 0, 1, 2, 3, 3] and blocks.tolist() == [1, 1, 3, 1]
+
+
 def test_nearest_recall(spark):
     """Parts are visited as the classifier says, and hold at least nine in ten of the true neighbours."""
     got = asked(spark.read.parquet(f"{D}/embeddings.parquet"), rows_per_part=60)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalar import timeframe_minutes
 
-from .chunks import carried_last
+from .chunks import carried_last, numbered
 
 
 def time_of_extremes(coarse: DataFrame, fine: DataFrame) -> DataFrame:
@@ -53,8 +53,8 @@ def asof_price(probes: DataFrame, bars: DataFrame, strict: bool = False) -> Data
 
 
 def timeline(bars: DataFrame) -> DataFrame:
-    """(ts, ord): all distinct bar times with their running number from 0. Made distinct first, so the numbering is over a short table."""
-    return bars.select("ts").distinct().withColumn("ord", F.row_number().over(Window.orderBy("ts")) - 1)
+    """(ts, ord): all distinct bar times with their running number from 0."""
+    return numbered(bars.select("ts").distinct(), ["ts"], "ord").withColumn("ord", F.col("ord").cast("int"))
 
 
 def closes_on_timeline(bars: DataFrame, line: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.sources.scratch import written
+
 
 def overlapping(df: DataFrame, back: int = 0, ahead: int = 0, chunk: int = 50_000) -> DataFrame:
     """Rows (symbol, idx, ...) with ``_part``, the chunk of ``idx`` they are seen in. Rows near a border come again in the neighbouring chunk, whose windows
@@ -34,3 +36,16 @@ def carried_last(df: DataFrame, value: str, order: list[str], into: str, part: C
     carried = last.select("symbol", "_part", F.last("_end", ignorenulls=True).over(past).alias("_past"))
     joined = rows.withColumn("_near", F.last(value, ignorenulls=True).over(near)).join(carried, ["symbol", "_part"])
     return joined.withColumn(into, F.coalesce("_near", "_past")).drop("_near", "_past", "_part")
+
+
+def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
+    """``df`` with the running number of each row from 0 in the given order, which must not tie: ranges of it are numbered by themselves, and what the ranges before hold is added."""
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    # the id counts a partition's rows in its lower 33 bits
+    part, place = F.shiftright("_place", 33).alias("_range"), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    before, total = [], 0
+    for number, n in sorted(rows.groupBy(part).count().collect()):
+        before.append((number, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(before, "_range long, _before long")
+    return rows.withColumn("_range", part).join(F.broadcast(offsets), "_range").withColumn(into, place + F.col("_before")).drop("_place", "_range", "_before")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.sources.scratch import written
+
 from .chunks import by_chunk, overlapping, own_rows
 
 
@@ -30,43 +32,70 @@ def second_difference(column: str = "close") -> Column:
     return F.coalesce(F.col(column) - 2 * F.lag(column, 1).over(by_bar()) + F.lag(column, 2).over(by_bar()), F.lit(0.0))
 
 
-def smoothed(df: DataFrame, column: str, alphas: dict[str, float], keys: tuple[str, ...] = ("symbol",), order: str = "idx", chunk: int = 50_000) -> DataFrame:
-    """``df`` with a column for each of ``alphas``: y = alpha x + (1 - alpha) y before, from the first x on.
-
-    Series are cut into chunks of ``chunk`` rows, each smoothed by itself (a chunk is what a task must hold); then every chunk is
-    corrected for what the chunks before carry into it, so series of any length spread over tasks."""
-    names = list(alphas)
-    base = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    schema = f"{fields}, _k long, " + ", ".join(f"`_y{i}` double" for i in range(len(names)))
+def _composed(maps: DataFrame, keys: list[str], count: int, n: int, width: int) -> DataFrame:
+    """(keys, _chunk, c0, c1, ...): what affine maps (keys, _chunk, m0, b0, m1, b1, ...) of the chunks before carry into each chunk. ``count`` is the number of chunks of the longest
+    series. Up and down a tree of ``width`` branches: maps are composed within a branch, whole branches by the same means, and what is carried into a branch goes through it."""
+    kinds = ", ".join(f"`{k}` {maps.schema[k].dataType.simpleString()}" for k in keys)
+    local = maps.withColumn("_branch", F.floor(F.col("_chunk") / width))
+
+    def scan(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_chunk")
+        out = group.select([*keys, "_branch", "_chunk"])
+        for i in range(n):
+            slope, shift = np.ones(len(group) + 1), np.zeros(len(group) + 1)
+            for k, (m, b) in enumerate(zip(group.column(f"m{i}").to_pylist(), group.column(f"b{i}").to_pylist(), strict=True)):
+                slope[k + 1], shift[k + 1] = m * slope[k], m * shift[k] + b
+            out = out.append_column(f"p{i}", pa.array(slope[:-1])).append_column(f"q{i}", pa.array(shift[:-1]))
+            out = out.append_column(f"m{i}", pa.array(np.full(len(group), slope[-1]))).append_column(f"b{i}", pa.array(np.full(len(group), shift[-1])))
+        return out
+
+    fields = ", ".join(f"p{i} double, q{i} double, m{i} double, b{i} double" for i in range(n))
+    within = local.groupBy(*keys, "_branch").applyInArrow(scan, f"{kinds}, _branch long, _chunk long, {fields}")
+    if count <= width:
+        # the first map takes nothing in, so nothing before it counts
+        return within.select(*keys, "_chunk", *(F.col(f"q{i}").alias(f"c{i}") for i in range(n)))
+    within = written(within, "branches")
+    whole = within.where(F.col("_chunk") % width == 0).select(*keys, F.col("_branch").alias("_chunk"), *(f"{x}{i}" for i in range(n) for x in "mb"))
+    above = _composed(whole, keys, -(-count // width), n, width).withColumnRenamed("_chunk", "_branch")
+    return within.join(above, [*keys, "_branch"]).select(*keys, "_chunk", *((F.col(f"p{i}") * F.col(f"c{i}") + F.col(f"q{i}")).alias(f"c{i}") for i in range(n)))
+
+
+def smoothed(df: DataFrame, columns: dict[str, tuple[str, float]], keys: tuple[str, ...] = ("symbol",), order: str = "idx", chunk: int = 50_000, width: int = 1024) -> DataFrame:
+    """``df`` with a column for each of ``columns``, from the column and alpha given: y = alpha x + (1 - alpha) y before, from the first x on. ``order`` counts rows.
+
+    Series longer than ``chunk`` rows are cut into chunks, each smoothed by itself (a chunk is what a task must hold); a chunk is an affine map of what comes into it, and a tree scan over
+    these maps corrects each chunk, so series of any length spread over tasks."""
+    keys = list(keys)
+    first, last = df.agg(F.min(order), F.max(order)).first()
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    named = ", ".join(f"`{name}` double" for name in columns)
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order).reset_index(drop=True)
-        group["_k"] = range(1, len(group) + 1)
-        for i, a in enumerate(alphas.values()):
-            group[f"_y{i}"] = group[column].ewm(alpha=a, adjust=False).mean()
+        for name, (column, alpha) in columns.items():
+            group[name] = group[column].ewm(alpha=alpha, adjust=False).mean()
         return group
 
-    local = base.groupBy(*keys, "_chunk").applyInPandas(scan, schema)
-    ends = local.groupBy(*keys, "_chunk").agg(F.max("_k").alias("_len"), F.min_by(column, "_k").alias("_x0"), *(F.max_by(f"_y{i}", "_k").alias(f"_e{i}") for i in range(len(names))))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    past = F.collect_list(F.struct("_len", "_x0", *(f"_e{i}" for i in range(len(names))))).over(before)
-    carried = ends.withColumn("_past", past)
-
-    def carry(i: int, a: float) -> Callable[[Column, Column], Column]:
-        # the first chunk carries its end; a later one is off by what it took for its start
-        return lambda y, c: F.when(y.isNull(), c[f"_e{i}"]).otherwise(c[f"_e{i}"] + F.pow(F.lit(1 - a), c["_len"]) * (y - c["_x0"]))
-
-    for i, a in enumerate(alphas.values()):
-        carried = carried.withColumn(f"_c{i}", F.aggregate("_past", F.lit(None).cast("double"), carry(i, a)))
-    joined = local.join(carried.select(*keys, "_chunk", "_x0", *(f"_c{i}" for i in range(len(names)))), [*keys, "_chunk"])
-    values = [F.when(F.col(f"_c{i}").isNull(), F.col(f"_y{i}")).otherwise(F.col(f"_y{i}") + F.pow(F.lit(1 - a), F.col("_k")) * (F.col(f"_c{i}") - F.col("_x0"))).alias(n) for i, (n, a) in enumerate(alphas.items())]
-    return joined.select(*df.columns, *values)
+    if last is None or last // chunk == first // chunk:
+        return df.groupBy(*keys).applyInPandas(scan, f"{fields}, {named}")
+    base = df.withColumn("_chunk", F.floor((F.col(order) - first) / chunk))
+    schema = f"{fields}, _chunk long, {named}"
+    local = written(base.groupBy(*keys, "_chunk").applyInPandas(scan, schema).withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(order))), "smoothed")
+    xs = [(i, name, column, alpha) for i, (name, (column, alpha)) in enumerate(columns.items())]
+    ends = local.groupBy(*keys, "_chunk").agg(F.max("_k").alias("_len"), *(f(c, "_k").alias(f"_{x}{i}") for i, name, column, _ in xs for f, c, x in ((F.min_by, column, "x"), (F.max_by, name, "e"))))
+    begins = F.col("_chunk") == F.min("_chunk").over(Window.partitionBy(*keys))
+    slopes = {f"m{i}": F.when(F.col("_begins"), 0.0).otherwise(F.pow(F.lit(1 - alpha), F.col("_len"))) for i, _, _, alpha in xs}
+    maps = ends.withColumn("_begins", begins).withColumns(slopes).withColumns({f"b{i}": F.col(f"_e{i}") - F.col(f"m{i}") * F.col(f"_x{i}") for i, *_ in xs})
+    maps = written(maps, "chunks")
+    carried = _composed(maps.select(*keys, "_chunk", *(f"{x}{i}" for i, *_ in xs for x in "mb")), keys, (last - first) // chunk + 1, len(xs), width)
+    corrections = maps.join(carried, [*keys, "_chunk"]).select(*keys, "_chunk", *(F.when(~F.col("_begins"), F.col(f"c{i}") - F.col(f"_x{i}")).otherwise(0.0).alias(f"_d{i}") for i, *_ in xs))
+    joined = local.join(corrections, [*keys, "_chunk"])
+    return joined.select(*df.columns, *((F.col(name) + F.pow(F.lit(1 - alpha), F.col("_k")) * F.col(f"_d{i}")).alias(name) for i, name, _, alpha in xs))
 
 
 def ema(df: DataFrame, column: str, spans: dict[str, int], **settings) -> DataFrame:
     """Exponential means of the given spans, alpha = 2 / (span + 1)."""
-    return smoothed(df, column, {name: 2 / (span + 1) for name, span in spans.items()}, **settings)
+    return smoothed(df, {name: (column, 2 / (span + 1)) for name, span in spans.items()}, **settings)
 
 
 def rsi(df: DataFrame, period: int = 14) -> DataFrame:
@@ -76,7 +105,7 @@ def rsi(df: DataFrame, period: int = 14) -> DataFrame:
     tail = change.where(F.col("idx") >= period).join(seeds, "symbol")
     at_seed = F.col("idx") == period
     tail = tail.select("symbol", "idx", F.when(at_seed, F.col("_g")).otherwise(F.greatest("_d", F.lit(0.0))).alias("_gain"), F.when(at_seed, F.col("_l")).otherwise(F.greatest(-F.col("_d"), F.lit(0.0))).alias("_loss"))
-    means = smoothed(smoothed(tail, "_gain", {"_mg": 1 / period}), "_loss", {"_ml": 1 / period}).select("symbol", "idx", "_mg", "_ml")
+    means = smoothed(tail, {"_mg": ("_gain", 1 / period), "_ml": ("_loss", 1 / period)}).select("symbol", "idx", "_mg", "_ml")
     value = 100 - 100 / (1 + F.col("_mg") / (F.col("_ml") + 1e-8))
     return df.join(means, ["symbol", "idx"], "left").withColumn("rsi", F.coalesce(value, F.lit(50.0))).drop("_mg", "_ml")
 
@@ -93,7 +122,7 @@ def atr(df: DataFrame, period: int = 14, causal: bool = False) -> DataFrame:
     seeds = first.groupBy("symbol").agg(F.avg("_tr").alias("_seed"))
     start = first.join(seeds, "symbol").select("symbol", "idx", F.when(F.col("idx") == 0, F.col("_seed")).otherwise(F.avg("_tr").over(run)).alias("_atr"))
     tail = ahead.where(F.col("idx") >= period - 1).join(seeds, "symbol").withColumn("_x", F.when(F.col("idx") == period - 1, F.col("_seed")).otherwise(F.col("_tr")))
-    later = smoothed(tail, "_x", {"_atr": 1 / period}).where(F.col("idx") >= period).select("symbol", "idx", "_atr")
+    later = smoothed(tail, {"_atr": ("_x", 1 / period)}).where(F.col("idx") >= period).select("symbol", "idx", "_atr")
     found = df.join(start.unionByName(later), ["symbol", "idx"], "left")
     if causal:
         return found.withColumn("atr", F.lag("_atr").over(by_bar())).drop("_atr")

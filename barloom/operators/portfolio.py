@@ -1,8 +1,8 @@
 """Which candidate trades a portfolio takes, and its equity.
 
 Positions are opened only while none is open: all eligible signals of one time in order of symbols, as long as cash covers an order. The next entries come at
-the first signal time that isn't before the last exit. That order is sequential, so each combination's candidates (never bars) go through one linear
-pass; combinations, windows and paths are the parallel keys."""
+the first signal time that isn't before the last exit. Where cash always covers the orders, the entered times are a chain that ``gate`` follows over stretches of the line; only
+combinations that may run out of cash go through one linear pass of their candidates each."""
 
 from __future__ import annotations
 
@@ -11,7 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.sources.scratch import written
+
 from .align import closes_where
+from .gate import entered_times
 
 
 def walk(buy: np.ndarray, out: np.ndarray, cost: np.ndarray, back: np.ndarray, cash: float, order: float) -> tuple[list[int], list[int]]:
@@ -35,24 +38,34 @@ def walk(buy: np.ndarray, out: np.ndarray, cost: np.ndarray, back: np.ndarray, c
     return taken, closes
 
 
-def portfolio_trades(candidates: DataFrame, line: DataFrame, initial: float, order: float, keys: tuple[str, ...] = ("combo_id",)) -> DataFrame:
-    """The candidates that are taken, with ``buy_ord``, ``close_ord`` (times of the line), ``seq`` (order of entry) and ``closed`` (false if the line ends first)."""
-    end = line.agg(F.max("ord").alias("_end"))
-    rows = candidates.join(line.select(F.col("ts").alias("buy_time"), F.col("ord").alias("buy_ord")), "buy_time")
-    rows = rows.join(line.select(F.col("ts").alias("sell_time"), F.col("ord").alias("sell_ord")), "sell_time").crossJoin(F.broadcast(end))
-    slim = rows.select(*keys, "symbol", "buy_ord", "sell_ord", "_end", (F.lit(order) + F.col("commission_buy")).alias("cost"), (F.col("qty") * F.col("sell_price") - F.col("commission_sell")).alias("back"))
+def walked_trades(rows: DataFrame, initial: float, order: float, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, symbol, buy_ord, seq) of what each combination takes, by an exact walk over its candidates."""
+    slim = rows.select(*keys, "symbol", "buy_ord", "close_ord", "cost", "back")
 
     def gate(group: pa.Table) -> pa.Table:
         group = group.sort_by([("buy_ord", "ascending"), ("symbol", "ascending")])
-        taken, closes = walk(*(group.column(c).to_numpy() for c in ("buy_ord", "sell_ord", "cost", "back")), initial, order)
-        out = group.select([*keys, "symbol", "buy_ord"]).take(pa.array(taken, pa.int64()))
-        end = group.column("_end")[0].as_py() if len(group) else 0
-        closed = np.array(closes, np.int32)
-        return out.append_column("close_ord", pa.array(closed)).append_column("seq", pa.array(np.arange(len(taken)))).append_column("closed", pa.array(closed <= end))
+        taken, _ = walk(*(group.column(c).to_numpy() for c in ("buy_ord", "close_ord", "cost", "back")), initial, order)
+        return group.select([*keys, "symbol", "buy_ord"]).take(pa.array(taken, pa.int64())).append_column("seq", pa.array(np.arange(len(taken))))
 
     kinds = ", ".join(f"{k} {slim.schema[k].dataType.simpleString()}" for k in keys)
-    taken = slim.groupBy(*keys).applyInArrow(gate, f"{kinds}, symbol string, buy_ord int, close_ord int, seq long, closed boolean")
-    return rows.drop("sell_ord", "_end").join(taken, [*keys, "symbol", "buy_ord"])
+    return slim.groupBy(*keys).applyInArrow(gate, f"{kinds}, symbol string, buy_ord int, seq long")
+
+
+def portfolio_trades(candidates: DataFrame, line: DataFrame, initial: float, order: float, keys: tuple[str, ...] = ("combo_id",), stretch: int = 65_536) -> DataFrame:
+    """The candidates that are taken, with ``buy_ord``, ``close_ord`` (times of the line), ``seq`` (order of entry) and ``closed`` (false if the line ends first)."""
+    end = line.agg(F.max("ord")).first()[0] or 0
+    rows = candidates.join(line.select(F.col("ts").alias("buy_time"), F.col("ord").alias("buy_ord")), "buy_time")
+    rows = rows.join(line.select(F.col("ts").alias("sell_time"), F.col("ord").alias("sell_ord")), "sell_time")
+    rows = rows.withColumns({"close_ord": F.greatest("sell_ord", F.col("buy_ord") + 1), "cost": F.lit(order) + F.col("commission_buy"), "back": F.col("qty") * F.col("sell_price") - F.col("commission_sell")}).drop("sell_ord")
+    batches = rows.groupBy(*keys, F.col("buy_ord").alias("at")).agg(F.max("close_ord").alias("leave"), F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"), F.min("cost").alias("least_cost"), F.sum("back").alias("back"))
+    entered, short = entered_times(batches, keys, end + 1, initial, order, stretch)
+    short = written(short, "short")
+    place = F.row_number().over(Window.partitionBy(*keys, "buy_ord").orderBy("symbol")) - 1
+    taken = rows.join(entered.withColumnRenamed("at", "buy_ord"), [*keys, "buy_ord"]).withColumn("seq", F.col("before") + place).drop("before")
+    if not short.isEmpty():
+        poor = rows.join(short, [*keys], "left_semi")
+        taken = taken.join(short, [*keys], "left_anti").unionByName(poor.join(walked_trades(poor, initial, order, keys), [*keys, "symbol", "buy_ord"]))
+    return taken.drop("cost", "back").withColumn("closed", F.col("close_ord") <= end)
 
 
 def equity_curve(trades: DataFrame, bars: DataFrame, line: DataFrame, combos: DataFrame, initial: float, order: float, keys: tuple[str, ...] = ("combo_id",)) -> DataFrame:

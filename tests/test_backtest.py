@@ -115,6 +115,40 @@ def test_walk_follows_the_rules(items, cash):
     assert taken == want
 
 
+@pytest.mark.parametrize("stretch", [65_536, 7])
+def test_gate_equals_the_walk(spark, stretch):
+    """Many combinations at once, some of which run out of cash, over one stretch of the line and over many."""
+    import numpy as np
+
+    from barloom.operators.portfolio import portfolio_trades
+
+    rng = np.random.default_rng(stretch)
+    at = lambda t: START + timedelta(hours=int(t))
+    rows, want = [], {}
+    for combo in range(30):
+        density, cash_back = rng.uniform(0.02, 0.9), 60.0 if combo % 3 == 0 else 100.0
+        items = [(t, k) for t in range(200) for k in range(3) if rng.random() < density]
+        items = [(t, k, t + int(rng.choice([0, 1, 2, 5, 40], p=[0.1, 0.3, 0.3, 0.25, 0.05])), cash_back + float(rng.normal())) for t, k in items]
+        rows += [(combo, f"S{k}", at(t), at(min(out, 199)), back / 0.5, 0.5, 0.1, 0.0, back - 100.1) for t, k, out, back in items]
+        arrays = [np.array(x) for x in zip(*((t, min(out, 199), 100.1, back) for t, _, out, back in items))]
+        taken, closes = walk(*arrays, 450.0, 100.0)
+        want |= {(combo, f"S{items[i][1]}", items[i][0]): (close, seq, close <= 199) for seq, (i, close) in enumerate(zip(taken, closes))}
+    frame = spark.createDataFrame(rows, "combo_id long, symbol string, buy_time timestamp_ntz, sell_time timestamp_ntz, sell_price double, qty double, commission_buy double, commission_sell double, profit double")
+    line = spark.createDataFrame([(at(t), t) for t in range(200)], "ts timestamp_ntz, ord int")
+    got = portfolio_trades(frame, line, 450.0, 100.0, stretch=stretch).collect()
+    assert {(r["combo_id"], r["symbol"], r["buy_ord"]): (r["close_ord"], r["seq"], r["closed"]) for r in got} == want and len(got) == len(want)
+    assert portfolio_trades(frame.where("false"), line, 450.0, 100.0, stretch=stretch).count() == 0
+
+
+def test_running_numbers(spark):
+    from barloom.operators.chunks import numbered
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), F.col("id").alias("y"))
+    got = numbered(df.repartition(5), ["x"], "k").collect()
+    assert len(got) == 1000 and all(r["k"] == r["x"] and r["y"] * 7919 % 1000 == r["x"] for r in got)
+    assert numbered(df.where("false"), ["x"], "k").count() == 0
+
+
 def test_results_do_not_depend_on_partitions(spark):
     rows = series(SIMPLE, signals=[1, 4]) + series(SECOND, signals=[1, 5], symbol="SYM2")
     a = run(spark, rows, 3, 2, 2)[0]

@@ -35,12 +35,20 @@ def test_query(spark, name):
 def test_chunks_do_not_change_smoothing(spark):
     from pyspark.sql import functions as F
 
-    from barloom.operators.indicators import ema
+    from barloom.operators.indicators import ema, smoothed
 
     df = spark.range(300).select(F.lit("A").alias("symbol"), F.col("id").alias("idx"), F.sin(F.col("id") * 1.7).alias("x"))
     one = [r["y"] for r in ema(df, "x", {"y": 9}).orderBy("idx").collect()]
     many = [r["y"] for r in ema(df, "x", {"y": 9}, chunk=17).orderBy("idx").collect()]
     assert one == pytest.approx(many, abs=1e-12)
+    # a tree of several levels, two series of different length, and keys of their own
+    two = df.select(F.explode(F.array(F.lit("A"), F.lit("B"))).alias("k"), F.lit(1).alias("j"), "idx", "x").where("k = 'A' or idx < 41")
+    for chunk, width in ((50_000, 4), (3, 3), (1, 2)):
+        got = smoothed(two, {"y": ("x", 0.2), "z": ("x", 0.6)}, keys=("k", "j"), chunk=chunk, width=width).orderBy("k", "idx").collect()
+        assert [r["y"] for r in got] == pytest.approx(one + one[:41], abs=1e-12) and len(got) == 341
+    tail = df.where("idx >= 14")
+    a, b = ([r["y"] for r in smoothed(tail, {"y": ("x", 0.2)}, chunk=c).orderBy("idx").collect()] for c in (50_000, 5))
+    assert a == pytest.approx(b, abs=1e-12) and smoothed(df.where("false"), {"y": ("x", 0.2)}).count() == 0
 
 
 def test_chunks_do_not_change_windows(spark):

@@ -68,19 +68,31 @@ def portfolio_trades(candidates: DataFrame, line: DataFrame, initial: float, ord
     return taken.drop("cost", "back").withColumn("closed", F.col("close_ord") <= end)
 
 
-def equity_curve(trades: DataFrame, bars: DataFrame, line: DataFrame, combos: DataFrame, initial: float, order: float, keys: tuple[str, ...] = ("combo_id",)) -> DataFrame:
-    """(keys, ord, ts, balance) at every time of the line: cash after the closes and entries of that time, and holdings at their last close.
-    Closes are looked up where something is held."""
-    end = line.agg((F.max("ord") + 1).alias("_end"))
+def held_curve(trades: DataFrame, bars: DataFrame, line: DataFrame, initial: float, order: float, keys: tuple[str, ...] = ("combo_id",), stretch: int = 65_536) -> DataFrame:
+    """(keys, ord, balance) at the times at which a combination holds, opens or closes something: cash after that time's closes and entries, and holdings at their last close. Between
+    them the balance is that of the row before. Running cash goes over stretches of the line and is carried over by their sums; closes are looked up where something is held."""
+    end = (line.agg(F.max("ord")).first()[0] or 0) + 1
     flows = trades.select(*keys, F.col("buy_ord").alias("ord"), (-(F.lit(order) + F.col("commission_buy"))).alias("flow")).unionByName(
         trades.where("closed").select(*keys, F.col("close_ord").alias("ord"), (F.col("qty") * F.col("sell_price") - F.col("commission_sell")).alias("flow"))
     )
-    open_ = trades.crossJoin(F.broadcast(end)).select(*keys, "symbol", "qty", F.explode(F.sequence("buy_ord", F.least("close_ord", "_end") - 1)).alias("ord"))
-    held = open_.join(closes_where(bars, line, open_), ["symbol", "ord"]).select(*keys, "ord", (F.col("qty") * F.col("price")).alias("value"))
-    moves = flows.groupBy(*keys, "ord").agg(F.sum("flow").alias("flow"))
-    values = held.groupBy(*keys, "ord").agg(F.sum("value").alias("value"))
-    grid = combos.select(*keys).crossJoin(line)
-    run = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = grid.join(moves, [*keys, "ord"], "left").join(values, [*keys, "ord"], "left")
-    balance = F.lit(initial) + F.sum(F.coalesce("flow", F.lit(0.0))).over(run) + F.coalesce("value", F.lit(0.0))
-    return rows.select(*keys, "ord", "ts", balance.alias("balance"))
+    open_ = trades.select(*keys, "symbol", "qty", F.explode(F.sequence("buy_ord", F.least("close_ord", F.lit(end)) - 1)).alias("ord"))
+    held = open_.join(closes_where(bars, line, open_), ["symbol", "ord"]).select(*keys, "ord", F.lit(0.0).alias("flow"), (F.col("qty") * F.col("price")).alias("value"))
+    rows = flows.withColumn("value", F.lit(0.0)).unionByName(held).groupBy(*keys, "ord").agg(F.sum("flow").alias("flow"), F.sum("value").alias("value"))
+    if end <= stretch:
+        run = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+        return rows.select(*keys, "ord", (F.lit(float(initial)) + F.sum("flow").over(run) + F.col("value")).alias("balance"))
+    rows = written(rows.withColumn("_stretch", F.floor(F.col("ord") / stretch)), "held")
+    past = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "_stretch").agg(F.sum("flow").alias("flow")).select(*keys, "_stretch", F.coalesce(F.sum("flow").over(past), F.lit(0.0)).alias("_past"))
+    run = Window.partitionBy(*keys, "_stretch").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("_near", F.sum("flow").over(run))
+    return near.join(sums, [*keys, "_stretch"]).select(*keys, "ord", (F.lit(float(initial)) + F.col("_past") + F.col("_near") + F.col("value")).alias("balance"))
+
+
+def equity_curve(held: DataFrame, line: DataFrame, combos: DataFrame, initial: float, keys: tuple[str, ...] = ("combo_id",)) -> DataFrame:
+    """(keys, ord, ts, balance) at every time of the line, from the rows of ``held_curve``: each lasts until the next."""
+    end = line.agg(F.max("ord")).first()[0]
+    begins = combos.select(*keys, F.lit(-1).alias("ord"), F.lit(float(initial)).alias("balance"))
+    onward = F.lead("ord", 1, (end if end is not None else -1) + 1).over(Window.partitionBy(*keys).orderBy("ord"))
+    runs = held.select(*keys, "ord", "balance").unionByName(begins).withColumn("_next", onward).withColumn("ord", F.greatest("ord", F.lit(0))).where("_next > ord")
+    return runs.select(*keys, F.explode(F.sequence("ord", F.col("_next") - 1)).alias("ord"), "balance").join(line, "ord").select(*keys, "ord", "ts", "balance")

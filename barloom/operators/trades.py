@@ -6,61 +6,151 @@ only if it isn't after the low time. The exit price is the level, the exit time
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import by_chunk, overlapping, own_rows
 
 
-def forward_bars(bars: DataFrame, most: int, chunk: int = 50_000) -> DataFrame:
-    """Bars (symbol, idx, n, ts, close, high, low, high_time, low_time) with ``ahead``, the next ``most`` bars as structs."""
+def _require_times(bars: DataFrame) -> None:
     missing = {"high_time", "low_time"} - set(bars.columns)
     if missing:
         raise ValueError(f"bars have no {', '.join(sorted(missing))}: annotate them with the times of extremes first")
-    ahead = F.collect_list(F.struct("ts", "close", "high", "low", "high_time", "low_time")).over(by_chunk().rowsBetween(1, most))
-    return own_rows(overlapping(bars, ahead=most, chunk=chunk).withColumn("ahead", ahead))
-
-
-def first_touch(levels: list[float], side: str) -> Column:
-    """For each level in percent, how many bars ahead it is first touched; null if never, or if the level is 0."""
-    field, sign = ("high", 1.0) if side == "tp" else ("low", -1.0)
-
-    def offset(level: Column) -> Column:
-        price = F.col("close") * (1 + sign * level / 100)
-        hit = F.transform("ahead", lambda b: b[field] >= price if side == "tp" else b[field] <= price)
-        return F.when(level != 0, F.nullif(F.array_position(hit, True), F.lit(0)))
 
-    return F.transform(F.array(*(F.lit(float(x)) for x in levels)), offset)
 
-
-def touches(bars: DataFrame, signals: DataFrame, tp: list[float], sl: list[float], most: int) -> DataFrame:
-    """Bars with a signal, with ``tp_at`` and ``sl_at``: first touches of each level, found once for all combinations."""
-    wanted = signals.select("symbol", "idx").distinct()
-    return forward_bars(bars, most).join(wanted, ["symbol", "idx"], "left_semi").withColumns({"tp_at": first_touch(tp, "tp"), "sl_at": first_touch(sl, "sl")})
+def forward_bars(bars: DataFrame, most: int, chunk: int = 50_000) -> DataFrame:
+    """Bars (symbol, idx, n, ts, close, high, low, high_time, low_time) with ``ahead``, the next ``most`` bars as structs."""
+    _require_times(bars)
+    ahead = F.collect_list(F.struct("ts", "close", "high", "low", "high_time", "low_time")).over(by_chunk().rowsBetween(1, most))
+    return own_rows(overlapping(bars, ahead=most, chunk=chunk).withColumn("ahead", ahead))
 
 
-def candidate_trades(touched: DataFrame, signals: DataFrame, tp: list[float], sl: list[float], order_amount: float, comi_pct: float) -> DataFrame:
-    """A row for each eligible (combo, symbol, idx): prices, exit bar, reason and profit. ``signals`` has combo_id, sell_after, tp, sl."""
+def block_maxima(values: np.ndarray) -> list[np.ndarray]:
+    """Greatest values of blocks of 1, 2, 4, ... places, up to one block of all; short levels are filled up to an even length."""
+    levels = [values]
+    while len(levels[-1]) > 1:
+        if len(levels[-1]) % 2:
+            levels[-1] = np.append(levels[-1], -np.inf)
+        levels.append(np.maximum(levels[-1][::2], levels[-1][1::2]))
+    return levels
+
+
+def first_reach(levels: list[np.ndarray], start: np.ndarray, price: np.ndarray) -> np.ndarray:
+    """The first place from ``start`` on whose value is at least ``price``, -1 if there is none: up the blocks to one that reaches it, and down to its first place."""
+    block, at, found = start.copy(), np.full(len(start), -1), np.zeros(len(start), np.int64)
+    open_ = np.ones(len(start), bool)
+    for k, top in enumerate(levels):
+        open_ &= block < len(top)
+        # an even block is part of the next level's, which is looked at instead
+        look = open_ & ((block % 2 == 1) | (k == len(levels) - 1))
+        hit = look & (top[np.minimum(block, len(top) - 1)] >= price) if len(top) else look
+        at[hit], found[hit] = k, block[hit]
+        open_ &= ~hit
+        block = (block + look) // 2
+    for k in range(len(levels) - 2, -1, -1):
+        deeper = at > k
+        left = np.where(deeper, 2 * found, 0)
+        found = np.where(deeper, left + ~(levels[k][left] >= price), found)
+    return np.where(at >= 0, found, -1)
+
+
+def _lists(values: pa.Array, rows: int, width: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), values)
+
+
+def touches(bars: DataFrame, signals: DataFrame, tp: list[float], sl: list[float], sell_after: list[int], chunk: int = 50_000) -> DataFrame:
+    """Bars with a signal (symbol, idx, n, ts, close), with what each of the given levels and holds comes to, found once for all combinations: ``tp_at`` and ``sl_at``, how many bars ahead a level is first
+    touched (null: not within the longest hold, or the level is 0), ``tp_ts`` and ``sl_ts`` of those bars, ``tp_first``, whether that bar's high isn't after its low, and ``hold_at``,
+    ``hold_ts`` and ``hold_close`` of the bar that ends a hold. A task has a chunk of a series and the bars that its last signals look ahead to, with an index of
+    extremes; what comes out of it doesn't grow with the holds."""
+    _require_times(bars)
+    most = max(sell_after)
+    chunk = max(chunk, most)
+    kind = bars.schema["ts"].dataType.simpleString()
+    seen = overlapping(bars.select("symbol", "idx", "n", "ts", "close", "high", "low", "high_time", "low_time"), ahead=most, chunk=chunk).drop("_home")
+    wanted = signals.select(F.col("symbol").alias("_of"), F.col("idx").alias("_at")).distinct().withColumn("_chunk", F.floor(F.col("_at") / chunk))
+
+    def search(wanted: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("idx")
+        idx = rows.column("idx").to_numpy()
+        asked = wanted.column("_at").to_numpy()
+        asked = np.sort(asked[np.isin(asked, idx)])
+        at = np.searchsorted(idx, asked)
+        close, n = rows.column("close").to_numpy(), rows.column("n").to_numpy()
+        first = pc.fill_null(pc.less_equal(rows.column("high_time"), rows.column("low_time")), False).combine_chunks()
+        out = {c: rows.column(c).take(pa.array(at)) for c in ("symbol", "idx", "n", "ts", "close")}
+        pick = lambda column, places: column.take(pa.array(places, mask=places < 0))
+        stamps = rows.column("ts").combine_chunks()
+        for side, levels, sign, values in (("tp", tp, 1.0, rows.column("high").to_numpy()), ("sl", sl, -1.0, -rows.column("low").to_numpy())):
+            index = block_maxima(values)
+            price = close[at][:, None] * (1 + sign * np.array(levels, float) / 100)
+            start = np.repeat(at + 1, len(levels))
+            place = first_reach(index, start, sign * price.ravel()) if len(at) else np.zeros(0, np.int64)
+            place[(place - start >= most) | np.tile(np.array(levels) == 0, len(at))] = -1
+            ahead = np.where(place < 0, 0, place - start + 1).astype(np.int32)
+            out[f"{side}_at"] = _lists(pa.array(ahead, mask=place < 0), len(at), len(levels))
+            out[f"{side}_ts"] = _lists(pick(stamps, place), len(at), len(levels))
+            if side == "tp":
+                out["tp_first"] = _lists(pick(first, place), len(at), len(levels))
+        held = np.minimum(np.array(sell_after), (n[at] - 1 - asked)[:, None]).ravel()
+        place = np.repeat(at, len(sell_after)) + held
+        place = np.where(held >= 0, np.minimum(place, len(idx) - 1), -1)
+        out |= {"hold_at": _lists(pa.array(held.astype(np.int32)), len(at), len(sell_after)), "hold_ts": _lists(pick(stamps, place), len(at), len(sell_after)), "hold_close": _lists(pick(rows.column("close").combine_chunks(), place), len(at), len(sell_after))}
+        return pa.table(out)
+
+    lists = f"tp_at array<int>, tp_ts array<{kind}>, tp_first array<boolean>, sl_at array<int>, sl_ts array<{kind}>, hold_at array<int>, hold_ts array<{kind}>, hold_close array<double>"
+    return wanted.groupBy("_of", "_chunk").cogroup(seen.groupBy("symbol", "_part")).applyInArrow(search, f"symbol string, idx long, n long, ts {kind}, close double, {lists}")
+
+
+def candidate_trades(touched: DataFrame, signals: DataFrame, tp: list[float], sl: list[float], sell_after: list[int], order_amount: float, comi_pct: float) -> DataFrame:
+    """A row for each eligible (combo, symbol, idx): prices, exit bar, reason and profit. ``signals`` has combo_id, sell_after, tp, sl; ``touched`` is of ``touches`` with the same lists."""
     f = comi_pct / 100
     nth = lambda column, values: F.array_position(F.array(*(F.lit(float(v)) for v in values)), F.col(column).cast("double")).cast("int")
     rows = signals.select("combo_id", "symbol", "idx", "sell_after", "tp", "sl").join(touched, ["symbol", "idx"]).where("idx + sell_after <= n")
-    held = F.least(F.col("sell_after"), F.col("n") - 1 - F.col("idx")).cast("int")
+    rows = rows.withColumns({"_i": nth("tp", tp), "_j": nth("sl", sl), "_k": nth("sell_after", sell_after)}).withColumn("_held", F.element_at("hold_at", F.col("_k")))
+    # touches within the hold
     never = F.lit(2**31 - 1)
-    within = lambda at: F.when(at <= F.col("held"), at).otherwise(never)
-    rows = rows.withColumns({"held": held, "_t": F.element_at("tp_at", nth("tp", tp)).cast("int"), "_s": F.element_at("sl_at", nth("sl", sl)).cast("int")})
-    rows = rows.withColumns({"_t": within(F.col("_t")), "_s": within(F.col("_s"))})
-    # one look at the exit's bar: the first touch of either level, or the end of the hold
-    at = F.least("_t", "_s", "held")
-    rows = rows.select("combo_id", "symbol", "idx", "ts", "close", "tp", "sl", "_t", "_s", F.when(at > 0, F.try_element_at("ahead", F.greatest(at, F.lit(1)))).alias("_exit"))
-    profit_first = F.coalesce(F.col("_exit.high_time") <= F.col("_exit.low_time"), F.lit(False))
+    within = lambda at: F.when(at <= F.col("_held"), at).otherwise(never)
+    rows = rows.withColumns({"_t": within(F.element_at("tp_at", F.col("_i"))), "_s": within(F.element_at("sl_at", F.col("_j")))})
+    profit_first = F.coalesce(F.element_at("tp_first", F.col("_i")), F.lit(False))
     reason = F.when((F.col("_t") < F.col("_s")) | ((F.col("_t") == F.col("_s")) & (F.col("_t") < never) & profit_first), "TP").when(F.col("_s") < never, "SL").otherwise("SELL_AFTER")
-    rows = rows.select("combo_id", "symbol", "idx", "ts", "close", "tp", "sl", F.coalesce("_exit.ts", "ts").alias("sell_time"), F.coalesce("_exit.close", "close").alias("_last"), reason.alias("exit_reason"))
-    price = F.when(F.col("exit_reason") == "TP", F.col("close") * (1 + F.col("tp") / 100)).when(F.col("exit_reason") == "SL", F.col("close") * (1 - F.col("sl") / 100)).otherwise(F.col("_last"))
-    rows = rows.select("combo_id", "symbol", "idx", F.col("ts").alias("buy_time"), F.col("close").alias("buy_price"), "sell_time", price.alias("sell_price"), (F.lit(order_amount) / F.col("close")).alias("qty"), "exit_reason")
+    rows = rows.withColumn("exit_reason", reason)
+    by_reason = lambda t, s, h: F.when(F.col("exit_reason") == "TP", t).when(F.col("exit_reason") == "SL", s).otherwise(h)
+    price = by_reason(F.col("close") * (1 + F.col("tp") / 100), F.col("close") * (1 - F.col("sl") / 100), F.element_at("hold_close", F.col("_k")))
+    sold = by_reason(F.element_at("tp_ts", F.col("_i")), F.element_at("sl_ts", F.col("_j")), F.element_at("hold_ts", F.col("_k")))
+    rows = rows.select("combo_id", "symbol", "idx", F.col("ts").alias("buy_time"), F.col("close").alias("buy_price"), sold.alias("sell_time"), price.alias("sell_price"), (F.lit(order_amount) / F.col("close")).alias("qty"), "exit_reason")
     buy, sell = F.col("qty") * F.col("buy_price") * f, F.col("qty") * F.col("sell_price") * f
     return rows.withColumns({"commission_buy": buy, "commission_sell": sell, "profit": (F.col("sell_price") - F.col("buy_price")) * F.col("qty") - buy - sell})
 
 
+def ahead_extremes(bars: DataFrame, most: int, chunk: int = 50_000) -> DataFrame:
+    """Each bar (symbol, idx) with how many of the next ``most`` bars there are (``n_ahead``), their greatest high (``top``) and least low (``bottom``); null without any. Ranges are covered by two
+    blocks of the greatest power of two in them, so the work is the logarithm of ``most``."""
+    seen = overlapping(bars.select("symbol", "idx", "high", "low"), ahead=most, chunk=chunk)
+
+    def search(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("idx")
+        n = len(rows)
+        start, stop = np.arange(1, n + 1), np.minimum(np.arange(n) + most, n - 1)
+        size = stop - start + 1
+        power = np.maximum(np.frexp(np.maximum(size, 1))[1] - 1, 0)
+        out = {"symbol": rows.column("symbol"), "idx": rows.column("idx"), "n_ahead": pa.array(np.maximum(size, 0).astype(np.int64))}
+        for name, sign, column in (("top", 1.0, "high"), ("bottom", -1.0, "low")):
+            best, found = sign * rows.column(column).to_numpy(), np.zeros(n)
+            for k in range(int(power.max(initial=0)) + 1):
+                of = (power == k) & (size > 0)
+                found[of] = np.maximum(best[start[of]], best[stop[of] + 1 - (1 << k)])
+                best = np.append(np.maximum(best[: -(1 << k)], best[1 << k :]), np.full(min(1 << k, n), -np.inf))[:n]
+            out[name] = pa.array(sign * found, mask=size <= 0)
+        own = pc.equal(rows.column("_home"), rows.column("_part"))
+        return pa.table(out).filter(own)
+
+    return seen.groupBy("symbol", "_part").applyInArrow(search, "symbol string, idx long, n_ahead long, top double, bottom double")
+
+
 def expired_price(probes: DataFrame, bars: DataFrame) -> DataFrame:
     """Closing prices of positions (symbol, ts): the last close by then, SELL_AFTER; where there is none the symbol's last close, FORCED_LAST."""
     from .align import asof_price

@@ -242,8 +242,7 @@ def _(spark, d):
 
 @query("bounded_range_join", "SELECT a.symbol, a.idx, count(b.idx) AS n_ahead, round(max(b.high), 6) AS top FROM r a LEFT JOIN r b ON b.symbol = a.symbol AND b.idx > a.idx AND b.idx <= a.idx + 12 GROUP BY 1, 2")
 def _(spark, d):
-    ahead = trades.forward_bars(fx.rows(spark, d), 12)
-    return ahead.select("symbol", "idx", F.size("ahead").cast("long").alias("n_ahead"), F.array_max(F.col("ahead.high")).alias("top"))
+    return trades.ahead_extremes(fx.rows(spark, d), 12).drop("bottom")
 
 
 @query("closes_on_timeline", "SELECT symbol, ord, round(price, 6) AS price FROM px")
@@ -323,8 +322,8 @@ bt_query("trade_log", f"SELECT combo_id, symbol, buy_time, sell_time, exit_reaso
 
 @query("first_touch", "SELECT a.symbol, a.idx, min(CASE WHEN b.high >= a.close * 1.4 THEN b.idx - a.idx END) AS tp_at, min(CASE WHEN b.low <= a.close * 0.7 THEN b.idx - a.idx END) AS sl_at FROM r a LEFT JOIN r b ON b.symbol = a.symbol AND b.idx > a.idx AND b.idx <= a.idx + 12 GROUP BY 1, 2")
 def _(spark, d):
-    ahead = trades.forward_bars(fx.rows(spark, d), 12)
-    return ahead.select("symbol", "idx", trades.first_touch([40.0], "tp")[0].alias("tp_at"), trades.first_touch([30.0], "sl")[0].alias("sl_at"))
+    rows = fx.rows(spark, d)
+    return trades.touches(rows, rows, [40.0], [30.0], [12]).select("symbol", "idx", F.col("tp_at")[0].alias("tp_at"), F.col("sl_at")[0].alias("sl_at"))
 
 
 @query("expired_price", "SELECT e.event_id, e.event_type AS symbol, round(coalesce(b.close, l.close), 6) AS sell_price, CASE WHEN b.close IS NULL THEN 'FORCED_LAST' ELSE 'SELL_AFTER' END AS exit_reason FROM events e ASOF LEFT JOIN b4 b ON b.symbol = e.event_type AND date_trunc('hour', e.ts) - INTERVAL '1 day' >= b.ts JOIN (SELECT symbol, last(close ORDER BY ts) AS close FROM b4 GROUP BY 1) l ON l.symbol = e.event_type")

@@ -87,6 +87,8 @@ def test_missing_times_fail_early(spark):
     bars = spark.createDataFrame(series(SIMPLE, signals=[2]), SCHEMA).drop("high_time")
     with pytest.raises(ValueError):
         trades.forward_bars(bars, 3)
+    with pytest.raises(ValueError):
+        trades.touches(bars, bars, [1.0], [1.0], [3])
 
 
 @settings(max_examples=60, deadline=None)
@@ -115,6 +117,45 @@ def test_walk_follows_the_rules(items, cash):
     assert taken == want
 
 
+@given(st.lists(st.integers(-3, 9), max_size=40), st.integers(0, 45), st.integers(-4, 11))
+def test_first_reach_is_the_first(values, start, price):
+    import numpy as np
+
+    want = next((i for i in range(start, len(values)) if values[i] >= price), -1)
+    assert trades.first_reach(trades.block_maxima(np.array(values, float)), np.array([start]), np.array([price])).tolist() == [want]
+
+
+@pytest.mark.parametrize("chunk, holds", [(50_000, [1, 4, 30]), (35, [1, 4, 30]), (50, [10_000])])
+def test_touches_and_extremes_ahead(spark, chunk, holds):
+    """Against loops over bars, for two series of different length cut into chunks."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for symbol, n in (("A", 130), ("B", 41)):
+        close = np.round(100 + np.cumsum(rng.normal(size=n)), 2)
+        rows += series(close.tolist(), (close + rng.random(n)).tolist(), (close - rng.random(n)).tolist(), rng.choice(n, n // 2, replace=False).tolist(), symbol)
+    bars = spark.createDataFrame(rows, SCHEMA)
+    levels, most = [0.0, 0.5, 1.0, 3.0], max(holds)
+    by = {(r[0], r[1]): r for r in rows}
+    got = {(r["symbol"], r["idx"]): r for r in trades.touches(bars, bars.where("signal"), levels, levels, holds, chunk).collect()}
+    assert set(got) == {k for k, r in by.items() if r[9]}
+    for (symbol, i), r in got.items():
+        close, n = by[symbol, i][4], by[symbol, i][2]
+        ahead = [by[symbol, j] for j in range(i + 1, min(i + most, n - 1) + 1)]
+        for k, level in enumerate(levels):
+            for side, hit in (("tp", lambda x: x[5] >= close * (1 + level / 100)), ("sl", lambda x: x[6] <= close * (1 - level / 100))):
+                at = next((j for j, x in enumerate(ahead, 1) if level and hit(x)), None)
+                assert (r[f"{side}_at"][k], r[f"{side}_ts"][k]) == (at, at and by[symbol, i + at][3])
+                assert side == "sl" or r["tp_first"][k] is (at and by[symbol, i + at][7] <= by[symbol, i + at][8])
+        for k, hold in enumerate(holds):
+            end = min(i + hold, n - 1)
+            assert (r["hold_at"][k], r["hold_ts"][k], r["hold_close"][k]) == (end - i, by[symbol, end][3], by[symbol, end][4])
+    for r in trades.ahead_extremes(bars, most, chunk).collect():
+        ahead = [by[r["symbol"], j] for j in range(r["idx"] + 1, min(r["idx"] + most, by[r["symbol"], 0][2] - 1) + 1)]
+        assert (r["n_ahead"], r["top"], r["bottom"]) == (len(ahead), max((x[5] for x in ahead), default=None), min((x[6] for x in ahead), default=None))
+
+
 @pytest.mark.parametrize("stretch", [65_536, 7])
 def test_gate_equals_the_walk(spark, stretch):
     """Many combinations at once, some of which run out of cash, over one stretch of the line and over many."""
@@ -140,6 +181,30 @@ def test_gate_equals_the_walk(spark, stretch):
     assert portfolio_trades(frame.where("false"), line, 450.0, 100.0, stretch=stretch).count() == 0
 
 
+@pytest.mark.parametrize("piece", [65_536, 6])
+def test_folded_pieces_equal_whole_curves(spark, piece):
+    """Summaries of pieces against measures of every time; curves that begin at the first time, stay, fall to nothing and end early."""
+    import numpy as np
+
+    from barloom.operators import metrics
+    from barloom.operators.portfolio import equity_curve
+
+    rng = np.random.default_rng(8)
+    rows = [(c, int(t), float(round(rng.uniform(50, 150), 2))) for c in range(12) for t in np.flatnonzero(rng.random(60) < (0.05, 0.5, 1)[c % 3])]
+    rows += [(12, 0, 90.0), (13, 59, 120.0), (14, 5, 0.0), (14, 9, 0.0), (14, 20, 50.0), (15, 30, 0.0)]
+    held = spark.createDataFrame(rows, "combo_id int, ord int, balance double")
+    line = spark.createDataFrame([(START + timedelta(hours=t + (t > 30) * 5), t) for t in range(60)], "ts timestamp_ntz, ord int")
+    combos = spark.range(17).select(F.col("id").cast("int").alias("combo_id"))
+    curve = equity_curve(held, line, combos, 100.0)
+    want = {r["combo_id"]: r for r in metrics.curve_metrics(curve).collect()}
+    got = metrics.folded(metrics.curve_pieces(held, piece=piece), metrics.line_span(line), 100.0).collect()
+    assert curve.count() == 17 * 60 and len(got) == len({r[0] for r in rows}) >= 13 and len(want) == 17
+    for r in got:
+        for c in ("final_balance", "max_dd", "sharpe"):
+            of = want[r["combo_id"]][c]
+            assert (r[c] is None) if of is None else r[c] == pytest.approx(of, rel=1e-9), (r, want[r["combo_id"]])
+
+
 def test_running_numbers(spark):
     from barloom.operators.chunks import numbered
 

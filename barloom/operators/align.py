@@ -57,6 +57,12 @@ def timeline(bars: DataFrame) -> DataFrame:
     return numbered(bars.select("ts").distinct(), ["ts"], "ord").withColumn("ord", F.col("ord").cast("int"))
 
 
+def line_end(line: DataFrame) -> int:
+    """The last place of a line; -1 if it is empty."""
+    last = line.agg(F.max("ord")).first()[0]
+    return -1 if last is None else last
+
+
 def closes_on_timeline(bars: DataFrame, line: DataFrame) -> DataFrame:
     """(symbol, ord, price): the last close at each time of the line, before a symbol's first bar its first close."""
     return closes_where(bars, line, bars.select("symbol").distinct().crossJoin(line))

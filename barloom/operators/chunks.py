@@ -26,6 +26,11 @@ def by_chunk() -> Window:
     return Window.partitionBy("symbol", "_part").orderBy("idx")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt by the columns over the session's number of shuffle partitions, for groups that cost more than their bytes tell: adaptive execution doesn't merge these partitions."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def carried_last(df: DataFrame, value: str, order: list[str], into: str, part: Column | None = None) -> DataFrame:
     """``df`` (symbol, ts, ...) with the last ``value`` that isn't null up to each row in the given order, which begins with ts: by parts of time (months
     unless told otherwise), and across them by what each part has last."""

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from barloom.sources.scratch import written
 
-from .align import closes_where
+from .align import closes_where, line_end
+from .chunks import spread
 from .gate import entered_times
 
 
@@ -48,30 +49,32 @@ def walked_trades(rows: DataFrame, initial: float, order: float, keys: tuple[str
         return group.select([*keys, "symbol", "buy_ord"]).take(pa.array(taken, pa.int64())).append_column("seq", pa.array(np.arange(len(taken))))
 
     kinds = ", ".join(f"{k} {slim.schema[k].dataType.simpleString()}" for k in keys)
-    return slim.groupBy(*keys).applyInArrow(gate, f"{kinds}, symbol string, buy_ord int, seq long")
+    return spread(slim, *keys).groupBy(*keys).applyInArrow(gate, f"{kinds}, symbol string, buy_ord int, seq long")
 
 
-def portfolio_trades(candidates: DataFrame, line: DataFrame, initial: float, order: float, keys: tuple[str, ...] = ("combo_id",), stretch: int = 65_536) -> DataFrame:
-    """The candidates that are taken, with ``buy_ord``, ``close_ord`` (times of the line), ``seq`` (order of entry) and ``closed`` (false if the line ends first)."""
-    end = line.agg(F.max("ord")).first()[0] or 0
-    rows = candidates.join(line.select(F.col("ts").alias("buy_time"), F.col("ord").alias("buy_ord")), "buy_time")
-    rows = rows.join(line.select(F.col("ts").alias("sell_time"), F.col("ord").alias("sell_ord")), "sell_time")
+def portfolio_trades(candidates: DataFrame, line: DataFrame, initial: float, order: float, keys: tuple[str, ...] = ("combo_id",), stretch: int = 65_536, end: int | None = None) -> DataFrame:
+    """The candidates that are taken, with ``buy_ord``, ``close_ord`` (times of the line), ``seq`` (order of entry) and ``closed`` (false if the line ends first). Candidates may have
+    their places on the line already. ``end``: the line's last place, if it is known."""
+    end, rows = line_end(line) if end is None else end, candidates
+    if "buy_ord" not in candidates.columns:
+        for side in ("buy", "sell"):
+            rows = rows.join(line.select(F.col("ts").alias(f"{side}_time"), F.col("ord").alias(f"{side}_ord")), f"{side}_time")
     rows = rows.withColumns({"close_ord": F.greatest("sell_ord", F.col("buy_ord") + 1), "cost": F.lit(order) + F.col("commission_buy"), "back": F.col("qty") * F.col("sell_price") - F.col("commission_sell")}).drop("sell_ord")
     batches = rows.groupBy(*keys, F.col("buy_ord").alias("at")).agg(F.max("close_ord").alias("leave"), F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"), F.min("cost").alias("least_cost"), F.sum("back").alias("back"))
     entered, short = entered_times(batches, keys, end + 1, initial, order, stretch)
-    short = written(short, "short")
     place = F.row_number().over(Window.partitionBy(*keys, "buy_ord").orderBy("symbol")) - 1
     taken = rows.join(entered.withColumnRenamed("at", "buy_ord"), [*keys, "buy_ord"]).withColumn("seq", F.col("before") + place).drop("before")
     if not short.isEmpty():
+        short = written(short, "short")
         poor = rows.join(short, [*keys], "left_semi")
         taken = taken.join(short, [*keys], "left_anti").unionByName(poor.join(walked_trades(poor, initial, order, keys), [*keys, "symbol", "buy_ord"]))
     return taken.drop("cost", "back").withColumn("closed", F.col("close_ord") <= end)
 
 
-def held_curve(trades: DataFrame, bars: DataFrame, line: DataFrame, initial: float, order: float, keys: tuple[str, ...] = ("combo_id",), stretch: int = 65_536) -> DataFrame:
+def held_curve(trades: DataFrame, bars: DataFrame, line: DataFrame, initial: float, order: float, keys: tuple[str, ...] = ("combo_id",), stretch: int = 65_536, end: int | None = None) -> DataFrame:
     """(keys, ord, balance) at the times at which a combination holds, opens or closes something: cash after that time's closes and entries, and holdings at their last close. Between
     them the balance is that of the row before. Running cash goes over stretches of the line and is carried over by their sums; closes are looked up where something is held."""
-    end = (line.agg(F.max("ord")).first()[0] or 0) + 1
+    end = (line_end(line) if end is None else end) + 1
     flows = trades.select(*keys, F.col("buy_ord").alias("ord"), (-(F.lit(order) + F.col("commission_buy"))).alias("flow")).unionByName(
         trades.where("closed").select(*keys, F.col("close_ord").alias("ord"), (F.col("qty") * F.col("sell_price") - F.col("commission_sell")).alias("flow"))
     )
@@ -89,10 +92,10 @@ def held_curve(trades: DataFrame, bars: DataFrame, line: DataFrame, initial: flo
     return near.join(sums, [*keys, "_stretch"]).select(*keys, "ord", (F.lit(float(initial)) + F.col("_past") + F.col("_near") + F.col("value")).alias("balance"))
 
 
-def equity_curve(held: DataFrame, line: DataFrame, combos: DataFrame, initial: float, keys: tuple[str, ...] = ("combo_id",)) -> DataFrame:
+def equity_curve(held: DataFrame, line: DataFrame, combos: DataFrame, initial: float, keys: tuple[str, ...] = ("combo_id",), end: int | None = None) -> DataFrame:
     """(keys, ord, ts, balance) at every time of the line, from the rows of ``held_curve``: each lasts until the next."""
-    end = line.agg(F.max("ord")).first()[0]
+    end = line_end(line) if end is None else end
     begins = combos.select(*keys, F.lit(-1).alias("ord"), F.lit(float(initial)).alias("balance"))
-    onward = F.lead("ord", 1, (end if end is not None else -1) + 1).over(Window.partitionBy(*keys).orderBy("ord"))
+    onward = F.lead("ord", 1, end + 1).over(Window.partitionBy(*keys).orderBy("ord"))
     runs = held.select(*keys, "ord", "balance").unionByName(begins).withColumn("_next", onward).withColumn("ord", F.greatest("ord", F.lit(0))).where("_next > ord")
     return runs.select(*keys, F.explode(F.sequence("ord", F.col("_next") - 1)).alias("ord"), "balance").join(line, "ord").select(*keys, "ord", "ts", "balance")

@@ -8,6 +8,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.sources.scratch import written
+
 from .grid import signals_of_combos
 from .indicators import by_bar, delta, ema, rolling_entropy, rsi, second_difference
 from .patterns import PATTERNS, pattern_mask
@@ -20,8 +22,8 @@ def shifted(signal: Column) -> Column:
 
 def entropy_acceleration(bars: DataFrame, spans: list[int], window: int = 5, bins: int = 10) -> DataFrame:
     """Bars with ``entropy`` of changes and ``accel_{span}``, smoothed second differences. One pass serves a whole grid of limits."""
-    rows = rolling_entropy(bars.withColumn("delta", delta()), "delta", window, bins).withColumn("accel", second_difference())
-    return ema(rows, "accel", {f"accel_{s}": s for s in spans})
+    rows = ema(bars.withColumns({"delta": delta(), "accel": second_difference()}), "accel", {f"accel_{s}": s for s in spans})
+    return rolling_entropy(rows, "delta", window, bins)
 
 
 def signal_candidates(rows: DataFrame, spans: list[int], live: bool = False) -> DataFrame:
@@ -64,7 +66,8 @@ GridSignals = Callable[[DataFrame, DataFrame, dict[str, list]], DataFrame]
 
 def entropy_grid(bars: DataFrame, combos: DataFrame, lists: dict[str, list]) -> DataFrame:
     """Lists ``accel_span`` and ``entropy_max``."""
-    return signals_of_combos(signal_candidates(entropy_acceleration(bars, lists["accel_span"]), lists["accel_span"]), combos)
+    rows = written(entropy_acceleration(bars, lists["accel_span"]), "features")  # read for levels and for trades
+    return signals_of_combos(signal_candidates(rows, lists["accel_span"]), combos)
 
 
 def _next_bar(rows: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import by_chunk, overlapping, own_rows
+from .chunks import by_chunk, overlapping, own_rows, spread
 
 
 def _require_times(bars: DataFrame) -> None:
@@ -64,13 +64,13 @@ def _lists(values: pa.Array, rows: int, width: int) -> pa.ListArray:
 def touches(bars: DataFrame, signals: DataFrame, tp: list[float], sl: list[float], sell_after: list[int], chunk: int = 50_000) -> DataFrame:
     """Bars with a signal (symbol, idx, n, ts, close), with what each of the given levels and holds comes to, found once for all combinations: ``tp_at`` and ``sl_at``, how many bars ahead a level is first
     touched (null: not within the longest hold, or the level is 0), ``tp_ts`` and ``sl_ts`` of those bars, ``tp_first``, whether that bar's high isn't after its low, and ``hold_at``,
-    ``hold_ts`` and ``hold_close`` of the bar that ends a hold. A task has a chunk of a series and the bars that its last signals look ahead to, with an index of
+    ``hold_ts`` and ``hold_close`` of the bar that ends a hold. Where bars have ``ord``, their place on a line of times, it comes along with each ts. A task has a chunk of a series and the bars that its last signals look ahead to, with an index of
     extremes; what comes out of it doesn't grow with the holds."""
     _require_times(bars)
     most = max(sell_after)
     chunk = max(chunk, most)
-    kind = bars.schema["ts"].dataType.simpleString()
-    seen = overlapping(bars.select("symbol", "idx", "n", "ts", "close", "high", "low", "high_time", "low_time"), ahead=most, chunk=chunk).drop("_home")
+    stamps = {c: bars.schema[c].dataType.simpleString() for c in ("ts", "ord") if c in bars.columns}
+    seen = overlapping(bars.select("symbol", "idx", "n", *stamps, "close", "high", "low", "high_time", "low_time"), ahead=most, chunk=chunk).drop("_home")
     wanted = signals.select(F.col("symbol").alias("_of"), F.col("idx").alias("_at")).distinct().withColumn("_chunk", F.floor(F.col("_at") / chunk))
 
     def search(wanted: pa.Table, rows: pa.Table) -> pa.Table:
@@ -81,9 +81,9 @@ def touches(bars: DataFrame, signals: DataFrame, tp: list[float], sl: list[float
         at = np.searchsorted(idx, asked)
         close, n = rows.column("close").to_numpy(), rows.column("n").to_numpy()
         first = pc.fill_null(pc.less_equal(rows.column("high_time"), rows.column("low_time")), False).combine_chunks()
-        out = {c: rows.column(c).take(pa.array(at)) for c in ("symbol", "idx", "n", "ts", "close")}
+        out = {c: rows.column(c).take(pa.array(at)) for c in ("symbol", "idx", "n", *stamps, "close")}
         pick = lambda column, places: column.take(pa.array(places, mask=places < 0))
-        stamps = rows.column("ts").combine_chunks()
+        marks = {c: rows.column(c).combine_chunks() for c in stamps}
         for side, levels, sign, values in (("tp", tp, 1.0, rows.column("high").to_numpy()), ("sl", sl, -1.0, -rows.column("low").to_numpy())):
             index = block_maxima(values)
             price = close[at][:, None] * (1 + sign * np.array(levels, float) / 100)
@@ -92,21 +92,25 @@ def touches(bars: DataFrame, signals: DataFrame, tp: list[float], sl: list[float
             place[(place - start >= most) | np.tile(np.array(levels) == 0, len(at))] = -1
             ahead = np.where(place < 0, 0, place - start + 1).astype(np.int32)
             out[f"{side}_at"] = _lists(pa.array(ahead, mask=place < 0), len(at), len(levels))
-            out[f"{side}_ts"] = _lists(pick(stamps, place), len(at), len(levels))
+            out |= {f"{side}_{c}": _lists(pick(mark, place), len(at), len(levels)) for c, mark in marks.items()}
             if side == "tp":
                 out["tp_first"] = _lists(pick(first, place), len(at), len(levels))
         held = np.minimum(np.array(sell_after), (n[at] - 1 - asked)[:, None]).ravel()
         place = np.repeat(at, len(sell_after)) + held
         place = np.where(held >= 0, np.minimum(place, len(idx) - 1), -1)
-        out |= {"hold_at": _lists(pa.array(held.astype(np.int32)), len(at), len(sell_after)), "hold_ts": _lists(pick(stamps, place), len(at), len(sell_after)), "hold_close": _lists(pick(rows.column("close").combine_chunks(), place), len(at), len(sell_after))}
-        return pa.table(out)
+        out |= {f"hold_{c}": _lists(pick(mark, place), len(at), len(sell_after)) for c, mark in (marks | {"close": rows.column("close").combine_chunks()}).items()}
+        out["hold_at"] = _lists(pa.array(held.astype(np.int32)), len(at), len(sell_after))
+        return pa.table(out).select(names)
 
-    lists = f"tp_at array<int>, tp_ts array<{kind}>, tp_first array<boolean>, sl_at array<int>, sl_ts array<{kind}>, hold_at array<int>, hold_ts array<{kind}>, hold_close array<double>"
-    return wanted.groupBy("_of", "_chunk").cogroup(seen.groupBy("symbol", "_part")).applyInArrow(search, f"symbol string, idx long, n long, ts {kind}, close double, {lists}")
+    one = {"symbol": "string", "idx": "long", "n": "long"} | stamps | {"close": "double"}
+    many = {"tp_at": "int", "sl_at": "int", "hold_at": "int", "tp_first": "boolean", "hold_close": "double"} | {f"{x}_{c}": kind for c, kind in stamps.items() for x in ("tp", "sl", "hold")}
+    names, schema = [*one, *many], ", ".join([*(f"{c} {t}" for c, t in one.items()), *(f"{c} array<{t}>" for c, t in many.items())])
+    return spread(wanted, "_of", "_chunk").groupBy("_of", "_chunk").cogroup(spread(seen, "symbol", "_part").groupBy("symbol", "_part")).applyInArrow(search, schema)
 
 
 def candidate_trades(touched: DataFrame, signals: DataFrame, tp: list[float], sl: list[float], sell_after: list[int], order_amount: float, comi_pct: float) -> DataFrame:
-    """A row for each eligible (combo, symbol, idx): prices, exit bar, reason and profit. ``signals`` has combo_id, sell_after, tp, sl; ``touched`` is of ``touches`` with the same lists."""
+    """A row for each eligible (combo, symbol, idx): prices, exit bar, reason and profit. ``signals`` has combo_id, sell_after, tp, sl; ``touched`` is of ``touches`` with the same lists.
+    Where it has places on a line, so has the result: buy_ord, sell_ord."""
     f = comi_pct / 100
     nth = lambda column, values: F.array_position(F.array(*(F.lit(float(v)) for v in values)), F.col(column).cast("double")).cast("int")
     rows = signals.select("combo_id", "symbol", "idx", "sell_after", "tp", "sl").join(touched, ["symbol", "idx"]).where("idx + sell_after <= n")
@@ -120,8 +124,9 @@ def candidate_trades(touched: DataFrame, signals: DataFrame, tp: list[float], sl
     rows = rows.withColumn("exit_reason", reason)
     by_reason = lambda t, s, h: F.when(F.col("exit_reason") == "TP", t).when(F.col("exit_reason") == "SL", s).otherwise(h)
     price = by_reason(F.col("close") * (1 + F.col("tp") / 100), F.col("close") * (1 - F.col("sl") / 100), F.element_at("hold_close", F.col("_k")))
-    sold = by_reason(F.element_at("tp_ts", F.col("_i")), F.element_at("sl_ts", F.col("_j")), F.element_at("hold_ts", F.col("_k")))
-    rows = rows.select("combo_id", "symbol", "idx", F.col("ts").alias("buy_time"), F.col("close").alias("buy_price"), sold.alias("sell_time"), price.alias("sell_price"), (F.lit(order_amount) / F.col("close")).alias("qty"), "exit_reason")
+    sold = lambda c: by_reason(F.element_at(f"tp_{c}", F.col("_i")), F.element_at(f"sl_{c}", F.col("_j")), F.element_at(f"hold_{c}", F.col("_k")))
+    places = [F.col("ord").alias("buy_ord"), sold("ord").alias("sell_ord")] if "ord" in touched.columns else []
+    rows = rows.select("combo_id", "symbol", "idx", F.col("ts").alias("buy_time"), F.col("close").alias("buy_price"), sold("ts").alias("sell_time"), *places, price.alias("sell_price"), (F.lit(order_amount) / F.col("close")).alias("qty"), "exit_reason")
     buy, sell = F.col("qty") * F.col("buy_price") * f, F.col("qty") * F.col("sell_price") * f
     return rows.withColumns({"commission_buy": buy, "commission_sell": sell, "profit": (F.col("sell_price") - F.col("buy_price")) * F.col("qty") - buy - sell})
 

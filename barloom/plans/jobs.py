@@ -37,14 +37,15 @@ class Backtest:
 
 def evaluate_signals(bars: DataFrame, taken: DataFrame, combos: DataFrame, lists: dict[str, list], settings: Settings) -> Backtest:
     """``taken``: (combo_id, symbol, idx, sell_after, tp, sl)."""
-    touched = trades.touches(bars, taken, lists["tp"], lists["sl"], lists["sell_after"])
-    found = written(trades.candidate_trades(touched, taken, lists["tp"], lists["sl"], lists["sell_after"], settings.order, settings.comi_pct), "candidates")
     line = align.timeline(bars)
-    done = written(portfolio.portfolio_trades(found, line, settings.initial, settings.order), "trades")
-    held = portfolio.held_curve(done, bars, line, settings.initial, settings.order)
+    end = align.line_end(line)
+    touched = trades.touches(bars.join(line, "ts"), taken, lists["tp"], lists["sl"], lists["sell_after"])
+    found = written(trades.candidate_trades(touched, taken, lists["tp"], lists["sl"], lists["sell_after"], settings.order, settings.comi_pct), "candidates")
+    done = written(portfolio.portfolio_trades(found, line, settings.initial, settings.order, end=end), "trades")
+    held = portfolio.held_curve(done, bars, line, settings.initial, settings.order, end=end)
     curves = metrics.folded(metrics.curve_pieces(held), metrics.line_span(line), settings.initial)
     results = metrics.grid_results(combos, done, curves, settings.initial)
-    return Backtest(combos, line, found, done, portfolio.equity_curve(held, line, combos, settings.initial), results)
+    return Backtest(combos, line, found, done, portfolio.equity_curve(held, line, combos, settings.initial, end=end), results)
 
 
 def grid_backtest(bars: DataFrame, lists: dict[str, list], settings: Settings | None = None, take: GridSignals = entropy_grid) -> Backtest:
@@ -72,13 +73,14 @@ def walk_forward(bars: DataFrame, lists: dict[str, list], train: int, pct_train:
     taken = _numbered(take(own.drop("window_id"), combos, lists), combos, size)
     many = windows.select("window_id").distinct().crossJoin(F.broadcast(combos)).withColumn("combo_id", F.col("window_id") * size + F.col("combo_id"))
     settings = settings or Settings()
-    touched = trades.touches(own.drop("window_id"), taken, lists["tp"], lists["sl"], lists["sell_after"])
-    candidates = trades.candidate_trades(touched, taken, lists["tp"], lists["sl"], lists["sell_after"], settings.order, settings.comi_pct)
     line = align.timeline(own)
-    done = written(portfolio.portfolio_trades(candidates, line, settings.initial, settings.order), "trades")
+    end = align.line_end(line)
+    touched = trades.touches(own.drop("window_id").join(line, "ts"), taken, lists["tp"], lists["sl"], lists["sell_after"])
+    candidates = written(trades.candidate_trades(touched, taken, lists["tp"], lists["sl"], lists["sell_after"], settings.order, settings.comi_pct), "candidates")
+    done = written(portfolio.portfolio_trades(candidates, line, settings.initial, settings.order, end=end), "trades")
     # a window's curve has the times of its own bars only
     times = own.select("window_id", "ts").distinct().join(line, "ts")
-    held = portfolio.held_curve(done, own, line, settings.initial, settings.order)
+    held = portfolio.held_curve(done, own, line, settings.initial, settings.order, end=end)
     held = held.withColumn("window_id", F.floor(F.col("combo_id") / size).cast("int")).join(times, ["window_id", "ord"], "left_semi")
     keys = ("window_id", "combo_id")
     curves = metrics.folded(metrics.curve_pieces(held, keys), metrics.line_span(times, ("window_id",)), settings.initial, keys, ("window_id",))

@@ -137,13 +137,18 @@ def rolling_entropy(df: DataFrame, column: str, window: int = 5, bins: int = 10,
         ranged = df.withColumns({"_lo": F.min(column).over(run), "_hi": F.max(column).over(run)})
     else:
         ranged = df.join(df.groupBy("symbol").agg(F.min(column).alias("_lo"), F.max(column).alias("_hi")), "symbol")
+    return entropy_between(ranged, column, window, bins, closed, chunk).drop("_lo", "_hi")
+
+
+def entropy_between(ranged: DataFrame, column: str, window: int = 5, bins: int = 10, closed: bool = False, chunk: int = 50_000) -> DataFrame:
+    """Adds ``entropy`` over equal bins between each row's own ``_lo`` and ``_hi``."""
     width = F.col("_hi") - F.col("_lo")
     share = F.when(width == 0, 0.0).otherwise((F.col(column) - F.col("_lo")) / width) if closed else (F.col(column) - F.col("_lo")) / (width + 1e-9)
     ranged = ranged.withColumn("_bin", F.least((share * bins).cast("int"), F.lit(bins - 1)))
     seen = F.collect_list("_bin").over(by_chunk().rowsBetween(-(window - 1), 0))
     n = F.size("_w")
     logs = F.aggregate(F.transform("_w", lambda x: F.log2(F.size(F.filter("_w", lambda y: y == x)).cast("double"))), F.lit(0.0), lambda a, b: a + b)
-    return own_rows(overlapping(ranged, back=window - 1, chunk=chunk).withColumn("_w", seen)).withColumn("entropy", F.log2(n.cast("double")) - logs / n).drop("_lo", "_hi", "_bin", "_w")
+    return own_rows(overlapping(ranged, back=window - 1, chunk=chunk).withColumn("_w", seen)).withColumn("entropy", F.log2(n.cast("double")) - logs / n).drop("_bin", "_w")
 
 
 def bootstrap_features(bars: DataFrame) -> DataFrame:

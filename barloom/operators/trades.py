@@ -110,11 +110,16 @@ def touches(bars: DataFrame, signals: DataFrame, tp: list[float], sl: list[float
 
 def candidate_trades(touched: DataFrame, signals: DataFrame, tp: list[float], sl: list[float], sell_after: list[int], order_amount: float, comi_pct: float) -> DataFrame:
     """A row for each eligible (combo, symbol, idx): prices, exit bar, reason and profit. ``signals`` has combo_id, sell_after, tp, sl; ``touched`` is of ``touches`` with the same lists.
-    Where it has places on a line, so has the result: buy_ord, sell_ord."""
+    Where it has places on a line, so has the result: buy_ord, sell_ord. Where signals have ``own_n``, their series ends there, before the bars do; ``sell_after`` must then list, with each hold, the
+    one a bar shorter."""
     f = comi_pct / 100
     nth = lambda column, values: F.array_position(F.array(*(F.lit(float(v)) for v in values)), F.col(column).cast("double")).cast("int")
-    rows = signals.select("combo_id", "symbol", "idx", "sell_after", "tp", "sl").join(touched, ["symbol", "idx"]).where("idx + sell_after <= n")
-    rows = rows.withColumns({"_i": nth("tp", tp), "_j": nth("sl", sl), "_k": nth("sell_after", sell_after)}).withColumn("_held", F.element_at("hold_at", F.col("_k")))
+    ends = ["own_n"] if "own_n" in signals.columns else []
+    rows = signals.select("combo_id", "symbol", "idx", "sell_after", "tp", "sl", *ends).join(touched, ["symbol", "idx"]).where(f"idx + sell_after <= {ends[0] if ends else 'n'}")
+    rows = rows.withColumns({"_i": nth("tp", tp), "_j": nth("sl", sl), "_k": nth("sell_after", sell_after)})
+    if ends:
+        rows = rows.withColumn("_hold", F.least("sell_after", F.col("own_n") - 1 - F.col("idx"))).withColumn("_k", nth("_hold", sell_after))
+    rows = rows.withColumn("_held", F.element_at("hold_at", F.col("_k")))
     # touches within the hold
     never = F.lit(2**31 - 1)
     within = lambda at: F.when(at <= F.col("_held"), at).otherwise(never)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,17 @@ def rows_of_windows(bars: DataFrame, windows: DataFrame, part: str = "train") ->
     return joined.withColumns({"idx": F.col("idx") - F.col(a), "n": F.col(b) - F.col(a)}).drop("t0", "t1", "test0", "test1")
 
 
+def extremes_by_window(rows: DataFrame, windows: DataFrame, column: str, train: int, step: int) -> DataFrame:
+    """(symbol, window_id, t1, _lo, _hi, regime) for anchored windows that end at ``train``, ``train + step`` ...: least and greatest ``column`` from a symbol's first bar to the window's end, as prefixes of the
+    extremes between window ends. ``regime`` is the first window of those with the same extremes."""
+    segment = F.when(F.col("idx") < train, 0).otherwise(F.floor((F.col("idx") - train) / step) + 1).cast("int")
+    parts = rows.groupBy("symbol", segment.alias("window_id")).agg(F.min(column).alias("a"), F.max(column).alias("b"))
+    run = Window.partitionBy("symbol").orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
+    upto = parts.select("symbol", "window_id", F.min("a").over(run).alias("_lo"), F.max("b").over(run).alias("_hi"))
+    found = windows.select("symbol", "window_id", "t1").join(upto, ["symbol", "window_id"])
+    return found.withColumn("regime", F.min("window_id").over(Window.partitionBy("symbol", "_lo", "_hi")))
+
+
 def best_by_window(results: DataFrame, params: list[str], metric: str = "Sharpe") -> DataFrame:
     """The combination with the greatest metric in each window, the first of those equal to nine decimals; nulls never win."""
     pick = F.max_by(F.struct("combo_id", *params, metric), F.struct(F.round(metric, 9), -F.col("combo_id")))

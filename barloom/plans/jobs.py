@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import align, grid, metrics, paths, portfolio, similarity, trades, walkforward
-from barloom.operators.indicators import indexed, return_moments
-from barloom.operators.signals import GridSignals, entropy_grid
+from barloom.operators.grid import signals_of_combos
+from barloom.operators.indicators import delta, ema, entropy_between, indexed, return_moments, second_difference
+from barloom.operators.signals import GridSignals, entropy_grid, signal_candidates
 from barloom.sources.scratch import written
 
 
@@ -61,11 +62,31 @@ def _numbered(taken: DataFrame, combos: DataFrame, size: int) -> DataFrame:
     return taken.withColumn("combo_id", F.split("symbol", "/")[0].cast("int") * size + F.col("combo_id"))
 
 
+def anchored_signals(rows: DataFrame, windows: DataFrame, combos: DataFrame, lists: dict[str, list], train: int, step: int, size: int) -> DataFrame:
+    """Entropy-acceleration signals of anchored windows: (combo_id, symbol, idx, sell_after, tp, sl, own_n). All windows begin with the first bar, so smoothed differences are shared; bins depend on a window
+    by the extremes of its changes alone, so entropy is computed once for each pair of extremes, not for each window."""
+    spans = lists["accel_span"]
+    shared = written(ema(rows.withColumns({"delta": delta(), "accel": second_difference()}), "accel", {f"accel_{s}": s for s in spans}), "shared")
+    regimes = written(walkforward.extremes_by_window(shared, windows, "delta", train, step), "regimes")
+    series = F.concat_ws("/", F.lpad(F.col("regime").cast("string"), 9, "0"), "symbol")
+    longest = regimes.groupBy("symbol", "regime").agg(F.max("t1").alias("_t1"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
+    seen = shared.select("symbol", "idx", "delta", *(f"accel_{s}" for s in spans)).join(longest, "symbol").where(F.col("idx") < F.col("_t1")).withColumn("symbol", series)
+    found = signals_of_combos(signal_candidates(entropy_between(seen, "delta"), spans), combos)
+    within = regimes.select(F.col("symbol").alias("_symbol"), "window_id", F.col("t1").alias("own_n"), series.alias("symbol"))
+    taken = found.join(within, "symbol").where(F.col("idx") < F.col("own_n"))
+    return taken.select((F.col("window_id") * size + F.col("combo_id")).alias("combo_id"), F.col("_symbol").alias("symbol"), "idx", "sell_after", "tp", "sl", "own_n")
+
+
 def walk_forward(bars: DataFrame, lists: dict[str, list], train: int, pct_train: float, anchored: bool = True, part: str = "train", settings: Settings | None = None, take: GridSignals = entropy_grid) -> DataFrame:
-    """Grid results of every window: (window_id, params..., results). Each window is evaluated on its own bars, with indicators that start there; all windows in one plan,
-    a window's symbols named ``window/symbol`` and its combinations numbered within it."""
+    """Grid results of every window: (window_id, params..., results). Each window is evaluated on its own bars, with indicators that start there; all windows in one plan, with
+    its combinations numbered within it. Anchored training windows all begin with the first bar: for entropy-acceleration signals they share their bars, indicators and touches. Others have
+    bars of their own, their symbols named ``window/symbol``."""
     rows = written(indexed(bars), "bars")
     windows = walkforward.window_table(rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")), train, pct_train, anchored)
+    step = int(train / pct_train - train)
+    # a series too short for a window is split by its own length
+    if anchored and part == "train" and take is entropy_grid and (rows.agg(F.max("n")).first()[0] or 0) >= train + step:
+        return _shared_walk(rows, written(windows, "windows"), lists, train, step, settings or Settings())
     own = walkforward.rows_of_windows(rows, windows, part).withColumn("symbol", F.concat_ws("/", F.lpad(F.col("window_id").cast("string"), 9, "0"), "symbol"))
     own = written(own, "windows")
     combos = grid.parameter_grid(bars.sparkSession, lists)
@@ -88,6 +109,29 @@ def walk_forward(bars: DataFrame, lists: dict[str, list], train: int, pct_train:
     return results.withColumn("combo_id", F.col("combo_id") - F.col("window_id") * size)
 
 
+def _shared_walk(rows: DataFrame, windows: DataFrame, lists: dict[str, list], train: int, step: int, settings: Settings) -> DataFrame:
+    combos = grid.parameter_grid(rows.sparkSession, lists)
+    size = combos.count()
+    taken = anchored_signals(rows, windows, combos, lists, train, step, size)
+    # a signal whose hold ends with the window's last bar but one is held a bar less
+    holds = sorted({h for s in lists["sell_after"] for h in (s, s - 1) if h >= 0})
+    line = align.timeline(rows)
+    touched = trades.touches(rows.join(line, "ts"), taken, lists["tp"], lists["sl"], holds)
+    candidates = written(trades.candidate_trades(touched, taken, lists["tp"], lists["sl"], holds, settings.order, settings.comi_pct), "candidates")
+    times = rows.select("symbol", "idx", "ts").join(windows, "symbol").where("idx < t1").select("window_id", "ts").distinct().join(line, "ts")
+    spans = written(metrics.line_span(times, ("window_id",)).join(times.groupBy("window_id").agg(F.max("ord").alias("_last")), "window_id"), "spans")
+    window = F.floor(F.col("combo_id") / size).cast("int").alias("window_id")
+    done = portfolio.portfolio_trades(candidates, line, settings.initial, settings.order).select("*", window)
+    # what would close after a window's own last time stays open
+    done = written(done.join(F.broadcast(spans.select("window_id", "_last")), "window_id").withColumn("closed", F.col("close_ord") <= F.col("_last")), "trades")
+    keys = ("window_id", "combo_id")
+    held = portfolio.held_curve(done, rows, line, settings.initial, settings.order, keys).join(F.broadcast(spans.select("window_id", "_last")), "window_id").where("ord <= _last").drop("_last")
+    curves = metrics.folded(metrics.curve_pieces(held, keys), spans.drop("_last"), settings.initial, keys, ("window_id",))
+    many = windows.select("window_id").distinct().crossJoin(F.broadcast(combos)).withColumn("combo_id", F.col("window_id") * size + F.col("combo_id"))
+    results = metrics.grid_results(many, done.drop("window_id"), curves.drop("window_id"), settings.initial)
+    return results.withColumn("combo_id", F.col("combo_id") - F.col("window_id") * size)
+
+
 def bootstrap_monte_carlo(features: DataFrame, n_paths: int, steps: int, lists: dict[str, list], settings: Settings | None = None, seed: int = 42, take: GridSignals = entropy_grid) -> DataFrame:
     """Grid results on every bootstrapped path: (path_index, params..., results), by the same operators with a path's symbols named ``path/symbol``."""
     made = paths.bootstrap_paths(features, paths.bootstrap_draws(features, n_paths, steps, seed))

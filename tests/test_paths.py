@@ -1,11 +1,14 @@
 """Draws, simulated prices, windows, distances, and jobs with another signal."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.operators.paths import bootstrap_draws, floored
+from barloom.operators.signals import entropy_grid
 from barloom.operators.similarity import series_distance
 from barloom.operators.walkforward import best_by_window, window_starts, window_table
 from barloom.plans.jobs import bootstrap_monte_carlo, grid_backtest, walk_forward
@@ -73,3 +76,24 @@ def test_jobs_take_any_signal(spark):
     features = bars.select("symbol", (F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1).cast("long").alias("idx"), "ts", "open", "close", F.lit(-0.01).alias("pct_ol"), F.lit(0.01).alias("pct_oh"), F.lit(0.001).alias("pct_oc"), F.lit(3600).cast("long").alias("time_variation"), F.lit(60).cast("long").alias("low_offset"), F.lit(30).cast("long").alias("high_offset"))
     made = bootstrap_monte_carlo(features, 2, 30, lists, take=every_nth)
     assert made.count() == 8 and made.where("Num_Trades > 0").count() == 8
+
+
+def test_shared_windows_equal_windows_of_their_own(spark):
+    """Anchored windows that share bars, indicators and touches, against each window's own bars; symbols of different length, holds of one bar, and too short a history."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for symbol, n, first in (("A", 150, 0), ("B", 120, 20), ("C", 70, 0), ("D", 64, 5)):
+        close = np.round(50 + np.cumsum(rng.normal(size=n) * np.linspace(0.3, 2, n)), 2)
+        for i, c in enumerate(close.tolist()):
+            ts = datetime(2024, 1, 1) + timedelta(hours=4 * (first + i))
+            rows.append((symbol, ts, c, c + 1.0, c - 1.0, c, ts + timedelta(minutes=int(rng.integers(200))), ts + timedelta(minutes=100)))
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, high_time timestamp_ntz, low_time timestamp_ntz")
+    lists = {"sell_after": [2, 7], "entropy_max": [1.2, 2.0], "accel_span": [4], "tp": [0.0, 3.0], "sl": [0.0, 2.0]}
+    key = lambda r: (r["window_id"], r["combo_id"])
+    for data, train in ((bars, 40), (bars.where("symbol = 'D'"), 60)):
+        shared, own = (sorted(walk_forward(data, lists, train, 0.8, take=take).collect(), key=key) for take in (entropy_grid, lambda *x: entropy_grid(*x)))
+        assert len(shared) == len(own) > 0 and shared[0].__fields__ == own[0].__fields__
+        assert sum(r["Num_Trades"] for r in shared) > 0
+        for a, b in zip(shared, own):
+            for x, y in zip(a, b):
+                assert x == pytest.approx(y, rel=1e-9) if isinstance(y, float) else x == y, (a, b)

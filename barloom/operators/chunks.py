@@ -43,14 +43,31 @@ def carried_last(df: DataFrame, value: str, order: list[str], into: str, part: C
     return joined.withColumn(into, F.coalesce("_near", "_past")).drop("_near", "_past", "_part")
 
 
-def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
-    """``df`` with the running number of each row from 0 in the given order, which must not tie: ranges of it are numbered by themselves, and what the ranges before hold is added."""
-    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "numbered")
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` written in the given order with each row's range ``_range`` and ``_place`` in it from 0."""
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ranged")
     # the id counts a partition's rows in its lower 33 bits
-    part, place = F.shiftright("_place", 33).alias("_range"), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumns({"_range": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
+
+
+def _with_sums_before(rows: DataFrame, amount: Column) -> DataFrame:
+    """``_before``: the sum of ``amount`` over all earlier ranges, of which there are as many as partitions."""
     before, total = [], 0
-    for number, n in sorted(rows.groupBy(part).count().collect()):
+    for number, n in sorted(rows.groupBy("_range").agg(F.sum(amount)).collect()):
         before.append((number, total))
         total += n
-    offsets = df.sparkSession.createDataFrame(before, "_range long, _before long")
-    return rows.withColumn("_range", part).join(F.broadcast(offsets), "_range").withColumn(into, place + F.col("_before")).drop("_place", "_range", "_before")
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(before, "_range long, _before long")), "_range")
+
+
+def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
+    """``df`` with the running number of each row from 0 in the given order, which must not tie: ranges of it are numbered by themselves, and what the ranges before hold is added."""
+    rows = _with_sums_before(_ranged(df, order), F.lit(1))
+    return rows.withColumn(into, F.col("_place") + F.col("_before")).drop("_place", "_range", "_before")
+
+
+def running_count(df: DataFrame, order: list[str], counts: str, into: str) -> DataFrame:
+    """``df`` with the number of rows up to each row in the given order for which the boolean column ``counts`` is true, by ranges as well."""
+    amount = F.col(counts).cast("long")
+    run = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _with_sums_before(_ranged(df, order), amount)
+    return rows.withColumn(into, F.sum(amount).over(run) + F.col("_before")).drop("_place", "_range", "_before")

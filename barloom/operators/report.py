@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import number_or_zero
+from barloom.sources.scratch import written
+
+from .chunks import by_chunk, numbered, overlapping, own_rows, running_count
 
 
 def with_gain_per_signal(results: DataFrame) -> DataFrame:
@@ -46,7 +49,10 @@ def parameter_correlation(results: DataFrame, params: list[str], least_combos: i
 
 def parameter_information(results: DataFrame, params: list[str], bins: int = 10) -> DataFrame:
     """Mutual information (nats) of each parameter and Net_Gain in ``bins`` equally filled classes, from counts."""
-    ranked = results.withColumn("bin", F.ntile(bins).over(Window.orderBy("Net_Gain", "combo_id")))
+    placed = numbered(results, ["Net_Gain", "combo_id"], "_p")
+    sized = placed.crossJoin(F.broadcast(placed.agg(F.count(F.lit(1)).alias("_n"))))
+    size, larger = F.floor(F.col("_n") / bins), F.col("_n") % bins  # the first classes hold one more
+    ranked = sized.withColumn("bin", F.when(F.col("_p") < larger * (size + 1), F.floor(F.col("_p") / (size + 1))).otherwise(larger + F.floor((F.col("_p") - larger * (size + 1)) / F.greatest(size, F.lit(1)))))
     rows = unpivoted(ranked, params, ["bin"])
     joint = rows.groupBy("param", "value", "bin").agg(F.count(F.lit(1)).alias("nxy"))
     by = lambda c: Window.partitionBy("param", *c)
@@ -54,6 +60,45 @@ def parameter_information(results: DataFrame, params: list[str], bins: int = 10)
     return full.groupBy("param").agg(F.sum(F.col("nxy") / F.col("n") * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))).alias("information"))
 
 
+def digamma(n: Column) -> Column:
+    """The digamma function of positive numbers: by its series six further on, less the steps up to there."""
+    z = n + 6
+    series = F.log(z) - 1 / (2 * z) - 1 / (12 * z**2) + 1 / (120 * z**4) - 1 / (252 * z**6) + 1 / (240 * z**8) - 1 / (132 * z**10)
+    for i in range(6):
+        series = series - 1 / (n + i)
+    return series
+
+
+def nearest_information(results: DataFrame, params: list[str], k: int = 3, chunk: int = 50_000) -> DataFrame:
+    """Mutual information (nats) of each parameter and Net_Gain by nearest neighbours: among the combinations that share a parameter's value, the distance to the ``k`` th nearest gain says how
+    many of all combinations lie nearer. Values of one combination alone are left out; equal gains are at no distance, and count where the distance is none. Never negative; null
+    gains take no part.
+
+    Neighbours are looked up in one sorted order cut into chunks, and what lies nearer is counted by ranks over ranges, so no parameter and no value is one task."""
+    rows = unpivoted(results.where("Net_Gain is not null"), params, ["combo_id", "Net_Gain"]).withColumnsRenamed({"combo_id": "id", "Net_Gain": "y"})
+    many = rows.groupBy("param", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    rows = numbered(rows.join(many, ["param", "value"]), ["param", "value", "y", "id"], "idx").withColumn("symbol", F.lit(""))
+    near = []
+    for step in (F.lag, F.lead):
+        for j in range(1, k + 1):
+            other = lambda c, step=step, j=j: step(c, j).over(by_chunk())
+            near.append(F.when((other("param") == F.col("param")) & (other("value") == F.col("value")), F.struct(F.abs(other("y") - F.col("y")).alias("d"), other("y").alias("y"))))
+    asked = own_rows(overlapping(rows, back=k, ahead=k, chunk=chunk).withColumn("near", F.sort_array(F.array_compact(F.array(*near)))))
+    asked = asked.withColumn("k", F.least(F.lit(k), F.col("c") - 1).cast("int")).withColumn("last", F.element_at("near", F.col("k")))
+    # strictly between, where the border that the neighbour stands on is its own value; equal values, if there is no distance
+    d, last = F.col("last.d"), F.col("last.y")
+    low, high = F.when(last < F.col("y"), last).otherwise(F.col("y") - d), F.when(last > F.col("y"), last).otherwise(F.col("y") + d)
+    asked = written(asked.select("param", "id", "y", "c", "k", (d == 0).alias("tied"), low.alias("low"), high.alias("high")), "asked")
+    probe = lambda v, at, end: asked.select("param", "id", v.alias("v"), at.alias("at"), F.lit(end).alias("end"))
+    stand = asked.select("param", "id", F.col("y").alias("v"), F.lit(1).alias("at"), F.lit(0).alias("end"))
+    # below everything equal, or above it
+    borders = probe(F.col("low"), F.when(F.col("tied"), 0).otherwise(2), 1).unionByName(probe(F.col("high"), F.when(F.col("tied"), 2).otherwise(0), 2))
+    ranked = running_count(stand.unionByName(borders).withColumn("is", F.col("end") == 0), ["param", "v", "at", "end", "id"], "is", "rank").where("end > 0")
+    inside = ranked.groupBy("param", "id").agg((F.max(F.when(F.col("end") == 2, F.col("rank"))) - F.max(F.when(F.col("end") == 1, F.col("rank")))).alias("m"))
+    found = asked.join(inside, ["param", "id"]).groupBy("param").agg((digamma(F.count(F.lit(1)).cast("double")) + F.avg(digamma(F.col("k"))) - F.avg(digamma(F.col("c"))) - F.avg(digamma(F.col("m")))).alias("i"))
+    return found.select("param", F.greatest("i", F.lit(0.0)).alias("information"))
+
+
 def path_summary(results: DataFrame, params: list[str]) -> DataFrame:
     """Means over paths by combination, without nulls, and numbers of paths and rows."""
     return results.groupBy(*params).agg(*(F.avg(c).alias(f"mean_{c}") for c in ("Net_Gain", "Net_Gain_pct", "Win_Ratio", "DD_pct", "Sharpe")), F.count_distinct("path_index").alias("paths"), F.count(F.lit(1)).alias("rows"))

@@ -346,6 +346,9 @@ _UNP = " UNION ALL ".join(f"""SELECT '{p}' AS param, {p}::DOUBLE AS value, combo
 bt_query("parameter_profile", f'SELECT param, value, round(sum("Net_Gain_pct"), 6) AS sum_gain_pct, round(avg("Win_Ratio") * 100, 6) AS win_pct FROM ({_UNP}) GROUP BY 1, 2', lambda b: report.parameter_profile(b.results, PARAMS))
 bt_query("parameter_correlation", f'SELECT param, round(CASE WHEN count(DISTINCT value) > 1 AND count(DISTINCT "Net_Gain") > 1 AND count(*) >= 5 THEN corr(value, "Net_Gain") END, 6) AS correlation FROM ({_UNP}) GROUP BY 1', lambda b: report.parameter_correlation(b.results, PARAMS))
 bt_query("parameter_information", f'SELECT param, round(sum(nxy / n * ln(nxy * n / (nx * ny))), 6) AS information FROM (SELECT param, nxy, sum(nxy) OVER (PARTITION BY param, value) AS nx, sum(nxy) OVER (PARTITION BY param, bin) AS ny, sum(nxy) OVER (PARTITION BY param) AS n FROM (SELECT param, value, bin, count(*)::DOUBLE AS nxy FROM ({_UNP}) JOIN (SELECT combo_id, ntile(10) OVER (ORDER BY "Net_Gain", combo_id) AS bin FROM res) USING (combo_id) GROUP BY ALL)) GROUP BY 1', lambda b: report.parameter_information(b.results, PARAMS))
+_PSI = lambda n: f"coalesce(list_sum(list_transform(range(1, {n}), lambda i: 1.0 / i)), 0.0)"  # noqa: E731  but for a constant, which cancels out
+bt_query("nearest_information", f"""SELECT param, round(greatest(0.0, {_PSI('count(*)')} + avg({_PSI('k')}) - avg({_PSI('c')}) - avg({_PSI('m')})), 6) AS information FROM (SELECT d.*, (SELECT count(*) FROM nq b WHERE b.param = d.param AND (abs(b.y - d.y) < d.d OR (d.d = 0 AND b.y = d.y))) AS m FROM
+(SELECT a.param, a.combo_id, any_value(a.y) AS y, any_value(a.c) AS c, least(3, any_value(a.c) - 1) AS k, list_sort(list(abs(a.y - b.y)))[least(3, any_value(a.c) - 1)] AS d FROM nq a JOIN nq b ON a.param = b.param AND a.value = b.value AND a.combo_id <> b.combo_id GROUP BY 1, 2) d) GROUP BY 1""".replace("nq", f"""(SELECT *, round("Net_Gain", 6) AS y, count(*) OVER (PARTITION BY param, value) AS c FROM ({_UNP}) QUALIFY c > 1)"""), lambda b: report.nearest_information(fx.rounded(b.results), PARAMS))
 bt_query("result_histogram", 'SELECT least(floor(("Net_Gain_pct" - lo) / (hi - lo) * k), k - 1)::INT AS bin, count(*) AS n FROM res, (SELECT min("Net_Gain_pct") AS lo, max("Net_Gain_pct") AS hi, greatest(10, least(50, count(*))) AS k FROM res) GROUP BY 1', lambda b: report.histogram(b.results, "Net_Gain_pct"))
 
 

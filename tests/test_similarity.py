@@ -24,3 +24,27 @@ def test_a_short_symbol_leaves_the_others_alone(spark):
     last = np.array(history[0][1][-70:])
     means = np.mean([np.mean(r[-70:]) for s, t, _, r in paths if (s, t) == ("long", 0)])
     assert got["long", 0][0] == pytest.approx(100 * max(0, 1 - abs(last.mean() - means) / last.std(ddof=1)))
+
+
+@pytest.mark.parametrize("chunk", [50_000, 7])
+def test_nearest_information(spark, chunk):
+    """Against loops over all pairs, with gains on a grid so that many tie, a value that stands alone and a constant parameter."""
+    from barloom.operators.report import nearest_information
+
+    rng = np.random.default_rng(3)
+    rows = [(i, int(a), bool(b), 7, None if i == 5 else float(a * 3 + rng.integers(-4, 5))) for i, (a, b) in enumerate(zip(rng.integers(0, 4, 60), rng.integers(0, 2, 60)))] + [(60, 99, True, 7, 2.0)]
+    psi = lambda n: -0.5772156649015329 + sum(1 / i for i in range(1, n))
+    want = {}
+    for at, name in ((1, "a"), (2, "b"), (3, "c")):
+        own = [(float(r[at]), r[4]) for r in rows if r[4] is not None]
+        own = [(v, y) for v, y in own if sum(w == v for w, _ in own) > 1]
+        total = psi(len(own))
+        for i, (v, y) in enumerate(own):
+            near = sorted(abs(y - z) for j, (w, z) in enumerate(own) if w == v and j != i)
+            d = near[min(3, len(near)) - 1]
+            total += (psi(min(3, len(near))) - psi(len(near) + 1) - psi(sum(abs(z - y) < d or (d == 0 and z == y) for _, z in own))) / len(own)
+        want[name] = max(total, 0)
+    df = spark.createDataFrame(rows, "combo_id long, a int, b boolean, c int, Net_Gain double")
+    got = {r["param"]: r["information"] for r in nearest_information(df, ["a", "b", "c"], chunk=chunk).collect()}
+    assert got == pytest.approx(want, abs=1e-9) and want["a"] > 0.3
+    assert nearest_information(df.where("false"), ["a"]).count() == 0

@@ -6,11 +6,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.sources.scratch import written
 
+from .chunks import overlapping
+
 WEIGHTS = {"mean": 0.20, "std": 0.20, "skew": 0.10, "kurt": 0.10, "acf": 0.10, "ks": 0.10, "wasserstein": 0.20}
 
 
@@ -35,15 +38,34 @@ def moments(returns: DataFrame, keys: list[str]) -> DataFrame:
     return returns.groupBy(*keys).agg(F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"), F.when(n > 2, skew).alias("skew"), F.when(n > 3, kurt).alias("kurt"))
 
 
-def autocorrelation(returns: DataFrame, keys: list[str], lags: int = 50) -> DataFrame:
-    """(keys, lag, acf) of absolute returns from 0 to ``lags``, over the whole sample's variance."""
+def block_products(x: np.ndarray, back: int, lags: int) -> np.ndarray:
+    """For lags 0, 1, ... the sum of products of each value from place ``back`` on with the one that many places before, by Fourier transforms; places before the first count nothing."""
+    own = x[back:]
+    if not len(own):
+        return np.zeros(lags + 1)
+    size = 1 << (len(x) + lags).bit_length()
+    product = np.fft.irfft(np.fft.rfft(own, size).conj() * np.fft.rfft(x, size), size)
+    return product[back - np.arange(lags + 1)]  # a negative place wraps round to where nothing is
+
+
+def autocorrelation(returns: DataFrame, keys: list[str], lags: int = 50, chunk: int = 65_536) -> DataFrame:
+    """(keys, lag, acf) of absolute returns from 0 to ``lags``, over the whole sample's variance. Series are cut into chunks, each seen with as many values before it as there are lags;
+    a chunk's sums of products come from one transform (overlap-save), whatever the number of lags, and are added up."""
     means = returns.groupBy(*keys).agg(F.avg(F.abs("r")).alias("m"))
-    centred = returns.join(means, keys).select(*keys, "nth", (F.abs("r") - F.col("m")).alias("x"))
-    order = Window.partitionBy(*keys).orderBy("nth")
-    lagged = centred.select(*keys, *((F.col("x") * F.lag("x", k).over(order)).alias(f"p{k}") for k in range(1, lags + 1)), (F.col("x") * F.col("x")).alias("p0"))
-    sums = lagged.groupBy(*keys).agg(*(F.coalesce(F.sum(f"p{k}"), F.lit(0.0)).alias(f"p{k}") for k in range(lags + 1)))
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.when(F.col("p0") > 0, F.col(f"p{k}") / F.when(F.col("p0") > 0, F.col("p0"))).otherwise(float(k == 0)).alias("acf")) for k in range(lags + 1))))
-    return sums.select(*keys, each.alias("x")).select(*keys, "x.*")
+    centred = returns.join(means, keys).select(*keys, F.col("nth").alias("idx"), (F.abs("r") - F.col("m")).alias("x"))
+    kinds = ", ".join(f"`{k}` {returns.schema[k].dataType.simpleString()}" for k in keys)
+
+    def products(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("idx")
+        back = int((rows.column("_home").to_numpy() != rows.column("_part").to_numpy()).sum())
+        p = block_products(rows.column("x").to_numpy(), back, lags)
+        same = pa.array(np.zeros(lags + 1, np.int32))
+        return pa.table([*(rows.column(k).combine_chunks().take(same) for k in keys), pa.array(np.arange(lags + 1, dtype=np.int32)), pa.array(p)], names=[*keys, "lag", "p"])
+
+    found = overlapping(centred, back=lags, chunk=chunk).groupBy(*keys, "_part").applyInArrow(products, f"{kinds}, lag int, p double").groupBy(*keys, "lag").agg(F.sum("p").alias("p"))
+    whole = found.where("lag = 0").select(*keys, F.col("p").alias("p0"))
+    ratio = F.when(F.col("p0") > 0, F.col("p") / F.when(F.col("p0") > 0, F.col("p0"))).otherwise((F.col("lag") == 0).cast("double"))
+    return found.join(whole, keys).select(*keys, "lag", ratio.alias("acf"))
 
 
 def distribution_distance(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -48,3 +48,20 @@ def test_nearest_information(spark, chunk):
     got = {r["param"]: r["information"] for r in nearest_information(df, ["a", "b", "c"], chunk=chunk).collect()}
     assert got == pytest.approx(want, abs=1e-9) and want["a"] > 0.3
     assert nearest_information(df.where("false"), ["a"]).count() == 0
+
+
+@pytest.mark.parametrize("lags, chunk", [(5, 65_536), (5, 20), (300, 300), (50, 1)])
+def test_autocorrelation_by_blocks(spark, lags, chunk):
+    """Against sums of products, for series of different length, one shorter than the lags and one that never changes."""
+    from barloom.operators.similarity import autocorrelation
+
+    rng = np.random.default_rng(1)
+    series = {"a": rng.normal(size=700), "b": rng.normal(size=40), "flat": np.full(9, 0.5)}
+    df = spark.createDataFrame([(k, i, float(x)) for k, r in series.items() for i, x in enumerate(r)], "symbol string, nth long, r double")
+    got = {(r["symbol"], r["lag"]): r["acf"] for r in autocorrelation(df, ["symbol"], lags, chunk).collect()}
+    assert len(got) == 3 * (lags + 1)
+    for k, r in series.items():
+        x = np.abs(r) - np.abs(r).mean()
+        for lag in range(lags + 1):
+            want = float(lag == 0) if k == "flat" else (x[lag:] * x[: len(x) - lag]).sum() / (x * x).sum() if lag < len(x) else 0.0
+            assert got[k, lag] == pytest.approx(want, abs=1e-9)

@@ -72,18 +72,28 @@ class _Complete(StatefulProcessor):
         last, timer = self.done.get() if self.done.exists() else (None, None)
         until = timerValues.getCurrentWatermarkInMs() * 1000
         rows = list(self.waiting.get()) if self.waiting.exists() else []
-        ready, rest = [r for r in rows if r[0] <= until], [r for r in rows if r[0] > until]
-        if self.idle and not rows:
-            self.forget()
-            return
+        ready, rest = sorted((r for r in rows if r[0] <= until), key=lambda r: r[0]), [r for r in rows if r[0] > until]
         if ready:
             (self.waiting.put(rest) if rest else self.waiting.clear())
-            last = max(r[0] for r in ready)
-            out = self.act(key, sorted(ready, key=lambda r: r[0]))
-            if len(out):
-                yield out
-        timer = self._set(None, min(r[0] for r in rest)) if rest else self._set(None, last + self.idle) if self.idle else None
-        self.done.update((last, timer))
+            # what came after too long a silence begins anew, whether or not the state was cleared by then
+            times = [last, *(r[0] for r in ready)]
+            cuts = [i for i, (a, b) in enumerate(zip(times, times[1:])) if self.idle and a is not None and b > a + self.idle]
+            for begin, end in zip([0, *cuts], [*cuts, len(ready)]):
+                if begin in cuts:
+                    self.forget()
+                if end > begin:
+                    out = self.act(key, ready[begin:end])
+                    if len(out):
+                        yield out
+            last = ready[-1][0]
+        silent = bool(self.idle) and last is not None and last + self.idle <= until
+        if silent:
+            self.forget()
+        timer = self._set(None, min(r[0] for r in rest)) if rest else self._set(None, last + self.idle) if self.idle and last is not None and not silent else None
+        if timer is None and silent:
+            self.done.clear()
+        else:
+            self.done.update((last, timer))
 
     def _set(self, timer: int | None, at: int) -> int:
         """One timer for a key, at the first time that waits."""
@@ -99,8 +109,8 @@ class _Complete(StatefulProcessor):
         raise NotImplementedError
 
     def forget(self) -> None:
-        self.waiting.clear()
-        self.done.clear()
+        """Drops what the key's past has left."""
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
@@ -134,7 +144,6 @@ class _Signals(_Complete):
         return pd.DataFrame({"symbol": key[0], "at": at, "close": new, "signal": signal[len(past) :]})
 
     def forget(self) -> None:
-        super().forget()
         self.past.clear()
 
 
@@ -178,7 +187,6 @@ class _Books(_Complete):
     def forget(self) -> None:
         """A book that holds something waits on."""
         if not any(True for _ in self.held.keys()):
-            super().forget()
             self.left.clear()
 
 

@@ -157,17 +157,20 @@ def _chunks(data: bytes, begin: int, end: int) -> Iterator[tuple[bytes, int, int
 
 
 def parse_avi(data: bytes) -> tuple[list[tuple[int, int]], float, int | None]:
-    """Byte ranges of the frames by idx1, frames a second, and the length in strd (None without it)."""
+    """Byte ranges of the frames by idx1, whose offsets count from the list of frames or from the file, or by the standard indexes that an index of the stream names (OpenDML); frames a second, and
+    the length in strd (None without it)."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    rate, length, movi, index = float(RATE), None, None, None
+    rate, length, movi, index, streams = float(RATE), None, None, None, []
     todo = [(12, 8 + struct.unpack_from("<I", data, 4)[0])]
     while todo:
         for name, a, b in _chunks(data, *todo.pop()):
             if name in (b"hdrl", b"strl"):
                 todo.append((a, b))
             elif name == b"movi":
-                movi = a - 4
+                movi = a - 4 if movi is None else movi
+            elif name == b"indx":
+                streams.append((a, b))
             elif name == b"idx1":
                 index = np.frombuffer(data[a:b], "<u4").reshape(-1, 4)
             elif name == b"strh":
@@ -175,10 +178,32 @@ def parse_avi(data: bytes) -> tuple[list[tuple[int, int]], float, int | None]:
                 rate = per / max(scale, 1)
             elif name == b"strd" and b - a == 8:
                 length = struct.unpack_from("<Q", data, a)[0]
-    if movi is None or index is None:
+    if movi is None or (index is None and not streams):
         raise ValueError("no frames or no index")
+    if index is None:
+        return [span for a, b in streams for span in _indexed_frames(data, a, b)], rate, length
     video = index[(index[:, 0] >> 16) == int.from_bytes(b"dc", "little")].astype(np.int64)
-    return [(movi + o + 8, movi + o + 8 + n) for o, n in video[:, 2:].tolist()], rate, length
+    base = movi
+    if len(video) and data[movi + video[0, 2] : movi + video[0, 2] + 4] != video[0, 0].astype("<u4").tobytes() and data[video[0, 2] : video[0, 2] + 4] == video[0, 0].astype("<u4").tobytes():
+        base = 0
+    return [(base + o + 8, base + o + 8 + n) for o, n in video[:, 2:].tolist()], rate, length
+
+
+def _indexed_frames(data: bytes, a: int, b: int) -> list[tuple[int, int]]:
+    """Byte ranges of a stream's frames: of a standard index, or of all those that a super index names."""
+    width, _, kind, n, name = struct.unpack_from("<HBBI4s", data, a)
+    if name[2:] != b"dc":
+        return []
+    if kind == 0:
+        if width != 4 or a + 24 + 16 * n > b:
+            raise ValueError("an index of another form")
+        parts = [struct.unpack_from("<QII", data, a + 24 + 16 * i)[:2] for i in range(n)]
+        return [span for at, size in parts for span in _indexed_frames(data, at + 8, at + size)]
+    if kind != 1 or width != 2 or a + 24 + 8 * n > min(b, len(data)):
+        raise ValueError("an index of another form")
+    base = struct.unpack_from("<Q", data, a + 12)[0]
+    entries = np.frombuffer(data, "<u4", 2 * n, a + 24).reshape(-1, 2).astype(np.int64)
+    return [(base + o, base + o + (size & 0x7FFFFFFF)) for o, size in entries.tolist()]
 
 
 @lru_cache(maxsize=64)
@@ -201,9 +226,29 @@ class Head(NamedTuple):
     interval: int  # units between restarts
 
 
+# Fixed values of the JPEG standard, annex K.3: numbers of Huffman codes of 1 to 16 bits, and their symbols in order. Frames of motion JPEG without tables mean these. Runs and sizes of
+# coefficients go on in ascending order behind those listed.
+_DC_LENGTHS = ((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), (0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0))
+_AC_LENGTHS = ((0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119))
+_AC_FIRST = (
+    "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82",
+    "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1",
+)
+
+
+def standard_tables() -> dict[int, bytes]:
+    """Huffman tables by their class and number, as segments that define them would say."""
+    tables = {}
+    for k in (0, 1):
+        first = bytes.fromhex(_AC_FIRST[k])
+        rest = bytes(x for x in sorted({0x00, 0xF0, *(run * 16 + size for run in range(16) for size in range(1, 11))}) if x not in first)
+        tables[k], tables[16 + k] = bytes(_DC_LENGTHS[k]) + bytes(range(12)), bytes(_AC_LENGTHS[k]) + first + rest
+    return tables
+
+
 @lru_cache(maxsize=256)
 def _jpeg_head(head: bytes) -> Head:
-    at, quantizer, tables, interval, parts, wide, high = 2, {}, {}, 0, [], 0, 0
+    at, quantizer, tables, interval, parts, wide, high = 2, {}, standard_tables(), 0, [], 0, 0
     while at + 4 <= len(head):
         marker, size = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
         body = head[at + 4 : at + 2 + size]

@@ -136,9 +136,10 @@ def benchmark_blocks(items: DataFrame, item_col: str, text_col: str, block_chars
 
 def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.06, block_chars: int = 4_000_000) -> DataFrame:
     """One row for each row of ``df`` and item that it contains: ``id_col``, ``item_col``, edits, match_end (in the
-    normalized text), text_chars (its length), short."""
+    normalized text), text_chars (its length), short. Where both ids have one name, the item's gets ``item_`` before it."""
     spark = df.sparkSession
-    kinds = f"{id_col} {df.select(id_col).schema[0].dataType.simpleString()}, {item_col} {items.select(item_col).schema[0].dataType.simpleString()}, edits int, match_end long, text_chars long, short boolean"
+    item_name = f"item_{item_col}" if item_col == id_col else item_col
+    kinds = f"{id_col} {df.select(id_col).schema[0].dataType.simpleString()}, {item_name} {items.select(item_col).schema[0].dataType.simpleString()}, edits int, match_end long, text_chars long, short boolean"
     item_type = to_arrow_type(items.select(item_col).schema[0].dataType)
     docs = df.select(F.col(id_col), F.col(text_col).alias("text"))
     found = []
@@ -158,7 +159,7 @@ def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
                 numbers, edits, chars, ends, short = zip(*rows, strict=True) if rows else ((),) * 5
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, item_type), pa.array(edits, pa.int32()), pa.array(ends, pa.int64()), pa.array(chars, pa.int64()), pa.array(short, pa.bool_())],
-                    names=[id_col, item_col, "edits", "match_end", "text_chars", "short"],
+                    names=[id_col, item_name, "edits", "match_end", "text_chars", "short"],
                 )
 
         found.append(docs.mapInArrow(run, kinds))

@@ -209,6 +209,60 @@ def test_foreign_frames_by_a_plain_encoder():
         assert len(got) == len(want) and np.abs(got.astype(float) - want).max() <= 1 and (got != want).mean() < 0.01
 
 
+def test_standard_tables_are_the_library_of_java(spark):
+    """Java's image library has the standard's tables as constants."""
+    known = spark._jvm.javax.imageio.plugins.jpeg.JPEGHuffmanTable
+    for at, name in ((0, "StdDCLuminance"), (1, "StdDCChrominance"), (16, "StdACLuminance"), (17, "StdACChrominance")):
+        table = getattr(known, name)
+        lengths, values = list(table.getLengths()), list(table.getValues())
+        assert list(avi_media.standard_tables()[at]) == lengths + [0] * (16 - len(lengths)) + values
+
+
+def test_frames_without_tables():
+    """A camera's frames leave the standard tables out."""
+    tables = avi_media.standard_tables()
+    payload = np.random.default_rng(7).integers(0, 256, 64).astype(np.uint8)
+    # flat blocks: a difference's size and bits, then the end of the block
+    dc, ac = (avi_media._codes(list(t[:16]), list(t[16:])) for t in (tables[0], tables[16]))
+    text, last = "", 0
+    for v in payload.tolist():
+        d, last = v - 128 - last, v - 128
+        size = abs(d).bit_length()
+        code, bits = dc[size]
+        text += format(code, f"0{bits}b") + (format(d if d >= 0 else d + (1 << size) - 1, f"0{size}b") if size else "") + format(ac[0][0], f"0{ac[0][1]}b")
+    text += "1" * (-len(text) % 8)
+    scan = bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8)).replace(b"\xff", b"\xff\0")
+    frame = b"\xff\xd8\xff\xdb\0\x43\0" + bytes([8] * 64) + b"\xff\xc0\0\x0b\x08\0\x40\0\x40\x01\x01\x11\0" + b"\xff\xda\0\x08\x01\x01\0\0\x3f\0" + scan + b"\xff\xd9"
+    assert avi_media.decode_frames([frame])[0].tolist() == payload.tolist()
+
+
+def test_indexes_of_other_writers():
+    """Offsets from the file's start, and OpenDML's indexes of a stream in place of idx1."""
+    import struct
+
+    payload = np.random.default_rng(8).integers(0, 256, 64 * 900).astype(np.uint8).tobytes()
+    (own,) = avi_media.write_avis([payload])
+    spans, rate, length = avi_media.parse_avi(own)
+    at = own.index(b"idx1")
+    entries = np.frombuffer(own[at + 8 :], "<u4").reshape(-1, 4).copy()
+    entries[:, 2] += own.index(b"movi")
+    assert avi_media.parse_avi(own[: at + 8] + entries.tobytes()) == (spans, rate, length)
+    # a super index in the stream's list names one standard index behind the frames
+    base = 12
+    ix = struct.pack("<HBBI4sQI", 2, 0, 1, len(spans), b"00dc", base, 0) + b"".join(struct.pack("<II", a + 40 + 8 - base, b - a) for a, b in spans)
+    where = at + 40 + 8
+    indx = b"indx" + struct.pack("<I", 40) + struct.pack("<HBBI4s12s", 4, 0, 0, 1, b"00dc", bytes(12)) + struct.pack("<QII", where, len(ix) + 8, len(spans))
+    strl = own.index(b"strl")
+    grown = bytearray(own[: strl + 4] + indx + own[strl + 4 : at] + b"ix00" + struct.pack("<I", len(ix)) + ix)
+    for name, more in ((b"strl", len(indx)), (b"hdrl", len(indx))):
+        size = grown.index(name) - 4
+        struct.pack_into("<I", grown, size, struct.unpack_from("<I", grown, size)[0] + more)
+    struct.pack_into("<I", grown, 4, len(grown) - 8)
+    again = avi_media.parse_avi(bytes(grown))
+    assert again == ([(a + len(indx), b + len(indx)) for a, b in spans], rate, length) and len(spans) > 0
+    assert [bytes(grown[a:b]) for a, b in again[0]] == [own[a:b] for a, b in spans]
+
+
 def test_a_long_file_goes_in_parts(monkeypatch):
     monkeypatch.setattr(avi_media, "AT_ONCE", 3)
     payload = np.random.default_rng(4).integers(0, 256, 64 * 100).astype(np.uint8).tobytes()
@@ -226,6 +280,12 @@ def test_shots_find_a_change_of_scene():
 # ---- decontamination
 
 
+def test_ids_of_one_name(spark):
+    text = "the committee reviewed the quarterly figures and found them in order"
+    docs, items = (spark.createDataFrame([(i, t)], "id long, text string") for i, t in ((1, f"well, {text} today"), (7, text)))
+    assert [(r["id"], r["item_id"]) for r in decontaminate.contamination(docs, items, id_col="id", item_col="id").collect()] == [(1, 7)]
+
+
 def plain_distance(p, t):
     before = [0] * (len(t) + 1)
     for i, a in enumerate(p):

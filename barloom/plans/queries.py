@@ -265,7 +265,7 @@ def bar_query(name: str, sql: str, make: Callable[[DataFrame], DataFrame]) -> No
 
 bar_query("delta", "SELECT symbol, idx, round(delta, 6) AS delta FROM d", lambda b: b.select("symbol", "idx", indicators.delta().alias("delta")))
 bar_query("second_difference", "SELECT symbol, idx, round(accel, 6) AS accel FROM d", lambda b: b.select("symbol", "idx", indicators.second_difference().alias("accel")))
-bar_query("ema", "SELECT a.symbol, a.idx, round(a.y, 6) AS ema_5, round(b.y, 6) AS ema_21 FROM ec a JOIN ec b ON a.symbol = b.symbol AND a.idx = b.idx AND a.span = 5 AND b.span = 21", lambda b: indicators.ema(b, "close", {"ema_5": 5, "ema_21": 21}, chunk=64).select("symbol", "idx", "ema_5", "ema_21"))
+bar_query("ema", "SELECT a.symbol, a.idx, round(a.y, 6) AS ema_5, round(b.y, 6) AS ema_21 FROM ec a JOIN ec b ON a.symbol = b.symbol AND a.idx = b.idx AND a.span = 5 AND b.span = 21", lambda b: indicators.ema(b, "close", {"ema_5": 5, "ema_21": 21}).select("symbol", "idx", "ema_5", "ema_21"))
 bar_query("rsi", "SELECT symbol, idx, round(rsi, 6) AS rsi FROM rsi", lambda b: indicators.rsi(b).select("symbol", "idx", "rsi"))
 bar_query("atr", "SELECT symbol, idx, round(atr, 6) AS atr FROM atr", lambda b: indicators.atr(b).select("symbol", "idx", "atr"))
 bar_query("rolling_entropy", "SELECT symbol, idx, round(entropy, 6) AS entropy FROM en", lambda b: indicators.rolling_entropy(b.withColumn("delta", indicators.delta()), "delta").select("symbol", "idx", "entropy"))
@@ -372,10 +372,10 @@ _RESULTS = ', symbol, "Num_Signals", "Num_Trades", ' + r6(*(f'"{c}"' for c in _R
 _SERIES = "SELECT 0 AS k, symbol, idx, n, ts, open, close, high, low, high_time, low_time, delta FROM d"
 
 
-def _trend_sql() -> str:
-    spans = sorted({*TREND["ema_fast"], *TREND["ema_slow"]})
+def _trend_sql(lists: dict[str, list]) -> str:
+    spans = sorted({*lists["ema_fast"], *lists["ema_slow"]})
     rsi = " UNION ALL ".join(f"""SELECT d.symbol, d.idx, {n} AS period, coalesce(100 - 100 / (1 + g / (l + 1e-8)), 50.0) AS rsi FROM d LEFT JOIN (WITH RECURSIVE q(symbol, idx, g, l) AS (SELECT symbol, {n}::BIGINT, sum(greatest(delta, 0)) / {n}, sum(greatest(-delta, 0)) / {n} FROM d WHERE idx BETWEEN 1 AND {n} GROUP BY symbol HAVING count(*) = {n}
-  UNION ALL SELECT d.symbol, d.idx, (q.g * {n - 1} + greatest(d.delta, 0)) / {n}, (q.l * {n - 1} + greatest(-d.delta, 0)) / {n} FROM q JOIN d ON d.symbol = q.symbol AND d.idx = q.idx + 1) SELECT * FROM q) q USING (symbol, idx)""" for n in TREND["rsi_period"])
+  UNION ALL SELECT d.symbol, d.idx, (q.g * {n - 1} + greatest(d.delta, 0)) / {n}, (q.l * {n - 1} + greatest(-d.delta, 0)) / {n} FROM q JOIN d ON d.symbol = q.symbol AND d.idx = q.idx + 1) SELECT * FROM q) q USING (symbol, idx)""" for n in lists["rsi_period"])
     return f"""te(symbol, idx, span, y) AS (SELECT symbol, idx, span, close FROM d, (VALUES {', '.join(f'({x})' for x in spans)}) s(span) WHERE idx = 0
   UNION ALL SELECT d.symbol, d.idx, e.span, 2.0 / (e.span + 1) * d.close + (1 - 2.0 / (e.span + 1)) * e.y FROM te e JOIN d ON d.symbol = e.symbol AND d.idx = e.idx + 1),
 tr_i AS ({rsi}),
@@ -384,14 +384,22 @@ v_s AS (SELECT g.*, 0 AS k, d.symbol, d.idx + 1 AS idx FROM d JOIN te a ON a.sym
 """
 
 
+def grid_results_sql(lists: dict[str, list], found: str) -> str:
+    return f", v_r AS ({_SERIES}), v_g AS ({grid_sql(lists)}), {found}{evaluation_sql('v', list(lists))} SELECT combo_id, {', '.join(lists)}{_RESULTS} FROM v_res"
+
+
 def grid_query(name: str, lists: dict[str, list], take: signals.GridSignals, found: str) -> None:
-    sql = f", v_r AS ({_SERIES}), v_g AS ({grid_sql(lists)}), {found}{evaluation_sql('v', list(lists))} SELECT combo_id, {', '.join(lists)}{_RESULTS} FROM v_res"
-    query(name, sql)(lambda spark, d: grid_backtest(fx.annotated(spark, d), lists, fx.SETTINGS, take).results)
+    query(name, grid_results_sql(lists, found))(lambda spark, d: grid_backtest(fx.annotated(spark, d), lists, fx.SETTINGS, take).results)
 
 
-grid_query("grid_trend", TREND, signals.trend_grid, _trend_sql())
+grid_query("grid_trend", TREND, signals.trend_grid, _trend_sql(TREND))
 grid_query("grid_patterns", PATTERN, signals.pattern_grid, "v_s AS (SELECT g.*, 0 AS k, pn.symbol, pn.idx + 1 AS idx FROM pn JOIN en ON en.symbol = pn.symbol AND en.idx = pn.idx JOIN v_g g ON entropy < g.entropy_max AND (" + " OR ".join(f"(pn.{p} AND g.{p})" for p in patterns.PATTERNS) + ") WHERE pn.idx + 1 < en.n),\n")
 
+# Grids of full size. Their SQL takes minutes on whole tables, so tests hold a slice of each against it.
+FULL_TREND = {"sell_after": [10, 15, 20, 25, 30], "ema_fast": [2, 5, 10, 15], "ema_slow": [20, 30, 40], "rsi_period": [2, 5, 10, 15], "atr_period": [2, 5, 10, 15], "tp": [0.0, 20.0, 40.0], "sl": [0.0, 15.0, 30.0]}
+query("grid_4320_combos")(lambda spark, d: grid_backtest(fx.annotated(spark, d), fx.FULL, fx.SETTINGS).results)
+query("grid_8640_combos")(lambda spark, d: grid_backtest(fx.annotated(spark, d), FULL_TREND, fx.SETTINGS, signals.trend_grid).results)
+
 MOMENTUM = {"sell_after": [6, 12], "back": [3, 8], "tp": [0.0, 40.0], "sl": [0.0]}
 
 
@@ -668,8 +676,9 @@ def batch_bars(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFram
 def dealt_stream(rows: DataFrame, out: str, parts: int = 2) -> DataFrame:
     """``rows`` (symbol, ts, ...) as a stream of a file a batch: parts of time one after another, in which the symbols of one time are in two files."""
     rows = written(rows, "dealt")
-    span = rows.agg(F.min("ts").alias("a"), (F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))).alias("d")).first()
-    share = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(span["a"]).cast("timestamp"))) * parts / F.lit((span["d"] or 0) + 1)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    begin, last = rows.agg(F.min(micros), F.max(micros)).first()
+    share = (micros - (begin or 0)) * parts / ((last or 0) - (begin or 0) + 1)
     for i in range(parts):
         half = rows.where(F.floor(share) == i).withColumn("_half", F.length("symbol") % 3 > 0)
         for side in (True, False):

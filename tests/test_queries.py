@@ -32,6 +32,27 @@ def test_query(spark, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["grid_4320_combos", "grid_8640_combos"])
+def test_slice_of_a_full_grid(spark, name):
+    """First and last values of each list, against SQL for these alone."""
+    from barloom.plans import fixture as fx
+    from barloom.plans.oracle import CHAIN, entropy_sql
+
+    full, size = (fx.FULL, 4320) if name == "grid_4320_combos" else (q.FULL_TREND, 8640)
+    lists = {k: [v[0], v[-1]] for k, v in full.items()}
+    con = duckdb.connect()
+    for t in os.listdir(D):
+        con.execute(f"create view {t[:-8]} as select * from '{D}/{t}'")
+    found = entropy_sql("v", lists["accel_span"]) if full is fx.FULL else q._trend_sql(lists)
+    cur = con.execute(CHAIN + q.grid_results_sql(lists, found))
+    names = [x[0] for x in cur.description if x[0] != "combo_id"]
+    at = [x[0] for x in cur.description].index("combo_id")
+    want = sorted((tuple(plain(v) for i, v in enumerate(r) if i != at) for r in cur.fetchall()), key=str)
+    rows = q.QUERIES[name](spark, D).collect()
+    got = sorted((tuple(plain(r[c]) for c in names) for r in rows if all(r[k] in v for k, v in lists.items())), key=str)
+    assert len(rows) == size and len({r["combo_id"] for r in rows}) == size and got == want
+
+
 def test_chunks_do_not_change_smoothing(spark):
     from pyspark.sql import functions as F
 

@@ -1,6 +1,13 @@
-"""Best-fit packing of tokenized documents into sequences, in bulk-synchronous rounds.
+"""Best-fit packing of tokenized documents into sequences, by the lengths of pieces.
 
-Texts become token ids on the executors; documents longer than a sequence are cut. Then waiting pieces and gaps of open sequences meet in rounds:
+Texts become token ids on the executors; documents longer than a sequence are cut. Pieces of one length are alike, and so are open sequences with one gap:
+
+* The driver gets how many pieces there are of each length, a row for each length and so ``capacity`` rows at most. Best fit over falling lengths
+  takes them in blocks: pieces of one length with numbers in a row go to sequences in a row that have the smallest gap which holds them, as many to a sequence as fit.
+  A block empties a length or a gap, and a filled gap is less than half of what it was, so their number doesn't grow with the documents.
+* Executors number the pieces of each length and look their blocks up; those give sequence and offset.
+
+Where ``capacity`` allows more lengths than a driver should hold, pieces and gaps meet in bulk-synchronous rounds instead:
 
 * They are range-sorted by size, together. Each partition sweeps its range from large to small: a piece takes its successor, the smallest gap that holds
   it; where several ask for one gap, the larger rank first. Gaps shrink and are swept again until nothing in the partition fits.
@@ -10,7 +17,7 @@ Texts become token ids on the executors; documents longer than a sequence are cu
   and gaps find each other by a join on those ranks, and gaps are updated.
 * When a round has placed nothing, as many sequences are opened as the rest needs at least.
 
-Each round's tables are written, so a lost executor costs its own tasks only. No list of pieces or gaps is ever on the driver or broadcast.
+Tables between the steps are written, so a lost executor costs its own tasks only. No list of pieces or gaps is ever on the driver or broadcast.
 
 A null text is empty; an empty document is its end mark alone, one piece of length 1. Repeated rows are packed each. Ids may
 be null or repeat. An empty table gives no rows. Other columns of the input are not read.
@@ -20,6 +27,8 @@ from __future__ import annotations
 
 import os
 import zlib
+from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -38,6 +47,10 @@ _KIND[65:91] = _KIND[97:123] = 1
 _KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = 2
 _TIMES, _DIVIDED = 0x97, 0xB7  # the only signs behind 0xC3
 _CACHE_UNITS = 2_000_000
+#: Text bytes that are encoded at once. A worker's arrays take some 100 times as much beside its vocabulary and units.
+_SLICE = 1 << 20
+#: Lengths that the driver may hold counts of.
+_LENGTHS = 1 << 16
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -129,7 +142,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, cap
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tie = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for rows in slices(batch, "text", 4 << 20):
+            for rows in slices(batch, "text", _SLICE):
                 ids, cuts = encoder(vocabulary).encode(rows.column("text"), end_id)
                 n = -(-np.diff(cuts) // capacity)
                 of = np.repeat(np.arange(rows.num_rows), n)
@@ -268,8 +281,76 @@ def _opened(spark: SparkSession, first: int, number: int, capacity: int, schema:
     return spark.range(number).withColumnRenamed("id", "n").select(*(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in names))
 
 
+def length_plan(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Best fit over falling lengths, from how many pieces there are of each length: blocks (length, first number, first sequence, pieces to a sequence, offset) in order of (length, first
+    number). Numbers of a length count from 0; each block goes on to the next one's first number."""
+    blocks, opened = [], 0
+    open_: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> (first sequence, how many)
+    gaps: list[int] = []  # those of open_ in order
+
+    def leave(gap: int, first: int, number: int) -> None:
+        if gap and number:
+            if not open_[gap]:
+                insort(gaps, gap)
+            open_[gap].append((first, number))
+
+    for length in sorted(counts, reverse=True):
+        done, rest = 0, counts[length]
+        while rest:
+            at = bisect_left(gaps, length)
+            if at < len(gaps):
+                gap = gaps[at]
+                first, number = open_[gap].pop()
+                if not open_[gap]:
+                    del gaps[at]
+            else:
+                gap, first, number = capacity, opened, -(-rest // (capacity // length))
+                opened += number
+            each = min(gap // length, rest)
+            used = min(number, rest // each)
+            blocks.append((length, done, first, each, capacity - gap))
+            leave(gap - each * length, first, used)
+            leave(gap, first + used, number - used)
+            done, rest = done + used * each, rest - used * each
+    return np.array(sorted(blocks), np.int64).reshape(-1, 5)
+
+
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with ``nth``, their number from 0 among those of their length: counted by parts of each length, and carried over by what the parts before hold."""
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = ["length", "part"]
+    rows = pieces.withColumn("part", F.pmod(F.xxhash64("tie"), F.lit(parts)).cast("int"))
+    past = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).select(*own, F.coalesce(F.sum("n").over(past), F.lit(0)).alias("before"))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*own).orderBy("tie")) - 1).join(before, own).withColumn("nth", F.col("nth") + F.col("before"))
+
+
+def by_lengths(pieces: DataFrame, capacity: int, work: Workspace) -> DataFrame:
+    """``best_fit`` by a plan over lengths."""
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length
+    length, since, first, each, offset = length_plan(counts, capacity).T
+    key = lambda size, nth: (size << 44) + nth
+    begins = key(length, since)
+    kept = ["id", "piece", "start", "length", "ids_crc32"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, nth = batch.column("length").to_numpy(), batch.column("nth").to_numpy()
+            block = np.searchsorted(begins, key(size, nth), "right") - 1
+            within = nth - since[block]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(first[block] + within // each[block]), pa.array(offset[block] + within % each[block] * size)], names=[*kept, "sequence_id", "offset"])
+
+    kinds = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in kept)
+    return work.write(_numbered(pieces).select(*kept, "nth").mapInArrow(place, f"{kinds}, sequence_id long, offset long"), "placed")
+
+
 def best_fit(pieces: DataFrame, capacity: int, work: Workspace) -> DataFrame:
     """``pieces`` (id, piece, start, length, ids_crc32, tie) with sequence_id and offset."""
+    return by_lengths(pieces, capacity, work) if capacity <= _LENGTHS else in_rounds(pieces, capacity, work)
+
+
+def in_rounds(pieces: DataFrame, capacity: int, work: Workspace) -> DataFrame:
+    """``best_fit`` without a count for each length."""
     spark = pieces.sparkSession
     schema = _STATE.format(pieces.schema["id"].dataType.simpleString())
     blank = {"kind": F.lit(_WAITING), "size": F.col("length"), "sequence_id": F.lit(-1), "offset": F.lit(-1), "part": F.lit(-1), "nth": F.lit(-1)}

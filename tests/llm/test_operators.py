@@ -488,6 +488,55 @@ def test_best_fit_is_close_to_the_least(spark, partitions):
     assert len(by) <= 1.005 * -(-int(lengths.sum()) // 4096) + 1
 
 
+@pytest.mark.parametrize("method", ["by_lengths", "in_rounds"])
+def test_both_ways_of_packing_fill_sequences(spark, method):
+    rng = np.random.default_rng(4)
+    lengths = [*rng.integers(1, 97, 300).tolist(), *[31] * 200, *[96] * 5]
+    rows = spark.createDataFrame([(i % 7, 0, 0, n, 0, i) for i, n in enumerate(lengths)], "id long, piece int, start long, length long, ids_crc32 long, tie long")
+    got = getattr(packing, method)(rows, 96, packing.Workspace(spark, "test")).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert Counter((r["id"], r["length"]) for r in got) == Counter((i % 7, n) for i, n in enumerate(lengths))
+    for own in map(sorted, by.values()):
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) <= 96
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_length_plan_is_best_fit_decreasing(seed):
+    rng = np.random.default_rng(seed)
+    lengths = sorted(rng.integers(1, 41, rng.integers(0, 400)).tolist(), reverse=True)
+    left, sequences = [], 0
+    for n in lengths:
+        fits = [g for g in left if g >= n]
+        if fits:
+            left.remove(min(fits))
+        else:
+            sequences += 1
+        left.append((min(fits) if fits else 40) - n)
+    plan, counts = packing.length_plan(dict(Counter(lengths)), 40), Counter(lengths)
+    used = defaultdict(list)
+    for k, (length, since, first, each, offset) in enumerate(plan.tolist()):
+        until = plan[k + 1][1] if k + 1 < len(plan) and plan[k + 1][0] == length else counts[length]
+        for nth in range(int(until) - since):
+            used[first + nth // each].append((offset + nth % each * length, length))
+    assert Counter(n for own in used.values() for _, n in own) == counts and sorted(used) == list(range(sequences))
+    for own in map(sorted, used.values()):
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) <= 40
+    assert sorted(40 - sum(sorted(own)[-1]) for own in used.values()) == sorted(left)
+
+
+def test_packing_takes_as_many_jobs_whatever_the_partitions(spark):
+    """A plan over lengths, no rounds of exchanges: on many small partitions each round had cost a pass over all of them."""
+    rows = spark.range(3000).selectExpr("id", "0 piece", "0L start", "1 + pmod(xxhash64(id), 4096) length", "0L ids_crc32", "id tie")
+    tables = []
+    for partitions in (3, 60):
+        work = packing.Workspace(spark, "test")
+        packing.best_fit(rows.repartition(partitions), 4096, work)
+        tables.append(work._n)
+    assert tables == [1, 1]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_successors_by_a_plain_sweep(seed):
     rng = np.random.default_rng(seed)

@@ -25,3 +25,8 @@ def symbol_seed(symbol: Column, base: int, path: Column) -> Column:
 
 def number_or_zero(text: Column) -> Column:
     return F.coalesce(text.try_cast("double"), F.lit(0.0))
+
+
+def natural_log(x: Column) -> Column:
+    """Natural logarithm with minus infinity for 0, for which Spark's is null."""
+    return F.when(x == 0, F.lit(float("-inf"))).otherwise(F.log(x))

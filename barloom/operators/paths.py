@@ -32,7 +32,9 @@ def bootstrap_paths(features: DataFrame, draws: DataFrame, extra: tuple[str, ...
     rows = draws.join(features.select("symbol", F.col("idx").alias("row"), "pct_ol", "pct_oh", "pct_oc", "time_variation", "low_offset", "high_offset", *extra), ["symbol", "row"]).join(start, "symbol")
     order = Window.partitionBy("symbol", "path_index").orderBy("step")
     run = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("close", F.col("p0") * F.exp(F.sum(F.log1p("pct_oc")).over(run)))
+    # a fall to 0 is minus infinity, and what follows stays 0
+    moves = F.when(F.col("pct_oc") == -1, F.lit(float("-inf"))).otherwise(F.log1p("pct_oc"))
+    rows = rows.withColumn("close", F.col("p0") * F.exp(F.sum(moves).over(run)))
     rows = rows.withColumns({"open": F.coalesce(F.lag("close").over(order), F.col("p0")), "_s": F.sum("time_variation").over(run)})
     at = lambda seconds: F.timestamp_seconds(F.unix_timestamp(F.col("t0").cast("timestamp")) + seconds).cast("timestamp_ntz")
     return rows.select(

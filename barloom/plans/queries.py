@@ -515,7 +515,7 @@ def _(spark, d):
 def _(spark, d):
     m = made_paths(spark, d)
     # prices of long paths have many digits; their logarithms are compared
-    return m.select("symbol", *(F.col(c).cast("long").alias(c) for c in ("path_index", "step")), "ts", *(F.log(c).alias(f"log_{c}") for c in ("open", "high", "low", "close")), "low_time", "high_time")
+    return m.select("symbol", *(F.col(c).cast("long").alias(c) for c in ("path_index", "step")), "ts", *(scalar.natural_log(F.col(c)).alias(f"log_{c}") for c in ("open", "high", "low", "close")), "low_time", "high_time")
 
 
 @query("bootstrap_extra_columns", "SELECT dw.symbol, path_index, step, round(ft.close, 6) AS drawn_close FROM dw JOIN ft ON ft.symbol = dw.symbol AND ft.idx = dw.row")
@@ -527,7 +527,7 @@ def _(spark, d):
 @query("path_bars", "SELECT symbol, path_index, step AS idx, 60 AS n, make_timestamp(step) AS ts, round(ln(close), 6) AS log_close FROM pb")
 def _(spark, d):
     b = paths.path_bars(made_paths(spark, d), ordinal_time=True)
-    return b.select("symbol", F.col("path_index").cast("long").alias("path_index"), "idx", F.col("n").cast("int").alias("n"), "ts", F.log("close").alias("log_close"))
+    return b.select("symbol", F.col("path_index").cast("long").alias("path_index"), "idx", F.col("n").cast("int").alias("n"), "ts", scalar.natural_log(F.col("close")).alias("log_close"))
 
 
 def monte_carlo(spark: SparkSession, d: str) -> DataFrame:

@@ -97,3 +97,20 @@ def test_shared_windows_equal_windows_of_their_own(spark):
         for a, b in zip(shared, own):
             for x, y in zip(a, b):
                 assert x == pytest.approx(y, rel=1e-9) if isinstance(y, float) else x == y, (a, b)
+
+
+def test_prices_of_zero(spark):
+    """A low of 0 has the logarithm minus infinity, not null; a close of 0 stays 0, where its move had been left out of the sum."""
+    from pyspark.sql import functions as F
+
+    from barloom.functions.scalar import natural_log
+    from barloom.operators.paths import bootstrap_paths
+
+    schema = "symbol string, idx long, ts timestamp_ntz, open double, pct_ol double, pct_oh double, pct_oc double, time_variation long, low_offset long, high_offset long"
+    moves = [(-1.0, 0.5, 0.5), (-1.0, 0.0, -1.0)]
+    features = spark.createDataFrame([("A", i, None, 8.0, *m, 60, 0, 0) for i, m in enumerate(moves)], schema).withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
+    draws = spark.createDataFrame([("A", 0, k, row) for k, row in enumerate([0, 1, 0])], "symbol string, path_index int, step int, row long")
+    made = bootstrap_paths(features, draws).orderBy("step")
+    got = [(round(r["close"], 9), r["low"], r["log_low"]) for r in made.withColumn("log_low", natural_log(F.col("low"))).collect()]
+    assert got == [(12.0, 0.0, float("-inf")), (0.0, 0.0, float("-inf")), (0.0, 0.0, float("-inf"))]
+    assert [r[0] for r in spark.sql("select explode(array(1D, 0D, null)) x").select(natural_log(F.col("x"))).collect()] == [0.0, float("-inf"), None]

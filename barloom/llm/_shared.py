@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from barloom.sources.scratch import at_end, shared_folder
 
 
+#: Bytes of a batch of rows between Spark and a Python worker. Both sides hold a batch whole, with room for it to grow, once for each task.
+_BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches that go to Python are of ``_BATCH`` bytes at most, or one longer row: Spark's own limit is 10,000 rows or 64 MB, texts included."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > _BATCH:
+        spark.conf.set(name, str(_BATCH))
+
+
 class Workspace:
     """Parquet tables of one run under the shared folder.
 

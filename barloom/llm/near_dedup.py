@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import Workspace
+from ._shared import Workspace, small_batches
 from ._words import U, doubled, mix, slices, split, utf8, word_hashes
 
 #: Members of a block, and about how many words their texts have.
 BLOCK, BLOCK_WORDS = 512, 1 << 18
+#: Text bytes whose shingles and darts are made at once. A worker's arrays take some 200 times as much.
+_SLICE = 1 << 18
 _END = U(0xB5AD4ECEDA1CE2A9)
 _GOLD = U(0x9E3779B97F4A7C15)
 
@@ -110,7 +112,7 @@ def _sketches(texts: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", _SLICE):
                 cells, of = unit_cells(*utf8(part.column("text")), size)
                 weight = np.bincount(of, minlength=part.num_rows)
                 has = np.flatnonzero(weight)
@@ -258,7 +260,7 @@ def _verified(likely: DataFrame, needed: DataFrame, threshold: float, size: int,
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "ta", 1 << 20):
+            for part in slices(batch, "ta", _SLICE):
                 (x, i), (y, j) = (unit_cells(*utf8(part.column(c)), size) for c in ("ta", "tb"))
                 cell, of = np.concatenate([x, y]), np.concatenate([i, j])
                 order = np.lexsort((cell, of))
@@ -278,6 +280,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each row of ``df``: ``id_col``, class_id (the least id of its class), tid (digest of its text,
     null for null), class_tid (digest of a text of the row that names the class). Classes are connected components."""
     work = Workspace(df.sparkSession, "neardup")
+    small_batches(df.sparkSession)
     rows_in = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("tid", F.unhex(F.md5("text")))
     texts = rows_in.where("tid is not null").select("tid", "text")
     sketches = work.write(_sketches(texts, bands, rows, size).dropDuplicates(["tid"]), "sketches")

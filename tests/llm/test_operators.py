@@ -752,6 +752,24 @@ def edited(text, k, seed):
     return " ".join(w)
 
 
+def test_batches_to_python_are_small(spark):
+    """Long texts go to Python in batches of a few MB, not of 64 MB or 10,000 rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, "64m")
+    near_dedup.near_duplicates(spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")).collect()
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    found = spark.range(24).select(F.repeat(F.lit("x"), 1 << 20).alias("text")).coalesce(1).mapInArrow(sizes, "bytes long").collect()
+    assert max(r["bytes"] for r in found) <= 6 << 20
+    spark.conf.set(name, "1m")
+    near_dedup.near_duplicates(spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string"))
+    assert spark.conf.get(name) == "1m"  # a lower limit stays
+    spark.conf.unset(name)
+
+
 def test_near_duplicates(spark, nothing):
     base = [prose(100 + i, 250) for i in range(4)]
     texts = base + [edited(base[0], k, k) for k in (1, 2, 3, 4, 8, 20)] + [edited(base[1], 2, 50 + k) for k in range(12)] + [base[2], base[2], None, None, "", "", "few words", "few  words", LONG + " end"]

@@ -136,8 +136,8 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def token_pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, tie): ``tie`` is another number for each piece."""
+def token_pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, tie): ``tie`` is another number for each piece. ``with_ids``: and ``ids``, its token ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tie = TaskContext.get().partitionId() << 36
@@ -152,14 +152,14 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, cap
                 begin = (cuts[of] + start) * 4
                 raw = memoryview(ids).cast("B")
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(tie + np.arange(len(of)))],
-                    names=["id", "piece", "start", "length", "ids_crc32", "tie"],
-                )
+                columns = [rows.column("id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(tie + np.arange(len(of)))]
+                if with_ids:  # pieces stand one after another
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(cuts[of] + start, len(ids)).astype(np.int32)), pa.array(ids.view(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids_crc32", "tie", "ids"][: len(columns)])
                 tie += len(of)
 
     id_type = df.select(id_col).schema[0].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, piece int, start long, length long, ids_crc32 long, tie long")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, piece int, start long, length long, ids_crc32 long, tie long{', ids array<int>' if with_ids else ''}")
 
 
 def successors(pieces: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -394,6 +394,18 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     return best_fit(pieces, capacity, work).withColumnRenamed("id", id_col)
 
 
+def packed(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
+    """The rows of ``pack`` with ``ids``, the token ids of each piece. A sequence's pieces stand together in one partition, in order of their offsets, so that one after another they are its tokens.
+
+    Places are found from lengths alone and joined to the ids by the number of the piece; ids are shuffled to that join and to their sequences."""
+    work = Workspace(df.sparkSession, "packing")
+    pieces = work.write(token_pieces(df, id_col, text_col, vocabulary, capacity, end_id, with_ids=True), "pieces")
+    numbers = pieces.select(F.col("tie").alias("id"), "piece", "start", "length", "ids_crc32", "tie")
+    places = best_fit(numbers, capacity, work).select(F.col("id").alias("tie"), "sequence_id", "offset")
+    rows = pieces.join(places.hint("merge"), "tie").select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
+    return rows.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+
+
 def word_vocabulary() -> str:
     import public_tokenizers
 

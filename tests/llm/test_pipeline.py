@@ -83,3 +83,30 @@ def test_stages_keep_every_row_that_has_no_fault(spark):
     assert corpus_pipeline.decontamination_stage(spark, docs, D).count() == len(ROWS)
     packed = corpus_pipeline.packing_stage(spark, docs, D).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("least")).collect()
     assert {r["doc_id"] for r in packed} == {1, 2, 3, None, 5, 7, 8, 9} and all(r["least"] >= 1 for r in packed)
+
+
+def test_packed_sequences_hold_all_tokens(spark, tmp_path):
+    """What the last stage writes is the sequences themselves: read back, a sequence's pieces one after another, and a document's tokens from these."""
+    from tokenizers import Tokenizer
+
+    path = f"file://{tmp_path}/packed"
+    corpus_pipeline.packing_stage(spark, spark.createDataFrame(ROWS, DOC), D).write.parquet(path)
+    t = Tokenizer.from_file(corpus_pipeline.packing.word_vocabulary())
+    want = Counter((r[0], tuple([*t.encode(r[1] or "", add_special_tokens=False).ids, 1])) for r in ROWS)
+    sequences, documents = {}, {}
+    stored = spark.read.parquet(path).withColumns({"file": F.input_file_name(), "at": F.monotonically_increasing_id()}).orderBy("at").collect()
+    for r in stored:
+        tokens = sequences.setdefault(r["sequence_id"], [])
+        assert r["offset"] == len(tokens) and len(r["ids"]) == r["length"]
+        tokens += r["ids"]
+        assert len(tokens) <= 4096
+        # copies of a document are told apart by nothing but their number
+        documents.setdefault((r["doc_id"], r["piece"]), []).append((r["start"], tuple(r["ids"])))
+    assert len({(r["sequence_id"], r["file"]) for r in stored}) == len(sequences)
+    whole = {}
+    for (doc, piece), found in sorted(documents.items(), key=lambda x: x[0][1]):
+        for k, (start, ids) in enumerate(sorted(found)):
+            before = whole.setdefault((doc, k), [])
+            assert start == len(before) and bool(piece) == bool(before)
+            before += ids
+    assert Counter((doc, tuple(ids)) for (doc, _), ids in whole.items()) == want
